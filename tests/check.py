@@ -53,6 +53,7 @@ def kinds(columns, rows):
 def compare(spark, con, sf_dir, name, fn, sql):
     df = fn(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    compare.spark_done = time.time()
     if sql is None:
         return len(got), None
     cur = con.execute(sql)
@@ -92,8 +93,10 @@ def main(argv):
             count, problem = -1, f"{type(e).__name__}: {str(e)[:700]}"
         state = "FAIL" if problem else ("ok" if n in sqls else "rows")
         failed += bool(problem)
-        if problem or "-v" in sys.argv or not os.environ.get("QUIET"):
-            print(f"{state:4} {n} rows={count} {time.time() - t:.2f}s {problem or ''}"[:1500], flush=True)
+        done = getattr(compare, "spark_done", t)
+        if problem or not os.environ.get("QUIET"):
+            print(f"{state:4} {n} rows={count} spark {max(0, done - t):.2f}s "
+                  f"sql {time.time() - max(done, t):.2f}s {problem or ''}"[:1500], flush=True)
     print(f"{len(picked)} queries, {failed} failed, {sum(n in sqls for n in picked)} with SQL")
     return failed
 

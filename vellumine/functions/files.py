@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from vellumine.functions import fixed
-from vellumine.functions.bands import literal_map
+from vellumine.functions.bands import half_even, literal_map
 
 KB, MB, GB = 1024, 1024**2, 1024**3
 
@@ -36,9 +36,9 @@ def human_size(n: Column) -> Column:
     x = n.cast("double")
     return (
         F.when(n < KB, F.format_string("%d B", n.cast("long")))
-        .when(n < MB, F.format_string("%.1f KB", x / KB))
-        .when(n < GB, F.format_string("%.2f MB", x / MB))
-        .otherwise(F.format_string("%.2f GB", x / GB))
+        .when(n < MB, F.format_string("%.1f KB", half_even(x / KB, 1)))
+        .when(n < GB, F.format_string("%.2f MB", half_even(x / MB, 2)))
+        .otherwise(F.format_string("%.2f GB", half_even(x / GB, 2)))
     )
 
 
@@ -47,8 +47,8 @@ def exact_size(n: Column) -> Column:
     x = n.cast("double")
     exact = F.format_string(" (%,d bytes)", n.cast("long"))
     return (
-        F.when(n >= MB, F.concat(F.format_string("%.2f MB", x / MB), exact))
-        .when(n >= KB, F.concat(F.format_string("%.2f KB", x / KB), exact))
+        F.when(n >= MB, F.concat(F.format_string("%.2f MB", half_even(x / MB, 2)), exact))
+        .when(n >= KB, F.concat(F.format_string("%.2f KB", half_even(x / KB, 2)), exact))
         .otherwise(F.format_string("%d bytes", n.cast("long")))
     )
 

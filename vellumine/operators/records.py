@@ -155,7 +155,9 @@ def apply_patch(base: DataFrame, patch: DataFrame, key: Sequence[str], allowed:
         pa, pb = new.get(a, F.lit(None)), new.get(b, F.lit(None))
         if a in new or b in new:
             new[a], new[b] = F.coalesce(pa, pb), F.coalesce(pb, pa)
-    any_set = F.coalesce(*[v.isNotNull().cast("int") * F.when(v.isNotNull(), 1) for v in new.values()], F.lit(0)) > 0
+    any_set = F.lit(False)
+    for v in new.values():
+        any_set = any_set | v.isNotNull()
     joined = base.alias("b").join(patch.alias("p"), list(key), "left")
     out = []
     for c in base.columns:

@@ -5,57 +5,71 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_COMPLEX: dict[str, T.DataType] = {
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<double>": T.ArrayType(T.DoubleType()),
+    "array<short>": T.ArrayType(T.ShortType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+    "box": T.StructType([T.StructField(c, T.IntegerType()) for c in "xywh"]),
+}
+
+
+def _schema(spec: str) -> T.StructType:
+    """A schema from ``name type, name type``; needs no running session."""
+    out = T.StructType()
+    for item in spec.split(", "):
+        name, kind = item.split(" ", 1)
+        out = out.add(name, _COMPLEX.get(kind, kind))
+    return out
 
 
 CASES = _schema(
-    "case_id STRING, case_name STRING, title STRING, examiner STRING, organization STRING, "
-    "description STRING, reference_number STRING, date STRING, notes STRING, status STRING, "
-    "created_at TIMESTAMP, modified_at TIMESTAMP"
+    "case_id string, case_name string, title string, examiner string, organization string, "
+    "description string, reference_number string, date string, notes string, status string, "
+    "created_at timestamp, modified_at timestamp"
 )
 EVIDENCE = _schema(
-    "case_id STRING, evidence_id STRING, name STRING, evidence_type STRING, source STRING, "
-    "file_path STRING, sha256 STRING, md5 STRING, status STRING, notes STRING, "
-    "reviewed BOOLEAN, relevant BOOLEAN, created_at TIMESTAMP, imported_at TIMESTAMP, "
-    "file_type STRING, file_size BIGINT, mime_type STRING, page_count INT, width INT, height INT"
+    "case_id string, evidence_id string, name string, evidence_type string, source string, "
+    "file_path string, sha256 string, md5 string, status string, notes string, "
+    "reviewed boolean, relevant boolean, created_at timestamp, imported_at timestamp, "
+    "file_type string, file_size long, mime_type string, page_count integer, width integer, height integer"
 )
 EXAMINATIONS = _schema(
-    "case_id STRING, evidence_id STRING, exam_no BIGINT, file_path STRING, sha256 STRING, "
-    "detected_format STRING, status STRING, flags ARRAY<STRING>, "
-    "summary MAP<STRING, STRING>, full_data STRING, examined_at TIMESTAMP"
+    "case_id string, evidence_id string, exam_no long, file_path string, sha256 string, "
+    "detected_format string, status string, flags array<string>, "
+    "summary map<string,string>, full_data string, examined_at timestamp"
 )
 OCR_RESULTS = _schema(
-    "case_id STRING, evidence_id STRING, page_number INT, detected_language STRING, "
-    "language_confidence DOUBLE, detected_script STRING, script_confidence DOUBLE, "
-    "ocr_confidence DOUBLE, ocr_quality STRING, raw_text STRING, normalized_text STRING, "
-    "ocr_engine STRING, model STRING, processing_time DOUBLE, preprocessing ARRAY<STRING>, "
-    "integrity_snapshot STRING, provenance STRING, processed_at TIMESTAMP"
+    "case_id string, evidence_id string, page_number integer, detected_language string, "
+    "language_confidence double, detected_script string, script_confidence double, "
+    "ocr_confidence double, ocr_quality string, raw_text string, normalized_text string, "
+    "ocr_engine string, model string, processing_time double, preprocessing array<string>, "
+    "integrity_snapshot string, provenance string, processed_at timestamp"
 )
 OCR_REGIONS = _schema(
-    "case_id STRING, evidence_id STRING, page_number INT, word_no INT, region_id STRING, "
-    "box STRUCT<x: INT, y: INT, w: INT, h: INT>, text STRING, confidence DOUBLE, engine STRING"
+    "case_id string, evidence_id string, page_number integer, word_no integer, region_id string, "
+    "box box, text string, confidence double, engine string"
 )
 OCR_RUNS = _schema(
-    "case_id STRING, evidence_id STRING, page_number INT, run_no INT, engine STRING, "
-    "language_model STRING, variant STRING, config MAP<STRING, STRING>, confidence DOUBLE, "
-    "text STRING, processing_time DOUBLE, status STRING"
+    "case_id string, evidence_id string, page_number integer, run_no integer, engine string, "
+    "language_model string, variant string, config map<string,string>, confidence double, "
+    "text string, processing_time double, status string"
 )
 PROCESSING_HISTORY = _schema(
-    "case_id STRING, evidence_id STRING, operation STRING, parameters STRING, timestamp TIMESTAMP"
+    "case_id string, evidence_id string, operation string, parameters string, timestamp timestamp"
 )
 CASE_EVENTS = _schema(
-    "case_id STRING, evidence_id STRING, event_type STRING, description STRING, timestamp TIMESTAMP"
+    "case_id string, evidence_id string, event_type string, description string, timestamp timestamp"
 )
-RECENT_FILES = _schema("file_path STRING, file_name STRING, file_type STRING, opened_at TIMESTAMP")
-WORKSPACE_STATE = _schema("key STRING, value STRING, saved_at TIMESTAMP")
+RECENT_FILES = _schema("file_path string, file_name string, file_type string, opened_at timestamp")
+WORKSPACE_STATE = _schema("key string, value string, saved_at timestamp")
 FINDINGS = _schema(
-    "case_id STRING, evidence_id STRING, finding_id STRING, module STRING, description STRING, "
-    "severity STRING, confidence DOUBLE, region STRING, examiner_note STRING, "
-    "timestamp TIMESTAMP, status STRING"
+    "case_id string, evidence_id string, finding_id string, module string, description string, "
+    "severity string, confidence double, region string, examiner_note string, "
+    "timestamp timestamp, status string"
 )
 MODULE_STATUS = _schema(
-    "evidence_id STRING, module STRING, status STRING, confidence DOUBLE, evidence_strength STRING"
+    "evidence_id string, module string, status string, confidence double, evidence_strength string"
 )
 
 # Columns a reader fills when an older file lacks them.
@@ -87,12 +101,12 @@ TABLES: dict[str, T.StructType] = {
 }
 
 # Relations passed between operators.
-PROPERTY_ROW = _schema("evidence_id STRING, property STRING, value STRING, source STRING")
+PROPERTY_ROW = _schema("evidence_id string, property string, value string, source string")
 SEGMENT_ROW = _schema(
-    "evidence_id STRING, segment_no INT, kind STRING, length INT, payload BINARY")
-RUN_ROW = _schema("page_key STRING, run_no INT, engine STRING, language_model STRING, "
-                  "variant STRING, confidence DOUBLE, text STRING")
+    "evidence_id string, segment_no integer, kind string, length integer, payload binary")
+RUN_ROW = _schema("page_key string, run_no integer, engine string, language_model string, "
+                  "variant string, confidence double, text string")
 RECOGNITION = _schema(
-    "page_key STRING, text STRING, confidence DOUBLE, word_confidences ARRAY<DOUBLE>, "
-    "engine STRING, lang_code STRING, error STRING")
-RASTER = _schema("image_id STRING, height INT, width INT, channels ARRAY<STRING>, px ARRAY<SMALLINT>")
+    "page_key string, text string, confidence double, word_confidences array<double>, "
+    "engine string, lang_code string, error string")
+RASTER = _schema("image_id string, height integer, width integer, channels array<string>, px array<short>")
