@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellumine.functions.bands import half_even, percent
 from vellumine.functions.once import compute_once
@@ -170,18 +170,17 @@ def histogram(px: DataFrame) -> DataFrame:
 
     The second grouping gathers at most 256 counted bins per image and channel.
     """
-    return _dense(bin_counts(px))
+    return histogram_from(bin_counts(px))
 
 
-def _dense(counts: DataFrame) -> DataFrame:
+def histogram_from(counts: DataFrame) -> DataFrame:
     per = counts.groupBy("image_id", "ch").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"), F.sum("n").alias("_total"))
     filled = compute_once(per, {"_n": f"transform(sequence(0, {BINS - 1}), b -> coalesce(try_element_at(_m, b), 0L))"}, drop=("_m",))
-    running = compute_once(filled, {"_run": (
-        "aggregate(_n, CAST(array() AS ARRAY<BIGINT>), (acc, n) -> array_append(acc, n + coalesce(try_element_at(acc, -1), 0L)))")})
-    out = running.select("image_id", "ch", "_n", "_run", "_total", F.explode(F.expr(f"sequence(0, {BINS - 1})")).alias("bin"))
-    return out.selectExpr("image_id", "ch", "bin", "get(_n, bin) AS n",
-                          "CAST(get(_run, bin) AS DOUBLE) / CAST(_total AS DOUBLE) * 100D AS cdf_pct")
+    out = filled.select("image_id", "ch", "_total", F.posexplode("_n").alias("bin", "n"))
+    upto = W.partitionBy("image_id", "ch").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    share = F.sum("n").over(upto).cast("double") / F.col("_total").cast("double") * 100
+    return out.select("image_id", "ch", "bin", "n", share.alias("cdf_pct"))
 
 
 def select_channel(px: DataFrame, mode: str = "GRAY") -> DataFrame:
