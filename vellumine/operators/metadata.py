@@ -205,8 +205,10 @@ def container_segments(files: DataFrame, key: str = "evidence_id", content: str
             for k, data in zip(batch["evidence_id"], batch["content"]):
                 data = bytes(data)
                 jpeg = data.startswith(b"\xff\xd8")
-                found = _jpeg_segments(data) if jpeg else _png_segments(data)
-                out += [(k, "JPEG" if jpeg else "PNG", n, *segment) for n, segment in enumerate(found)]
+                n = -1
+                for kind, size, payload in _jpeg_segments(data) if jpeg else _png_segments(data):
+                    n += kind != "DQT.table"  # a table row keeps its segment's number
+                    out.append((k, "JPEG" if jpeg else "PNG", n, kind, size, payload))
             yield pd.DataFrame(out, columns=["evidence_id", "container", "segment_no", "kind", "length", "payload"])
 
     head = fx.container_type(F.col(content))
@@ -217,13 +219,12 @@ def container_segments(files: DataFrame, key: str = "evidence_id", content: str
 def marker_summary(segments: DataFrame, shown: int = 12) -> DataFrame:
     """Marker count and the sequence of the first ``shown`` JPEG markers per file."""
     real = segments.where((F.col("container") == "JPEG") & (F.col("kind") != "DQT.table"))
-    # the opening marker is implied by the container and not counted
-    first = F.when(F.col("segment_no") > 0, F.struct("segment_no", "kind"))
-    early = real.where(F.col("segment_no") <= 2 * shown).groupBy("evidence_id").agg(
-        F.slice(F.array_sort(F.collect_list(first)), 1, shown).alias("_s"))
+    # number 0 is the opening marker, implied by the container and not counted
+    early = real.where(F.col("segment_no").between(1, shown)).groupBy("evidence_id").agg(
+        F.array_sort(F.collect_list(F.struct("segment_no", "kind"))).alias("_s"))
     counts = real.groupBy("evidence_id").agg((F.count(F.lit(1)) - 1).alias("marker_count"),
                                              F.count_if(F.col("kind") == "DQT").alias("dqt_segments"))
-    return counts.join(early, "evidence_id").select(
+    return counts.join(early, "evidence_id", "left").select(
         "evidence_id", "marker_count", "dqt_segments",
         F.array_join(F.transform("_s", lambda s: s["kind"]), " → ").alias("marker_sequence"))
 
@@ -278,7 +279,7 @@ def jpeg_quality(segments: DataFrame, reference: Sequence[int] = tuple(fixed.LUM
     are read as 16-bit numbers.
     """
     tables = segments.where((F.col("kind") == "DQT.table") & F.expr("conv(hex(substring(payload, 1, 1)), 16, 10) % 16 = 0"))
-    first = tables.groupBy("evidence_id").agg(F.min_by("payload", "segment_no").alias("t"))
+    first = tables.groupBy("evidence_id").agg(F.min_by("payload", F.struct("segment_no", "length")).alias("t"))
     ordered = ", ".join(str(reference[i]) for i in zigzag_order())
     ratio = "CAST(conv(hex(CASE WHEN length(t) > 65 THEN substring(t, 2 + 2 * i, 2) ELSE substring(t, 2 + i, 1) END), 16, 10) AS INT) * 100D / get(ref, i)"
     scaled = compute_once(first.withColumn("ref", F.expr(f"array({ordered})")),

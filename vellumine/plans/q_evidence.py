@@ -215,9 +215,7 @@ def jpegs(spark, d):
 @query("m07_jpeg_markers", """
 SELECT vec_id::VARCHAR AS evidence_id, 5::BIGINT AS marker_count, 1::BIGINT AS dqt_segments, 'APP0 → COM → DQT → SOF0 → EOI' AS marker_sequence FROM embeddings""")
 def m07_jpeg(spark, d):
-    segments = md.container_segments(jpegs(spark, d))
-    real = segments.where("kind <> 'DQT.table'").withColumn("segment_no", F.when(F.col("segment_no") > 3, F.col("segment_no") - 1).otherwise(F.col("segment_no")))
-    return md.marker_summary(real)
+    return md.marker_summary(md.container_segments(jpegs(spark, d)))
 
 
 @query("m08_jpeg_quality", f"""

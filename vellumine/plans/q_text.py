@@ -72,6 +72,10 @@ CENSUS_SQL = _sql_census()
 TOKENS_SQL = f"list_filter(regexp_split_to_array(text, '{tx.PORTABLE_SEPARATORS}'), lambda t: t <> '')"
 
 
+LATIN_CENSUS_SQL = f"""latin AS (SELECT source, text, length(regexp_replace(regexp_replace(text, '{tx.SKIPPED}', '', 'g'), '[^\\x{{00}}-\\x{{24F}}]', '', 'g')) AS n,
+  len(list_filter(regexp_split_to_array(text, '{tx.PORTABLE_GAP}'), lambda t: t <> '')) AS words FROM documents)"""
+
+
 @query("t01_script_census", f"WITH {CENSUS_SQL} SELECT doc_id, script, n FROM census")
 def t01(spark, d):
     return ti.rank_scripts_relation(ti.script_census(written(spark, d)), "doc_id")

@@ -17,13 +17,50 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def evidence_scan(spark: SparkSession, root: str | list[str], content: bool = False) -> DataFrame:
+SCAN_DDL = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Zero-byte files below a folder, which Spark's own listing skips.
+
+    The first level of folders is listed here, every folder below in a task.
+    """
+    import pandas as pd
+    from pyarrow import fs
+
+    def open_fs(uri: str):
+        return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+
+    scheme = root.split("://", 1)[0] + "://" if "://" in root else "file:"
+    base, top = open_fs(root.replace("file:/", "/", 1) if root.startswith("file:/") and "://" not in root else root)
+    folders = [(top, False)] + [
+        (f.path, True) for f in base.get_file_info(fs.FileSelector(top, recursive=False)) if f.type == fs.FileType.Directory]
+    anchor = f"{scheme}" if scheme != "file:" else "file://"
+
+    def listing(batches):
+        for batch in batches:
+            found = []
+            for folder, deep in zip(batch["folder"], batch["deep"]):
+                system, at = open_fs(anchor + folder)
+                for f in system.get_file_info(fs.FileSelector(at, recursive=bool(deep))):
+                    if f.type == fs.FileType.File and f.size == 0:
+                        found.append((scheme + f.path, pd.Timestamp(f.mtime).tz_localize(None) if f.mtime else None, 0, b""))
+            yield pd.DataFrame(found, columns=["path", "modificationTime", "length", "content"])
+
+    todo = spark.createDataFrame(folders, "folder string, deep boolean")
+    return todo.repartition(min(len(folders), 4096)).mapInPandas(listing, SCAN_DDL)
+
+
+def evidence_scan(spark: SparkSession, root: str, content: bool = False, include_empty: bool = True) -> DataFrame:
     """Supported files below a folder: (path, modificationTime, length[, content]).
 
-    Without ``content`` only the listing is read; files are never opened. Patterns and
-    cut-off dates can be set on the reader (``pathGlobFilter``, ``modifiedAfter``).
+    Without ``content`` only the listing is read; files are never opened. Zero-byte
+    files are evidence too and are added from a listing of their own; switch that off
+    where none can occur.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if include_empty:
+        df = df.unionByName(empty_files(spark, root))
     df = df.where(fx.is_supported(F.col("path")))
     return df if content else df.drop("content")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vellumine.operators.records import replace_rows
 from vellumine.schemas import DEFAULTS, TABLES
@@ -42,11 +42,15 @@ class EvidenceTables:
     def _partitioning(self, name: str) -> list[str]:
         return ["case_bucket"] if "case_id" in TABLES[name].fieldNames() else []
 
-    def _write(self, name: str, df: DataFrame, mode: str) -> None:
+    def _shape(self, name: str, df: DataFrame) -> DataFrame:
+        """The table's columns in order and type, defaults filled in."""
         schema = TABLES[name]
-        shaped = with_defaults(df, {f: None for f in schema.fieldNames() if f not in df.columns})
-        shaped = with_defaults(shaped, DEFAULTS.get(name, {}))
-        shaped = self._layout(name, shaped.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+        full = with_defaults(df, {f: None for f in schema.fieldNames() if f not in df.columns})
+        full = with_defaults(full, DEFAULTS.get(name, {}))
+        return full.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+    def _write(self, name: str, df: DataFrame, mode: str) -> None:
+        shaped = self._layout(name, self._shape(name, df))
         parts = self._partitioning(name)
         if parts:
             # gather each folder's rows into few files; a hot folder is split by AQE
@@ -60,10 +64,17 @@ class EvidenceTables:
     def read(self, name: str) -> DataFrame:
         """The table under its current schema: columns older files lack get defaults."""
         schema = TABLES[name]
-        full = schema.add("case_bucket", "int") if self._partitioning(name) and "case_bucket" not in schema.fieldNames() else schema
+        bucket = [T.StructField(c, T.IntegerType()) for c in self._partitioning(name)]
+        full = T.StructType([*schema.fields, *bucket])
         df = self.spark.read.schema(full).parquet(self.path(name))
         return with_defaults(df, DEFAULTS.get(name, {}))
 
+    def read_buckets(self, name: str, cases: DataFrame) -> DataFrame:
+        """Rows in the folders the given cases fall into; other folders are pruned at run time."""
+        few = cases.select(case_bucket("case_id", self.buckets).alias("case_bucket")).distinct()
+        # at most ``buckets`` rows of one integer: safe to broadcast whatever the data
+        return self.read(name).join(F.broadcast(few), "case_bucket", "left_semi")
+
     def read_case(self, name: str, case_id: str) -> DataFrame:
         """Rows of one case; only its folder is opened."""
         bucket = self.spark.range(1).select(case_bucket(F.lit(case_id), self.buckets)).first()[0]
@@ -75,12 +86,11 @@ class EvidenceTables:
         Only the folders those keys fall into are rewritten. The new content is
         checkpointed first, because Spark cannot overwrite files it is reading.
         """
-        rows = cut_lineage(rows.select(*[c for c in rows.columns if c != "case_bucket"]))
+        rows = cut_lineage(self._shape(name, rows))
         current = self.read(name)
         if self._partitioning(name):
-            touched = rows.select(case_bucket("case_id", self.buckets).alias("case_bucket")).distinct()
-            current = current.join(touched, "case_bucket", "left_semi").drop("case_bucket")
-        merged = cut_lineage(replace_rows(current, rows.select(current.columns), key))
+            current = self.read_buckets(name, rows).drop("case_bucket")
+        merged = cut_lineage(replace_rows(current.select(rows.columns), rows, key))
         self._write(name, merged, "overwrite")
 
     def delete_cases(self, doomed: DataFrame, names: Sequence[str] = tuple(TABLES)) -> None:
@@ -90,7 +100,7 @@ class EvidenceTables:
         for name in names:
             if not self._partitioning(name) or not self._exists(name):
                 continue
-            current = self.read(name).join(buckets, "case_bucket", "left_semi")
+            current = self.read_buckets(name, keys)
             kept = cut_lineage(current.join(keys, "case_id", "left_anti"))
             # an emptied folder would survive a dynamic overwrite: mark it with no rows
             self._clear_then_write(name, buckets, kept.drop("case_bucket"))

@@ -28,29 +28,33 @@ def intake_stream(spark: SparkSession, root: str, max_files: int = 1000) -> Data
 def register_batch(tables: EvidenceTables, case_of: Callable[[DataFrame], Column]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer that registers a batch of files.
 
-    Registration is keyed by (case, path): replaying a batch after a failure finds its
-    files already registered and adds nothing.
+    Registration is keyed by (case, path), and history and change events are added only
+    where they are missing, so replaying a batch after a failure at any point completes
+    it and adds nothing twice. Every write is an append; the look-ups open only the
+    folders of the batch's cases.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         from vellumine.functions import files as fx
         from vellumine.session import cut_lineage
 
         scan = batch.withColumn("case_id", case_of(batch)).withColumnRenamed("path", "file_path").dropDuplicates(["case_id", "file_path"])
-        registry = tables.read("evidence_items").select("case_id", "file_path", "evidence_id", "sha256")
+        registry = tables.read_buckets("evidence_items", scan).select("case_id", "file_path", "evidence_id", "sha256")
         done = cut_lineage(records.register_or_reuse(
             scan, registry, [hash_order("file_path"), F.col("file_path")], hash_chunk("file_path")))
         now = F.current_timestamp()
-        fresh = done.where(~F.col("known")).select(
+        tables.append("evidence_items", done.where(~F.col("known")).select(
             "case_id", "evidence_id", fx.base_name(F.col("file_path")).alias("name"), F.col("file_path").alias("source"), "file_path",
             "sha256", "md5", "status", F.lit(True).alias("relevant"), now.alias("created_at"), now.alias("imported_at"),
-            F.upper("declared_ext").alias("file_type"), F.col("length").alias("file_size"), fx.mime_type(F.col("file_path")).alias("mime_type"))
-        # history first: should the job die in between, the replay still sees the files as new
-        tables.replace("processing_history", records.import_history(done), ["case_id", "evidence_id", "operation"])
-        changed = done.where(F.col("status") == "INTEGRITY CHANGED")
+            F.upper("declared_ext").alias("file_type"), F.col("length").alias("file_size"), fx.mime_type(F.col("file_path")).alias("mime_type")))
+        case, item = F.col("case_id"), F.col("evidence_id")
+        imported = records.history_rows(done, case, item, F.lit("Evidence imported"), [F.col("file_path"), F.col("sha256")])
+        seen = ["case_id", "evidence_id", "operation"]
+        tables.append("processing_history", imported.join(tables.read_buckets("processing_history", scan).select(seen), seen, "left_anti"))
         text = F.concat(F.lit("SHA-256 mismatch! Recorded: "), F.substring("recorded_sha256", 1, 12),
                         F.lit("..., Current: "), F.substring("sha256", 1, 12), F.lit("..."))
-        tables.append("case_events", records.audit_rows(changed, F.col("case_id"), F.col("evidence_id"), F.col("status"), text))
-        tables.append("evidence_items", fresh)
+        changes = records.audit_rows(done.where(F.col("status") == "INTEGRITY CHANGED"), case, item, F.col("status"), text)
+        told = ["case_id", "evidence_id", "event_type", "description"]
+        tables.append("case_events", changes.join(tables.read_buckets("case_events", scan).select(told), told, "left_anti"))
 
     return write
 
@@ -88,6 +92,9 @@ def audit_rate(events: DataFrame, at: str = "ts", kind: str = "event_type", wind
                watermark: str = "10 minutes") -> DataFrame:
     """Events per type and tumbling window. The watermark bounds the open windows of a
     stream and has no effect on a batch."""
+    kind_of_time = dict(events.dtypes)[at]
+    if events.isStreaming:  # watermarks need an instant
+        events = events.withColumn(at, F.col(at).cast("timestamp"))
     w = F.window(F.col(at), window)
     return (events.withWatermark(at, watermark).groupBy(w.alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), kind, "n"))
+            .select(F.col("w.start").cast(kind_of_time).alias("window_start"), kind, "n"))
