@@ -79,12 +79,12 @@ def test_zigzag_starts_along_the_first_diagonals():
 
 
 def test_xmp(scan):
-    packets = scan.select("evidence_id", md.xmp_packet(F.col("content")).alias("packet"))
+    packets = md.with_xmp_packet(scan).select("evidence_id", "packet")
     found = {r.evidence_id: r.packet for r in packets.collect()}
     assert found["doc.pdf"] == XMP and found["photo.jpg"] is None
     rows = {r.property: r.value for r in md.xmp_rows(packets).collect()}
     assert rows["1.0:CreatorTool"] == "Scan é" and rows["Description@about"] == "doc"
-    assert scan.select(md.xmp_packet(F.col("content"), window=20).alias("p")).where("p IS NOT NULL").count() == 0
+    assert md.with_xmp_packet(scan, window=20).where("packet IS NOT NULL").count() == 0
 
 
 def test_broken_packet_gives_no_rows(spark):

@@ -78,17 +78,16 @@ def filesystem_rows(df: DataFrame, path: str = "path", length: str = "length", m
 
 
 # --- XMP ---------------------------------------------------------------------
-def xmp_packet(content: Column, window: int | None = None) -> Column:
-    """The first XMP packet of a file, null when none.
+def with_xmp_packet(df: DataFrame, content: str = "content", out: str = "packet", window: int | None = None) -> DataFrame:
+    """Add the first XMP packet of each file, null when none.
 
     ``window`` limits the search to the leading bytes; by default the whole file is
-    searched.
+    searched. The pattern runs once per file, whatever is filtered on its result.
     """
-    raw = content if window is None else F.substring(content, 1, window)
-    body = fx.latin1(raw)
-    found = F.coalesce(F.nullif(F.regexp_extract(body, r"(?s)<x:xmpmeta.*?</x:xmpmeta>", 0), F.lit("")),
-                       F.nullif(F.regexp_extract(body, r"(?s)<xmpmeta.*?</xmpmeta>", 0), F.lit("")))
-    return F.make_valid_utf8(F.encode(found, "ISO-8859-1").cast("string"))
+    raw = f"`{content}`" if window is None else f"substring(`{content}`, 1, {int(window)})"
+    df = compute_once(df, {"_x": f"regexp_extract(decode({raw}, 'ISO-8859-1'), r'(?s)<x:xmpmeta.*?</x:xmpmeta>', 0)"})
+    df = compute_once(df, {"_x": f"CASE WHEN _x = '' THEN regexp_extract(decode({raw}, 'ISO-8859-1'), r'(?s)<xmpmeta.*?</xmpmeta>', 0) ELSE _x END"})
+    return compute_once(df, {out: "CASE WHEN _x <> '' THEN make_valid_utf8(CAST(encode(_x, 'ISO-8859-1') AS STRING)) END"}, drop=("_x",))
 
 
 # Namespaces whose properties keep a prefix.
@@ -496,8 +495,8 @@ def examine(files: DataFrame) -> DataFrame:
     from vellumine.operators.integrity import digests
 
     seen = digests(signature(files))
-    return seen.withColumns({"packet": xmp_packet(F.col("content")), "security_flags": active_content(F.col("content")),
-                             "is_pdf": F.col("detected_format") == "PDF"})
+    return with_xmp_packet(seen).withColumns({
+        "security_flags": active_content(F.col("content")), "is_pdf": F.col("detected_format") == "PDF"})
 
 
 def supported_formats() -> Column:

@@ -70,11 +70,14 @@ def to_bands(raster: DataFrame, lines: int = 512, halo: int = 8) -> DataFrame:
 def positions(raster: DataFrame) -> DataFrame:
     """One row per sample a band owns: image_id, y, x, k (channel index), ch, v.
 
-    ``px`` and the geometry stay available for neighbour reads; select them away.
+    ``px`` and the geometry stay available for neighbour reads; select them away. The
+    outer generator keeps the optimizer from deriving a not-empty filter on ``px`` and
+    pushing its whole computation below the scan; the line filter drops the null row of
+    an empty image.
     """
     r = with_band(raster)
     flat = r.select("image_id", "height", "width", "channels", "y_first", "own_from", "own_to", "px",
-                    F.size("channels").alias("nc"), F.posexplode("px").alias("i", "v"))
+                    F.size("channels").alias("nc"), F.posexplode_outer("px").alias("i", "v"))
     out = flat.selectExpr(
         "image_id", "height", "width", "channels", "nc", "y_first", "own_from", "own_to", "px", "CAST(v AS INT) AS v",
         "CAST(i % nc AS INT) AS k", "CAST((i DIV nc) % width AS INT) AS x",
@@ -176,8 +179,8 @@ def histogram(px: DataFrame) -> DataFrame:
 def histogram_from(counts: DataFrame) -> DataFrame:
     per = counts.groupBy("image_id", "ch").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"), F.sum("n").alias("_total"))
-    filled = compute_once(per, {"_n": f"transform(sequence(0, {BINS - 1}), b -> coalesce(try_element_at(_m, b), 0L))"}, drop=("_m",))
-    out = filled.select("image_id", "ch", "_total", F.posexplode("_n").alias("bin", "n"))
+    bins = per.select("image_id", "ch", "_m", "_total", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
+    out = bins.select("image_id", "ch", "_total", "bin", F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0)).alias("n"))
     upto = W.partitionBy("image_id", "ch").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     share = F.sum("n").over(upto).cast("double") / F.col("_total").cast("double") * 100
     return out.select("image_id", "ch", "bin", "n", share.alias("cdf_pct"))
@@ -338,7 +341,7 @@ def separable(raster: DataFrame, taps: Sequence[float], border: str, anchor: int
     across = " + ".join(tap(i) for i in range(len(taps)))
     r = compute_once(r, {"_across": f"transform(sequence(0, size(px) - 1), i -> {across})"})
     flat = r.select("image_id", "height", "width", "channels", "nc", "y_first", "own_from", "own_to", "_across",
-                    F.posexplode("px").alias("i", "v"))
+                    F.posexplode_outer("px").alias("i", "v"))
     p = flat.selectExpr(
         "image_id", "height", "width", "channels", "nc", "y_first", "own_from", "own_to", "_across", "CAST(v AS INT) AS v",
         "CAST(i % nc AS INT) AS k", "CAST((i DIV nc) % width AS INT) AS x", "CAST(y_first + i DIV (nc * width) AS INT) AS y"
@@ -462,9 +465,9 @@ def error_level(original: DataFrame, resaved: DataFrame, scale: float = 10.0) ->
     other = resaved.select("image_id", F.col("px").alias("_px2"))
     both = with_band(original).join(other, "image_id")
     flat = both.select("image_id", "height", "width", "channels", F.size("channels").alias("nc"), "_px2",
-                       F.posexplode("px").alias("i", "v"))
+                       F.posexplode_outer("px").alias("i", "v"))
     diff = f"least(255D, abs(CAST(v AS DOUBLE) - CAST(get(_px2, i) AS DOUBLE)) * {float(scale)!r}D)"
-    return flat.selectExpr("image_id", "CAST(i DIV (nc * width) AS INT) AS y", "CAST((i DIV nc) % width AS INT) AS x",
+    return flat.where("i IS NOT NULL").selectExpr("image_id", "CAST(i DIV (nc * width) AS INT) AS y", "CAST((i DIV nc) % width AS INT) AS x",
                            "get(channels, CAST(i % nc AS INT)) AS ch", f"CAST({diff} AS INT) AS v")
 
 

@@ -333,25 +333,40 @@ def train_profiles(labelled: DataFrame, language: str = "lang", text: str = "tex
         "language", "gram", (F.log(F.col("n") / F.col("total")) - floor).alias("gain"), floor.alias("floor"))
 
 
-def score_profiles(df: DataFrame, key: str, profiles: DataFrame, text: str = "text", n: int = 3) -> DataFrame:
+PROFILE_LANGUAGES = 256
+BROADCAST_GRAMS = 1_000_000
+
+
+def score_profiles(df: DataFrame, key: str, profiles: DataFrame, text: str = "text", n: int = 3,
+                   broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Most likely language per page: (key, stat_language, stat_probability).
 
-    Grams are counted per page first. The profile join is left to the optimizer: a
-    broadcast while the profiles fit, a shuffled (and, for frequent grams, skew-split)
-    join beyond that.
+    The profiles are a finished table (train, write or checkpoint, then score). They are
+    turned to one row per gram with a column per language. Up to ``broadcast_grams``
+    rows they are broadcast and every page is summed in the task that reads it: only one
+    row per page is shuffled. Larger profiles take a shuffled join of per-page gram
+    counts, whose frequent grams the optimizer splits.
     """
-    grams = gram_counts(df, [key], text, n)
-    totals = grams.groupBy(key).agg(F.sum("n").alias("n_grams"))
-    floors = profiles.groupBy("language").agg(F.first("floor").alias("floor"))
-    gains = grams.join(profiles.select("language", "gram", "gain"), "gram").groupBy(key, "language").agg(
-        F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    scored = gains.join(totals, key).join(floors, "language").withColumn(
-        "score", F.col("gain") + F.col("floor") * F.col("n_grams"))
-    best = scored.groupBy(key).agg(
-        F.max_by("language", F.struct("score", "language")).alias("stat_language"), F.max("score").alias("_top"))
-    rest = scored.join(best, key).groupBy(key, "stat_language").agg(
-        (F.lit(1.0) / F.sum(F.exp(F.col("score") - F.col("_top")))).alias("stat_probability"))
-    return rest
+    floors = {r["language"]: r["floor"] for r in
+              profiles.groupBy("language").agg(F.first("floor").alias("floor")).limit(PROFILE_LANGUAGES + 1).collect()}
+    if len(floors) > PROFILE_LANGUAGES:
+        raise ValueError(f"more than {PROFILE_LANGUAGES} languages in one set of profiles")
+    languages = sorted(floors)
+    table = profiles.groupBy("gram").pivot("language", languages).agg(F.first("gain")).na.fill(0.0)
+    table = table.select("gram", *[F.col(f"`{x}`").alias(f"_g{i}") for i, x in enumerate(languages)])
+    small = table.limit(broadcast_grams + 1).count() <= broadcast_grams
+    if small:
+        grams = df.select(key, F.explode(char_grams(F.col(text), n)).alias("gram"), F.lit(1).alias("n"))
+        table = F.broadcast(table)
+    else:
+        grams = gram_counts(df, [key], text, n)
+    sums = grams.join(table, "gram", "left").groupBy(key).agg(
+        F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.col(f"_g{i}")).alias(f"_s{i}") for i in range(len(languages))])
+    scores = ", ".join(f"named_struct('score', coalesce(_s{i}, 0D) + _n * ({floors[x]!r}D), 'language', '{x}')" for i, x in enumerate(languages))
+    scored = compute_once(sums, {"_a": f"array({scores})"})
+    return scored.select(
+        key, F.expr("array_max(_a).language").alias("stat_language"),
+        F.expr("1D / aggregate(_a, 0D, (acc, s) -> acc + exp(s.score - array_max(_a).score))").alias("stat_probability"))
 
 
 # --- language capability -----------------------------------------------------

@@ -149,7 +149,7 @@ def xmp_carriers(spark, d):
 
 @query("m04_xmp_packet", f"SELECT doc_id, {PACKET_SQL} AS packet FROM documents")
 def m04(spark, d):
-    return xmp_carriers(spark, d).select("doc_id", md.xmp_packet(F.col("content")).alias("packet"))
+    return md.with_xmp_packet(xmp_carriers(spark, d)).select("doc_id", "packet")
 
 
 @query("m05_xmp_rows", """
@@ -157,8 +157,7 @@ SELECT doc_id::VARCHAR AS evidence_id, 'elements:language' AS property, lang AS
 UNION ALL SELECT doc_id::VARCHAR, '1.1:language', lang FROM documents UNION ALL SELECT doc_id::VARCHAR, '1.1:title', 'Ünit ' || doc_id FROM documents
 UNION ALL SELECT doc_id::VARCHAR, 'CreatorTool', 'Tool ' || n_chars FROM documents UNION ALL SELECT doc_id::VARCHAR, 'rdf@about', doc_id::VARCHAR FROM documents""")
 def m05(spark, d):
-    packets = xmp_carriers(spark, d).select("evidence_id", md.xmp_packet(F.col("content")).alias("packet"))
-    return md.xmp_rows(packets).select("evidence_id", "property", "value")
+    return md.xmp_rows(md.with_xmp_packet(xmp_carriers(spark, d))).select("evidence_id", "property", "value")
 
 
 @query("m06_flatten_json", """

@@ -13,6 +13,7 @@ from vellumine.functions import text as tx
 from vellumine.functions.bands import confidence_level
 from vellumine.operators import text_id as ti
 from vellumine.plans.registry import query, table
+from vellumine.session import cut_lineage
 from vellumine.sources.files import spread
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -270,7 +271,8 @@ sc AS (SELECT dg.doc_id, p.language, sum(dg.n * p.gain) + any_value(p.floor) * a
 SELECT doc_id, arg_max(language, (score, language)) AS stat_language FROM sc GROUP BY 1""")
 def t15_score(spark, d):
     docs = documents(spark, d)
-    return ti.score_profiles(docs, "doc_id", ti.train_profiles(docs)).select("doc_id", "stat_language")
+    profiles = cut_lineage(ti.train_profiles(docs))  # a trained model is a finished table
+    return ti.score_profiles(docs, "doc_id", profiles).select("doc_id", "stat_language")
 
 
 @query("t16_support_matrix", """
