@@ -144,7 +144,7 @@ def apply_patch(base: DataFrame, patch: DataFrame, key: Sequence[str], allowed:
                 touched: str | None = "modified_at", now: Column | None = None) -> DataFrame:
     """Update allow-listed columns from a patch table (null = leave).
 
-    Columns of the patch outside ``allowed`` are ignored. Setting one of the mirrored
+    The patch holds one row per key; reduce several with ``latest_by`` first. Columns of the patch outside ``allowed`` are ignored. Setting one of the mirrored
     columns sets both. ``touched`` is refreshed on rows where anything was set.
     """
     now = F.current_timestamp() if now is None else now

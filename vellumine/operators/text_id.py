@@ -177,14 +177,14 @@ def split_languages(df: DataFrame, lex: Lexicon, bonus: Mapping[str, str], defau
         + (f" + CASE WHEN {bonus[language]} THEN 20 ELSE 0 END" if language in bonus else "")
         + f"), 'pos', {i}, 'language', '{language}')" for i, (language, v) in enumerate(lex.items()))
     df = compute_once(df, {"_split": f"sort_array(array({items}))"}, drop=("_m",))
-    df = compute_once(df, {"_total": "-aggregate(_split, 0, (acc, s) -> acc + s.neg)"})
-    share = "rint(least(99D, CAST(-get(_split, 0).neg AS DOUBLE) / CAST(_total AS DOUBLE) * 100D) * 10D) / 10D"
+    total = "(-aggregate(_split, 0, (acc, s) -> acc + s.neg))"  # two or three terms: cheaper than a step
+    share = f"rint(least(99D, CAST(-get(_split, 0).neg AS DOUBLE) / CAST({total} AS DOUBLE) * 100D) * 10D) / 10D"
     alternative = ("named_struct('language', s.language, 'confidence', "
-                   "rint(CAST(-s.neg AS DOUBLE) / CAST(_total AS DOUBLE) * 100D * 10D) / 10D, 'method', 'Word marker analysis')")
+                   f"rint(CAST(-s.neg AS DOUBLE) / CAST({total} AS DOUBLE) * 100D * 10D) / 10D, 'method', 'Word marker analysis')")
     return compute_once(df, {out: (
-        f"named_struct('language', CASE WHEN _total > 0 THEN get(_split, 0).language ELSE '{next(iter(lex))}' END, "
-        f"'confidence', CASE WHEN _total > 0 THEN {share} ELSE {default}D END, 'alternatives', "
-        f"transform(filter(slice(_split, 2, {len(lex)}), s -> s.neg < 0), s -> {alternative}))")}, drop=("_split", "_total"))
+        f"named_struct('language', CASE WHEN {total} > 0 THEN get(_split, 0).language ELSE '{next(iter(lex))}' END, "
+        f"'confidence', CASE WHEN {total} > 0 THEN {share} ELSE {default}D END, 'alternatives', "
+        f"transform(filter(slice(_split, 2, {len(lex)}), s -> s.neg < 0), s -> {alternative}))")}, drop=("_split",))
 
 
 def letter_share(text: str, letters: str, script_class: str) -> str:
