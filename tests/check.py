@@ -79,7 +79,8 @@ def main(argv):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+        "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": os.environ.get("CHECK_TZ", "UTC")})
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     qs, sqls = entry.queries(), entry.oracle_sql()
