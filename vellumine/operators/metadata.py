@@ -13,7 +13,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vellumine.functions import files as fx, fixed, text as tx, times
 from vellumine.functions.bands import string_array
@@ -192,27 +192,46 @@ def _png_segments(data: bytes) -> Iterator[tuple[str, int, bytes]]:
         at += 12 + size
 
 
-def container_segments(files: DataFrame, key: str = "evidence_id", content: str = "content") -> DataFrame:
-    """JPEG markers and PNG chunks: (evidence_id, container, segment_no, kind, length, payload).
+def _numbered_segments(data: bytes) -> list[dict]:
+    """Segments of one JPEG or PNG file; a table row keeps its segment's number."""
+    jpeg = data.startswith(b"\xff\xd8")
+    out, n = [], -1
+    for kind, size, payload in _jpeg_segments(data) if jpeg else _png_segments(data):
+        n += kind != "DQT.table"
+        out.append({"container": "JPEG" if jpeg else "PNG", "segment_no": n, "kind": kind, "length": size, "payload": payload})
+    return out
+
+
+_SEGMENTS = T.ArrayType(T.StructType([
+    T.StructField("container", T.StringType()), T.StructField("segment_no", T.IntegerType()), T.StructField("kind", T.StringType()),
+    T.StructField("length", T.IntegerType()), T.StructField("payload", T.BinaryType())]))
+
 
-    Each file is walked once where it was read; pixel data is not copied out. Rows
-    ``DQT.table`` repeat the quantiser tables of a DQT segment one by one.
+@F.pandas_udf(_SEGMENTS)
+def _segments(content: pd.Series) -> pd.Series:
+    return content.map(lambda data: None if data is None else _numbered_segments(bytes(data)))
+
+
+def segment_array(content: Column) -> Column:
+    """Segments of a file as an array, for use inside a larger projection.
+
+    Only JPEG and PNG files cross to Python; pixel data does not come back.
     """
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, data in zip(batch["evidence_id"], batch["content"]):
-                data = bytes(data)
-                jpeg = data.startswith(b"\xff\xd8")
-                n = -1
-                for kind, size, payload in _jpeg_segments(data) if jpeg else _png_segments(data):
-                    n += kind != "DQT.table"  # a table row keeps its segment's number
-                    out.append((k, "JPEG" if jpeg else "PNG", n, kind, size, payload))
-            yield pd.DataFrame(out, columns=["evidence_id", "container", "segment_no", "kind", "length", "payload"])
+    return _segments(F.when(fx.container_type(content).isin("JPEG", "PNG"), content))
 
-    head = fx.container_type(F.col(content))
-    wanted = files.where(head.isin("JPEG", "PNG")).select(F.col(key).cast("string").alias("evidence_id"), F.col(content).alias("content"))
-    return wanted.mapInPandas(walk, "evidence_id string, container string, segment_no int, kind string, length int, payload binary")
+
+def segment_relation(df: DataFrame, segments: str = "segments", key: str = "evidence_id") -> DataFrame:
+    """Segment rows (evidence_id, container, segment_no, kind, length, payload) of an array column."""
+    return df.select(F.col(key).cast("string").alias("evidence_id"), F.inline_outer(segments)).where("kind IS NOT NULL")
+
+
+def container_segments(files: DataFrame, key: str = "evidence_id", content: str = "content") -> DataFrame:
+    """JPEG markers and PNG chunks of scanned files, one row each.
+
+    Each file is walked once where it was read. Rows ``DQT.table`` repeat the quantiser
+    tables of a DQT segment one by one.
+    """
+    return segment_relation(files.select(F.col(key), segment_array(F.col(content)).alias("segments")), "segments", key)
 
 
 def marker_summary(segments: DataFrame, shown: int = 12) -> DataFrame:
@@ -234,33 +253,38 @@ def _split_zero(payload: Column, part: int, charset: str) -> Column:
 
 
 def segment_rows(segments: DataFrame) -> DataFrame:
-    """Comments, text entries and header facts of the segments as property rows."""
-    kind, body = F.col("kind"), F.col("payload")
+    """Comments, text entries and header facts of the segments as property rows.
+
+    One pass: each segment row yields the properties its kind has.
+    """
+    kind, body, size = F.col("kind"), F.col("payload"), F.col("length")
     number = lambda at, n: F.conv(F.hex(F.substring(body, at, n)), 16, 10)
     colour = F.create_map(*[x for k, v in fixed.PNG_COLOUR_TYPES.items() for x in (F.lit(k), F.lit(v))])
     ctype = number(10, 1).cast("int")
-    comments = segments.where(kind == "COM").select(
-        "evidence_id", F.lit("JPEG Comment").alias("property"), tx.strip(F.make_valid_utf8(body.cast("string"))).alias("value"), F.lit("JPEG COM").alias("source"))
-    texts = segments.where(kind.isin("tEXt", "iTXt") & F.decode(body, "ISO-8859-1").contains("\x00")).select(
-        "evidence_id", _split_zero(body, 1, "ISO-8859-1").alias("property"),
-        F.when(kind == "tEXt", _split_zero(body, 2, "ISO-8859-1"))
-        .otherwise(F.make_valid_utf8(F.encode(F.regexp_extract(F.decode(body, "ISO-8859-1"), r"(?s)^[^\x00]*\x00..[^\x00]*\x00[^\x00]*\x00(.*)$", 1), "ISO-8859-1").cast("string"))).alias("value"),
-        F.concat(F.lit("PNG "), kind).alias("source"))
-    heads = segments.where((kind == "IHDR") & (F.col("length") >= 13))
-    facts = _rows(heads, [
-        ("Dimensions", F.concat(number(1, 4), F.lit(" × "), number(5, 4), F.lit(" px")), "PNG IHDR"),
-        ("Bit Depth", F.concat(number(9, 1), F.lit("-bit")), "PNG IHDR"),
-        ("Color Type", F.coalesce(F.try_element_at(colour, ctype), F.concat(F.lit("Type "), ctype)), "PNG IHDR")])
-    density = _rows(segments.where((kind == "pHYs") & (F.col("length") >= 9)), [
-        ("Physical Pixel Dimensions", F.concat(number(1, 4), F.lit(" × "), number(5, 4), F.lit(" per "),
-                                               F.when(number(9, 1) == "1", "meters").otherwise("unknown unit")), "PNG pHYs")])
-    app = segments.where(kind.isin("APP0", "APP14"))
-    jfif = F.decode(F.substring(body, 1, 5), "ISO-8859-1")
-    encoding = _rows(app, [
-        ("Encoding Characteristic", F.when((kind == "APP0") & (F.substring(jfif, 1, 4) == "JFIF"),
-         F.concat(F.lit("JFIF Version "), number(6, 1), F.lit("."), F.lpad(number(7, 1), 2, "0")))
-         .when((kind == "APP14") & (jfif == "Adobe"), "Adobe APP14 Marker Present"), "JPEG APP Marker")])
-    return comments.unionByName(texts).unionByName(facts).unionByName(density).unionByName(encoding)
+    head, density = (kind == "IHDR") & (size >= 13), (kind == "pHYs") & (size >= 9)
+    international = F.regexp_extract(F.decode(body, "ISO-8859-1"), r"(?s)^[^\x00]*\x00..[^\x00]*\x00[^\x00]*\x00(.*)$", 1)
+    marker = F.decode(F.substring(body, 1, 5), "ISO-8859-1")
+    zero_split = kind.isin("tEXt", "iTXt") & F.decode(body, "ISO-8859-1").contains("\x00")
+
+    def row(prop: Column | str, when: Column, value: Column, source: Column | str) -> Column:
+        text = lambda v: F.lit(v) if isinstance(v, str) else v
+        return F.struct(text(prop).alias("property"), F.when(when, value).alias("value"), text(source).alias("source"))
+
+    items = F.array(
+        row("JPEG Comment", kind == "COM", tx.strip(F.make_valid_utf8(body.cast("string"))), "JPEG COM"),
+        row(F.when(zero_split, _split_zero(body, 1, "ISO-8859-1")), zero_split,
+            F.when(kind == "tEXt", _split_zero(body, 2, "ISO-8859-1"))
+            .otherwise(F.make_valid_utf8(F.encode(international, "ISO-8859-1").cast("string"))), F.concat(F.lit("PNG "), kind)),
+        row("Dimensions", head, F.concat(number(1, 4), F.lit(" × "), number(5, 4), F.lit(" px")), "PNG IHDR"),
+        row("Bit Depth", head, F.concat(number(9, 1), F.lit("-bit")), "PNG IHDR"),
+        row("Color Type", head, F.coalesce(F.try_element_at(colour, ctype), F.concat(F.lit("Type "), ctype)), "PNG IHDR"),
+        row("Physical Pixel Dimensions", density, F.concat(
+            number(1, 4), F.lit(" × "), number(5, 4), F.lit(" per "), F.when(number(9, 1) == "1", "meters").otherwise("unknown unit")), "PNG pHYs"),
+        row("Encoding Characteristic", (kind == "APP0") & marker.startswith("JFIF"),
+            F.concat(F.lit("JFIF Version "), number(6, 1), F.lit("."), F.lpad(number(7, 1), 2, "0")), "JPEG APP Marker"),
+        row("Encoding Characteristic", (kind == "APP14") & (marker == "Adobe"), F.lit("Adobe APP14 Marker Present"), "JPEG APP Marker"),
+    )
+    return segments.select("evidence_id", F.inline(items)).where("value IS NOT NULL")
 
 
 def zigzag_order() -> list[int]:

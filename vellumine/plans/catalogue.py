@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import q_evidence, q_raster, q_records, q_runs, q_text  # noqa: F401
+from vellumine.plans import q_evidence, q_flows, q_raster, q_records, q_runs, q_text  # noqa: F401
 from vellumine.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 

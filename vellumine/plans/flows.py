@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellumine.functions.numbering import hash_chunk, hash_order
 from vellumine.operators import integrity, metadata, raster, records, runs, text_id
+from vellumine.session import cut_lineage
 
 
 def import_documents(files: DataFrame, registry: DataFrame, case_id: Column, generated_case: Column) -> DataFrame:
@@ -34,7 +35,9 @@ def recognise_documents(page_runs: DataFrame, doc: str, page: str) -> DataFrame:
     """
     best = runs.best_run(page_runs, [doc, page], runs.candidate_score(F.col("confidence"), F.col("text")))
     named = identify_pages(best.withColumnRenamed("confidence", "ocr_confidence"))
-    valid = runs.validate_pages(named)
+    # the page results feed three groupings: finish them once instead of three times
+    valid = cut_lineage(runs.validate_pages(named).select(
+        doc, page, "text", "script", "language", "language_confidence"))
     text = runs.assemble_documents(valid, [doc], page)
     vote = runs.language_vote(valid, [doc], page)
     script = runs.script_vote(valid, [doc], page)
@@ -42,18 +45,23 @@ def recognise_documents(page_runs: DataFrame, doc: str, page: str) -> DataFrame:
 
 
 def examine_metadata(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(property rows, one facts row with flags per file) of a binary scan."""
+    """(property rows, one facts row with flags per file) of a binary scan.
+
+    The content is read once: digests, signature, packet, active content and container
+    segments are kept in a checkpoint without it, and everything else comes from there.
+    """
     named = files.withColumn("evidence_id", F.col("path"))
-    seen = metadata.examine(named)
-    segments = metadata.container_segments(named)
+    examined = metadata.examine(named).withColumn("segments", metadata.segment_array(F.col("content")))
+    seen = cut_lineage(examined.drop("content"))
+    segments = metadata.segment_relation(seen)
     props = (
-        metadata.filesystem_rows(named)
+        metadata.filesystem_rows(seen)
         .unionByName(metadata.byte_order_rows(seen))
         .unionByName(metadata.xmp_rows(seen).drop("n"))
         .unionByName(metadata.segment_rows(segments))
     )
     software = metadata.software_indicators(props)
-    facts = seen.drop("content").join(software, "evidence_id", "left").withColumns({
+    facts = seen.drop("segments").join(software, "evidence_id", "left").withColumns({
         "exif_width": F.lit(None).cast("int"), "exif_height": F.lit(None).cast("int"),
         "decoded_width": F.lit(None).cast("int"), "decoded_height": F.lit(None).cast("int"),
         "exif_present": F.lit(False), "gps_present": F.lit(False), "has_thumbnail": F.lit(False),

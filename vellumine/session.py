@@ -26,6 +26,8 @@ def build_session(app: str = "vellumine", master: str | None = None, **conf: str
         # read batches short so a task holds a few images, not thousands
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
         "spark.sql.files.maxPartitionBytes": "128m",
+        # checkpoint files go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
