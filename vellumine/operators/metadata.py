@@ -238,11 +238,11 @@ def marker_summary(segments: DataFrame, shown: int = 12) -> DataFrame:
     """Marker count and the sequence of the first ``shown`` JPEG markers per file."""
     real = segments.where((F.col("container") == "JPEG") & (F.col("kind") != "DQT.table"))
     # number 0 is the opening marker, implied by the container and not counted
-    early = real.where(F.col("segment_no").between(1, shown)).groupBy("evidence_id").agg(
-        F.array_sort(F.collect_list(F.struct("segment_no", "kind"))).alias("_s"))
-    counts = real.groupBy("evidence_id").agg((F.count(F.lit(1)) - 1).alias("marker_count"),
-                                             F.count_if(F.col("kind") == "DQT").alias("dqt_segments"))
-    return counts.join(early, "evidence_id", "left").select(
+    early = F.when(F.col("segment_no").between(1, shown), F.struct("segment_no", "kind"))
+    counts = real.groupBy("evidence_id").agg(
+        (F.count(F.lit(1)) - 1).alias("marker_count"), F.count_if(F.col("kind") == "DQT").alias("dqt_segments"),
+        F.array_sort(F.collect_list(early)).alias("_s"))  # at most ``shown`` entries
+    return counts.select(
         "evidence_id", "marker_count", "dqt_segments",
         F.array_join(F.transform("_s", lambda s: s["kind"]), " → ").alias("marker_sequence"))
 

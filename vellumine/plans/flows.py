@@ -76,8 +76,8 @@ def histogram_examination(images: DataFrame) -> dict[str, DataFrame]:
     image and channel.
     """
     colour = images.where(F.size("channels") > 1)  # a gray image's plane is its gray already
-    counts = raster.bin_counts(raster.colour_only(raster.pixels(colour)).unionByName(
-        raster.gray_samples(images).select("image_id", "y", "x", "ch", "v")))
+    counts = cut_lineage(raster.bin_counts(raster.colour_only(raster.pixels(colour)).unionByName(
+        raster.gray_samples(images).select("image_id", "y", "x", "ch", "v"))))
     gray = raster.select_channel(counts)
     return {"histogram": raster.histogram_from(counts), "statistics": raster.statistics(gray), "channels": raster.statistics(counts),
             "clipping": raster.clipping(counts), "tonal": raster.tonal_split(gray),
