@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumine.functions import files as fx, fixed
+from vellumine.functions.once import compute_once
 from vellumine.operators import findings as fi, metadata as md, raster as ra, runs as rn, slots
 from vellumine.plans.q_raster import ALL_COLOUR, TILES_SQL, colour_counts, tiles
 from vellumine.plans.registry import query, table
@@ -108,8 +109,8 @@ MAGIC_SQL = "[" + ", ".join(f"'{m}'" for m, _ in MAGIC) + "][doc_id % 9 + 1]"
 
 def carriers(spark, d):
     """Documents behind the leading bytes of nine containers."""
-    return files(spark, d).selectExpr("doc_id", "CAST(doc_id AS STRING) AS evidence_id", "path",
-                                      f"concat({MAGIC_SPARK}, CAST(concat('|', text) AS BINARY)) AS content")
+    named = files(spark, d).selectExpr("doc_id", "CAST(doc_id AS STRING) AS evidence_id", "path", "text")
+    return compute_once(named, {"content": f"concat({MAGIC_SPARK}, CAST(concat('|', text) AS BINARY))"}, drop=("text",))
 
 
 CARRIER_SQL = f"""{FILES_SQL}, carried AS (SELECT doc_id, upper(ext) AS declared_ext, {FORMAT_SQL} AS detected_format,
@@ -144,7 +145,8 @@ PACKET_SQL = """'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf xmlns:dc="http://purl.
 
 def xmp_carriers(spark, d):
     docs = table(spark, d, "documents")
-    return sf.spread(docs.selectExpr("doc_id", "CAST(doc_id AS STRING) AS evidence_id", f"CAST(concat(text, {PACKET_SPARK}, text) AS BINARY) AS content"))
+    named = sf.spread(docs.selectExpr("doc_id", "CAST(doc_id AS STRING) AS evidence_id", "lang", "n_chars", "text"))
+    return compute_once(named, {"content": f"CAST(concat(text, {PACKET_SPARK}, text) AS BINARY)"}, drop=("text", "lang", "n_chars"))
 
 
 @query("m04_xmp_packet", f"SELECT doc_id, {PACKET_SQL} AS packet FROM documents")
@@ -182,7 +184,8 @@ PNG_SPARK = ("concat(unhex('89504E470D0A1A0A'), " + png_chunk("IHDR", "unhex(con
 
 
 def pngs(spark, d):
-    return table(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS evidence_id", f"{PNG_SPARK} AS content")
+    docs = sf.spread(table(spark, d, "documents")).withColumn("evidence_id", F.col("doc_id").cast("string"))
+    return compute_once(docs, {"content": PNG_SPARK}).select("evidence_id", "content")
 
 
 @query("m07_png_chunks", """
@@ -205,10 +208,10 @@ def jpegs(spark, d):
     zig = ", ".join(str(fixed.LUMINANCE_QUANTISER[i]) for i in md.zigzag_order())
     scaled = f"transform(array({zig}), q -> least(255, greatest(1, (q * (10 + label * 15) + 50) DIV 100)))"
     body = f"array_join(transform({scaled}, v -> lpad(hex(v), 2, '0')), '')"
-    return tiles(spark, d).selectExpr(
-        "CAST(image_id AS STRING) AS evidence_id", "label",
+    named = tiles(spark, d).selectExpr("image_id", "CAST(image_id AS STRING) AS evidence_id", "label")
+    return compute_once(named, {"content": (
         f"""concat(unhex('FFD8FFE000104A46494600010200000100010000'), unhex('FFFE'), unhex(lpad(hex(length(CAST(image_id AS STRING)) + 8), 4, '0')),
-          CAST(concat('note ', image_id, ' ') AS BINARY), unhex(concat('FFDB004300', {body})), unhex('FFC0000408080808'), unhex('FFD9')) AS content""")
+          CAST(concat('note ', image_id, ' ') AS BINARY), unhex(concat('FFDB004300', {body})), unhex('FFC0000408080808'), unhex('FFD9'))""")}, drop=("image_id",))
 
 
 @query("m07_jpeg_markers", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as tx
+from vellumine.functions.once import compute_once
 from vellumine.plans import flows
 from vellumine.plans.q_evidence import PNG_SPARK
 from vellumine.plans.q_raster import ALL_COLOUR, STAT_SQL, colour_tiles
@@ -32,9 +33,11 @@ def l2(spark, d):
 SELECT doc_id::VARCHAR || CASE lang WHEN 'fr' THEN '.jpg' ELSE '.png' END AS path, 'PNG' AS detected_format,
   CASE lang WHEN 'fr' THEN 'FORMAT MISMATCH,NO METADATA' ELSE 'NO METADATA' END AS flags, CASE lang WHEN 'fr' THEN 1 ELSE 0 END AS n_inconsistencies FROM documents""")
 def l3(spark, d):
-    files = spread(table(spark, d, "documents").selectExpr(
-        "concat(doc_id, CASE lang WHEN 'fr' THEN '.jpg' ELSE '.png' END) AS path", f"{PNG_SPARK} AS content",
-        "CAST(n_chars AS BIGINT) AS length", "timestamp_seconds(1700000000 + doc_id) AS modificationTime"))
+    docs = spread(table(spark, d, "documents"))
+    files = compute_once(docs, {
+        "path": "concat(doc_id, CASE lang WHEN 'fr' THEN '.jpg' ELSE '.png' END)", "content": PNG_SPARK,
+        "length": "CAST(n_chars AS BIGINT)", "modificationTime": "timestamp_seconds(1700000000 + doc_id)"})
+    files = files.select("path", "content", "length", "modificationTime")
     _, facts = flows.examine_metadata(files)
     return facts.select("path", "detected_format", F.array_join("flags", ",").alias("flags"), F.size("inconsistencies").alias("n_inconsistencies"))
 
