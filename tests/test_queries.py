@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.check import compare, connect
+from vellumine.plans import catalogue
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES
 
 
 @pytest.fixture(scope="module")
