@@ -54,3 +54,10 @@ def op3_exact_dedup(spark, sf_dir):
     from vellumine.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark, sf_dir):
+    from vellumine.llm.ngram_join import ngram_groups
+
+    return ngram_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
