@@ -61,3 +61,11 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     from vellumine.llm.ngram_join import ngram_groups
 
     return ngram_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark, sf_dir):
+    from vellumine.llm.substring_dedup import repeated_windows
+
+    out = repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
