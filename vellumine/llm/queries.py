@@ -69,3 +69,20 @@ def op9_substring_dedup(spark, sf_dir):
 
     out = repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_embedding_near_dedup", """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.e, b.e) >= 0.98),
+n AS (SELECT u, count(*) AS k FROM links GROUP BY u),
+reach AS (WITH RECURSIVE r AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, l.v FROM r JOIN links l ON r.v = l.u) SELECT u, min(v) AS c FROM r GROUP BY u)
+SELECT v.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, c AS component_id, v.vec_id = c AS kept
+FROM v JOIN reach ON v.vec_id = reach.u LEFT JOIN n ON n.u = v.vec_id
+""")
+def op7_embedding_near_dedup(spark, sf_dir):
+    from vellumine.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
