@@ -86,3 +86,14 @@ def op7_embedding_near_dedup(spark, sf_dir):
     from vellumine.llm.embedding_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark, sf_dir):
+    from vellumine.llm.pieces import MODEL, Vocabulary, decode, encode
+
+    model = Vocabulary(MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = decode(encode(docs, model=model), model=model)
+    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids",
+                       F.col("decoded").eqNullSafe(F.translate("text", "▁", " ")).alias("round_trip"))
