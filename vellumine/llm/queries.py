@@ -97,3 +97,25 @@ def op1_sentencepiece(spark, sf_dir):
     both = decode(encode(docs, model=model), model=model)
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids",
                        F.col("decoded").eqNullSafe(F.translate("text", "▁", " ")).alias("round_trip"))
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows whose labels are never learned: crc32 of the id as text leaves 1 by 3."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
+
+
+def fitted_toxicity(spark, docs, sf_dir):
+    """The scorer learned from the labels that are not held out, over all of ``docs``."""
+    from vellumine.llm.toxicity import fit
+
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
+    return fit(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    from vellumine.llm.toxicity import THRESHOLD, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fitted_toxicity(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
