@@ -142,16 +142,37 @@ def set_digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the set over as many hash buckets as a power of two at its size or more.
+
+    Sets differ in at least as many elements as their parities differ in buckets.
+    """
+    buckets = 1 << max(3, int(len(grams) - 1).bit_length())
+    odd = np.bincount((grams >> W.U64(20)).astype(np.int64) & (buckets - 1), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the number of elements that only one of the two sets has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):  # halving the buckets adds parities
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def described(n: int):
-    """Rows (id, size, digest) of the sets; the digest of an empty set is null."""
+    """Rows (id, size, digest, sketch) of the sets; digest and sketch of an empty set are null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, sketches = [], [], []
             for _, words, _ in W.documents(batch.column(1), lower=True):
                 grams = ngram_set(words, n)
                 sizes.append(len(grams))
                 digests.append(set_digest(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["id", "size", "digest"])
+                sketches.append(sketch(grams) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["id", "size", "digest", "sketch"])
     return run
 
 
@@ -227,11 +248,23 @@ def compared(n: int):
     return run
 
 
-def similar(pairs: DataFrame, bodies: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) that are similar, as edges (u, v)."""
-    of = lambda c: bodies.select(F.col("id").alias(c), F.col("body").alias(f"body_{c}"))
-    whole = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", "body_a", "body_b")
-    return stored(whole.mapInArrow(compared(n), "u long, v long"), "links")
+def close_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sketches do not rule out that the sets are similar."""
+    for batch in batches:
+        _, _, size_a, size_b, one, other = (c.to_pylist() for c in batch.columns)
+        keep = [i for i, (m, n, x, y) in enumerate(zip(size_a, size_b, one, other, strict=True)) if least_difference(x, y) <= m + n - 2 * shared_at_least(m, n)]
+        rows = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"])
+
+
+def similar(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) that are similar, as edges (u, v): by sketches, then by whole sets."""
+    def beside(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+        of = lambda c: right.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]).hint("merge")
+        return left.join(of("a"), "a").join(of("b"), "b").select("a", "b", *[f"{x}_{c}" for x in columns for c in "ab"])
+
+    near = stored(beside(pairs, sketches, "size", "sketch").mapInArrow(close_enough, "a long, b long"), "near").distinct()
+    return stored(beside(near, bodies, "body").mapInArrow(compared(n), "u long, v long"), "links")
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -246,7 +279,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    light = stored(texts.mapInArrow(described(n), "id long, size long, digest binary"), "sets")
+    light = stored(texts.mapInArrow(described(n), "id long, size long, digest binary, sketch binary"), "sets")
     heavy, ranks, length = frequent_ngrams(texts.select("text"), n)
     histogram = {r["size"]: r["k"] for r in light.where("size > 0").groupBy(F.least("size", F.lit(4 * LARGEST_BOUNDARY)).alias("size")).agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(histogram, length)
@@ -267,6 +300,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     wanted = lists.select(F.col("node").alias("id")).distinct()
     bodies = stored(texts.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(packed, "id long, body binary").join(wanted.hint("merge"), "id").distinct(), "bodies")
+    sketches = stored(light.where("digest IS NOT NULL").select("id", "size", "sketch").join(wanted.hint("merge"), "id").distinct(), "sketches")
     near = F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM
     links = spark.createDataFrame([], "u long, v long")
     open_lists = lists.withColumn("component", F.col("node"))
@@ -276,7 +310,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hubs = stored(hubs, "hubs")
         pairs = open_lists.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), "component").join(hubs.hint("merge"), "key")
         pairs = pairs.where((F.col("component") != F.col("c")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(similar(stored(pairs, "pairs"), bodies, n))
+        links = links.unionByName(similar(stored(pairs, "pairs"), sketches, bodies, n))
         groups = components(links).select("node", "component")
         joined = lists.join(groups.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
         mixed = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
@@ -289,7 +323,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = tagged.where("component <> major").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("c"))
     rest = apart.join(tagged.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), "component").hint("merge"), "key")
     rest = rest.where((F.col("c") != F.col("component")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(similar(stored(rest, "pairs"), bodies, n))
+    links = links.unionByName(similar(stored(rest, "pairs"), sketches, bodies, n))
     groups = components(links).select("node", "component")
     ids = named.join(groups.hint("merge"), "node", "left").select("id", F.coalesce("component", "node").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     out = light.select("id", "size").join(stored(ids, "ids").hint("merge"), "id", "left")

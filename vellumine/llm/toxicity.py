@@ -28,7 +28,7 @@ from vellumine.llm.common import free_names, stored
 
 FIT_ROWS = 8_192
 THRESHOLD = 0.7
-SURE = 20.0  # likelihood ratio (G squared) a feature must reach
+SURE = 16.0  # likelihood ratio (G squared) a feature must reach
 MOST_FEATURES = 50_000
 PREFIXES = (4, 5, 6, 7)
 
