@@ -119,3 +119,10 @@ def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fitted_toxicity(spark, docs, sf_dir))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op10_page_text")
+def op10_page_text(spark, sf_dir):
+    from vellumine.llm.page_text import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
