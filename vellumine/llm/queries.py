@@ -126,3 +126,19 @@ def op10_page_text(spark, sf_dir):
     from vellumine.llm.page_text import page_texts
 
     return page_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark, sf_dir):
+    from vellumine.llm.secret_scan import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark, sf_dir):
+    from vellumine.llm.personal_data import scan_personal
+
+    found = scan_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_found")
