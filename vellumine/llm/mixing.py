@@ -61,12 +61,13 @@ def source_targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES,
     order = Window.orderBy(F.col("skey") == "", "skey")
     s = sizes.withColumn("kind", F.pmod(F.row_number().over(order) - 1, F.lit(len(schedules))))
     s = s.withColumn("w", F.element_at(weights, F.col("kind") + 1)).withColumn("limit", F.lit(float(most)) * F.col("total"))
-    before = Window.orderBy(F.col("limit") / F.col("w"), "skey").rowsBetween(Window.unboundedPreceding, -1)
+    by_need = Window.orderBy(F.col("limit") / F.col("w"), "skey")
+    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     level = (F.sum("total").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (
         F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", level)
-    s = s.withColumn("level", F.min(F.when(F.col("limit") >= F.col("level") * F.col("w"), F.col("level"))).over(everything))
+    s = s.withColumn("level", level).withColumn("place", F.row_number().over(by_need))
+    s = s.withColumn("level", F.min_by("level", F.when(F.col("limit") >= F.col("level") * F.col("w"), F.col("place"))).over(everything))
     return s.select("skey", "kind", F.coalesce(F.least("limit", F.col("level") * F.col("w")), F.lit(0.0)).alias("target"))
 
 

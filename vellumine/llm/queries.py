@@ -30,9 +30,9 @@ WITH d AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS okey,
 s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
 k AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT AS kind FROM s),
 w AS (SELECT *, [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS w, 3.0::DOUBLE * total AS lim FROM k),
-l AS (SELECT *, (sum(total) OVER () - coalesce(sum(lim) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+l AS (SELECT *, (sum(total) OVER () - coalesce(sum(lim) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER (ORDER BY lim / w, source NULLS FIRST) AS place
   FROM w WINDOW b AS (ORDER BY lim / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, total, coalesce(least(lim, w * min(CASE WHEN lim >= level * w THEN level END) OVER ()), 0)::DOUBLE AS target FROM l),
+t AS (SELECT source, total, coalesce(least(lim, w * arg_min(level, place) FILTER (lim >= level * w) OVER ()), 0)::DOUBLE AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.total, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.okey, d.size
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, total AS source_size, target, (size * ((before + size / 2 < target AND size > 0)::INT
