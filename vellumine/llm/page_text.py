@@ -71,7 +71,10 @@ class Page:
         self.tag, self.parent, self.mute, self.inside = ["#"], [-1], [False], [False]
         self.parts: list[tuple[int, str]] = []  # (element, characters)
         stack, at, lowered = [0], 0, None
-        for m in TOKEN.finditer(text):
+        end = text.rfind(">") + 1  # after it no tag ends: an open one is dropped
+        broken = re.compile("<[a-zA-Z/!?]").search(text, end)
+        text = text[: broken.start()] if broken else text
+        for m in TOKEN.finditer(text, 0, max(end, 0)):
             if m.start() < at:
                 continue
             if m.start() > at:
@@ -79,9 +82,9 @@ class Page:
             at = m.end()
             if m[0].startswith("<![CDATA["):
                 self.parts.append((stack[-1], entities.escape(m[0][9:].removesuffix("]]>"))))
-            end, start = m[1], m[2] or m[4]
-            if end:
-                self.close(stack, end.lower())
+            over, start = m[1], m[2] or m[4]
+            if over:
+                self.close(stack, over.lower())
             elif start:
                 tag, rest = start.lower(), m[3] if m[2] else m[5]
                 self.imply(stack, tag)
