@@ -14,7 +14,7 @@ when they share o >= t (a + b) / (1 + t) of them.
   subsets listed against list entries times the mean length of the lists they scan.
 
 Lists hold classes of equal sets, not copies. Candidates are compared on whole sets, hub
-first: every member with a few pivots of its list, then, for members that the links so far
+first: every member with a few pivots of its list (first the one that shares most), then, for members that the links so far
 have not joined, with all others in the list. Members already in one component need no
 comparison, so a group of near copies costs a multiple of its size, not its square, and no
 link between components is lost. The components are those of all links.
@@ -39,8 +39,8 @@ from vellumine.llm.common import components, stored
 #: Similarity as a ratio of whole numbers: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
 N = 5
-#: n-grams that make up more than 1 in 2^18 of all are ordered last: at most 2^18 of them.
-FREQUENT_BITS = 18
+#: n-grams that make up more than 1 in 2^22 of all are ordered last: at most 2^22 of them.
+FREQUENT_BITS = 22
 SALTS = 16
 PIVOTS = (2, 4)
 LARGEST_BOUNDARY = 24
@@ -95,7 +95,7 @@ def frequent_candidates(n: int):
                 grams = ngram_set(words, n)
                 held.append(grams)
                 size, total = size + len(grams), total + len(grams)
-                if size >= 1 << 21:
+                if size >= 1 << 22:
                     yield counted()
                     held, size = [], 0
         if held:
@@ -107,8 +107,8 @@ def frequent_candidates(n: int):
 def frequent_ngrams(texts: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray, float]:
     """Hashes (sorted) and ranks of the frequent n-grams, and the mean list length.
 
-    At most 2^18 n-grams can each be over 1 in 2^18 of all, so what comes to the driver and
-    goes out with the tasks is under 4 MB at any scale.
+    At most 2^22 n-grams can each be over 1 in 2^22 of all, so what comes to the driver and
+    goes out with the tasks is under 64 MB at any scale.
     """
     counts = stored(texts.mapInArrow(frequent_candidates(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     total = counts.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
@@ -177,39 +177,47 @@ def described(n: int):
 
 
 def listed(n: int, boundary: int, frequent, with_digest: bool):
-    """Rows (key, node): list and subset keys of each set; node is its id, or its digest."""
+    """Rows (key, node, place): list and subset keys of each set; node is its id, or its digest.
+
+    place is the key's place in the common order of the set, 0 for subsets.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, ranks = frequent.value
         for batch in batches:
             ids = batch.column(0)
-            keys, rows = [], []
+            keys, rows, places = [], [], []
             for row, words, _ in W.documents(batch.column(1), lower=True):
                 grams = ngram_set(words, n)
                 size = len(grams)
                 if not size or not ids[row].is_valid:
                     continue
-                own = []
+                own, place = [], []
                 if size >= smallest_partner(boundary + 1):
                     at = np.searchsorted(heavy, grams)
                     at[at == len(heavy)] = 0
                     rank = np.where(heavy[at] == grams, ranks[at], 0) if len(heavy) else np.zeros(size, dtype=np.int64)
                     first = np.argsort(rank, kind="stable")[: prefix_length(size)]
                     own.append(grams[first].view(np.int64))
+                    place.append(np.arange(len(first)))
                 if size <= boundary:
                     own.append(np.array(small_keys(grams), dtype=np.int64))
+                    place.append(np.zeros(len(own[-1]), dtype=np.int64))
                 own = np.concatenate(own)
                 keys.append(own)
+                places.append(np.concatenate(place))
                 mark = int.from_bytes(set_digest(grams)[:8], "little", signed=True) if with_digest else row
                 rows.append(np.full(len(own), mark, dtype=np.int64))
-                if sum(map(len, keys[-1:])) and len(keys) >= 512:
-                    yield out(keys, rows, ids, with_digest)
-                    keys, rows = [], []
+                if len(keys) >= 512:
+                    yield out(keys, rows, places, ids)
+                    keys, rows, places = [], [], []
             if keys:
-                yield out(keys, rows, ids, with_digest)
+                yield out(keys, rows, places, ids)
 
-    def out(keys, rows, ids, with_digest):
-        node = np.concatenate(rows)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node) if with_digest else ids.take(pa.array(node))], ["key", "node"])
+    def out(keys, rows, places, ids):
+        node = pa.array(np.concatenate(rows))
+        if with_digest:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node], ["key", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids.take(node), pa.array(np.concatenate(places))], ["key", "node", "place"])
     return run
 
 
@@ -295,24 +303,32 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # keys that two different sets share, then the lists of those keys
     marks = texts.mapInArrow(listed(n, boundary, frequent, True), "key long, node long")
     shared = stored(marks.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "keys")
-    entries = texts.mapInArrow(listed(n, boundary, frequent, False), "key long, node long").select("key", F.col("node").alias("id"))
-    lists = stored(entries.join(shared.hint("merge"), "key").join(named, "id").select("key", "node", "size").distinct(), "lists")
+    entries = texts.mapInArrow(listed(n, boundary, frequent, False), "key long, node long, place long").select("key", F.col("node").alias("id"), "place")
+    lists = stored(entries.join(shared.hint("merge"), "key").join(named, "id").select("key", "node", "size", "place").distinct(), "lists")
+
+    # a set whose list keys are mostly shared is the middle of its copies: it is a pivot first
+    degree = lists.groupBy("node").agg((F.count(F.lit(1)) / (F.max("size") * (DEN - NUM) / DEN + 1)).alias("shared"))
+    lists = stored(lists.join(stored(degree, "degree").hint("merge"), "node"), "lists")
 
     wanted = lists.select(F.col("node").alias("id")).distinct()
     bodies = stored(texts.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(packed, "id long, body binary").join(wanted.hint("merge"), "id").distinct(), "bodies")
     sketches = stored(light.where("digest IS NOT NULL").select("id", "size", "sketch").join(wanted.hint("merge"), "id").distinct(), "sketches")
-    near = F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM
+    # similar sets have this many elements from their first common key on
+    need = F.ceil((F.col("size_a") + F.col("size_b")) * NUM / (NUM + DEN))
+    near = (F.col("size_a") - F.col("place_a") >= need) & (F.col("size_b") - F.col("place_b") >= need)
     links = spark.createDataFrame([], "u long, v long")
     open_lists = lists.withColumn("component", F.col("node"))
     for turn, pivots in enumerate(PIVOTS):
-        hubs = open_lists.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(100 * turn + p)), "node", "size", "component")).alias(f"p{p}") for p in range(pivots)])
-        hubs = hubs.select("key", F.explode(F.array(*[F.struct(F.col(f"p{p}.node").alias("b"), F.col(f"p{p}.size").alias("size_b"), F.col(f"p{p}.component").alias("c")) for p in range(pivots)])).alias("p")).select("key", "p.*").distinct()
+        rank = lambda p: (-F.col("shared") if turn == p == 0 else F.lit(0.0)).alias("first")  # noqa: B023, E731
+        hub = lambda p: F.struct(rank(p), F.xxhash64("node", F.lit(100 * turn + p)).alias("hash"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("component").alias("c"))
+        hubs = open_lists.groupBy("key").agg(*[F.min(hub(p)).alias(f"p{p}") for p in range(pivots)])
+        hubs = hubs.select("key", F.explode(F.array(*[F.struct(*[F.col(f"p{p}.{x}").alias(x) for x in ("b", "size_b", "place_b", "c")]) for p in range(pivots)])).alias("p")).select("key", "p.*").distinct()
         hubs = stored(hubs, "hubs")
-        pairs = open_lists.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), "component").join(hubs.hint("merge"), "key")
+        pairs = open_lists.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), "component").join(hubs.hint("merge"), "key")
         pairs = pairs.where((F.col("component") != F.col("c")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionByName(similar(stored(pairs, "pairs"), sketches, bodies, n))
         groups = components(links).select("node", "component")
-        joined = lists.join(groups.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        joined = lists.join(groups.hint("merge"), "node", "left").select("key", "node", "size", "place", "shared", F.coalesce("component", "node").alias("component"))
         mixed = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         open_lists = stored(joined.join(stored(mixed, "mixed").hint("merge"), "key"), "open")
 
@@ -320,8 +336,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = open_lists.groupBy("key", "component").agg(F.count("*").alias("k"))
     major = stored(counts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major")), "major")
     tagged = stored(open_lists.join(major.hint("merge"), "key"), "tagged")
-    apart = tagged.where("component <> major").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("c"))
-    rest = apart.join(tagged.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), "component").hint("merge"), "key")
+    apart = tagged.where("component <> major").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), F.col("component").alias("c"))
+    rest = apart.join(tagged.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), "component").hint("merge"), "key")
     rest = rest.where((F.col("c") != F.col("component")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(similar(stored(rest, "pairs"), sketches, bodies, n))
     groups = components(links).select("node", "component")
