@@ -103,55 +103,65 @@ ISO_LANGUAGES: dict[str, str] = {
 
 # --- marker words ------------------------------------------------------------
 # Function words that tell apart languages sharing one script.
-DEVANAGARI_MARKERS: dict[str, str] = {
-    "Hindi": """
-        है, हैं, था, थे, थी, का, के, की, में, से, को, पर, और, एक, यह, वह, इस, उस, कि, जो,
-        ने, नहीं, हो, कर, तो, अपने, सकता, होता, करता, भी, जब, तक, या, लेकिन, मगर, अगर, क्योंकि,
-        उनका, उनकी, उनके, हमारा, उसका, उसकी, यहाँ, वहाँ""",
-    "Marathi": """
-        आहे, आहेत, होता, होती, होते, चा, ची, चे, ला, ना, मध्ये, वर, आणि, एक, हा, ही, हे, या, त्या,
-        केला, केली, केले, करतो, करते, नाही, असे, पण, म्हणून, किंवा, परंतु, तर, जर, कारण, त्यांचा,
-        आमचा, त्यांना, यांना, सुद्धा, म्हणजे""",
-    "Sanskrit": """
-        अस्ति, भवति, तस्य, तस्याः, तेषाम्, एषः, एषा, यस्य, यत्, इति, एव, अपि, तथा, यथा, किम्,
-        कथम्, अत्र, तत्र, सर्वे, सर्वम्, च, वा, तु, हि, नाम, देवः, श्री, ॐ, धर्म, कर्म, अर्थ""",
-    "Nepali": """
-        छ, छन्, थियो, थिए, थिइन्, को, का, की, मा, बाट, लाई, र, एउटा, यो, त्यो, यस, उस, कि,
-        जो, ले, छैन, हुन्छ, गर्छ, त, आफ्नो, सक्छ, पनि, जब, सम्म, वा, तर, यदि,
-        किनभने, उनीहरूको, हाम्रो, गरे, भने""",
-    "Konkani": """
-        आसा, आसात, केलो, केली, केलें, चो, ची, चें, क, ल, मदें, आनी, एक, हो, ही, हें, त्या,
-        ना, करता, करतात, पूण, म्हणून, वा, जर""",
-    "Maithili": """
-        अछि, छल, छली, छलाह, के, मे, सँ, आ, एक, ई, ओ, ओकर, जे, नहि, भेल, करैत, रहल,
-        सेहो, जखन, तक, वा, मुदा, अगर, कारण""",
+DEVANAGARI_MARKERS: dict[str, list[str]] = {
+    "Hindi": [
+        "है", "हैं", "था", "थे", "थी", "का", "के", "की", "में", "से", "को", "पर", "और", "एक", "यह", "वह", "इस", "उस",
+        "कि", "जो", "ने", "नहीं", "हो", "कर", "तो", "अपने", "सकता", "होता", "करता", "भी", "जब", "तक", "या", "लेकिन",
+        "मगर", "अगर", "क्योंकि", "उनका", "उनकी", "उनके", "हमारा", "उसका", "उसकी", "यहाँ", "वहाँ",
+    ],
+    "Marathi": [
+        "आहे", "आहेत", "होता", "होती", "होते", "चा", "ची", "चे", "ला", "ना", "मध्ये", "वर", "आणि", "एक", "हा", "ही",
+        "हे", "या", "त्या", "केला", "केली", "केले", "करतो", "करते", "नाही", "असे", "पण", "म्हणून", "किंवा", "परंतु",
+        "तर", "जर", "कारण", "त्यांचा", "आमचा", "त्यांना", "यांना", "सुद्धा", "म्हणजे",
+    ],
+    "Sanskrit": [
+        "अस्ति", "भवति", "तस्य", "तस्याः", "तेषाम्", "एषः", "एषा", "यस्य", "यत्", "इति", "एव", "अपि", "तथा", "यथा",
+        "किम्", "कथम्", "अत्र", "तत्र", "सर्वे", "सर्वम्", "च", "वा", "तु", "हि", "नाम", "देवः", "श्री", "ॐ", "धर्म",
+        "कर्म", "अर्थ",
+    ],
+    "Nepali": [
+        "छ", "छन्", "थियो", "थिए", "थिइन्", "को", "का", "की", "मा", "बाट", "लाई", "र", "एउटा", "यो", "त्यो", "यस",
+        "उस", "कि", "जो", "ले", "छैन", "हुन्छ", "गर्छ", "त", "आफ्नो", "सक्छ", "पनि", "जब", "सम्म", "वा", "तर", "यदि",
+        "किनभने", "उनीहरूको", "हाम्रो", "गरे", "भने",
+    ],
+    "Konkani": [
+        "आसा", "आसात", "केलो", "केली", "केलें", "चो", "ची", "चें", "क", "ल", "मदें", "आनी", "एक", "हो", "ही", "हें",
+        "त्या", "ना", "करता", "करतात", "पूण", "म्हणून", "वा", "जर",
+    ],
+    "Maithili": [
+        "अछि", "छल", "छली", "छलाह", "के", "मे", "सँ", "आ", "एक", "ई", "ओ", "ओकर", "जे", "नहि", "भेल", "करैत", "रहल",
+        "सेहो", "जखन", "तक", "वा", "मुदा", "अगर", "कारण",
+    ],
 }
-BENGALI_MARKERS: dict[str, str] = {
-    "Bengali": """
-        হয়, হচ্ছে, ছিল, ছিলেন, এর, তার, যার, এটি, সেটি, করা, হওয়া, থাকা, এবং, একটি, তিনি, আমি,
-        তুমি, সে, যে, কিন্তু, তবে, কারণ, যদি, অথবা, নয়, নেই, আছে, দিয়ে, থেকে, জন্য, পরে, আগে,
-        ওপরে, নীচে, ভালো, মন্দ""",
-    "Assamese": """
-        হয়, হৈছে, আছিল, আছিলে, ৰ, তাৰ, যাৰ, এইটো, সেইটো, কৰা, হোৱা, থকা, আৰু, এটা, তেওঁ, মই,
-        তুমি, সি, যি, কিন্তু, তথাপি, কাৰণ, যদি, অথবা, নহয়, নাই, আছে, দি, ৰ পৰা, বাবে, পিছত, আগত""",
+BENGALI_MARKERS: dict[str, list[str]] = {
+    "Bengali": [
+        "হয়", "হচ্ছে", "ছিল", "ছিলেন", "এর", "তার", "যার", "এটি", "সেটি", "করা", "হওয়া", "থাকা", "এবং", "একটি",
+        "তিনি", "আমি", "তুমি", "সে", "যে", "কিন্তু", "তবে", "কারণ", "যদি", "অথবা", "নয়", "নেই", "আছে", "দিয়ে",
+        "থেকে", "জন্য", "পরে", "আগে", "ওপরে", "নীচে", "ভালো", "মন্দ",
+    ],
+    "Assamese": [
+        "হয়", "হৈছে", "আছিল", "আছিলে", "ৰ", "তাৰ", "যাৰ", "এইটো", "সেইটো", "কৰা", "হোৱা", "থকা", "আৰু", "এটা",
+        "তেওঁ", "মই", "তুমি", "সি", "যি", "কিন্তু", "তথাপি", "কাৰণ", "যদি", "অথবা", "নহয়", "নাই", "আছে", "দি",
+        "ৰ পৰা", "বাবে", "পিছত", "আগত",
+    ],
 }
-PERSO_ARABIC_MARKERS: dict[str, str] = {
-    "Urdu": """
-        ہے, ہیں, تھا, تھی, تھے, کا, کے, کی, میں, سے, کو, پر, اور, ایک, یہ, وہ, اس, جو,
-        نے, نہیں, ہو, کر, تو, اپنے, سکتا, بھی, لیکن""",
-    "Kashmiri": "چھُ, آسِ, کَرُن, تہِ, مَنز, سُنز, پَنَنِس, یِتھ, تِتھ, مگر, اگر",
-    "Sindhi": """
-        آهي, آهن, هو, هئي, هئا, جو, جي, ۾, مان, تي, هن, هنن, ڪري, ٿي, اهو, ۽, پر, جيڪو""",
+PERSO_ARABIC_MARKERS: dict[str, list[str]] = {
+    "Urdu": [
+        "ہے", "ہیں", "تھا", "تھی", "تھے", "کا", "کے", "کی", "میں", "سے", "کو", "پر", "اور", "ایک", "یہ", "وہ", "اس",
+        "جو", "نے", "نہیں", "ہو", "کر", "تو", "اپنے", "سکتا", "بھی", "لیکن",
+    ],
+    "Kashmiri": [
+        "چھُ", "آسِ", "کَرُن", "تہِ", "مَنز", "سُنز", "پَنَنِس", "یِتھ", "تِتھ", "مگر", "اگر",
+    ],
+    "Sindhi": [
+        "آهي", "آهن", "هو", "هئي", "هئا", "جو", "جي", "۾", "مان", "تي", "هن", "هنن", "ڪري", "ٿي", "اهو", "۽", "پر",
+        "جيڪو",
+    ],
 }
 ASSAMESE_LETTERS = "ৰৱ"
 SINDHI_LETTERS = "ڪڳڱڻٺٽٿ"
 
 
-def words(listing: str) -> list[str]:
-    """Split a comma-separated word listing, keeping each word once."""
-    return list(dict.fromkeys(w.strip() for w in listing.split(",") if w.strip()))
-
-
 # --- labels, statuses, thresholds --------------------------------------------
 # Confidence bands, lower bounds inclusive.
 CONFIDENCE_BANDS = [(85, "High"), (60, "Medium"), (30, "Low")]

@@ -28,20 +28,20 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column | str], chun
     inside (group, chunk); the chunk sizes, a table smaller by the chunk width, are
     summed up to offsets and joined back on the key the rows are already partitioned
     by. A group holding a third of all rows is spread over as many tasks as it has
-    chunks.
+    chunks. Rows with a null group are numbered as a group of their own, rows with a null
+    chunk come first: the key is a struct, and structs with nulls in equal places are equal.
     """
-    keys = [*group, "_chunk"]
-    marked = df.withColumn("_chunk", chunk)
+    marked = df.withColumn("_key", F.struct(F.struct(*group).alias("g"), chunk.alias("c")))
     local = marked.withColumn(
-        "_local", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
-    before = W.partitionBy(*group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+        "_local", F.row_number().over(W.partitionBy("_key").orderBy(*order)).cast("long"))
+    before = W.partitionBy("_key.g").orderBy("_key.c").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        marked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
     return (
-        local.join(offsets, keys)
+        local.join(offsets, "_key")
         .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_local", "_offset", "_chunk")
+        .drop("_local", "_offset", "_key")
     )

@@ -90,49 +90,64 @@ def with_xmp_packet(df: DataFrame, content: str = "content", out: str = "packet"
     return compute_once(df, {out: "CASE WHEN _x <> '' THEN make_valid_utf8(CAST(encode(_x, 'ISO-8859-1') AS STRING)) END"}, drop=("_x",))
 
 
-# Namespaces whose properties keep a prefix.
+# Words in the namespaces whose properties keep a prefix.
 QUALIFIED = ("adobe", "photoshop", "dc", "xmp", "rights")
 
 
-def _packet_properties(packet: str) -> Iterator[tuple[str, str]]:
-    """Element texts and attributes of one packet, in document order."""
+def _elements(packet: str) -> list[tuple[str, str | None, dict[str, str]]]:
+    """(qualified tag, text, attributes) of every element; none when it does not parse."""
     try:
-        root = ET.fromstring(packet)
+        return [(e.tag, e.text, dict(e.attrib)) for e in ET.fromstring(packet).iter()]
     except ET.ParseError:
-        return
-    for element in root.iter():
-        space, _, name = element.tag.rpartition("}")
-        space = space.lstrip("{")
-        text = (element.text or "").strip()
-        if text and len(text) < 500:
-            parts = space.split("/")
-            prefix = f"{parts[-2] if len(parts) > 1 else space}:" if any(q in space.lower() for q in QUALIFIED) else ""
-            yield prefix + name, text
-        for key, value in element.attrib.items():
-            attribute = key.rpartition("}")[2]
-            if value and not attribute.startswith("xmlns"):
-                yield f"{name}@{attribute}", value
-
-
-def xmp_rows(packets: DataFrame, key: str = "evidence_id", packet: str = "packet") -> DataFrame:
-    """Packets to property rows; the first occurrence of a property wins."""
+        return []
+
+
+def xmp_rows(packets: DataFrame, key: str = "evidence_id", packet: str = "packet", longest: int | None = None) -> DataFrame:
+    """Packets to property rows; the first occurrence of a property wins.
+
+    The parser only lists the elements; names, prefixes and the choice are set operations.
+    ``longest`` leaves out element texts of that many characters or more; the default keeps
+    texts of any length.
+    """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, n, p, v) for k, xml in zip(batch["evidence_id"], batch["packet"])
-                   for n, (p, v) in enumerate(_packet_properties(xml))]
-            yield pd.DataFrame(out, columns=["evidence_id", "n", "property", "value"])
+            out = [(k, n, *e) for k, xml in zip(batch["evidence_id"], batch["packet"]) for n, e in enumerate(_elements(xml))]
+            yield pd.DataFrame(out, columns=["evidence_id", "n", "tag", "text", "attributes"])
 
     ready = packets.select(F.col(key).cast("string").alias("evidence_id"), F.col(packet).alias("packet")).where("packet IS NOT NULL")
-    parsed = ready.mapInPandas(parse, "evidence_id string, n int, property string, value string")
-    first = parsed.groupBy("evidence_id", "property").agg(F.min_by("value", "n").alias("value"), F.min("n").alias("n"))
-    return first.select("evidence_id", "property", "value", F.lit("XMP").alias("source"), "n")
-
-
-def flatten_json(df: DataFrame, key: str, column: str, source: str = "XMP", depth: int = 8) -> DataFrame:
+    parsed = ready.mapInPandas(parse, "evidence_id string, n int, tag string, text string, attributes map<string,string>")
+    name, space = F.regexp_extract("tag", r"([^}]*)$", 1), F.regexp_extract("tag", r"^\{(.*)\}", 1)
+    kept_prefix = F.lower(space).rlike("|".join(QUALIFIED))
+    owner = F.when(space.contains("/"), F.split_part(space, F.lit("/"), F.lit(-2))).otherwise(space)
+    text = tx.strip(F.col("text"))
+    own = F.struct(F.lit(0).alias("i"), F.concat(F.when(kept_prefix, F.concat(owner, F.lit(":"))).otherwise(""), name).alias("property"), text.alias("value"))
+    attribute = lambda e, i: F.struct(
+        (i + 1).alias("i"), F.concat(name, F.lit("@"), F.regexp_extract(e["key"], r"([^}]*)$", 1)).alias("property"), e["value"].alias("value"))
+    found = parsed.select("evidence_id", "n", F.explode(F.concat(F.array(own), F.transform(F.map_entries("attributes"), attribute))).alias("p"))
+    found = found.select("evidence_id", F.struct("n", "p.i").alias("at"), "p.i", "p.property", "p.value").where(
+        (F.col("value") != "") & ~(F.col("property").rlike("@xmlns[^@]*$") & (F.col("i") > 0)))
+    if longest is not None:
+        found = found.where((F.col("i") > 0) | (F.length("value") < longest))
+    first = found.groupBy("evidence_id", "property").agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at"))
+    return first.select("evidence_id", "property", "value", F.lit("XMP").alias("source"), (F.col("at.n") * 4096 + F.col("at.i")).alias("n"))
+
+
+def json_depth(df: DataFrame, column: str) -> int:
+    """Deepest nesting of brackets in a column of JSON texts: one aggregate, one number."""
+    step = lambda a, c: F.struct(
+        (a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
+    brackets = F.split(F.regexp_replace(F.col(f"`{column}`"), r"[^\[\]{}]+", ""), "")
+    deepest = F.aggregate(F.filter(brackets, lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    return df.agg(F.max(deepest)).first()[0] or 0
+
+
+def flatten_json(df: DataFrame, key: str, column: str, source: str = "XMP", depth: int | None = None) -> DataFrame:
     """Nested JSON to property rows named ``a:b[0]``; blank leaves are dropped.
 
-    One scan, one generator per level; levels beyond the actual depth pass leaves on.
+    One generator per level; levels beyond the actual depth pass leaves on. ``depth`` is the
+    number of levels; by default the deepest nesting of the column, read in a pass before.
     """
+    depth = json_depth(df, column) if depth is None else depth
     rows = df.select(F.col(key).alias("evidence_id"), F.lit("").alias("p"), F.expr(f"try_parse_json(`{column}`)").alias("v"))
     for _ in range(depth):
         rows = rows.selectExpr("evidence_id", """inline(CASE

@@ -13,6 +13,7 @@ shuffle: at most 256 rows per image, channel and task cross the network.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -67,15 +68,27 @@ def to_bands(raster: DataFrame, lines: int = 512, halo: int = 8) -> DataFrame:
     ).repartition("image_id", "own_from")
 
 
-def positions(raster: DataFrame) -> DataFrame:
+def reaching(raster: DataFrame, lines: int) -> DataFrame:
+    """``raster`` with its bands made explicit; a band whose halo is under ``lines`` raises.
+
+    A filter that reads ``lines`` beyond its sample would otherwise meet the end of a band.
+    """
+    if not lines or "y_first" not in raster.columns:
+        return with_band(raster)
+    held = "(y_first + size(px) DIV (width * size(channels)))"
+    enough = f"(y_first = 0 OR own_from - y_first >= {lines}) AND ({held} >= height OR {held} - 1 - own_to >= {lines})"
+    return raster.withColumn("px", F.expr(f"CASE WHEN {enough} THEN px ELSE CAST(raise_error('the filter reaches {lines} lines; cut the bands with that halo') AS ARRAY<SMALLINT>) END"))
+
+
+def positions(raster: DataFrame, reach: int = 0) -> DataFrame:
     """One row per sample a band owns: image_id, y, x, k (channel index), ch, v.
 
     ``px`` and the geometry stay available for neighbour reads; select them away. The
     outer generator keeps the optimizer from deriving a not-empty filter on ``px`` and
     pushing its whole computation below the scan; the line filter drops the null row of
-    an empty image.
+    an empty image. ``reach`` is the number of lines that neighbour reads go beyond.
     """
-    r = with_band(raster)
+    r = reaching(raster, reach)
     flat = r.select("image_id", "height", "width", "channels", "y_first", "own_from", "own_to", "px",
                     F.size("channels").alias("nc"), F.posexplode_outer("px").alias("i", "v"))
     out = flat.selectExpr(
@@ -124,8 +137,8 @@ def saturate(expr: str) -> str:
     return f"CAST(least(255, greatest(0, {expr})) AS INT)"
 
 
-def _filtered(raster: DataFrame, expr: str, out: str = "v") -> DataFrame:
-    return positions(raster).selectExpr("image_id", "y", "x", "ch", f"{expr} AS {out}")
+def _filtered(raster: DataFrame, expr: str, out: str = "v", reach: int = 1) -> DataFrame:
+    return positions(raster, reach).selectExpr("image_id", "y", "x", "ch", f"{expr} AS {out}")
 
 
 def gray(raster: DataFrame, rounded: bool = True) -> DataFrame:
@@ -303,8 +316,15 @@ def to_hsv(raster: DataFrame) -> DataFrame:
 
 
 def add_noise(px: DataFrame, amount: int = 25, seed: int = 0) -> DataFrame:
-    """Simulated Gaussian noise, sigma at least 1, clipped and truncated."""
-    noisy = F.col("v") + F.randn(seed) * float(max(1, amount))
+    """Simulated Gaussian noise, sigma at least 1, clipped and truncated.
+
+    Two uniform numbers come from a hash of (image, y, x, channel, seed), so a sample gets
+    the same noise on every cluster, whatever the partitions.
+    """
+    digest = F.md5(F.concat_ws(":", F.col("image_id").cast("string"), F.col("y").cast("string"), F.col("x").cast("string"), "ch", F.lit(str(seed))).cast("binary"))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 1) / F.lit(2.0**32)
+    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(F.lit(2 * math.pi) * uniform(9))
+    noisy = F.col("v") + normal * float(max(1, amount))
     return px.withColumn("v", F.least(F.lit(255.0), F.greatest(F.lit(0.0), noisy)).cast("int"))
 
 
@@ -318,8 +338,6 @@ def gaussian_taps(k: int) -> list[float]:
     """Weights of a k-tap Gaussian whose sigma follows from k."""
     if k in SMALL_GAUSSIAN:
         return SMALL_GAUSSIAN[k]
-    import math
-
     sigma = 0.3 * ((k - 1) * 0.5 - 1) + 0.8
     raw = [math.exp(-((i - (k - 1) / 2) ** 2) / (2 * sigma * sigma)) for i in range(k)]
     return [w / sum(raw) for w in raw]
@@ -332,7 +350,7 @@ def separable(raster: DataFrame, taps: Sequence[float], border: str, anchor: int
     few array reads in generated code: 2k operations per sample instead of k squared.
     """
     anchor = len(taps) // 2 if anchor is None else anchor
-    r = with_band(raster).withColumn("nc", F.size("channels"))
+    r = reaching(raster, max(anchor, len(taps) - 1 - anchor)).withColumn("nc", F.size("channels"))
 
     def tap(i: int) -> str:
         x = _index(f"((i DIV nc) % width + ({i - anchor}))", "width", border)
@@ -371,7 +389,7 @@ def _median(k: int) -> str:
 
 def median_blur(raster: DataFrame, k: int = 5) -> DataFrame:
     """Median over an odd k x k, edge samples repeated."""
-    return _filtered(raster, _median(odd(k)))
+    return _filtered(raster, _median(odd(k)), reach=odd(k) // 2)
 
 
 def sharpen(raster: DataFrame) -> DataFrame:
@@ -405,7 +423,7 @@ def noise_band(variance: Column) -> Column:
 
 def noise_residual(raster: DataFrame, scale: int = 8) -> DataFrame:
     """Difference from the 3x3 median: ``residual`` and its scaled, clipped map ``v``."""
-    p = positions(raster).selectExpr("image_id", "y", "x", "ch", f"abs(v - {_median(3)}) AS residual")
+    p = positions(raster, 1).selectExpr("image_id", "y", "x", "ch", f"abs(v - {_median(3)}) AS residual")
     return p.withColumn("v", F.least(F.lit(255), F.col("residual") * scale))
 
 
@@ -460,15 +478,20 @@ def scale_factor(width: Column, height: Column, target: int) -> Column:
 def error_level(original: DataFrame, resaved: DataFrame, scale: float = 10.0) -> DataFrame:
     """Scaled absolute difference of two versions of the same images.
 
-    Images are joined by id, once each; the samples are compared inside the joined row.
+    Rows are joined once each, by image, or by image and band where both sides are cut the
+    same way; where one side is cut, its owned lines are looked up in the whole other image.
+    The samples are compared inside the joined row.
     """
-    other = resaved.select("image_id", F.col("px").alias("_px2"))
-    both = with_band(original).join(other, "image_id")
-    flat = both.select("image_id", "height", "width", "channels", F.size("channels").alias("nc"), "_px2",
+    cut = ["y_first" in r.columns for r in (original, resaved)]
+    walked, other = (original, resaved) if cut[0] or not cut[1] else (resaved, original)
+    keys = ["image_id", "own_from"] if all(cut) else ["image_id"]
+    other = with_band(other).select(*keys, F.col("px").alias("_px2"), F.col("y_first").alias("_y2"))
+    both = with_band(walked).join(other, keys)
+    flat = both.select("image_id", "height", "width", "channels", F.size("channels").alias("nc"), "_px2", "_y2", "y_first", "own_from", "own_to",
                        F.posexplode_outer("px").alias("i", "v"))
-    diff = f"least(255D, abs(CAST(v AS DOUBLE) - CAST(get(_px2, i) AS DOUBLE)) * {float(scale)!r}D)"
-    return flat.where("i IS NOT NULL").selectExpr("image_id", "CAST(i DIV (nc * width) AS INT) AS y", "CAST((i DIV nc) % width AS INT) AS x",
-                           "get(channels, CAST(i % nc AS INT)) AS ch", f"CAST({diff} AS INT) AS v")
+    diff = f"least(255D, abs(CAST(v AS DOUBLE) - CAST(get(_px2, i + (y_first - _y2) * width * nc) AS DOUBLE)) * {float(scale)!r}D)"
+    placed = flat.where("i IS NOT NULL").withColumn("y", F.expr("CAST(y_first + i DIV (nc * width) AS INT)")).where("y BETWEEN own_from AND own_to")
+    return placed.selectExpr("image_id", "y", "CAST((i DIV nc) % width AS INT) AS x", "get(channels, CAST(i % nc AS INT)) AS ch", f"CAST({diff} AS INT) AS v")
 
 
 def block_summary(px: DataFrame, block: int = 8) -> DataFrame:

@@ -124,19 +124,16 @@ def canonical_case(batch: DataFrame, now: Column | None = None) -> DataFrame:
 def insert_new(base: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Split a batch into (accepted, rejected) under a unique key.
 
-    Accepted: the first row per key inside the batch whose key ``base`` lacks.
+    Accepted: the first row per key inside the batch whose key ``base`` lacks; of rows with
+    equal ``order`` the one with the smallest other columns. Rejected: every other row, those
+    with a null key included, each as often as the batch has it.
     """
-    known = base.select(key)
     value_cols = [c for c in batch.columns if c != key]
-    firsts = batch.groupBy(key).agg(
-        F.min_by(F.struct(*value_cols), F.struct(*order)).alias("_row"))
-    accepted = firsts.join(known, key, "left_anti").select(
-        key, *[F.col(f"_row.{c}").alias(c) for c in value_cols]).select(batch.columns)
-    first_order = batch.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    marked = batch.join(first_order, key).join(
-        known.withColumn("_known", F.lit(True)).dropDuplicates([key]), key, "left")
-    rejected = marked.where(F.col("_known").isNotNull() | (F.struct(*order) > F.col("_first")))
-    return accepted, rejected.select(batch.columns)
+    firsts = batch.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min(F.struct(F.struct(*order).alias("_order"), F.struct(*value_cols).alias("_row"))).alias("_first"))
+    accepted = firsts.join(base.select(key), key, "left_anti").select(
+        key, *[F.col(f"_first._row.{c}").alias(c) for c in value_cols]).select(batch.columns)
+    return accepted, batch.exceptAll(accepted)
 
 
 def apply_patch(base: DataFrame, patch: DataFrame, key: Sequence[str], allowed: Sequence[str],

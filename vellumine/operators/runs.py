@@ -313,8 +313,8 @@ def script_vote(pages: DataFrame, keys: Sequence[str], page: str = "page_number"
 
 def document_languages(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct identified languages of a document and whether there are several."""
-    found = pages.where(F.col("language") != "Unknown").groupBy(*keys).agg(
-        F.array_sort(F.collect_set("language")).alias("detected_languages"))
+    known = F.when(F.col("language") != "Unknown", F.col("language"))
+    found = pages.groupBy(*keys).agg(F.array_sort(F.collect_set(known)).alias("detected_languages"))
     return found.withColumn("is_multi_language", F.size("detected_languages") > 1)
 
 

@@ -6,6 +6,8 @@ task and then stream rows. None ships with the library.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -62,40 +64,95 @@ def assign_engine(pages: DataFrame, engines: Sequence[Recogniser], language: str
     return pages.withColumns({"engine": engine, "lang_code": code})
 
 
-def recognise(pages: DataFrame, engines: Sequence[Recogniser]) -> DataFrame:
-    """Run each page through its assigned engine.
+FIELDS = ["page_key", "text", "confidence", "word_confidences", "engine", "lang_code", "error"]
+
+
+def _failed(pages: pd.DataFrame, engine: Recogniser, problem: Exception) -> pd.DataFrame:
+    return pd.DataFrame({
+        "page_key": pages["page_key"], "text": "", "confidence": 0.0, "word_confidences": [[] for _ in range(len(pages))],
+        "engine": engine.name, "lang_code": pages["lang_code"], "error": f"{engine.name} error: {problem}"})[FIELDS]
+
+
+def _whole(out: pd.DataFrame, engine: Recogniser) -> pd.DataFrame:
+    out = out.assign(engine=engine.name)
+    for column in ("error", "lang_code"):
+        if column not in out:
+            out[column] = ""
+    return out[FIELDS]
 
-    Pages without any engine come back with an error instead of text. A failing batch
-    yields error rows, not a failed job.
-    """
-    parts = []
-    for e in engines:
-        if not e.available:
-            continue
 
-        def run(batches: Batches, engine: Recogniser = e) -> Batches:
-            for batch in batches:
+def _run_engine(engine: Recogniser, batches: Batches) -> Batches:
+    """One row per page of ``batches``. The engine gets the iterator as a whole.
+
+    When it raises, the pages it had taken and not returned are given to it one by one, so
+    only pages that fail by themselves become error rows; then it goes on with the rest.
+    """
+    open_pages: list[pd.DataFrame] = []  # taken, not returned
+    over = False
+
+    def feed() -> Batches:
+        nonlocal over
+        for batch in batches:
+            open_pages.append(batch)
+            yield batch
+        over = True
+
+    while not over:
+        try:
+            for out in engine.recognise(feed()):
+                due = list(out["page_key"])
+                yield _whole(out, engine)
+                while due and open_pages:
+                    head = open_pages[0]
+                    done = min(len(due), len(head))
+                    returned = Counter(due[:done])
+                    left = []
+                    for at, key in enumerate(head["page_key"]):
+                        if returned[key] > 0:
+                            returned[key] -= 1
+                        else:
+                            left.append(at)
+                    due = list(returned.elements()) + due[done:]
+                    if len(left) == len(head):
+                        break
+                    open_pages[:1] = [head.iloc[left]] if left else []
+            problem: Exception = ValueError("no result")
+        except Exception as raised:  # noqa: BLE001 - reported as data
+            problem = raised
+        again, open_pages[:] = list(open_pages), []
+        for batch in again:
+            for at in range(len(batch)):
+                page = batch.iloc[at : at + 1]
                 try:
-                    for out in engine.recognise(iter([batch])):
-                        out = out.assign(engine=engine.name)
-                        for column, empty in (("error", ""), ("lang_code", "")):
-                            if column not in out:
-                                out[column] = empty
-                        yield out[["page_key", "text", "confidence", "word_confidences", "engine", "lang_code", "error"]]
-                except Exception as problem:  # noqa: BLE001 - reported as data
-                    yield pd.DataFrame({
-                        "page_key": batch["page_key"], "text": "", "confidence": 0.0,
-                        "word_confidences": [[] for _ in range(len(batch))], "engine": engine.name,
-                        "lang_code": batch["lang_code"], "error": f"{engine.name} error: {problem}"})
-
-        mine = pages.where(F.col("engine") == e.name).select("page_key", "content", "lang_code")
-        parts.append(mine.mapInPandas(run, RECOGNITION_DDL))
-    none = pages.where(F.col("engine").isNull()).select(
-        "page_key", F.lit("").alias("text"), F.lit(0.0).alias("confidence"), F.array().cast("array<double>").alias("word_confidences"),
-        F.lit("None").alias("engine"), F.lit("").alias("lang_code"), F.lit("No OCR engines available.").alias("error"))
-    for p in parts:
-        none = none.unionByName(p)
-    return none
+                    found = [_whole(out, engine) for out in engine.recognise(iter([page]))]
+                    rows = pd.concat(found) if found else None
+                    yield rows if rows is not None and len(rows) == 1 else _failed(page, engine, problem)
+                except Exception as raised:  # noqa: BLE001 - reported as data
+                    yield _failed(page, engine, raised)
+
+
+def recognise(pages: DataFrame, engines: Sequence[Recogniser]) -> DataFrame:
+    """Run each page through its assigned engine: exactly one row per page, one scan.
+
+    Pages are sorted by engine inside each task, and every engine gets all its pages of the
+    task as one iterator, so a model is loaded once per task. A failing page becomes an error
+    row; pages without any engine get an error instead of text.
+    """
+    known = {e.name: e for e in engines if e.available}
+
+    def run(batches: Batches) -> Batches:
+        pieces = ((name, part) for batch in batches for name, part in batch.groupby(batch["engine"].fillna(""), sort=True))
+        for name, group in itertools.groupby(pieces, key=lambda p: p[0]):
+            parts = (part[["page_key", "content", "lang_code"]] for _, part in group)
+            if name in known:
+                yield from _run_engine(known[name], parts)
+                continue
+            for part in parts:
+                yield pd.DataFrame({
+                    "page_key": part["page_key"], "text": "", "confidence": 0.0, "word_confidences": [[] for _ in range(len(part))],
+                    "engine": "None", "lang_code": "", "error": "No OCR engines available."})[FIELDS]
+
+    return pages.select("page_key", "content", "lang_code", "engine").sortWithinPartitions("engine").mapInPandas(run, RECOGNITION_DDL)
 
 
 @dataclass(frozen=True)

@@ -20,10 +20,6 @@ from vellumine.functions.once import compute_once
 Lexicon = Mapping[str, Sequence[str]]
 
 
-def lexicon(listing: Mapping[str, str]) -> dict[str, list[str]]:
-    return {lang: fixed.words(w) for lang, w in listing.items()}
-
-
 # --- script ------------------------------------------------------------------
 SCRIPTS = list(fixed.SCRIPT_BLOCKS)
 
@@ -193,9 +189,9 @@ def letter_share(text: str, letters: str, script_class: str) -> str:
 
 
 # --- language ----------------------------------------------------------------
-DEVANAGARI = lexicon(fixed.DEVANAGARI_MARKERS)
-BENGALI = lexicon(fixed.BENGALI_MARKERS)
-PERSO_ARABIC = lexicon(fixed.PERSO_ARABIC_MARKERS)
+DEVANAGARI = fixed.DEVANAGARI_MARKERS
+BENGALI = fixed.BENGALI_MARKERS
+PERSO_ARABIC = fixed.PERSO_ARABIC_MARKERS
 _ALTERNATIVES = "ARRAY<STRUCT<language: STRING, confidence: DOUBLE, method: STRING>>"
 
 

@@ -422,20 +422,27 @@ def st4(spark, d):
     return audit_rate(events(spark, d))
 
 
-@query("u1_recogniser_slot", """SELECT doc_id::VARCHAR AS page_key, CASE lang WHEN 'en' THEN 'upper' WHEN 'fr' THEN 'upper' ELSE 'size' END AS engine,
-  CASE WHEN lang IN ('en', 'fr') THEN md5(upper(source)) ELSE md5(length(source)::VARCHAR) END AS text_md5, CASE WHEN lang IN ('en', 'fr') THEN 90.0::DOUBLE ELSE 40.0::DOUBLE END AS confidence FROM documents""")
+@query("u1_recogniser_slot", """SELECT doc_id::VARCHAR AS page_key, CASE WHEN lang IN ('en', 'fr') THEN 'raise' ELSE 'size' END AS engine,
+  CASE WHEN lang IN ('en', 'fr') THEN CASE WHEN doc_id % 7 = 3 THEN md5('') ELSE md5(replace(text, 'e', 'E')) END ELSE md5(length(text)::VARCHAR) END AS text_md5,
+  CASE WHEN lang IN ('en', 'fr') THEN CASE WHEN doc_id % 7 = 3 THEN 0.0::DOUBLE ELSE 90.0::DOUBLE END ELSE 40.0::DOUBLE END AS confidence,
+  CASE WHEN lang IN ('en', 'fr') AND doc_id % 7 = 3 THEN 'raise error: page ' || doc_id ELSE '' END AS error FROM documents""")
 def u1(spark, d):
-    def reader(convert, confidence):
+    def reader(convert, confidence, fails=lambda key: False):
         def run(batches):
             for b in batches:
-                yield b.assign(text=[convert(bytes(c).decode()) for c in b["content"]], confidence=confidence, word_confidences=[[confidence]] * len(b))
+                for i in range(0, len(b), 3):
+                    part = b.iloc[i : i + 3]
+                    for key in part["page_key"]:
+                        if fails(key):
+                            raise ValueError(f"page {key}")
+                    yield part.assign(text=[convert(bytes(c).decode()) for c in part["content"]], confidence=confidence, word_confidences=[[confidence]] * len(part))
         return run
     engines = [slots.Recogniser("absent", reader(str, 0.0), {"en": "eng"}, available=False),
-               slots.Recogniser("upper", reader(str.upper, 90.0), {"en": "eng", "fr": "fra"}),
+               slots.Recogniser("raise", reader(lambda s: s.replace("e", "E"), 90.0, lambda key: int(key) % 7 == 3), {"en": "eng", "fr": "fra"}),
                slots.Recogniser("size", reader(lambda s: str(len(s)), 40.0), {"en": "eng", "de": "deu", "es": "spa"})]
-    pages = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.col("lang").alias("language"), F.col("source").cast("binary").alias("content"))
+    pages = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.col("lang").alias("language"), F.col("text").cast("binary").alias("content"))
     out = slots.recognise(slots.assign_engine(pages, engines), engines)
-    return out.select("page_key", "engine", F.md5(F.col("text").cast("binary")).alias("text_md5"), "confidence")
+    return out.select("page_key", "engine", F.md5(F.col("text").cast("binary")).alias("text_md5"), "confidence", "error")
 
 
 @query("u2_analysis_slot", f"""SELECT d.doc_id::VARCHAR AS evidence_id, m.module, CASE WHEN m.module = 'Metadata Analysis' THEN 'Complete' ELSE 'Analysis Pending' END AS status,

@@ -288,7 +288,9 @@ def p31_blocks(spark, d):
     return ra.block_summary(p31(spark, d), 4)
 
 
-@query("p32_add_noise")
+@query("p32_add_noise", f"""WITH {TILES_SQL}, h AS (SELECT *, md5(concat_ws(':', image_id::VARCHAR, y::VARCHAR, x::VARCHAR, ch, '7')) AS m FROM px),
+u AS (SELECT *, (('0x' || substr(m, 1, 8))::BIGINT + 1) / 4294967296::DOUBLE AS a, (('0x' || substr(m, 9, 8))::BIGINT + 1) / 4294967296::DOUBLE AS b FROM h)
+SELECT image_id, y, x, ch, trunc(least(255, greatest(0, v + sqrt(-2 * ln(a)) * cos(2 * pi() * b) * 25)))::INT AS v FROM u""")
 def p32(spark, d):
     return ra.add_noise(ra.pixels(tiles(spark, d)), 25, seed=7)
 

@@ -37,14 +37,16 @@ def build_session(app: str = "vellumine", master: str | None = None, **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where
-    that is unset (unit tests on one machine) a temporary folder is used.
+    The cluster names a shared folder in ``spark.checkpoint.dir``; only where that is
+    unset and the master is local (unit tests on one machine) a temporary folder is used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 

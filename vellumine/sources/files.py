@@ -7,14 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vellumine.functions import files as fx
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan that has fewer partitions than the cluster has cores.
+def spread(df: DataFrame, least: int = 8) -> DataFrame:
+    """Deal out a scan of fewer than ``least`` partitions, whatever the cluster's size.
 
-    Small files with one row group arrive in one task; CPU-heavy expressions over them
-    gain from a round-robin exchange. A scan of many files is returned unchanged.
+    Only a few small files with one row group each are worth the exchange; a table of
+    ``least`` splits or more is returned unchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
 SCAN_DDL = "path string, modificationTime timestamp, length bigint, content binary"
@@ -74,6 +73,8 @@ def file_facts(df: DataFrame) -> DataFrame:
         fx.mime_type(p).alias("mime_type"), F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
 
 
+BATCH_SAMPLES = 1 << 25  # samples in one Arrow batch of rasters; a larger image is a batch of its own
+
 # Channel order of decoded images by channel count.
 CHANNELS = {1: ["GRAY"], 3: ["B", "G", "R"], 4: ["B", "G", "R", "A"]}
 
@@ -82,9 +83,10 @@ def decoded_images(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Decoded images as raster rows: image_id (path), height, width, channels, px.
 
     Decoding is the JVM's image source; the byte-to-number step runs over Arrow buffers
-    without a copy per sample. Images that do not decode are dropped.
+    without a copy per sample. An image that does not decode stays as a row of height and
+    width -1 without channels or samples.
     """
-    img = (spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
+    img = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
            .select(F.col("image.origin").alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data"))
     return samples_from_bytes(img)
 
@@ -95,14 +97,18 @@ def samples_from_bytes(img: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def unpack(batches):
-        for b in batches:
-            data = b.column("data")
-            sizes = [len(v.as_buffer()) for v in data]
-            joined = np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in data]) if sizes else np.empty(0, np.uint8)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            px = pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined.astype(np.int16)))
-            kept = [b.column(c) for c in ("image_id", "height", "width", "nChannels")]
-            yield pa.RecordBatch.from_arrays([*kept, px], names=["image_id", "height", "width", "nChannels", "px"])
+        for whole in batches:
+            upto = np.cumsum([0, *[len(v.as_buffer()) if v.is_valid else 0 for v in whole.column("data")]])
+            first = 0
+            while first < whole.num_rows:  # a bounded number of samples at once, one image at least
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] + BATCH_SAMPLES, side="right")) - 1)
+                b = whole.slice(first, last - first)
+                data = [np.frombuffer(v.as_buffer(), dtype=np.uint8) if v.is_valid else np.empty(0, np.uint8) for v in b.column("data")]
+                offsets = (upto[first : last + 1] - upto[first]).astype(np.int32)
+                px = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(data).astype(np.int16)))
+                kept = [b.column(c) for c in ("image_id", "height", "width", "nChannels")]
+                yield pa.RecordBatch.from_arrays([*kept, px], names=["image_id", "height", "width", "nChannels", "px"])
+                first = last
 
     flat = img.select("image_id", "height", "width", "nChannels", "data").mapInArrow(
         unpack, "image_id string, height int, width int, nChannels int, px array<smallint>")

@@ -123,8 +123,11 @@ def metadata_report(props: DataFrame) -> DataFrame:
     s = F.col("source")
     section = (F.when(s == "Filesystem", 1).when(s.startswith("EXIF"), 2).when(s == "XMP", 3).when(s.startswith("IPTC"), 4)
                .when(s.startswith("PDF"), 5).otherwise(6))
-    cell = lambda c, cut, pad: F.rpad(F.substring(F.regexp_replace(c, "\n", " "), 1, cut), pad, " ")
-    line = F.concat_ws(" | ", cell("property", 34, 35), cell("value", 30, 32), s)
+    def cell(name: str, width: int):  # widths pad, they never cut
+        flat = F.regexp_replace(name, "\n", " ")
+        return F.when(F.length(flat) < width, F.rpad(flat, width, " ")).otherwise(flat)
+
+    line = F.concat_ws(" | ", cell("property", 35), cell("value", 32), s)
     return props.select("evidence_id", section.alias("section"), "property", line.alias("text"))
 
 

@@ -50,8 +50,9 @@ def register_batch(tables: EvidenceTables, case_of: Callable[[DataFrame], Column
         imported = records.history_rows(done, case, item, F.lit("Evidence imported"), [F.col("file_path"), F.col("sha256")])
         seen = ["case_id", "evidence_id", "operation"]
         tables.append("processing_history", imported.join(tables.read_buckets("processing_history", scan).select(seen), seen, "left_anti"))
-        text = F.concat(F.lit("SHA-256 mismatch! Recorded: "), F.substring("recorded_sha256", 1, 12),
-                        F.lit("..., Current: "), F.substring("sha256", 1, 12), F.lit("..."))
+        # whole digests and the file's time: a change back and forth is three events
+        text = F.concat(F.lit("SHA-256 mismatch! File: "), fx.base_name(F.col("file_path")), F.lit(", Recorded: "), F.col("recorded_sha256"),
+                        F.lit(", Current: "), F.col("sha256"), F.lit(", Modified: "), F.col("modificationTime").cast("string"))
         changes = records.audit_rows(done.where(F.col("status") == "INTEGRITY CHANGED"), case, item, F.col("status"), text)
         told = ["case_id", "evidence_id", "event_type", "description"]
         tables.append("case_events", changes.join(tables.read_buckets("case_events", scan).select(told), told, "left_anti"))
