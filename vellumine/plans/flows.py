@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vellumine.functions import fixed
 from vellumine.functions.numbering import hash_chunk, hash_order
 from vellumine.operators import integrity, metadata, raster, records, runs, text_id
 from vellumine.session import cut_lineage
@@ -29,23 +30,60 @@ def identify_pages(pages: DataFrame, text: str = "text", stat: tuple[str, str] |
 
 
 def recognise_documents(page_runs: DataFrame, doc: str, page: str) -> DataFrame:
-    """Runs of many pages to one row per document: text, language, agreement.
+    """Runs of many pages to one row per document: text, language, script."""
+    return recognition_examination(page_runs, doc, page)["documents"]
+
+
+def recognition_examination(page_runs: DataFrame, doc: str, page: str, file_digest: Column | None = None, engine: Column | None = None,
+                            profiles: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Pages and documents of a table of recognition runs.
+
+    ``pages``: the best run of each page with script, language and counts, the agreement of
+    its runs (overlap of the first two texts) and what review it needs. ``documents``: text,
+    language and script votes, the least agreement over the pages, the conclusion and the
+    integrity snapshot. ``profiles`` (language, gram, gain, floor) add the statistical vote of
+    each page to its word scores. ``file_digest`` and ``engine`` are columns of the documents.
 
     Pages shuffle once on (document, page), documents once on the document key.
     """
     best = runs.best_run(page_runs, [doc, page], runs.candidate_score(F.col("confidence"), F.col("text")))
-    named = identify_pages(best.withColumnRenamed("confidence", "ocr_confidence"))
-    # the page results feed three groupings: finish them once instead of three times
-    valid = cut_lineage(runs.validate_pages(named).select(
-        doc, page, "text", "script", "language", "language_confidence"))
-    text = runs.assemble_documents(valid, [doc], page)
-    vote = runs.language_vote(valid, [doc], page)
-    script = runs.script_vote(valid, [doc], page)
-    return text.join(vote, doc).join(script, doc, "left")
+    best = best.withColumnRenamed("confidence", "ocr_confidence")
+    stat = None
+    if profiles is not None:
+        keyed = best.withColumn("_page", F.to_json(F.struct(doc, page)))
+        votes = text_id.score_profiles(keyed, "_page", profiles)
+        best = keyed.join(votes, "_page", "left").drop("_page")
+        stat = ("stat_language", "stat_probability")
+    agreed = runs.run_consensus(page_runs, [doc, page]).select(doc, page, "agreement_level", "overlap_score")
+    named = identify_pages(best, stat=stat).join(agreed, [doc, page], "left")
+    kept = runs.validate_pages(named).withColumns({"manual_review": runs.manual_review(F.col("agreement_level")), "status": runs.run_status(F.col("text"))})
+    # the page results feed several groupings: finish them once
+    pages = cut_lineage(kept.select(doc, page, "text", "script", "language", "language_confidence", "ocr_confidence", "agreement_level", "overlap_score", "manual_review", "status"))
+    text = runs.assemble_documents(pages, [doc], page)
+    vote = runs.language_vote(pages, [doc], page)
+    script = runs.script_vote(pages, [doc], page)
+    agreement = pages.groupBy(doc).agg(F.min("overlap_score").alias("least_overlap"), F.count_if(F.col("manual_review") == "Required").alias("pages_to_review"))
+    documents = text.join(vote, doc).join(script, doc, "left").join(agreement, doc)
+    none = F.lit(None).cast("string")
+    documents = documents.withColumns({
+        "conclusion": runs.reliability_conclusion(F.col("overall_confidence")),
+        "snapshot": integrity.snapshot(F.col("total_text"), none if file_digest is None else file_digest, none if engine is None else engine)})
+    return {"pages": pages, "documents": documents}
 
 
 def examine_metadata(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(property rows, one facts row with flags per file) of a binary scan.
+    """(property rows, one facts row with flags per file) of a binary scan."""
+    found = metadata_examination(files)
+    return found["properties"], found["facts"]
+
+
+def metadata_examination(files: DataFrame, supplied: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything the metadata examination of a binary scan finds.
+
+    ``supplied`` are property rows (evidence_id, property, value, source) of decoders that
+    are not part of the library: EXIF, EXIF GPS, IPTC / IIM, PDF Info. Their evidence_id is
+    the file's path. Returned: ``properties`` with their category, ``facts`` with flags and
+    inconsistencies, ``timeline``, ``summary``, ``anomalies`` and ``quality``.
 
     The content is read once: digests, signature, packet, active content and container
     segments are kept in a checkpoint without it, and everything else comes from there.
@@ -60,13 +98,25 @@ def examine_metadata(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(metadata.xmp_rows(seen).drop("n"))
         .unionByName(metadata.segment_rows(segments))
     )
-    software = metadata.software_indicators(props)
-    facts = seen.drop("segments").join(software, "evidence_id", "left").withColumns({
-        "exif_width": F.lit(None).cast("int"), "exif_height": F.lit(None).cast("int"),
-        "decoded_width": F.lit(None).cast("int"), "decoded_height": F.lit(None).cast("int"),
-        "exif_present": F.lit(False), "gps_present": F.lit(False), "has_thumbnail": F.lit(False),
-        "xmp_present": F.col("packet").isNotNull()})
-    return props, metadata.consistency(facts)
+    if supplied is not None:
+        props = props.unionByName(supplied.select(*metadata.ROW))
+    props = cut_lineage(metadata.route_rows(props))
+    p, s, v = F.col("property"), F.col("source"), F.col("value")
+    any_of = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    side = lambda n: F.max(F.when((p == "Dimensions") & (s == "PNG IHDR"), F.regexp_extract(v, r"^(\d+) × (\d+)", n).try_cast("int")))
+    marks = props.groupBy("evidence_id").agg(
+        any_of((s == "EXIF") & ~p.endswith("Status")).alias("exif_present"), any_of((s == "EXIF GPS") & (p == "GPS Present") & (v == "YES")).alias("gps_present"),
+        any_of(p.contains("Thumbnail") & ~F.upper(v).isin("NO", "NONE", F.upper(F.lit(fixed.NOT_AVAILABLE)))).alias("has_thumbnail"),
+        side(1).alias("decoded_width"), side(2).alias("decoded_height"),
+        F.min(F.when((s == "PDF Info") & (F.lower(p) == "creator"), v)).alias("creator"), F.min(F.when((s == "PDF Info") & (F.lower(p) == "producer"), v)).alias("producer"))
+    wide = metadata.file_facts(props)
+    facts = seen.drop("segments").join(metadata.software_indicators(props), "evidence_id", "left").join(marks, "evidence_id", "left").join(wide, "evidence_id", "left")
+    facts = metadata.consistency(facts.withColumns({
+        "exif_width": F.col("exif_width").try_cast("int"), "exif_height": F.col("exif_height").try_cast("int"), "xmp_present": F.col("packet").isNotNull()}))
+    found = facts.select("evidence_id", F.coalesce("software", F.lit("")).alias("software"), F.coalesce("creator", F.lit("")).alias("creator"),
+                         F.coalesce("producer", F.lit("")).alias("producer"), F.col("detected_format").alias("file_type"), "inconsistencies")
+    return {"properties": props.select(*metadata.ROW), "routed": props, "facts": facts, "timeline": metadata.observed_timeline(props),
+            "summary": metadata.examination_summary(props), "anomalies": metadata.anomalies(found), "quality": metadata.jpeg_quality(segments)}
 
 
 def histogram_examination(images: DataFrame) -> dict[str, DataFrame]:

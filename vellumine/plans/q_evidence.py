@@ -298,15 +298,18 @@ def m13(spark, d):
     return md.anomalies(p, tools=["ring", "gear"]).select("p_partkey", "severity", "finding", "tag")
 
 
+VISIBLE = "(?s)<script.*?</script>|<style.*?</style>|<[^>]*>"  # what is not visible text of a page
+
+
 def page_table(spark, d):
     p = table(spark, d, "pages")
     images = F.regexp_count("html", F.lit("<img"))
     return p.select("page_id", F.floor(F.col("page_id") / 10).cast("bigint").alias("doc_id"), (F.col("page_id") % 10 + 1).alias("page_number"),
-                    F.when(F.col("page_id") % 7 < 5, F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).otherwise(" ").alias("text"),
+                    F.regexp_replace("html", VISIBLE, " ").alias("text"),
                     images.alias("image_count"), "html")
 
 
-PAGES_SQL = r"""pg AS (SELECT page_id, page_id // 10 AS doc_id, page_id % 10 + 1 AS page_number, CASE WHEN page_id % 7 < 5 THEN regexp_extract(html, '(?s)<title>(.*?)</title>', 1) ELSE ' ' END AS text,
+PAGES_SQL = r"""pg AS (SELECT page_id, page_id // 10 AS doc_id, page_id % 10 + 1 AS page_number, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g') AS text,
   (length(html) - length(replace(html, '<img', ''))) // 4 AS images FROM pages),
 cl AS (SELECT *, CASE WHEN trim(text) <> '' AND images > 0 THEN 'BOTH' WHEN trim(text) <> '' THEN 'TEXT' WHEN images > 0 THEN 'IMAGE' ELSE 'BLANK' END AS classification FROM pg)"""
 

@@ -236,19 +236,18 @@ def o17(spark, d):
     return rn.review_queue(words(spark, d), "page").select("page", "l_partkey", "region_id", "issue")
 
 
-POINTS = [(0, 1), (2, 3), (4, 5), (6, 7)]
 
 
 @query("o18_polygon_box", """
-WITH p AS (SELECT vec_id, list_transform([1, 3, 5, 7], lambda i: embedding[i]::DOUBLE * 100) AS xs,
-  list_transform([2, 4, 6, 8], lambda i: embedding[i]::DOUBLE * 100) AS ys FROM embeddings),
+WITH p AS (SELECT vec_id, list_transform(range(1, len(embedding), 2), lambda i: embedding[i]::DOUBLE * 100) AS xs,
+  list_transform(range(2, len(embedding) + 1, 2), lambda i: embedding[i]::DOUBLE * 100) AS ys FROM embeddings),
 b AS (SELECT vec_id, trunc(list_min(xs))::INT AS x, trunc(list_min(ys))::INT AS y, trunc(list_max(xs) - list_min(xs))::INT AS w,
   trunc(list_max(ys) - list_min(ys))::INT AS h FROM p)
 SELECT * FROM b WHERE w > 0 AND h > 0""")
 def o18(spark, d):
     e = table(spark, d, "embeddings")
-    points = F.array(*[F.struct((F.get("embedding", F.lit(i)).cast("double") * 100).alias("x"),
-                                (F.get("embedding", F.lit(j)).cast("double") * 100).alias("y")) for i, j in POINTS])
+    at = lambda i: F.get("embedding", i).cast("double") * 100
+    points = F.transform(F.sequence(F.lit(0), F.size("embedding") - 2, F.lit(2)), lambda i: F.struct(at(i).alias("x"), at(i + 1).alias("y")))
     return e.select("vec_id", rn.polygon_box(points).alias("b")).where("b IS NOT NULL").select("vec_id", "b.*")
 
 
