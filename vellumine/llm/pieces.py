@@ -28,8 +28,9 @@ from vellumine.llm.common import free_names
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-LONG = 256  # bytes; longer segments take the path position by position
-BLOCK = 1 << 21  # bytes of distinct segments handled at once
+LONG = 48  # bytes; longer segments take the path position by position
+BLOCK = 1 << 17  # bytes of distinct segments handled at once
+SLICE = 1 << 22  # bytes of text, or ids, of the rows handled at once
 
 
 class DoubleArray:
@@ -309,6 +310,19 @@ class Vocabulary:
         return pa.array(out, pa.string())
 
 
+def row_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about SLICE bytes or ids, one row at least."""
+    if pa.types.is_list(column.type):
+        upto = column.offsets.to_numpy().astype(np.int64)
+    else:
+        upto = W.buffers(column)[1]
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + SLICE, side="right")) - 1)
+        yield first, last
+        first = last
+
+
 def with_column(df: DataFrame, source: str, name: str, kind: T.DataType, of) -> DataFrame:
     """``df`` with a column made from column ``source``, batch by batch."""
     at = df.columns.index(source)
@@ -316,7 +330,9 @@ def with_column(df: DataFrame, source: str, name: str, kind: T.DataType, of) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = of()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], [*batch.schema.names, name])
+            for first, last in row_slices(batch.column(at)):
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(at))], [*batch.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
