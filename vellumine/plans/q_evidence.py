@@ -457,3 +457,20 @@ def u2(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), "n_chars")
     modules = [slots.Analysis("Metadata Analysis", measure), slots.Analysis("Splicing Analysis")]
     return fi.fusion_matrix(docs.select("evidence_id"), slots.run_analyses(docs, modules)).drop("evidence_strength")
+
+
+# --- depth and length without limits --------------------------------------------
+@query("m06_deep_json", """SELECT doc_id::VARCHAR AS evidence_id, rtrim(repeat('a:', 12), ':') || '[1]' AS property, lang AS value, 'XMP' AS source FROM documents
+UNION ALL SELECT doc_id::VARCHAR, rtrim(repeat('a:', 12), ':') || '[0]', doc_id::VARCHAR, 'XMP' FROM documents""")
+def m06_deep(spark, d):
+    nested = F.concat(F.repeat(F.lit('{"a":'), F.lit(12)), F.lit('["'), F.col("doc_id").cast("string"), F.lit('","'), F.col("lang"), F.lit('"]'), F.repeat(F.lit("}"), F.lit(12)))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), nested.alias("j"))
+    return md.flatten_json(docs, "evidence_id", "j")
+
+
+@query("m05_long_xmp_text", """SELECT doc_id::VARCHAR AS evidence_id, '1.1:title' AS property, md5(repeat(lang || source, 300)) AS value_md5 FROM documents""")
+def m05_long(spark, d):
+    packet = F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>'),
+                      F.repeat(F.concat("lang", "source"), F.lit(300)), F.lit("</dc:title><dc:title>second</dc:title></x:xmpmeta>"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), packet.alias("packet"))
+    return md.xmp_rows(docs).select("evidence_id", "property", F.md5(F.col("value").cast("binary")).alias("value_md5"))

@@ -383,3 +383,28 @@ def i06(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = docs.join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("m")), "doc_id", "left")
     return found.select("doc_id", ig.intake_status(F.when(F.col("m") == 1, F.sha2("text", 256))).alias("status"))
+
+
+# --- rows with null and tied keys ---------------------------------------------
+@query("r03_insert_null_and_tied_keys", """
+WITH b AS (SELECT CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey % 5 END AS k FROM customer)
+SELECT k, (k IS NOT NULL AND k <> 1)::BIGINT AS n_accepted, count(*) - (k IS NOT NULL AND k <> 1)::BIGINT AS n_rejected FROM b GROUP BY k""")
+def r03_odd_keys(spark, d):
+    c = table(spark, d, "customer")
+    key = F.when(F.col("c_nationkey") % 5 > 0, F.col("c_nationkey") % 5)
+    batch = c.select(key.alias("k"), F.col("c_mktsegment").alias("o"), F.lit("same").alias("name"))  # few orders: most rows are tied
+    base = c.where("c_nationkey % 5 = 1").select((F.col("c_nationkey") % 5).alias("k")).limit(1)
+    accepted, rejected = rc.insert_new(base, batch, "k", ["o"])
+    both = accepted.select("k", F.lit(1).alias("a")).unionByName(rejected.select("k", F.lit(0).alias("a")))
+    return both.groupBy("k").agg(F.sum("a").alias("n_accepted"), F.sum(1 - F.col("a")).alias("n_rejected"))
+
+
+@query("r11_number_null_groups", """
+WITH e AS (SELECT event_id, CASE WHEN user_id % 7 > 0 THEN user_id % 7 END AS g, CASE WHEN event_id % 11 > 0 THEN event_id END AS o FROM events)
+SELECT event_id, g, row_number() OVER (PARTITION BY g ORDER BY o NULLS FIRST, event_id) AS seq FROM e""")
+def r11_null_groups(spark, d):
+    from vellumine.functions.numbering import id_chunk, number_rows
+
+    e = table(spark, d, "events").select(
+        "event_id", F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 7).alias("g"), F.when(F.col("event_id") % 11 > 0, F.col("event_id")).alias("o"))
+    return number_rows(e, ["g"], ["o", "event_id"], id_chunk("o", 512)).select("event_id", "g", "seq")
