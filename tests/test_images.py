@@ -170,3 +170,25 @@ def test_colour_space_labels(spark):
     df = spark.createDataFrame([(["GRAY"], 8), (["GRAY"], 16), (["GRAY", "A"], 8), (["B", "G", "R"], 8), (["B", "G", "R", "A"], 8)], "c array<string>, b int")
     got = [tuple(r[0]) for r in df.select(ra.colour_space(F.col("c"), F.col("b"))).collect()]
     assert got == [("Grayscale", False, 8), ("16-bit Grayscale", False, 16), ("LA (Grayscale + Alpha)", True, 8), ("RGB", False, 8), ("RGBA", True, 8)]
+
+
+def test_error_level_on_bands(spark):
+    _, raster = random_raster(spark, 20, 3)
+    other = raster.withColumn("px", F.expr("transform(px, v -> CAST((v DIV 7) * 7 AS SMALLINT))"))
+    key = lambda df: sorted(map(tuple, df.select("image_id", "y", "x", "ch", "v").collect()))
+    whole, bands = key(ra.error_level(raster, other)), lambda r: ra.to_bands(r, lines=6, halo=2)
+    assert whole == key(ra.error_level(bands(raster), other)) == key(ra.error_level(raster, bands(other))) == key(ra.error_level(bands(raster), bands(other)))
+
+
+def test_filter_beyond_the_halo_raises(spark):
+    _, raster = random_raster(spark, 30, 4)
+    assert ra.gaussian_blur(ra.to_bands(raster, lines=10, halo=3), 7).count() == ra.gaussian_blur(raster, 7).count()
+    with pytest.raises(Exception, match="reaches 4 lines"):
+        ra.gaussian_blur(ra.to_bands(raster, lines=10, halo=3), 9).count()
+
+
+def test_noise_does_not_depend_on_partitions(spark):
+    _, raster = random_raster(spark, 9, 9)
+    px = ra.pixels(raster)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(ra.add_noise(px, 25, 3)) == key(ra.add_noise(px.repartition(5, "x"), 25, 3)) != key(ra.add_noise(px, 25, 4))

@@ -178,3 +178,40 @@ def test_default_case_events(spark, at):
     df = rc.default_case(spark.createDataFrame([("f1", None), ("f2", "C")], "file string, case_id string"), F.lit("CASE-2026-000001"))
     ev = rc.auto_case_events(df, F.lit(at).cast("timestamp") if at else None).collect()
     assert [(e.case_id, e.event_type) for e in ev] == [("CASE-2026-000001", "Case Created")]
+
+
+def test_insert_new_accounts_for_every_row(spark):
+    batch = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 1), (None, 1), ("b", 1)], "k string, o int")
+    base = spark.createDataFrame([("b",), (None,)], "k string")
+    accepted, rejected = rc.insert_new(base, batch, "k", ["o"])
+    assert [tuple(r) for r in accepted.collect()] == [("a", 1)]
+    assert sorted(map(str, (tuple(r) for r in rejected.collect()))) == sorted(map(str, [("a", 1), ("a", 2), (None, 1), (None, 1), ("b", 1)]))
+
+
+def test_documents_of_unknown_pages_stay(spark):
+    pages = spark.createDataFrame([("d1", "Unknown"), ("d2", "Hindi"), ("d2", "Unknown")], "doc string, language string")
+    got = {r.doc: (r.detected_languages, r.is_multi_language) for r in rn.document_languages(pages, ["doc"]).collect()}
+    assert got == {"d1": ([], False), "d2": (["Hindi"], False)}
+
+
+def test_only_failing_pages_fail_and_models_load_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def read(batches):
+        import os
+        import uuid
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()  # a load
+        for b in batches:
+            if "p2" in list(b["page_key"]):
+                raise ValueError("bad page")
+            yield b.assign(text="ok", confidence=90.0, word_confidences=[[]] * len(b))
+
+    engine = slots.Recogniser("one", read, {"Hindi": "hin"})
+    pages = spark.createDataFrame([(f"p{i}", "Hindi", b"x") for i in range(4)], "page_key string, language string, content binary").coalesce(1)
+    got = {r.page_key: (r.text, r.error) for r in slots.recognise(slots.assign_engine(pages, [engine]), [engine]).collect()}
+    assert got == {"p0": ("ok", ""), "p1": ("ok", ""), "p2": ("", "one error: bad page"), "p3": ("ok", "")}
+    many = spark.range(3000).selectExpr("'q' || id AS page_key", "'Hindi' AS language", "CAST('x' AS BINARY) AS content").coalesce(1)
+    import os
+    before = len(os.listdir(folder))
+    assert slots.recognise(slots.assign_engine(many, [engine]), [engine]).count() == 3000
+    assert len(os.listdir(folder)) - before == 1
