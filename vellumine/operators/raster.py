@@ -3,9 +3,10 @@
 A raster row is one image, or one band of it: ``(image_id, height, width, channels,
 px)`` with ``px`` the samples in scan order, channels interleaved. ``positions`` turns a
 row into one row per sample while keeping the array at hand, so a neighbour is an array
-read inside the same generated code: filters need no join, no shuffle and no Python,
-and any number of images of any share are processed where they were read. A very large
-image is cut into bands with a halo (``to_bands``) and spread over tasks.
+read inside the same generated code: small filters need no join, no shuffle and no Python.
+Wide means and medians run over whole bands in Arrow batches, map side, where shifted
+copies of the array do the work. A very large image is cut into bands with a halo
+(``to_bands``) and spread over tasks.
 
 Statistics come from 256-bin histograms, which are combined per partition before the
 shuffle: at most 256 rows per image, channel and task cross the network.
@@ -16,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellumine.functions.bands import half_even, percent
@@ -343,29 +346,80 @@ def gaussian_taps(k: int) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def separable(raster: DataFrame, taps: Sequence[float], border: str, anchor: int | None = None) -> DataFrame:
-    """Positions with ``acc``, the separable weighted mean around each sample.
-
-    The horizontal pass is an array transform in the image's row, the vertical pass a
-    few array reads in generated code: 2k operations per sample instead of k squared.
+def _border(at: np.ndarray, n: int, border: str) -> np.ndarray:
+    """Indices inside 0..n-1 for indices that may lie beyond."""
+    if border == REPLICATE:
+        return np.clip(at, 0, n - 1)
+    return (n - 1) - np.abs((n - 1) - at % max(1, 2 * (n - 1)))
+
+
+def _planes(px, width: int, nc: int) -> np.ndarray:
+    return np.asarray(px).reshape(-1, width, nc)
+
+
+def _rows_of(lines: int, height: int, y_first: int, shift: int, border: str) -> np.ndarray:
+    """Line of the band that stands ``shift`` below each of its lines; owned lines find theirs
+    inside the band, halo lines may be held back at its ends and are not used."""
+    return np.clip(_border(np.arange(y_first, y_first + lines) + shift, height, border) - y_first, 0, lines - 1)
+
+
+def _smoothed(taps: Sequence[float], border: str, anchor: int):
+    """Separable weighted mean of whole bands, taps added in order."""
+    @F.pandas_udf("array<double>")
+    def run(px: pd.Series, height: pd.Series, width: pd.Series, nc: pd.Series, y_first: pd.Series) -> pd.Series:
+        out = []
+        for p, h, w, c, y in zip(px, height, width, nc, y_first):
+            if p is None or not len(p):
+                out.append(p)
+                continue
+            a = _planes(p, w, c).astype(np.float64)
+            across = sum((a[:, _border(np.arange(w) + i - anchor, w, border)] * t for i, t in enumerate(taps[1:], 1)), a[:, _border(np.arange(w) - anchor, w, border)] * taps[0])
+            down = sum((across[_rows_of(len(a), h, y, i - anchor, border)] * t for i, t in enumerate(taps[1:], 1)), across[_rows_of(len(a), h, y, -anchor, border)] * taps[0])
+            out.append(down.ravel())
+        return pd.Series(out)
+    return run
+
+
+def _medians(k: int):
+    """Median over k x k of whole bands, 64 lines at once."""
+    @F.pandas_udf("array<smallint>")
+    def run(px: pd.Series, height: pd.Series, width: pd.Series, nc: pd.Series, y_first: pd.Series) -> pd.Series:
+        out, reach = [], k // 2
+        for p, h, w, c, y in zip(px, height, width, nc, y_first):
+            if p is None or not len(p):
+                out.append(p)
+                continue
+            a, done = _planes(p, w, c), []
+            for top in range(0, len(a), 64):
+                lines = [_rows_of(len(a), h, y, dy, REPLICATE)[top : top + 64] for dy in range(-reach, reach + 1)]
+                sides = [_border(np.arange(w) + dx, w, REPLICATE) for dx in range(-reach, reach + 1)]
+                window = np.stack([a[rows][:, cols] for rows in lines for cols in sides])
+                done.append(np.partition(window, k * k // 2, axis=0)[k * k // 2])
+            out.append(np.concatenate(done).ravel())
+        return pd.Series(out)
+    return run
+
+
+def _beside(raster: DataFrame, reach: int, **made) -> DataFrame:
+    """As ``positions``, with the values of whole-band functions at each sample.
+
+    The functions run over Arrow batches of bands, map side; nothing is shuffled.
     """
-    anchor = len(taps) // 2 if anchor is None else anchor
-    r = reaching(raster, max(anchor, len(taps) - 1 - anchor)).withColumn("nc", F.size("channels"))
+    r = reaching(raster, reach).withColumn("nc", F.size("channels"))
+    r = r.withColumns({f"_{n}": f("px", "height", "width", "nc", "y_first") for n, f in made.items()})
+    samples = F.arrays_zip(F.col("px").alias("v"), *[F.col(f"_{n}").alias(n) for n in made])
+    flat = r.select("image_id", "height", "width", "channels", "nc", "y_first", "own_from", "own_to", "px", F.posexplode_outer(samples).alias("i", "_s"))
+    return flat.selectExpr(
+        "image_id", "height", "width", "channels", "nc", "y_first", "own_from", "own_to", "px", "CAST(_s.v AS INT) AS v", *[f"_s.{n} AS {n}" for n in made],
+        "CAST(i % nc AS INT) AS k", "CAST((i DIV nc) % width AS INT) AS x", "CAST(y_first + i DIV (nc * width) AS INT) AS y",
+    ).where("y BETWEEN own_from AND own_to").withColumn("ch", F.get("channels", F.col("k")))
 
-    def tap(i: int) -> str:
-        x = _index(f"((i DIV nc) % width + ({i - anchor}))", "width", border)
-        return f"CAST(get(px, (i DIV (nc * width)) * width * nc + {x} * nc + i % nc) AS DOUBLE) * {taps[i]!r}D"
 
-    across = " + ".join(tap(i) for i in range(len(taps)))
-    r = compute_once(r, {"_across": f"transform(sequence(0, size(px) - 1), i -> {across})"})
-    flat = r.select("image_id", "height", "width", "channels", "nc", "y_first", "own_from", "own_to", "_across",
-                    F.posexplode_outer("px").alias("i", "v"))
-    p = flat.selectExpr(
-        "image_id", "height", "width", "channels", "nc", "y_first", "own_from", "own_to", "_across", "CAST(v AS INT) AS v",
-        "CAST(i % nc AS INT) AS k", "CAST((i DIV nc) % width AS INT) AS x", "CAST(y_first + i DIV (nc * width) AS INT) AS y"
-    ).where("y BETWEEN own_from AND own_to")
-    down = " + ".join(f"{sample(i - anchor, 0, border, '_across')} * {w!r}D" for i, w in enumerate(taps))
-    return p.selectExpr("image_id", "y", "x", "get(channels, k) AS ch", "v", f"{down} AS acc")
+def separable(raster: DataFrame, taps: Sequence[float], border: str, anchor: int | None = None) -> DataFrame:
+    """Positions with ``acc``, the separable weighted mean around each sample."""
+    anchor = len(taps) // 2 if anchor is None else anchor
+    p = _beside(raster, max(anchor, len(taps) - 1 - anchor), acc=_smoothed(list(taps), border, anchor))
+    return p.select("image_id", "y", "x", "ch", "v", "acc")
 
 
 def box_blur(raster: DataFrame, k: int = 5) -> DataFrame:
@@ -381,15 +435,10 @@ def gaussian_blur(raster: DataFrame, k: int = 5) -> DataFrame:
         "image_id", "y", "x", "ch", "CAST(floor(acc + 0.5D) AS INT) AS v")
 
 
-def _median(k: int) -> str:
-    r = k // 2
-    window = ", ".join(sample(dy, dx, REPLICATE) for dy in range(-r, r + 1) for dx in range(-r, r + 1))
-    return f"CAST(get(sort_array(array({window})), {k * k // 2}) AS INT)"
-
-
 def median_blur(raster: DataFrame, k: int = 5) -> DataFrame:
     """Median over an odd k x k, edge samples repeated."""
-    return _filtered(raster, _median(odd(k)), reach=odd(k) // 2)
+    k = odd(k)
+    return _beside(raster, k // 2, m=_medians(k)).selectExpr("image_id", "y", "x", "ch", "CAST(m AS INT) AS v")
 
 
 def sharpen(raster: DataFrame) -> DataFrame:
@@ -423,7 +472,7 @@ def noise_band(variance: Column) -> Column:
 
 def noise_residual(raster: DataFrame, scale: int = 8) -> DataFrame:
     """Difference from the 3x3 median: ``residual`` and its scaled, clipped map ``v``."""
-    p = positions(raster, 1).selectExpr("image_id", "y", "x", "ch", f"abs(v - {_median(3)}) AS residual")
+    p = _beside(raster, 1, m=_medians(3)).selectExpr("image_id", "y", "x", "ch", "abs(v - CAST(m AS INT)) AS residual")
     return p.withColumn("v", F.least(F.lit(255), F.col("residual") * scale))
 
 
@@ -558,18 +607,17 @@ def readiness_issues(df: DataFrame) -> DataFrame:
 def quality_report(raster: DataFrame) -> DataFrame:
     """One quality row per image from a gray raster: measures, ratings, readiness.
 
-    The 3x3 measures share one pass over the samples and the local threshold takes
-    another; both reduce to a few sums per image inside the task, so the final join is
-    of one-row-per-image tables.
+    All measures share one pass over the samples and reduce to a few sums per image inside
+    the task.
     """
     b = "greatest(10, least(height, width) DIV 20)"
     hits = (f"CAST(y < {b} AS INT) + CAST(y >= height - {b} AS INT) + CAST(x < {b} AS INT) + CAST(x >= width - {b} AS INT)")
-    p = positions(raster).selectExpr(
+    p = _beside(raster, 7, m=_medians(3), acc=_smoothed(gaussian_taps(15), REPLICATE, 7)).selectExpr(
         "image_id", "height", "width", "CAST(v AS BIGINT) AS v", f"CAST({weighted(LAPLACE)} AS BIGINT) AS l",
-        f"abs(v - {_median(3)}) AS r", f"CAST({hits} AS BIGINT) AS w")
+        "abs(v - CAST(m AS INT)) AS r", "v <= CAST(rint(acc) AS INT) - 10 AS mark", f"CAST({hits} AS BIGINT) AS w")
     s = p.groupBy("image_id", "height", "width").agg(
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"),
-        F.sum("l").alias("ls"), F.sum(F.col("l") * F.col("l")).alias("lq"), F.sum("r").alias("rs"),
+        F.sum("l").alias("ls"), F.sum(F.col("l") * F.col("l")).alias("lq"), F.sum("r").alias("rs"), F.count_if("mark").alias("t"),
         F.sum("w").alias("wn"), F.sum(F.col("w") * F.col("v")).alias("ws"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("wq"))
 
     def spread(total: str, square: str, n: str) -> Column:
@@ -580,8 +628,8 @@ def quality_report(raster: DataFrame) -> DataFrame:
                  (F.col("s").cast("double") / F.col("n")).alias("brightness_mean"),
                  F.sqrt(spread("s", "q", "n")).alias("contrast_std"),
                  (F.col("rs").cast("double") / F.col("n")).alias("noise_level"),
-                 F.sqrt(spread("ws", "wq", "wn")).alias("background_std"))
-    m = m.join(text_visibility(raster), "image_id")
+                 F.sqrt(spread("ws", "wq", "wn")).alias("background_std"),
+                 (F.col("t").cast("double") / F.col("n")).alias("text_pixel_ratio"))
     size = F.col("height").cast("bigint") * F.col("width")
     return readiness_issues(m.withColumns({
         "resolution_rating": resolution_rating(size), "dpi_estimate": dpi_estimate(size),
@@ -590,7 +638,7 @@ def quality_report(raster: DataFrame) -> DataFrame:
         "brightness_rating": brightness_rating(F.col("brightness_mean")),
         "contrast_rating": contrast_rating(F.col("contrast_std")),
         "noise_rating": noise_rating(F.col("noise_level")),
-        "background_quality": background_rating(F.col("background_std")),
+        "background_quality": background_rating(F.col("background_std")), "text_visibility": visibility_rating(F.col("text_pixel_ratio")),
     }))
 
 
