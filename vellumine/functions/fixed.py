@@ -78,11 +78,7 @@ MODEL_CODES: dict[str, str] = {
     "Telugu": "tel", "Urdu": "urd", "English": "eng",
 }
 FALLBACK_CODES: dict[str, str] = {"Konkani": "hin", "Maithili": "hin", "Bodo": "hin", "Dogri": "hin"}
-SECOND_ENGINE_CODES: dict[str, str] = {
-    "Hindi": "hi", "Marathi": "mr", "Nepali": "ne", "Sanskrit": "sa", "Bhojpuri": "bho",
-    "Bengali": "bn", "Assamese": "bn", "Gujarati": "gu", "Punjabi": "pa", "Tamil": "ta",
-    "Telugu": "te", "Kannada": "kn", "Malayalam": "ml", "Odia": "or", "Urdu": "ur", "English": "en",
-}
+
 SCRIPT_CODES: dict[str, list[str]] = {
     "Bengali": ["ben", "asm"], "Devanagari": ["hin", "mar", "san", "nep"], "Gujarati": ["guj"],
     "Gurmukhi": ["pan"], "Kannada": ["kan"], "Malayalam": ["mal"], "Odia": ["ori"], "Tamil": ["tam"],
@@ -93,13 +89,7 @@ WIDENED_CANDIDATES: list[str] = [
     "English", "Bengali", "Hindi", "Marathi", "Tamil", "Telugu", "Gujarati", "Malayalam",
     "Kannada", "Odia", "Punjabi", "Urdu", "Assamese",
 ]
-# ISO 639-1 codes a statistical detector may report.
-ISO_LANGUAGES: dict[str, str] = {
-    "hi": "Hindi", "mr": "Marathi", "ne": "Nepali", "sa": "Sanskrit", "bn": "Bengali",
-    "as": "Assamese", "gu": "Gujarati", "pa": "Punjabi", "or": "Odia", "ta": "Tamil",
-    "te": "Telugu", "kn": "Kannada", "ml": "Malayalam", "ur": "Urdu", "sd": "Sindhi",
-    "ks": "Kashmiri", "en": "English",
-}
+
 
 # --- marker words ------------------------------------------------------------
 # Function words that tell apart languages sharing one script.
@@ -177,17 +167,12 @@ MISSING_FILE = "Missing File"
 PAGE_BREAK = "\n\n--- Page Break ---\n\n"
 NOT_AVAILABLE = "Not Available"
 ANALYSIS_PENDING = "Analysis Pending"
-DEFAULT_CASE_NAME = "Untitled Forensic Investigation Case"
 
 # Columns a case or evidence patch may touch.
 CASE_PATCH_COLUMNS = [
     "case_name", "title", "examiner", "organization", "description",
     "reference_number", "date", "notes", "status",
 ]
-EVIDENCE_PATCH_COLUMNS = [
-    "name", "evidence_type", "source", "status", "notes", "reviewed", "relevant",
-    "sha256", "md5", "file_type", "file_size", "imported_at",
-]
 
 # Modules of the fusion matrix and analyses of the batch work list.
 FUSION_MODULES = [

@@ -23,9 +23,3 @@ def shown_local(ts: Column, naive: bool = True, offset_minutes: int = DEFAULT_OF
         wall = F.when(wall > F.lit("1970-01-01").cast("timestamp_ntz"),
                       wall + F.expr(f"INTERVAL {int(offset_minutes)} MINUTES"))
     return F.concat(F.date_format(wall, "yyyy-MM-dd HH:mm:ss"), F.lit(" " + suffix))
-
-
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a wall-clock timestamp, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"),
-                            ts.cast("timestamp_ntz"))

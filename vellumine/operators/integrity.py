@@ -51,15 +51,6 @@ def verification_totals(verified: DataFrame) -> DataFrame:
     return verified.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def change_events(verified: DataFrame, case: Column, evidence: Column, at: Column | None = None) -> DataFrame:
-    """An audit event per changed item."""
-    changed = verified.where(F.col("status") == fixed.INTEGRITY_CHANGED)
-    text = F.concat(F.lit("SHA-256 hash mismatch for evidence "), evidence.cast("string"),
-                    F.lit("! Stored: "), F.coalesce(F.col("sha256"), F.lit("")),
-                    F.lit(", Recomputed: "), F.coalesce(F.col("current_sha256"), F.lit("")))
-    return audit_rows(changed, case, evidence, F.lit(fixed.INTEGRITY_CHANGED), text, at)
-
-
 def snapshot(text: Column, file_digest: Column, engine: Column) -> Column:
     """Digest that seals recognised text with its source file and engine."""
     none = F.lit("")

@@ -415,9 +415,9 @@ def observed_timeline(props: DataFrame) -> DataFrame:
             .when((s == "XMP") & F.lower(p).rlike("date|time"), 3))
     shown = F.when(rank == 1, F.concat(F.col("value"), F.lit(" (Timezone: Not encoded / Unknown)"))).otherwise(F.col("value"))
     marks = props.select("evidence_id", s.alias("source"), p.alias("event"), shown.alias("timestamp_str"), rank.alias("_rank")).where("_rank IS NOT NULL")
-    # a chunk is one event name and one calendar day: it ascends with the order, and a
+    # a chunk is one event name and one month: it ascends with the order, and a
     # file that holds a large share of all rows is numbered by many tasks
-    chunk = F.struct("_rank", "event", F.substring("timestamp_str", 1, 10))
+    chunk = F.struct("_rank", "event", F.substring("timestamp_str", 1, 7))
     return number_rows(marks, ["evidence_id"], ["_rank", "event", "timestamp_str"], chunk, "seq").drop("_rank")
 
 
@@ -527,11 +527,6 @@ def file_facts(props: DataFrame, priority: dict[str, list[str]] | None = None) -
     return wide.select("evidence_id", *[F.coalesce(*[at[p] for p in ps]).alias(fact) for fact, ps in wanted.items()])
 
 
-def not_available(c: Column) -> Column:
-    """The absent-value marker, for the report edge only."""
-    return F.coalesce(c.cast("string"), F.lit(fixed.NOT_AVAILABLE))
-
-
 def examine(files: DataFrame) -> DataFrame:
     """Signature, digests, packet and active content of every file in one projection."""
     from vellumine.operators.integrity import digests
@@ -539,7 +534,3 @@ def examine(files: DataFrame) -> DataFrame:
     seen = digests(signature(files))
     return with_xmp_packet(seen).withColumns({
         "security_flags": active_content(F.col("content")), "is_pdf": F.col("detected_format") == "PDF"})
-
-
-def supported_formats() -> Column:
-    return string_array(fixed.SUPPORTED_EXTENSIONS)

@@ -518,12 +518,6 @@ def area_scale(px: DataFrame, factor: int) -> DataFrame:
     return sums.select("image_id", "ch", "y", "x", v.alias("v"))
 
 
-def scale_factor(width: Column, height: Column, target: int) -> Column:
-    """Integer factor that brings the longer side to ``target``, keeping 10 samples a side."""
-    wanted = F.greatest(F.lit(1), F.floor(F.greatest(width, height) / target))
-    return F.least(wanted, F.greatest(F.lit(1), F.floor(F.least(width, height) / 10))).cast("int")
-
-
 def error_level(original: DataFrame, resaved: DataFrame, scale: float = 10.0) -> DataFrame:
     """Scaled absolute difference of two versions of the same images.
 
@@ -574,10 +568,6 @@ def background_rating(std: Column) -> Column:
     return F.when(std < 15, "Clean").when(std < 35, "Noisy").otherwise("Uneven")
 
 
-def orientation_status(angle: Column) -> Column:
-    return F.when(F.abs(angle) < 0.5, "Normal").when(F.abs(angle) < 5.0, "Skewed").otherwise("Heavily Skewed")
-
-
 def background(raster: DataFrame) -> DataFrame:
     """Standard deviation of four border strips (corners count twice) and its rating."""
     b = "greatest(10, least(height, width) DIV 20)"

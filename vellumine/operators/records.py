@@ -275,9 +275,9 @@ def register_or_reuse(scan: DataFrame, registry: DataFrame, order: Sequence[str
 
 
 def import_history(registered: DataFrame, at: Column | None = None) -> DataFrame:
-    """"Evidence imported" history rows of the newly registered items."""
-    return history_rows(registered.where(~F.col("known")), F.col("case_id"), F.col("evidence_id"),
-                        F.lit("Evidence imported"), [F.col("file_path"), F.col("sha256")], at)
+    """"Evidence imported" history rows: path, digest, file type and size."""
+    return history_rows(registered, F.col("case_id"), F.col("evidence_id"), F.lit("Evidence imported"),
+                        [F.col("file_path"), F.col("sha256"), F.col("file_type"), F.col("file_size")], at)
 
 
 # --- examinations ------------------------------------------------------------

@@ -360,8 +360,3 @@ CONCLUSION_NONE = "No detailed analysis performed."
 def reliability_conclusion(confidence: Column) -> Column:
     return (F.when(confidence.isNull(), CONCLUSION_NONE).when(confidence < 50.0, CONCLUSION_LOW)
             .otherwise(CONCLUSION_OK))
-
-
-def configured(settings: Mapping[str, str]) -> Column:
-    """Recogniser settings of a run as a map column."""
-    return F.create_map(*[x for k, v in settings.items() for x in (F.lit(k), F.lit(v))])

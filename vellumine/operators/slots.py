@@ -198,7 +198,3 @@ def module_status(modules: Sequence[Analysis]) -> Column:
 
 def default_modules() -> list[Analysis]:
     return [Analysis(m) for m in fixed.FUSION_MODULES]
-
-
-def module_names() -> Column:
-    return string_array(fixed.FUSION_MODULES)

@@ -298,12 +298,6 @@ def languages_present(df: DataFrame) -> DataFrame:
     return df.withColumn("languages", F.array_union(primary, others))
 
 
-def language_summary(df: DataFrame, group: str) -> DataFrame:
-    """Pages and mean confidence per group, script and language."""
-    return df.groupBy(group, "script", "language").agg(
-        F.count(F.lit(1)).alias("n_pages"), F.sum("script_chars").alias("n_chars"))
-
-
 # --- statistical profiles ----------------------------------------------------
 def char_grams(text: Column, n: int = 3) -> Column:
     """Overlapping character n-grams of the lower-cased text, in one linear pass."""
@@ -366,10 +360,6 @@ def score_profiles(df: DataFrame, key: str, profiles: DataFrame, text: str = "te
 
 
 # --- language capability -----------------------------------------------------
-def installed_table(spark, codes: Sequence[str], second: Sequence[str] = ()) -> DataFrame:
-    """Capability rows (engine, code): installed model codes and second-engine languages."""
-    rows = [("primary", c) for c in codes] + [("secondary", c) for c in second]
-    return spark.createDataFrame(rows or [("primary", "")], "engine string, code string")
 
 
 def support_matrix(spark, installed: Sequence[str], second_languages: Sequence[str] = (),

@@ -99,14 +99,3 @@ TABLES: dict[str, T.StructType] = {
     "findings": FINDINGS,
     "module_status": MODULE_STATUS,
 }
-
-# Relations passed between operators.
-PROPERTY_ROW = _schema("evidence_id string, property string, value string, source string")
-SEGMENT_ROW = _schema(
-    "evidence_id string, segment_no integer, kind string, length integer, payload binary")
-RUN_ROW = _schema("page_key string, run_no integer, engine string, language_model string, "
-                  "variant string, confidence double, text string")
-RECOGNITION = _schema(
-    "page_key string, text string, confidence double, word_confidences array<double>, "
-    "engine string, lang_code string, error string")
-RASTER = _schema("image_id string, height integer, width integer, channels array<string>, px array<short>")

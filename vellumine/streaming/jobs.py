@@ -47,7 +47,7 @@ def register_batch(tables: EvidenceTables, case_of: Callable[[DataFrame], Column
             "sha256", "md5", "status", F.lit(True).alias("relevant"), now.alias("created_at"), now.alias("imported_at"),
             F.upper("declared_ext").alias("file_type"), F.col("length").alias("file_size"), fx.mime_type(F.col("file_path")).alias("mime_type")))
         case, item = F.col("case_id"), F.col("evidence_id")
-        imported = records.history_rows(done, case, item, F.lit("Evidence imported"), [F.col("file_path"), F.col("sha256")])
+        imported = records.import_history(done.withColumns({"file_type": F.upper("declared_ext"), "file_size": F.col("length")}))
         seen = ["case_id", "evidence_id", "operation"]
         tables.append("processing_history", imported.join(tables.read_buckets("processing_history", scan).select(seen), seen, "left_anti"))
         # whole digests and the file's time: a change back and forth is three events
