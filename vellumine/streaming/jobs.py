@@ -14,17 +14,22 @@ from vellumine.sources.tables import EvidenceTables
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def intake_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """New files as they arrive, with digests and container signature."""
+def seen_files(files: DataFrame) -> DataFrame:
+    """Supported files with digests and container signature, without their content."""
     from vellumine.functions import files as fx
 
-    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-             .option("maxFilesPerTrigger", max_files).load(root))
     seen = integrity.digests(metadata.signature(files.where(fx.is_supported(F.col("path")))))
     return seen.select("path", "modificationTime", "length", "sha256", "md5", "declared_ext", "detected_format",
                        "is_consistent", "warning")
 
 
+def intake_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
+    """New files as they arrive, with digests and container signature."""
+    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", max_files).load(root))
+    return seen_files(files)
+
+
 def register_batch(tables: EvidenceTables, case_of: Callable[[DataFrame], Column]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer that registers a batch of files.
 
