@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import exact_dedup, mixing, ngram_join, pieces, queries, toxicity
-from vellumine.llm.common import stored
+from vellumine.llm.common import free_names, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,11 +39,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids, their number, and whether the ids give the text back."""
+    """Documents with their piece ids, their number, and whether the ids give the text back.
+
+    The new columns are ids, n_pieces and round_trip, with a leading underscore where the
+    documents have such a column.
+    """
     model = pieces.Vocabulary(pieces.MODEL)
-    both = pieces.decode(pieces.encode(docs, model=model), model=model)
-    same = F.col("decoded").eqNullSafe(F.translate("text", pieces.MARK, " "))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), same.alias("round_trip"))
+    ids, decoded, number, same = free_names(docs, "ids", "decoded", "n_pieces", "round_trip")
+    both = pieces.decode(pieces.encode(docs, ids_col=ids, model=model), ids_col=ids, text_col=decoded, model=model)
+    back = F.col(decoded).eqNullSafe(F.translate("text", pieces.MARK, " "))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], ids, F.coalesce(F.size(ids), F.lit(0)).cast("long").alias(number), back.alias(same))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -226,19 +226,18 @@ def with_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "ma
 
     Character references are decoded, white space inside a block is one space, nothing else
     is cut. A null or empty page, or one without main text, gives an empty text. Rows, ties
-    and repeats pass through one by one; a ``text_col`` that exists already is an error.
+    and repeats pass through one by one; a column named ``text_col`` is replaced.
     """
-    if text_col.lower() in {c.lower() for c in pages.columns}:
-        raise ValueError(f"there is a column {text_col} already")
     at = pages.columns.index(html_col)
+    kept = [i for i, c in enumerate(pages.columns) if c.lower() != text_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(texts, pa.string())], [*[batch.schema.names[i] for i in kept], text_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(run, f"{schema}, `{text_col}` string")
+    schema = "".join(f"`{pages.schema.fields[i].name}` {pages.schema.fields[i].dataType.simpleString()}, " for i in kept)
+    return pages.mapInArrow(run, f"{schema}`{text_col}` string")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

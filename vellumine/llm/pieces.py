@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumine.llm import words as W
-from vellumine.llm.common import free_names
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -324,34 +323,37 @@ def row_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def with_column(df: DataFrame, source: str, name: str, kind: T.DataType, of) -> DataFrame:
-    """``df`` with a column made from column ``source``, batch by batch."""
+    """``df`` with a column made from column ``source``, batch by batch.
+
+    As with ``withColumn``, a column that has the name already is replaced.
+    """
     at = df.columns.index(source)
+    kept = [i for i, c in enumerate(df.columns) if c.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = of()
         for batch in batches:
             for first, last in row_slices(batch.column(at)):
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(at))], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], make(part.column(at))], [*[batch.schema.names[i] for i in kept], name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    return df.mapInArrow(run, T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(name, kind)]))
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str | Vocabulary = MODEL) -> DataFrame:
-    """``docs`` with the piece ids of each text (array<int>); column names must be unique.
+    """``docs`` with the piece ids of each text (array<int>).
 
     A null text gives null, an empty one no ids. Rows, ties and repeats pass through as they
-    are, as does an empty table. An ``ids_col`` that exists already is an error.
+    are, as does an empty table. A column named ``ids_col`` is replaced.
     """
-    if free_names(docs, ids_col) != [ids_col]:
-        raise ValueError(f"there is a column {ids_col} already")
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model) if isinstance(model, str) else model)
     return with_column(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), lambda: sent.value.encode_column)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str | Vocabulary = MODEL) -> DataFrame:
-    """``df`` with the text of each id list; null gives null, an empty list an empty text."""
-    if free_names(df, text_col) != [text_col]:
-        raise ValueError(f"there is a column {text_col} already")
+    """``df`` with the text of each id list; null gives null, an empty list an empty text.
+
+    A column named ``text_col`` is replaced.
+    """
     sent = df.sparkSession.sparkContext.broadcast(Vocabulary(model) if isinstance(model, str) else model)
     return with_column(df, ids_col, text_col, T.StringType(), lambda: sent.value.decode_column)
