@@ -278,8 +278,8 @@ class Scorer:
 def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Scorer:
     """Learn from ``labelled`` (text, toxic) with a character model of all ``docs``.
 
-    The rows used are those whose text hash falls under a share that makes about ``fit_rows``
-    of them; rows with a null label are not used. Without labels of both kinds every text
+    The texts used are those whose hash falls under a share that makes about ``fit_rows`` of
+    the rows, each once per label; rows with a null label are not used. Without labels of both kinds every text
     gets the same score.
     """
     spark = docs.sparkSession
@@ -288,7 +288,8 @@ def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", toxic_col:
     known = labelled.where(F.col(f"`{toxic_col}`").isNotNull())
     share = min(1.0, fit_rows / max(1, known.count()))
     some = known.select((F.col(f"`{toxic_col}`") > 0).cast("int").alias("toxic"), text(known))
-    some = stored(some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int(share * (1 << 24)) + 1), "labelled").repartition(8, F.xxhash64("text"))
+    some = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int(share * (1 << 24)) + 1).distinct()
+    some = stored(some, "labelled").repartition(8, F.xxhash64("text"))
     counts = some.mapInArrow(presence(grams), "feature string, toxic int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     counts = stored(counts.where("t > 0 OR feature = ''"), "features")
