@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellumine.functions import fixed
-from vellumine.operators.records import audit_rows
 
 
 def digests(df: DataFrame, content: str = "content") -> DataFrame:

@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vellumine.functions import files as fx, fixed, text as tx, times
-from vellumine.functions.bands import string_array
 from vellumine.functions.numbering import number_rows
 from vellumine.functions.once import compute_once
 

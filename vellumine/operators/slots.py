@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellumine.functions import fixed
-from vellumine.functions.bands import string_array
 
 Batches = Iterator[pd.DataFrame]
 RECOGNITION_DDL = ("page_key string, text string, confidence double, word_confidences array<double>, "
