@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -103,6 +102,3 @@ def personal(text):
         found += [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text or "") if good(m)]
     return ",".join(found)
 
-
-def counted(values):
-    return Counter(values)

@@ -48,11 +48,6 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def require(df: DataFrame, *columns: str) -> DataFrame:
-    """Only ``columns`` of ``df``; extra columns cannot clash with helper names."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (node, component), the smallest node.
 
