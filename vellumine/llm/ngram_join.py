@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
@@ -142,19 +142,20 @@ def set_digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def sketch(grams: np.ndarray) -> bytes:
+def sketch(grams: np.ndarray) -> np.ndarray:
     """Parities of the set over as many hash buckets as a power of two at its size or more.
 
-    Sets differ in at least as many elements as their parities differ in buckets.
+    Sets differ in at least as many elements as their parities differ in buckets. 64 buckets
+    are a number.
     """
-    buckets = 1 << max(3, int(len(grams) - 1).bit_length())
+    buckets = 1 << max(6, int(len(grams) - 1).bit_length())
     odd = np.bincount((grams >> W.U64(20)).astype(np.int64) & (buckets - 1), minlength=buckets) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def least_difference(a: bytes, b: bytes) -> int:
+def least_difference(a, b) -> int:
     """Lower bound of the number of elements that only one of the two sets has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
     while len(x) != len(y):  # halving the buckets adds parities
         if len(x) < len(y):
             x, y = y, x
@@ -162,6 +163,22 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def not_ruled_out() -> Column:
+    """``least_difference`` within bounds, as a condition on sketch_a, sketch_b, size_a, size_b."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def halved(c: Column) -> Column:
+        half = F.floor(F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), xor)
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+
+    a, b = F.col("sketch_a"), F.col("sketch_b")
+    most = F.col("size_a") + F.col("size_b") - 2 * F.ceil((F.col("size_a") + F.col("size_b")) * NUM / (NUM + DEN))
+    return F.when(F.size(a) == F.size(b), apart(a, b)).when(F.size(a) > F.size(b), apart(halved(a), b)).otherwise(apart(a, halved(b))) <= most
+
+
 def described(n: int):
     """Rows (id, size, digest, sketch) of the sets; digest and sketch of an empty set are null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +189,7 @@ def described(n: int):
                 sizes.append(len(grams))
                 digests.append(set_digest(grams) if len(grams) else None)
                 sketches.append(sketch(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["id", "size", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["id", "size", "digest", "sketch"])
     return run
 
 
@@ -287,7 +304,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    light = stored(texts.mapInArrow(described(n), "id long, size long, digest binary, sketch binary"), "sets")
+    light = stored(texts.mapInArrow(described(n), "id long, size long, digest binary, sketch array<long>"), "sets")
     heavy, ranks, length = frequent_ngrams(texts.select("text"), n)
     histogram = {r["size"]: r["k"] for r in light.where("size > 0").groupBy(F.least("size", F.lit(4 * LARGEST_BOUNDARY)).alias("size")).agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(histogram, length)
@@ -335,10 +352,14 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # what is still apart: members outside their list's largest component against all of it
     counts = open_lists.groupBy("key", "component").agg(F.count("*").alias("k"))
     major = stored(counts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major")), "major")
-    tagged = stored(open_lists.join(major.hint("merge"), "key"), "tagged")
-    apart = tagged.where("component <> major").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), F.col("component").alias("c"))
-    rest = apart.join(tagged.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), "component").hint("merge"), "key")
-    rest = rest.where((F.col("c") != F.col("component")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parities = sketches.groupBy(F.col("id").alias("node")).agg(F.first("sketch").alias("sketch"), (F.count(F.lit(1)) == 1).alias("single"))
+    tagged = open_lists.join(major.hint("merge"), "key").join(stored(parities, "parities").hint("merge"), "node")
+    tagged = stored(tagged, "tagged")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "sketch", "single")]
+    apart = tagged.where("component <> major").select("key", F.col("node").alias("a"), F.col("component").alias("c"), *side("a"))
+    rest = apart.join(tagged.select("key", F.col("node").alias("b"), "component", *side("b")).hint("merge"), "key")
+    one_text = F.col("single_a") & F.col("single_b")  # an id with several texts has several sketches
+    rest = rest.where((F.col("c") != F.col("component")) & near & (~one_text | not_ruled_out())).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(similar(stored(rest, "pairs"), sketches, bodies, n))
     groups = components(links).select("node", "component")
     ids = named.join(groups.hint("merge"), "node", "left").select("id", F.coalesce("component", "node").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
