@@ -336,6 +336,7 @@ def with_column(df: DataFrame, source: str, name: str, kind: T.DataType, of) ->
             for first, last in row_slices(batch.column(at)):
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], make(part.column(at))], [*[batch.schema.names[i] for i in kept], name])
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(name, kind)]))
 

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import free_names, stored
+from vellumine.llm.common import stored
 
 FIT_ROWS = 8_192
 THRESHOLD = 0.7
 SURE = 16.0  # likelihood ratio (G squared) a feature must reach
 MOST_FEATURES = 50_000
+KNOWN_WORDS = 100_000  # words whose restored form or weight a task remembers
 PREFIXES = (4, 5, 6, 7)
 
 #: What a sign may stand for (fixed values).
@@ -103,7 +104,7 @@ class Decoder:
 
     def __call__(self, word: str) -> str:
         if word not in self.seen:
-            if len(self.seen) > 100_000:  # only a memory of finished work
+            if len(self.seen) > KNOWN_WORDS:  # only a memory of finished work
                 self.seen.clear()
             self.seen[word] = self.decode(word)
         return self.seen[word]
@@ -171,6 +172,8 @@ class Reader:
         numbers: dict[int, int] = {}
         forms: list[list[str]] = []
         for row, h, (part, starts, ends) in W.documents(column):
+            if len(forms) > KNOWN_WORDS:  # only a memory of finished work
+                numbers, forms = {}, []
             u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             own = np.empty(len(u), dtype=np.int64)
             for k, key in enumerate(u.tolist()):
@@ -213,15 +216,18 @@ def presence(sent):
     return run
 
 
-def hits(sent, weights):
-    """Rows (id..., x1, x2, x3): sum of weights, distinct hits and hits per word of each text."""
+def hits(sent, weights, at: int | None = None):
+    """Rows (..., x1, x2, x3): sum of weights, distinct hits and hits per word of each text.
+
+    The text is column ``at``, which stays; by default it is the last column, which goes.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weight = Reader(sent.value), weights.value
         strength: dict[str, float] = {}
 
         def of(word: str) -> float:
             if word not in strength:
-                if len(strength) > 500_000:  # only a memory of finished work
+                if len(strength) > KNOWN_WORDS:  # only a memory of finished work
                     strength.clear()
                 strength[word] = max((weight.get(f, 0.0) for f in features(word)), default=0.0)
             return strength[word]
@@ -230,7 +236,7 @@ def hits(sent, weights):
             out = np.zeros((batch.num_rows, 3))
             known: list[float] = []
             last = None
-            for row, own, forms, spaced in reader.read(batch.column(batch.num_columns - 1)):
+            for row, own, forms, spaced in reader.read(batch.column(batch.num_columns - 1 if at is None else at)):
                 if forms is not last:
                     known, last = [], forms
                 known.extend(max((of(w) for w in ws), default=0.0) for ws in forms[len(known) :])
@@ -238,7 +244,9 @@ def hits(sent, weights):
                 more = np.array([max(map(of, group)) for group in spaced]) if spaced else np.zeros(0)
                 strong = w > 0
                 out[row] = w.sum() + more.sum(), len(np.unique(own[strong])) + int((more > 0).sum()), (strong.sum() + (more > 0).sum()) / max(1, len(own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(out[:, i]) for i in range(3)]], [*batch.schema.names[:-1], "x1", "x2", "x3"])
+            kept = batch.num_columns - (at is None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *[pa.array(out[:, i]) for i in range(3)]], [*batch.schema.names[:kept], "x1", "x2", "x3"])
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -327,8 +335,7 @@ def chance(curve: np.ndarray):
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with their columns."""
-    names = free_names(docs, "x1", "x2", "x3", "read")
-    body = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(names[3]))
+    body = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    scored = body.mapInArrow(hits(scorer.grams, scorer.weights), f"{fields}, x1 double, x2 double, x3 double")
+    scored = body.mapInArrow(hits(scorer.grams, scorer.weights, docs.columns.index(text_col)), f"{fields}, x1 double, x2 double, x3 double")
     return scored.where(chance(scorer.curve) < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
