@@ -259,6 +259,25 @@ def test_main_text_of_all_pages_is_the_article(spark, sf_dir):
         assert r.text == "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks) if x)
 
 
+SIDE = f"<div class='sidebar'><p>{LONG}</p></div><div id='comments'><p>{LONG}</p></div>"
+STORY = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}{LONG}</p>"
+FRAMES = [
+    f"<body><div class='content-with-sidebar'><div>{STORY}</div>{SIDE}</div></body>",
+    f"<body><p>Tag line</p><div class='layout-sidebar-right'><article>{STORY}</article>{SIDE}</div></body>",
+    f"<body><form id='aspnetForm'><div class='header'>Site</div><div>{STORY}</div>{SIDE}<form>{LONG}</form></form></body>",
+    f"<body><div class='page widget'><div>{STORY}</div>{SIDE}</div><div class='cookie-notice'>{LONG}</div></body>",
+    "<body><div class='elementor-column'>" + "".join(f"<div class='elementor-widget elementor-widget-{k}'><div class='elementor-widget-container'>{x}</div></div>" for k, x in
+                                                     (("heading", "<h1>Head</h1>"), ("text", f"<p>{LONG}</p>"), ("text", f"<p>{LONG}{LONG}</p>"), ("share-buttons", "Share this"))) + f"{SIDE}</div></body>",
+]
+
+
+@pytest.mark.parametrize("page", FRAMES)
+def test_names_around_the_core_mute_nothing(page):
+    got = page_text.main_text(page)
+    assert got in (f"Head\n{LONG.strip()}\n{(LONG * 2).strip()}", f"{LONG.strip()}\n{(LONG * 2).strip()}")
+    assert ("Head" in got) or "article" not in page
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark, sf_dir):

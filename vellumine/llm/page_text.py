@@ -4,15 +4,19 @@ A page becomes a tree of its elements. Each node's density is its characters per
 weighed down by the share of them in links; a node's density sum adds its children's
 densities. The node with the largest sum is the core of the article, and the least density
 on the path from the body to it is the threshold by which further nodes join: in each branch
-that reaches it, the subtree with the largest sum. What the markup itself names as menu,
-header, footer, sidebar, notice, advert, form or comments is not counted and not returned.
+that reaches it, the subtree with the largest sum; an article or main element on that path
+is returned whole. Elements that are menu, header, footer or aside by their tag or role are
+not counted and not returned. Names (classes, ids) of such parts, and forms, weigh on density;
+they are left out like the others unless the core lies in them.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,38 +34,46 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
         "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "thead": {"table"}, "option": {"select"}}
-SILENT = set("head script style noscript template svg math iframe object embed canvas audio video select button textarea input form nav footer aside menu dialog".split())
+SILENT = set("head script style noscript template svg math iframe object embed canvas audio video select button textarea input nav footer aside menu dialog".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMED = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification newsletter subscribe sidebar sidebars related recommended share sharing social comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs menu nav navbar navigation masthead footer header popup modal overlay pagination pager widget widgets toolbar skip".split())
 WHOLE = set("html body main article".split())
+BESIDE = set("has with no without is".split())
+FORM = "<form>"
+WEIGHTS = (0.25, 0.05)  # of a name that mentions a part or a form, and of one that begins with it
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
-def silent(tag: str, text: str, inside: bool) -> bool:
+def silent(tag: str, a: dict[str, str], inside: bool) -> bool:
     """Whether an element and all in it is no main text. ``inside``: within an article."""
-    if tag in SILENT:
+    if tag in SILENT or tag == "header" and not inside or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    if tag == "header" and not inside:
-        return True
-    if not text or "=" not in text and "hidden" not in text:
-        return False
-    a = attributes(text)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower()):
-        return True
-    if a.get("role", "").lower() in ROLES:
-        return True
-    if tag in WHOLE and tag != "article":
-        return False
+    return a.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower()))
+
+
+def named(tag: str, a: dict[str, str], inside: bool) -> dict[str, set[str]]:
+    """Classes and ids of an element that name a part besides the main text, with their telling parts."""
+    if tag == "form":
+        return {FORM: {FORM}}
+    if tag in WHOLE and tag != "article" or inside and tag in ("h1", "h2", "h3", "header"):
+        return {}
+    out = {}
     for word in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
         parts = re.split(r"[-_]+", word)
-        if parts[0] in ("has", "with", "no", "without", "is") or tag == "article" and parts[0] not in ("comment", "comments", "reply", "ad", "advert", "sponsored"):
+        if tag == "article" and parts[0] not in ("comment", "comments", "reply", "ad", "advert", "sponsored"):
             continue
-        if any(p in NAMED for p in parts):
-            return not (inside and tag in ("h1", "h2", "h3", "header"))
-    return False
+        said = set(itertools.takewhile(lambda x: x not in BESIDE, parts)) & NAMED  # what follows "with" is another part's name
+        if said:
+            out[word] = said
+    return out
+
+
+def weight_of(word: str) -> float:
+    """Weight of the density under a name: little where it begins with the part, some where it only mentions it."""
+    return WEIGHTS[re.split(r"[-_]+", word)[0] in NAMED]
 
 
 class Page:
@@ -69,6 +81,7 @@ class Page:
 
     def __init__(self, text: str) -> None:
         self.tag, self.parent, self.mute, self.inside = ["#"], [-1], [False], [False]
+        self.named: dict[int, dict[str, set[str]]] = {}
         self.parts: list[tuple[int, str]] = []  # (element, characters)
         stack, at, lowered = [0], 0, None
         end = text.rfind(">") + 1  # after it no tag ends: an open one is dropped
@@ -111,7 +124,11 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         self.inside.append(inside)
-        self.mute.append(self.mute[parent] or silent(tag, rest or "", self.inside[parent]))
+        a = attributes(rest) if rest and ("=" in rest or "hidden" in rest) else {}
+        self.mute.append(self.mute[parent] or silent(tag, a, self.inside[parent]))
+        names = {} if self.mute[-1] else named(tag, a, self.inside[parent])
+        if names:
+            self.named[len(self.tag) - 1] = names
         return len(self.tag) - 1
 
     def close(self, stack: list[int], tag: str) -> None:
@@ -139,15 +156,15 @@ class Page:
                     if self.tag[stack[-1]] not in ends:
                         break
 
-    def chosen(self) -> list[bool]:
-        """Elements of the main text."""
+    def weigh(self, mute: list[bool], weight: list[float] | None = None) -> tuple[list[int], list[float], list[float], list[int], list[int]]:
+        """(characters, densities, density sums, largest sum in each subtree, path from the core to the body)."""
         n = len(self.tag)
         chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.parts:
-            if not self.mute[node]:
+            if not mute[node]:
                 chars[node] += sum(map(len, text.split()))
         for i in range(n - 1, 0, -1):
-            if self.mute[i]:
+            if mute[i]:
                 continue
             p = self.parent[i]
             if self.tag[i] == "a":
@@ -163,12 +180,14 @@ class Page:
 
         def density(i: int) -> float:
             c, t, lc, lt = chars[i], max(1, tags[i]), max(1, linked[i]), max(1, links[i])
-            if not c or self.mute[i]:
+            if not c or mute[i]:
                 return 0.0
             base = math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e))
             return max(0.0, c / t * math.log(max(1.0, c / lc * t / lt)) / max(base, 1e-9))
 
         dense = [density(i) for i in range(n)]
+        if weight:
+            dense = [d * w for d, w in zip(dense, weight, strict=True)]
         sums, best = [0.0] * n, list(range(n))
         for i in range(n - 1, 0, -1):
             sums[self.parent[i]] += dense[i]
@@ -181,6 +200,54 @@ class Page:
         while at not in (body, 0):
             at = self.parent[at]
             path.append(at)
+        return chars, dense, sums, best, path
+
+    def muted(self) -> list[bool]:
+        """Elements that are not counted: silent ones, and named ones that do not hold the main text.
+
+        A name weighs densities down. The core under these weights lies in no named part:
+        names on its path, other elements with the same names, and names under which the
+        core has its text are the page's frame and mute nothing.
+        """
+        if not self.named:
+            return self.mute
+        n = len(self.tag)
+        weight = [1.0] * n
+        for i in range(1, n):
+            weight[i] = min([weight[self.parent[i]], *map(weight_of, self.named.get(i, ()))])
+        path = self.weigh(self.mute, weight)[4]
+        frame, at = set(path), path[-1]
+        while at > 0:
+            at = self.parent[at]
+            frame.add(at)
+        opened = {w for i in frame for w in self.named.get(i, ())}
+        sizes, within = [0] * n, [i == path[0] for i in range(n)]
+        for node, text in self.parts:
+            sizes[node] += sum(map(len, text.split()))
+        for i in range(1, n):
+            within[i] = within[i] or within[self.parent[i]]
+        while True:
+            under: list[frozenset[str]] = [frozenset()] * n  # names around an element that still mute
+            held, rest = Counter(), 0
+            for i in range(1, n):
+                under[i] = under[self.parent[i]]
+                if i in self.named and i not in frame:
+                    known = set().union(*[said for w, said in self.named[i].items() if w in opened and w != FORM])
+                    under[i] = under[i].union(w for w, said in self.named[i].items() if said - known)
+            for i in range(n):
+                if within[i] and sizes[i] and not self.mute[i]:
+                    held.update(dict.fromkeys(under[i], sizes[i]))
+                    rest += 0 if under[i] else sizes[i]
+            most, word = max(((weight_of(w) * size, w) for w, size in held.items() if w != FORM), default=(0.0, ""))
+            if most <= rest:
+                return [m or bool(u) for m, u in zip(self.mute, under, strict=True)]
+            opened.add(word)
+
+    def chosen(self) -> list[bool]:
+        """Elements of the main text."""
+        n, mute = len(self.tag), self.muted()
+        _, dense, sums, best, path = self.weigh(mute)
+        core = path[0]
         least = min((dense[i] for i in path), default=0.0)
         roots = {core}
         for i in path:  # an article holds all of itself
@@ -190,12 +257,12 @@ class Page:
         for i in range(n):
             p = self.parent[i]
             taken[i] = p >= 0 and taken[p] or i in roots
-            if i not in path and not self.mute[i] and p >= 0 and not taken[i] and (p in path or taken[p]) and dense[i] >= least > 0 and not sums[best[i]] and self.tag[i] != "a":
+            if i not in path and not mute[i] and p >= 0 and not taken[i] and (p in path or taken[p]) and dense[i] >= least > 0 and not sums[best[i]] and self.tag[i] != "a":
                 taken[i] = True
-            elif p in path and not taken[i] and not self.mute[i] and dense[i] >= least > 0:
+            elif p in path and not taken[i] and not mute[i] and dense[i] >= least > 0:
                 roots.add(best[i])
                 taken[i] = i in roots
-        return [t and not m for t, m in zip(taken, self.mute, strict=True)]
+        return [t and not m for t, m in zip(taken, mute, strict=True)]
 
     def text(self) -> str:
         taken = self.chosen()
