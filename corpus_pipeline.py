@@ -60,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each stage to what its predecessor wrote."""
+    """Apply the stages to ``documents``, each stage to what its predecessor wrote.
+
+    Here the mixing stage writes each reading's number and position too, so the rows of the
+    result keep their place in training whatever the order in which they are read.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = mixing.readings(docs) if stage is mix_sources else stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, name)
     return docs

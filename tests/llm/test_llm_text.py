@@ -69,6 +69,33 @@ def test_training_order_follows_the_curriculum(spark):
     assert order[:third].count("a") > order[-third:].count("a") and order[:third].count("c") < order[-third:].count("c")
 
 
+def test_readings_keep_their_positions(spark):
+    df = docs(spark, [(i, "w " * (i % 7), "abc"[i % 3]) for i in range(90)])
+    want = {(r.doc_id, n, p) for r in mixing.mix(df, carry=["doc_id"]).collect() for n, p in enumerate(r.positions)}
+    got = mixing.readings(df)
+    assert got.columns == [*df.columns, "reading", "_position"]
+    rows = got.collect()
+    assert {(r.doc_id, r.reading, r._position) for r in rows} == want and len(rows) == len(want)
+    assert [r._position for r in rows] == sorted(r._position for r in rows)
+
+
+def test_op2_sorts_by_position(spark, sf_dir):
+    first = {}
+    for r in queries.op2_training_order(spark, sf_dir).collect():
+        first.setdefault(r.doc_id, r.position)
+    order = [first.get(r.doc_id, 2.0) for r in queries.op2_mix_sources(spark, sf_dir).collect()]
+    assert order == sorted(order) and order[0] < 1
+
+
+def test_pipeline_rows_have_positions(spark, tmp_path, sf_dir, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").limit(60)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "reading", "position").collect()
+    want = mixing.readings(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("doc_id", "reading", "position").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and rows
+
+
 # -- pieces
 
 @pytest.fixture(scope="module")

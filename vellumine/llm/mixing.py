@@ -113,15 +113,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*[F.col(f"`{c}`") for c in carry], size, source_size, target, n.alias(copies), (n * F.col(size)).alias(taken), spots.alias(positions))
 
 
-def training_order(docs: DataFrame, **kw) -> DataFrame:
-    """The columns of ``docs``, one row per reading, range-sorted by training position.
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` range-partitioned and sorted by ``keys``: files follow the order, nulls last."""
+    order = [F.asc_nulls_last(f"`{k}`") for k in keys]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
 
-    Documents that the mix does not take are gone, those read k times come k times. Rows are
-    range-partitioned by (position, id), so the files of the result follow training order.
+def readings(docs: DataFrame, **kw) -> DataFrame:
+    """The columns of ``docs`` and reading (0, 1, ...) and position, one row per reading, by position.
+
+    Documents that the mix does not take are gone, those read k times come k times. The new
+    columns have a leading underscore where the documents have such a column.
     """
     mixed = mix(docs, **kw)
-    (place,) = free_names(mixed, "position")
+    reading, place = free_names(docs, "reading", "position")
     positions = [c for c in mixed.columns if c.endswith("positions")][-1]
-    id_col = kw.get("id_col", "doc_id")
-    rows = mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(positions).alias(place))
-    return rows.repartitionByRange(F.col(place), F.col(f"`{id_col}`")).sortWithinPartitions(place, f"`{id_col}`").select(*[f"`{c}`" for c in docs.columns])
+    kept = docs.columns if kw.get("carry") is None else kw["carry"]
+    rows = mixed.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(positions).alias(reading, place))
+    return in_order(rows, place, kw.get("id_col", "doc_id"))
+
+
+def training_order(docs: DataFrame, **kw) -> DataFrame:
+    """The columns of ``docs``, one row per reading, range-sorted by training position.
+
+    As ``readings`` without the columns it adds; the files of the result follow training order.
+    """
+    return readings(docs, **kw).select(*[f"`{c}`" for c in docs.columns])

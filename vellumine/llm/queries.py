@@ -39,10 +39,36 @@ SELECT doc_id, size::BIGINT AS size, total AS source_size, target, (size * ((bef
   + (total + before + size / 2 < target AND size > 0)::INT + (2 * total + before + size / 2 < target AND size > 0)::INT))::BIGINT AS taken FROM p
 """)
 def op2_mix_sources(spark, sf_dir):
-    from vellumine.llm.mixing import mix
+    from vellumine.llm.mixing import in_order, mix
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(docs, carry=["doc_id"]).withColumn("first", F.get("positions", F.lit(0)))
+    # rows in the order of first reading: the SQL has no positions, they are in op2_training_order
+    return in_order(mixed, "first", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_training_order", r"""
+WITH d AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS okey,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+k AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT AS kind FROM s),
+w AS (SELECT *, [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS w, 3.0::DOUBLE * total AS lim FROM k),
+l AS (SELECT *, (sum(total) OVER () - coalesce(sum(lim) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER (ORDER BY lim / w, source NULLS FIRST) AS place
+  FROM w WINDOW b AS (ORDER BY lim / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, total, w, [7.0, 2.0, 0.5][kind + 1]::DOUBLE AS a, [3.0, 2.0, 1.5][kind + 1]::DOUBLE AS b,
+  coalesce(least(lim, w * arg_min(level, place) FILTER (lim >= level * w) OVER ()), 0)::DOUBLE AS target FROM l),
+p AS (SELECT d.doc_id, d.size, t.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.okey, d.size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, unnest([0, 1, 2])::INT AS reading FROM p WHERE size > 0),
+m AS (SELECT *, (reading * total + before)::DOUBLE + size::DOUBLE / 2 AS middle FROM r),
+x AS (SELECT *, (middle / target) * w AS need FROM m WHERE middle < target)
+SELECT doc_id, reading, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2.0::DOUBLE * need / (a + sqrt(greatest(a * a + 2.0::DOUBLE * (b - a) * need, 0.0::DOUBLE))))) AS position FROM x
+""")
+def op2_training_order(spark, sf_dir):
+    from vellumine.llm.mixing import readings
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return readings(docs, carry=["doc_id"])
 
 
 @query("op3_exact_dedup", """
