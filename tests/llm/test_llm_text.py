@@ -239,6 +239,18 @@ def test_disguised_words_are_restored(scorer):
     assert not any(map(toxicity.disguised, ["idiot", "eau", "ab.c@d.org"]))
 
 
+def test_short_sign_and_fragment_words_are_restored(scorer):
+    reader = toxicity.Reader(scorer.grams.value)
+    for word in ("a$$", "@$$", "@$$,"):
+        assert "ass" in reader.restored(word.encode())
+    assert any(len(w) == 4 and w.startswith("s") for w in reader.restored(b"$#!+"))
+    assert any(len(w) == 3 and w[0] == "f" and w[2] == "k" and w.isalpha() for w in reader.restored(b"f*k"))
+    for text, want in {"c r é t i n": "crétin", "le c r é t i n la": "crétin", "a s s": "ass", "id i ot": "idiot", "an id i ot to me": "idiot", "é ": ""}.items():
+        ((_, _, _, groups),) = reader.read(pa.array([text]))
+        assert any(want in group for group in groups) or not want and not groups
+    assert not any(map(toxicity.disguised, ["2024", "off", "a", "###", "a@b.c"]))
+
+
 def test_scores_of_disguised_and_odd_texts(spark, scorer):
     texts = ["the 1d10t and the m0r0n are w0rthless scuuuum", "the i d i o t is a l.o.s.e.r and $tupid tr4sh", "the of and", "", None, "the " * 40000, "%$#" * 2000, "1d10t m0r0n l0s3r tr4sh " * 5]
     df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, texts[0], "s")] * 2)

@@ -1,7 +1,7 @@
 """Toxicity with noisy-channel deobfuscation: restore disguised words, then score.
 
-A word that looks disguised (signs or digits among letters, repeats, single letters set
-apart) is decoded: its signs span a lattice of letters they may stand for, repeated and
+A word that may be disguised (signs or digits among letters, signs alone, repeats, letters
+or pairs of them set apart) is decoded: its signs span a lattice of letters they may stand for, repeated and
 separating signs may vanish, and Viterbi finds the likeliest letters under a character
 4-gram model. The model's counts cover the whole corpus: each task counts its texts, Spark
 adds the counts. They are a table of 28^4 numbers, whatever the corpus.
@@ -15,6 +15,8 @@ are kept with their log odds, and a logistic curve over a text's hits is fitted.
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,6 +32,9 @@ FIT_ROWS = 8_192
 THRESHOLD = 0.7
 SURE = 16.0  # likelihood ratio (G squared) a feature must reach
 MOST_FEATURES = 50_000
+WORD_SIGNS = 24  # signs without a letter that may be a word
+SHORT = 4  # signs of a short word: too few to decide how many letters they stand for
+PIECE, LONGEST = 2, 24  # characters of a fragment; fragments of a word written in fragments
 KNOWN_WORDS = 100_000  # words whose restored form or weight a task remembers
 PREFIXES = (4, 5, 6, 7)
 
@@ -42,6 +47,7 @@ MEANS = {
 #: Signs set between letters, and signs put over a letter (fixed values).
 BETWEEN = set(".-_*~'’`^:;,/\\ ·•=#%&\"")
 COVER = set("*#%&_-")
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGES = "".join(sorted(BETWEEN | set("()[]{}<>?!\"«»„“”‚‘¿¡|+@$&#%*…")))
 
@@ -82,13 +88,18 @@ def language_model(texts: DataFrame) -> np.ndarray:
 
 
 def disguised(word: str) -> bool:
-    """Whether a word without its edge signs looks disguised: some letters, and more."""
+    """Whether a word without its edge signs may be a disguise: signs among letters, or signs alone.
+
+    Letters alone are one when repeated, from four on; digits alone are a number.
+    """
     letters = sum(ch.isalpha() for ch in word)
-    if letters < 1 or len(word) < 4 or ("@" in word and "." in word.rpartition("@")[2]):
+    if len(word) < 2 or ("@" in word and "." in word.rpartition("@")[2]):
         return False
+    if not letters:
+        return len(word) > 2 and any(ch in MEANS and not ch.isdigit() for ch in word)
     if letters < len(word) or any(ch in MEANS for ch in word):
         return True
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False)) or sum(a == b for a, b in zip(word, word[1:], strict=False)) * 2 >= len(word) - 1
+    return len(word) > 3 and (any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False)) or sum(a == b for a, b in zip(word, word[1:], strict=False)) * 2 >= len(word) - 1)
 
 
 class Decoder:
@@ -97,6 +108,8 @@ class Decoder:
     def __init__(self, model: np.ndarray) -> None:
         self.p = model
         self.seen: dict[str, str] = {}
+        self.near: dict[str, tuple[float, list[str]]] = {}
+        self.joined: dict[tuple[str, ...], list[tuple[int, int, list[str]]]] = {}
 
     @staticmethod
     def code(ch: str) -> int:
@@ -128,7 +141,54 @@ class Decoder:
             out.append(("", -0.5 if ch in BETWEEN else -1.5))
         return out or [("", -3.0)]
 
+    def nearest(self, word: str) -> tuple[float, list[str]]:
+        """(log probability, forms): of a disguised word the likeliest of each length."""
+        if word not in self.near:
+            if len(self.near) > KNOWN_WORDS:  # only a memory of finished work
+                self.near.clear()
+            ranked = sorted(self.paths(word) if disguised(word) else [(self.plain(word), word)], reverse=True)
+            told = {}
+            for _, text in ranked:
+                told.setdefault(len(text), text)
+            self.near[word] = ranked[0][0], list(told.values())
+        return self.near[word]
+
+    def plain(self, word: str) -> float:
+        """Log probability of a word as it is written."""
+        a = b = c = 0
+        total = 0.0
+        for ch in word:
+            d = self.code(ch)
+            total, a, b, c = total + float(self.p[a, b, c, d]), b, c, d
+        return total + float(self.p[a, b, c, 0])
+
+    def joins(self, run: tuple[str, ...]) -> list[tuple[int, int, list[str]]]:
+        """(first fragment, end, forms) of the words that the likeliest reading of ``run`` joins.
+
+        Each cut of the fragments into words has the probability of its words; one of at
+        most ``LONGEST`` fragments is tried from every place.
+        """
+        if run not in self.joined:
+            if len(self.joined) > KNOWN_WORDS:  # only a memory of finished work
+                self.joined.clear()
+            best: list[tuple[float, int]] = [(0.0, 0)]
+            for j in range(1, len(run) + 1):
+                best.append(max((best[i][0] + self.nearest("".join(run[i:j]))[0], i) for i in range(max(0, j - LONGEST), j)))
+            out, j = [], len(run)
+            while j:
+                i = best[j][1]
+                if j - i > 1:
+                    word = "".join(run[i:j])
+                    out.append((i, j, self.nearest(word)[1] if len(word) <= SHORT else [self.nearest(word)[1][0]]))
+                j = i
+            self.joined[run] = out[::-1]
+        return self.joined[run]
+
     def decode(self, word: str) -> str:
+        return max(self.paths(word))[1]
+
+    def paths(self, word: str) -> list[tuple[float, str]]:
+        """(log probability, letters) of the best path to each last state, none without letters if any has some."""
         p = self.p
         states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
         for i in range(len(word)):
@@ -143,7 +203,8 @@ class Decoder:
                     if key not in nxt or value > nxt[key][0]:
                         nxt[key] = (value, made)
             states = nxt
-        return max((score + float(p[a, b, c, 0]), text) for (a, b, c), (score, text) in states.items())[1]
+        ends = [(score + float(p[a, b, c, 0]), text) for (a, b, c), (score, text) in states.items()]
+        return [x for x in ends if x[1]] or ends
 
 
 def features(word: str) -> list[str]:
@@ -162,11 +223,15 @@ class Reader:
         bare = word.strip(EDGES)
         out = [bare] if bare else []
         if disguised(bare):
-            out.append(self.decoder(bare))
-        if bare != word and len(word) <= len(bare) + 2 and disguised(word.strip(".,;:")):
-            out.append(self.decoder(word.strip(".,;:")))  # a sign at the edge may be a letter
+            out.extend(self.forms(bare))
+        core = word.strip(".,;:")
+        if bare != core and len(core) <= max(len(bare) + 2, 0 if bare else WORD_SIGNS) and disguised(core):
+            out.extend(self.forms(core))  # a sign at the edge may be a letter
         return [w for w in dict.fromkeys(out) if len(w) > 1]
 
+    def forms(self, word: str) -> list[str]:
+        return self.decoder.nearest(word)[1] if len(word) <= SHORT else [self.decoder(word)]
+
     def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[list[str]], list[list[str]]]]:
         """(row, numbers of its words, restored forms by number, restored spaced-out words)."""
         numbers: dict[int, int] = {}
@@ -185,18 +250,43 @@ class Reader:
             yield row, own[inverse], forms, self.spaced(part, starts, ends)
 
     def spaced(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[str]]:
-        """Words written as single characters with spaces between, four or more in a row."""
-        single = np.flatnonzero(ends - starts == 1)
+        """Words written in fragments of one or two characters with spaces between.
+
+        The likeliest cut of a run of fragments into words says which are joined. Three or
+        more single characters in a row are joined in any case, with every later beginning.
+        """
+        if len(starts) < 2:
+            return []
+        low = int(starts[0])
+        count = np.zeros(int(ends[-1]) - low + 1, dtype=np.int64)  # code points before each byte
+        np.cumsum((part[low : int(ends[-1])] & 0xC0) != 0x80, out=count[1:])
+        short = np.flatnonzero(count[ends - low] - count[starts - low] <= PIECE)
         out = []
-        if len(single) >= 4:
-            for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1):
-                if len(run) >= 4:
-                    word = part[starts[run]].tobytes().decode("utf-8", "replace").lower()
-                    made = self.decoder(word) if disguised(word) else word
-                    # several words may have run together: every later beginning is tried too
-                    out.append([made, *[made[i:] for i in range(1, len(made) - 3)]])
+        for run in np.split(short, np.flatnonzero(np.diff(short) > 1) + 1):
+            if len(run) > 1:
+                text = part[starts[run[0]] : ends[run[-1]]].tobytes().decode("utf-8", "replace").lower()
+                out.extend(self.joined(tuple(BLANKS.split(text))))
         return out
 
+    def joined(self, run: tuple[str, ...]) -> list[list[str]]:
+        out = [(i, j, list(forms)) for i, j, forms in self.decoder.joins(run) if sum(map(len, run[i:j])) > 2]
+        at = 0
+        for single, group in itertools.groupby(run, lambda x: len(x) == 1):
+            n = len(list(group))
+            if single and n >= 3:
+                word = "".join(run[at : at + n])
+                made = self.decoder(word) if disguised(word) else word
+                more = [made, *[made[i:] for i in range(1, len(made) - 3)]]
+                over = next(((i, j, forms) for i, j, forms in out if i < at + n and at < j), None)
+                if over is None:
+                    out.append((at, at + n, more))
+                elif n >= over[1] - over[0]:
+                    over[2][:0] = more
+                else:
+                    over[2].extend(more)
+            at += n
+        return [forms for _, _, forms in out]
+
 
 def presence(sent):
     """Rows (feature, toxic, n): in how many of the task's texts a feature is."""
