@@ -132,10 +132,11 @@ def xmp_rows(packets: DataFrame, key: str = "evidence_id", packet: str = "packet
 
 
 def json_depth(df: DataFrame, column: str) -> int:
-    """Deepest nesting of brackets in a column of JSON texts: one aggregate, one number."""
+    """Deepest nesting of brackets in a column of JSON texts, those in strings left out: one aggregate, one number."""
     step = lambda a, c: F.struct(
         (a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
-    brackets = F.split(F.regexp_replace(F.col(f"`{column}`"), r"[^\[\]{}]+", ""), "")
+    bare = F.regexp_replace(F.regexp_replace(F.col(f"`{column}`"), r"(?s)\\.", ""), r'"[^"]*+"', "")  # escapes, then strings
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
     deepest = F.aggregate(F.filter(brackets, lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
     return df.agg(F.max(deepest)).first()[0] or 0
 

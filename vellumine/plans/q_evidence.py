@@ -468,6 +468,14 @@ def m06_deep(spark, d):
     return md.flatten_json(docs, "evidence_id", "j")
 
 
+@query("m06_bracket_json", """SELECT doc_id::VARCHAR AS evidence_id, 't' AS property, ']]}"]' AS value FROM documents
+UNION ALL SELECT doc_id::VARCHAR, 'x:y:z', lang FROM documents""")
+def m06_bracket(spark, d):
+    nested = F.concat(F.lit('{"t":"]]}\\"]","x":{"y":{"z":"'), F.col("lang"), F.lit('"}}}'))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), nested.alias("j"))
+    return md.flatten_json(docs, "evidence_id", "j").select("evidence_id", "property", "value")
+
+
 @query("m05_long_xmp_text", """SELECT doc_id::VARCHAR AS evidence_id, '1.1:title' AS property, md5(repeat(lang || source, 300)) AS value_md5 FROM documents""")
 def m05_long(spark, d):
     packet = F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>'),
