@@ -168,3 +168,45 @@ def op5_personal_data(spark, sf_dir):
 
     found = scan_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_found")
+
+
+@query("op11_merkle_manifest", r"""
+WITH RECURSIVE table256 AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, table256),
+f AS (SELECT doc_id, source, text, crc % 5 = 0 AS hit, concat(
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+  coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM d),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN hit THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+    ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS arrived FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM l),
+tree AS (SELECT source, 0 AS level, rank, leaf AS node, n AS width FROM r UNION ALL
+  SELECT source, level + 1, rank // 16, sha256(string_agg(node, '' ORDER BY rank)), max((width + 15) // 16) FROM tree WHERE width > 1 GROUP BY source, level, rank // 16),
+sub AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS sources, level AS height FROM tree WHERE width = 1),
+crown AS (SELECT 0 AS level, place AS rank, subroot AS node, sources AS width FROM sub UNION ALL
+  SELECT level + 1, rank // 16, sha256(string_agg(node, '' ORDER BY rank)), max((width + 15) // 16) FROM crown WHERE width > 1 GROUP BY level, rank // 16),
+steps AS (SELECT t.source, t.level, t.rank, coalesce(string_agg(s.node, '' ORDER BY s.rank) FILTER (WHERE s.rank < t.rank), '') AS before,
+    coalesce(string_agg(s.node, '' ORDER BY s.rank) FILTER (WHERE s.rank > t.rank), '') AS after
+  FROM tree t JOIN tree s ON s.source IS NOT DISTINCT FROM t.source AND s.level = t.level AND s.rank // 16 = t.rank // 16 WHERE t.width > 1 GROUP BY ALL),
+rises AS (SELECT t.level, t.rank, coalesce(string_agg(s.node, '' ORDER BY s.rank) FILTER (WHERE s.rank < t.rank), '') AS before,
+    coalesce(string_agg(s.node, '' ORDER BY s.rank) FILTER (WHERE s.rank > t.rank), '') AS after
+  FROM crown t JOIN crown s ON s.level = t.level AND s.rank // 16 = t.rank // 16 WHERE t.width > 1 GROUP BY ALL),
+fold AS (SELECT r.source, r.rank, r.doc_id, 0 AS level, r.rank AS at, '' AS proof, arrived AS node FROM r UNION ALL
+  SELECT f.source, f.rank, f.doc_id, f.level + 1, f.at // 16, f.proof || s.before || s.after, sha256(s.before || f.node || s.after)
+  FROM fold f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.level = f.level AND s.rank = f.at),
+rise AS (SELECT f.source, f.rank, f.doc_id, 0 AS level, sub.place AS at, f.proof, f.node FROM fold f JOIN sub ON sub.source IS NOT DISTINCT FROM f.source AND sub.height = f.level UNION ALL
+  SELECT f.source, f.rank, f.doc_id, f.level + 1, f.at // 16, f.proof || s.before || s.after, sha256(s.before || f.node || s.after)
+  FROM rise f JOIN rises s ON s.level = f.level AND s.rank = f.at),
+root AS (SELECT node AS root, level AS height FROM crown WHERE width = 1)
+SELECT r.doc_id, r.leaf, sub.subroot, root.root, sha256(rise.proof) AS proof_sha256, rise.node AS folded_root, rise.node = root.root AS verified
+FROM r JOIN sub ON sub.source IS NOT DISTINCT FROM r.source JOIN root ON true
+JOIN rise ON rise.source IS NOT DISTINCT FROM r.source AND rise.rank = r.rank AND rise.level = root.height
+""")
+def op11_merkle_manifest(spark, sf_dir):
+    from vellumine.llm.manifest import lower_ascii, manifest, verified
+
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(hit, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return verified(manifest(table(spark, sf_dir, "documents"), tampered))
