@@ -210,3 +210,10 @@ def op11_merkle_manifest(spark, sf_dir):
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     tampered = F.when(hit, lower_ascii(F.col("text"))).otherwise(F.col("text"))
     return verified(manifest(table(spark, sf_dir, "documents"), tampered))
+
+
+@query("op13_power_packing")
+def op13_power_packing(spark, sf_dir):
+    from vellumine.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), ids_col=None)
