@@ -21,7 +21,6 @@ from vellumine.llm.common import stored
 
 FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIBLINGS = "array<struct<before:string,after:string>>"
 
 
@@ -36,12 +35,6 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case and nothing else."""
-    plain = F.octet_length(text) == F.char_length(text)  # then there is nothing else to lower
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``df`` with its rank and the number of rows (``rank``, ``n``) inside ``group``.
 

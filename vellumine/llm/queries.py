@@ -205,13 +205,45 @@ FROM r JOIN sub ON sub.source IS NOT DISTINCT FROM r.source JOIN root ON true
 JOIN rise ON rise.source IS NOT DISTINCT FROM r.source AND rise.rank = r.rank AND rise.level = root.height
 """)
 def op11_merkle_manifest(spark, sf_dir):
-    from vellumine.llm.manifest import lower_ascii, manifest, verified
+    from vellumine.llm.common import lower_ascii
+    from vellumine.llm.manifest import manifest, verified
 
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     tampered = F.when(hit, lower_ascii(F.col("text"))).otherwise(F.col("text"))
     return verified(manifest(table(spark, sf_dir, "documents"), tampered))
 
 
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE table256 AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+  ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM runs),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, table256),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b USING (d, i, l) WHERE a.word <> b.word
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.d = w.word UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.d = w.word),
+near AS (SELECT a, count(*) AS n_near, min(ROW(-w.n, b)) AS best FROM pairs JOIN w ON b = w.word GROUP BY a),
+told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n
+  FROM w LEFT JOIN near ON a = word),
+follow AS (SELECT word, form, word AS at FROM told UNION ALL SELECT f.word, t.form, t.word FROM follow f JOIN told t ON t.word = f.form)
+SELECT told.word, told.form, follow.at AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM told JOIN follow USING (word) WHERE follow.form IS NULL
+""")
+def op12_spelling_variants(spark, sf_dir):
+    from vellumine.llm.common import lower_ascii, stored
+    from vellumine.llm.spelling import group_variants, word_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"([A-Za-zÀ-ÿ]+)"), F.lit(0))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.char_length("run")).cast("int")
+    typed = F.when(h % 97 == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))).otherwise(F.col("run"))
+    return group_variants(stored(word_counts(docs, runs, typed), "words"))
+
+
 @query("op13_power_packing")
 def op13_power_packing(spark, sf_dir):
     from vellumine.llm.packing import pack
