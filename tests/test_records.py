@@ -167,6 +167,58 @@ def test_failing_recogniser_reports(spark):
     assert "not installed" in slots.Recogniser("x", broken, {}, available=False).status()
 
 
+def _pages(spark, n):
+    return spark.range(n).selectExpr("'p' || id AS page_key", "'Hindi' AS language", "CAST('x' AS BINARY) AS content")
+
+
+def _engines():
+    """Functions that travel to the tasks by value."""
+    def read(part):
+        return part.assign(text="ok", confidence=90.0, word_confidences=[[]] * len(part))
+
+    def at_once(batches):
+        raise RuntimeError("no model")
+
+    def nothing(batches):
+        return iter(())
+
+    def after_the_last(batches):
+        for b in batches:
+            yield read(b)
+        raise RuntimeError("late")
+
+    def one_batch_only(batches):
+        yield read(next(batches))
+
+    def twice_and_strangers(batches):
+        for b in batches:
+            yield read(b)
+            yield read(b)
+            yield read(b.assign(page_key="stranger"))
+
+    def without_text(batches):
+        yield from batches
+
+    return locals()
+
+
+@pytest.mark.parametrize(("engine", "text", "error"), [
+    ("at_once", "", "e error: no model"), ("nothing", "", "e error: no result"), ("after_the_last", "ok", ""), ("one_batch_only", "ok", ""),
+    ("twice_and_strangers", "ok", ""), ("without_text", "", None)])
+def test_every_page_gets_one_row(spark, engine, text, error):
+    engines = [slots.Recogniser("e", _engines()[engine], {"Hindi": "hin"})]
+    for n in (1, 1000):  # 1000 pages are several Arrow batches of a task
+        got = slots.recognise(slots.assign_engine(_pages(spark, n).coalesce(1), engines), engines).collect()
+        assert sorted(r.page_key for r in got) == sorted(f"p{i}" for i in range(n))
+        assert {r.text for r in got} == {text} and all(bool(r.error) if error is None else r.error == error for r in got)
+
+
+def test_equal_page_keys_are_pages_each(spark):
+    engines = [slots.Recogniser("e", _engines()["after_the_last"], {"Hindi": "hin"})]
+    pages = _pages(spark, 5).withColumn("page_key", F.when(F.col("page_key") < "p3", F.lit("same"))).coalesce(1)
+    assert sorted(str(r.page_key) for r in slots.recognise(slots.assign_engine(pages, engines), engines).collect()) == ["None", "None", "same", "same", "same"]
+
+
 def test_module_slots(spark):
     ev = spark.createDataFrame([("e",)], "evidence_id string")
     assert slots.run_analyses(ev, slots.default_modules()).count() == 0

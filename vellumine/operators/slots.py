@@ -7,7 +7,7 @@ task and then stream rows. None ships with the library.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -80,54 +80,80 @@ def _whole(out: pd.DataFrame, engine: Recogniser) -> pd.DataFrame:
     return out[FIELDS]
 
 
+class _Owed:
+    """Pages that an engine has taken and not returned, by key, in the order taken."""
+
+    def __init__(self) -> None:
+        self.pages: dict[object, deque[pd.DataFrame]] = {}
+        self.taken = 0
+
+    def take(self, batch: pd.DataFrame) -> None:
+        self.taken += len(batch)
+        for at, key in enumerate(batch["page_key"]):
+            self.pages.setdefault(key, deque()).append(batch.iloc[at : at + 1])
+
+    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows that answer an owed page; each page is answered once."""
+        answers = []
+        for key in rows["page_key"]:
+            waiting = self.pages.get(key)
+            answers.append(waiting is not None)
+            if waiting is not None:
+                waiting.popleft()
+                if not waiting:
+                    del self.pages[key]
+        return rows[answers]
+
+    def drain(self) -> list[pd.DataFrame]:
+        left, self.pages = [page for waiting in self.pages.values() for page in waiting], {}
+        return left
+
+
 def _run_engine(engine: Recogniser, batches: Batches) -> Batches:
-    """One row per page of ``batches``. The engine gets the iterator as a whole.
+    """Exactly one row per page of ``batches``. The engine gets the iterator as a whole.
 
-    When it raises, the pages it had taken and not returned are given to it one by one, so
-    only pages that fail by themselves become error rows; then it goes on with the rest.
+    When it raises or stops early, the pages it had taken and not returned are given to it one
+    by one, so only pages that fail by themselves become error rows; then it goes on with the
+    rest. An attempt that takes no page shows an engine that cannot start: all pages left become
+    error rows and it is not called again. Rows for pages it was not given are dropped.
     """
-    open_pages: list[pd.DataFrame] = []  # taken, not returned
-    over = False
+    owed, over = _Owed(), False
 
     def feed() -> Batches:
         nonlocal over
         for batch in batches:
-            open_pages.append(batch)
+            owed.take(batch)
             yield batch
         over = True
 
     while not over:
+        before = owed.taken
         try:
             for out in engine.recognise(feed()):
-                due = list(out["page_key"])
-                yield _whole(out, engine)
-                while due and open_pages:
-                    head = open_pages[0]
-                    done = min(len(due), len(head))
-                    returned = Counter(due[:done])
-                    left = []
-                    for at, key in enumerate(head["page_key"]):
-                        if returned[key] > 0:
-                            returned[key] -= 1
-                        else:
-                            left.append(at)
-                    due = list(returned.elements()) + due[done:]
-                    if len(left) == len(head):
-                        break
-                    open_pages[:1] = [head.iloc[left]] if left else []
+                rows = owed.settle(_whole(out, engine))
+                if len(rows):
+                    yield rows
             problem: Exception = ValueError("no result")
         except Exception as raised:  # noqa: BLE001 - reported as data
             problem = raised
-        again, open_pages[:] = list(open_pages), []
-        for batch in again:
-            for at in range(len(batch)):
-                page = batch.iloc[at : at + 1]
-                try:
-                    found = [_whole(out, engine) for out in engine.recognise(iter([page]))]
-                    rows = pd.concat(found) if found else None
-                    yield rows if rows is not None and len(rows) == 1 else _failed(page, engine, problem)
-                except Exception as raised:  # noqa: BLE001 - reported as data
-                    yield _failed(page, engine, raised)
+        for page in owed.drain():
+            yield _alone(engine, page, problem)
+        if owed.taken == before:
+            for batch in batches:
+                yield _failed(batch, engine, problem)
+            return
+
+
+def _alone(engine: Recogniser, page: pd.DataFrame, problem: Exception) -> pd.DataFrame:
+    """The row of one page that the engine left behind; ``problem`` where it returns none."""
+    try:
+        one = _Owed()
+        one.take(page)
+        found = [one.settle(_whole(out, engine)) for out in engine.recognise(iter([page]))]
+        rows = pd.concat(found) if found else None
+        return rows if rows is not None and len(rows) == 1 else _failed(page, engine, problem)
+    except Exception as raised:  # noqa: BLE001 - reported as data
+        return _failed(page, engine, raised)
 
 
 def recognise(pages: DataFrame, engines: Sequence[Recogniser]) -> DataFrame:

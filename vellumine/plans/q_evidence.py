@@ -425,11 +425,14 @@ def st4(spark, d):
     return audit_rate(events(spark, d))
 
 
-@query("u1_recogniser_slot", """SELECT doc_id::VARCHAR AS page_key, CASE WHEN lang IN ('en', 'fr') THEN 'raise' ELSE 'size' END AS engine,
-  CASE WHEN lang IN ('en', 'fr') THEN CASE WHEN doc_id % 7 = 3 THEN md5('') ELSE md5(replace(text, 'e', 'E')) END ELSE md5(length(text)::VARCHAR) END AS text_md5,
-  CASE WHEN lang IN ('en', 'fr') THEN CASE WHEN doc_id % 7 = 3 THEN 0.0::DOUBLE ELSE 90.0::DOUBLE END ELSE 40.0::DOUBLE END AS confidence,
-  CASE WHEN lang IN ('en', 'fr') AND doc_id % 7 = 3 THEN 'raise error: page ' || doc_id ELSE '' END AS error FROM documents""")
+@query("u1_recogniser_slot", """WITH e AS (SELECT *, CASE WHEN lang IN ('en', 'fr') THEN 'raise' WHEN lang = 'de' THEN 'unloaded' WHEN lang = 'es' THEN 'idle' ELSE 'size' END AS engine FROM documents)
+SELECT doc_id::VARCHAR AS page_key, engine,
+  CASE engine WHEN 'raise' THEN CASE WHEN doc_id % 7 = 3 THEN md5('') ELSE md5(replace(text, 'e', 'E')) END WHEN 'size' THEN md5(length(text)::VARCHAR) ELSE md5('') END AS text_md5,
+  CASE engine WHEN 'raise' THEN CASE WHEN doc_id % 7 = 3 THEN 0.0::DOUBLE ELSE 90.0::DOUBLE END WHEN 'size' THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
+  CASE WHEN engine = 'raise' AND doc_id % 7 = 3 THEN 'raise error: page ' || doc_id WHEN engine = 'unloaded' THEN 'unloaded error: no model'
+    WHEN engine = 'idle' THEN 'idle error: no result' ELSE '' END AS error FROM e""")
 def u1(spark, d):
+    """Engines that read, fail on some pages, cannot start, and stop without a result."""
     def reader(convert, confidence, fails=lambda key: False):
         def run(batches):
             for b in batches:
@@ -440,10 +443,15 @@ def u1(spark, d):
                             raise ValueError(f"page {key}")
                     yield part.assign(text=[convert(bytes(c).decode()) for c in part["content"]], confidence=confidence, word_confidences=[[confidence]] * len(part))
         return run
+
+    def unloaded(batches):
+        raise RuntimeError("no model")
+
     engines = [slots.Recogniser("absent", reader(str, 0.0), {"en": "eng"}, available=False),
                slots.Recogniser("raise", reader(lambda s: s.replace("e", "E"), 90.0, lambda key: int(key) % 7 == 3), {"en": "eng", "fr": "fra"}),
-               slots.Recogniser("size", reader(lambda s: str(len(s)), 40.0), {"en": "eng", "de": "deu", "es": "spa"})]
-    pages = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.col("lang").alias("language"), F.col("text").cast("binary").alias("content"))
+               slots.Recogniser("unloaded", unloaded, {"de": "deu"}), slots.Recogniser("idle", lambda batches: iter(()), {"es": "spa"}),
+               slots.Recogniser("size", reader(lambda s: str(len(s)), 40.0), {"en": "eng", "zh": "zho"})]
+    pages = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.when(F.col("lang").isin("en", "fr", "de", "es"), F.col("lang")).otherwise("zh").alias("language"), F.col("text").cast("binary").alias("content"))
     out = slots.recognise(slots.assign_engine(pages, engines), engines)
     return out.select("page_key", "engine", F.md5(F.col("text").cast("binary")).alias("text_md5"), "confidence", "error")
 
