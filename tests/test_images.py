@@ -30,10 +30,44 @@ def test_scan_keeps_supported_files(spark, folder):
 
 
 def test_listing_does_not_read_content(spark, folder):
-    plan = sf.file_facts(sf.evidence_scan(spark, folder, include_empty=False))._jdf.queryExecution().executedPlan().toString()
+    plan = sf.file_facts(sf.evidence_scan(spark, folder, listing="driver"))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
 
 
+def test_files_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    deep = tmp_path / "flat" / "a" / "b" / "c" / "d"
+    deep.mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
+    for i in range(3000):
+        (tmp_path / "flat" / f"{i}.png").write_bytes(bytes([i % 256]) * (i % 5))
+    (deep / ".hidden é.png").write_bytes(b"xyz")
+    (deep / "no.txt").write_text("no")
+    files = sf.list_files(spark, str(tmp_path))
+    assert files.count() == 3002 and files.where("length = 0").count() == 600
+    monkeypatch.setattr(sf, "TASK_BYTES", 100)
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
+        read = sf.evidence_scan(spark, root, content=True)
+        assert read.rdd.getNumPartitions() > 8
+    rows = read.withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == 3001 and all(r.length == len(r.content) for r in rows) and len({r.part for r in rows}) > 8
+    assert {r.path for r in rows} >= {f"file:{tmp_path}/flat/7.png", f"file:{deep}/.hidden é.png"}
+    # the same paths and times as Spark's own source
+    spark_rows = {(r.path, r.modificationTime, r.length) for r in sf.evidence_scan(spark, str(tmp_path), listing="driver").collect()}
+    assert spark_rows == {(r.path, r.modificationTime, r.length) for r in rows if r.length and "hidden" not in r.path}
+    assert sf.evidence_scan(spark, str(tmp_path / "empty"), content=True).count() == 0
+    with pytest.raises(FileNotFoundError):
+        sf.list_files(spark, str(tmp_path / "absent"))
+
+
+def test_files_gone_after_the_listing_are_left_out(spark, tmp_path):
+    for name in ("a.png", "b.png"):
+        (tmp_path / name).write_bytes(b"1")
+    files = sf.list_files(spark, str(tmp_path))
+    (tmp_path / "a.png").unlink()
+    (tmp_path / "b.png").write_bytes(b"22")
+    assert [(r.path.rsplit("/", 1)[1], r.length, bytes(r.content)) for r in sf.read_files(files).collect()] == [("b.png", 2, b"22")]
+
+
 @pytest.fixture(scope="module")
 def images(spark, folder):
     return sf.decoded_images(spark, folder).withColumn("image_id", F.regexp_extract("image_id", r"([^/]+)$", 1)).cache()

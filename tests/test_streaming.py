@@ -1,7 +1,11 @@
 """Streaming intake, audit log, current state and audit rate."""
 
+import os
 import shutil
+from datetime import datetime
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.make_files import png
@@ -38,6 +42,64 @@ def test_intake_registers_each_file_once(spark, tmp_path):
     assert [r.event_type for r in tables.read("case_events").collect()] == ["INTEGRITY CHANGED"]
 
 
+def test_files_overwritten_in_place_are_seen(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "deep" / "er").mkdir(parents=True)
+    for name, value in (("a.png", 1), ("deep/b.png", 2), ("deep/er/c.png", 3)):
+        (root / name).write_bytes(png(2, 2, lambda y, x, v=value: (v, v, v)))
+    tables = EvidenceTables(spark, str(tmp_path / "db"), buckets=2)
+    intake(spark, root, tables, tmp_path / "cp")
+    assert tables.read("case_events").count() == 0
+    old = (root / "a.png").stat()
+    (root / "a.png").write_bytes(png(2, 2, lambda y, x: (9, 9, 9)))
+    (root / "deep/er/c.png").write_bytes((root / "deep/er/c.png").read_bytes())  # same content, new time
+    os.utime(root / "a.png", ns=(old.st_atime_ns, old.st_mtime_ns - 10**9))  # older than what was taken
+    for _ in range(2):  # the second run has nothing to do
+        intake(spark, root, tables, tmp_path / "cp")
+    assert [r.description.split(", Rec")[0] for r in tables.read("case_events").collect()] == ["SHA-256 mismatch! File: a.png"]
+    (root / "a.png").write_bytes(png(2, 2, lambda y, x: (1, 1, 1)))  # the recorded content is back
+    intake(spark, root, tables, tmp_path / "cp")
+    assert tables.read("case_events").count() == 1 and tables.read("evidence_items").count() == tables.read("processing_history").count() == 3
+
+
+@pytest.mark.parametrize("broken", [0, 1, 2])
+def test_a_batch_that_failed_is_completed(spark, tmp_path, monkeypatch, broken):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.png").write_bytes(png(2, 2, lambda y, x: (1, 2, 3)))
+    tables = EvidenceTables(spark, str(tmp_path / "db"), buckets=2)
+    intake(spark, root, tables, tmp_path / "cp")
+    (root / "a.png").write_bytes(png(3, 3, lambda y, x: (1, 2, 3)))
+    (root / "b.png").write_bytes(png(2, 2, lambda y, x: (4, 5, 6)))
+    append, calls = EvidenceTables.append, []
+
+    def fail(self, name, df):
+        calls.append(name)
+        if len(calls) == broken + 1:
+            raise RuntimeError("lost")
+        append(self, name, df)
+
+    monkeypatch.setattr(EvidenceTables, "append", fail)
+    q = jobs.run_intake(spark, str(root), tables, str(tmp_path / "cp"), lambda b: F.lit("CASE-1"))
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination()
+    monkeypatch.setattr(EvidenceTables, "append", append)
+    (root / "c.png").write_bytes(png(2, 2, lambda y, x: (7, 8, 9)))
+    for _ in range(2):
+        intake(spark, root, tables, tmp_path / "cp")
+    assert sorted(r.name for r in tables.read("evidence_items").collect()) == ["a.png", "b.png", "c.png"]
+    assert tables.read("processing_history").count() == 3
+    assert [r.event_type for r in tables.read("case_events").collect()] == ["INTEGRITY CHANGED"]
+
+
+def test_states_of_files(spark):
+    at = "path string, modificationTime timestamp, length bigint"
+    stamp = datetime(2026, 1, 1).replace
+    listing = spark.createDataFrame([("a", stamp(), 1), ("b", stamp(), 2), ("c", stamp(day=2), 3), ("d", None, 4), ("e", stamp(), 9)], at)
+    before = spark.createDataFrame([("a", stamp(), 1, 0), ("b", stamp(), 2, 0), ("b", stamp(), 3, 1), ("c", stamp(), 3, 0), ("d", None, 4, 2), ("z", stamp(), 1, 0)], at + ", batch bigint")
+    assert sorted(r.path for r in jobs.changed_files(listing, before).collect()) == ["b", "c", "e"]
+
+
 def events_stream(spark, sf_dir, tmp_path):
     src = tmp_path / "events"
     src.mkdir()

@@ -497,25 +497,24 @@ def m05_long(spark, d):
 WITH f AS (SELECT doc_id, 'C' || (doc_id % 3) AS case_id, doc_id || '.png' AS name, text FROM documents)
 SELECT case_id, name, sha256(text) AS sha256, 1::BIGINT AS n_registered, 1::BIGINT AS n_history, (doc_id % 10 = 0)::BIGINT AS n_changes FROM f""")
 def st1(spark, d):
+    """Documents as files in the shared folder, taken by the stream; a tenth is overwritten in
+    place and the stream is run again, under the same checkpoint, until nothing is left."""
     import uuid
 
     from vellumine.session import ensure_checkpoint_dir
+    from vellumine.sources.sinks import write_files
     from vellumine.sources.tables import EvidenceTables
-    from vellumine.streaming.jobs import register_batch, seen_files
-
-    docs = table(spark, d, "documents")
-    scan = docs.select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"),
-                       F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("modificationTime"), F.col("text").cast("binary").alias("content"))
-    changed = scan.where("doc_id % 10 = 0").withColumns({
-        "content": F.concat("content", F.lit("!").cast("binary")), "modificationTime": F.timestamp_seconds(F.lit(1800000000) + F.col("doc_id"))})
-    tables = EvidenceTables(spark, f"{ensure_checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}", buckets=4)
-    for name in ("evidence_items", "processing_history", "case_events"):
-        tables.append(name, spark.createDataFrame([], "case_id string"))
-    write = register_batch(tables, lambda b: F.concat(F.lit("C"), F.pmod(F.regexp_extract("path", r"(\d+)", 1).cast("bigint"), F.lit(3)).cast("string")))
-    batches = [scan.where("doc_id % 2 = 0"), scan.where("doc_id % 2 = 0"), scan.where("doc_id % 2 = 1").unionByName(changed), changed]  # second and last are replays
-    for n, part in enumerate(batches):
-        whole = part.withColumn("length", F.octet_length("content").cast("bigint")).drop("doc_id")
-        write(seen_files(whole), n // 2)
+    from vellumine.streaming.jobs import run_intake
+
+    folder = f"{ensure_checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("in/d"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"), F.col("text").cast("binary").alias("content"))
+    tables = EvidenceTables(spark, f"{folder}/tables", buckets=4)
+    changed = docs.where("doc_id % 10 = 0").withColumn("content", F.concat("content", F.lit("!").cast("binary")))
+    for part in (docs, changed, docs.limit(0)):
+        write_files(part, folder)
+        run_intake(spark, f"{folder}/in", tables, f"{folder}/checkpoint",
+                   lambda b: F.concat(F.lit("C"), F.pmod(F.regexp_extract("path", r"(\d+)\.png", 1).cast("bigint"), F.lit(3)).cast("string"))).awaitTermination()
     items = tables.read("evidence_items").groupBy("case_id", "evidence_id").agg(F.max("name").alias("name"), F.max("sha256").alias("sha256"), F.count("*").alias("n_registered"))
     history = tables.read("processing_history").groupBy("case_id", "evidence_id").agg(F.count("*").alias("n_history"))
     events = tables.read("case_events").groupBy("case_id", "evidence_id").agg(F.count("*").alias("n_changes"))

@@ -16,52 +16,138 @@ def spread(df: DataFrame, least: int = 8) -> DataFrame:
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
+LIST_DDL = "path string, modificationTime timestamp, length bigint, folder boolean"
 SCAN_DDL = "path string, modificationTime timestamp, length bigint, content binary"
+BATCH_BYTES = 32 << 20  # content in one Arrow batch; a longer file is a batch of its own
+TASK_BYTES = 128 << 20  # listed bytes that one task reads
 
 
-def empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """Zero-byte files below a folder, which Spark's own listing skips.
+def file_system(uri: str):
+    """The file system of a path or URI, and the path inside it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def _anchor(root: str) -> tuple[str, str]:
+    """Scheme and authority of ``root`` as Spark writes them, and the path below."""
+    if "://" in root and not root.startswith("file:"):
+        scheme, rest = root.split("://", 1)
+        host, _, path = rest.partition("/")
+        return f"{scheme}://{host}", f"/{path}".rstrip("/")
+    if root.startswith("file:"):
+        root = "/" + root[5:].lstrip("/")
+    return "file:", root.rstrip("/")
+
+
+def _millis(info) -> int | None:
+    """Modification time in microseconds, cut to milliseconds as Spark's file source has it."""
+    return None if info.mtime_ns is None else info.mtime_ns // 1_000_000 * 1000
 
-    The first level of folders is listed here, every folder below in a task.
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below a folder, zero-byte and hidden ones too: (path, modificationTime, length).
+
+    Folders of one depth are listed by tasks, round after round, each folder once; a round's
+    findings are stored before the next begins. The driver lists nothing and holds no path,
+    so the number of files and folders is bounded by the cluster alone. A folder that is gone
+    by its round, or cannot be read, has no files; a root that is missing raises.
     """
-    import pandas as pd
     from pyarrow import fs
 
-    def open_fs(uri: str):
-        return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
-
-    scheme = root.split("://", 1)[0] + "://" if "://" in root else "file:"
-    base, top = open_fs(root.replace("file:/", "/", 1) if root.startswith("file:/") and "://" not in root else root)
-    folders = [(top, False)] + [
-        (f.path, True) for f in base.get_file_info(fs.FileSelector(top, recursive=False)) if f.type == fs.FileType.Directory]
-    anchor = f"{scheme}" if scheme != "file:" else "file://"
+    from vellumine.session import cut_lineage
 
+    anchor, top = _anchor(root)
+    system, at = file_system(f"{anchor}{top}")
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no such folder: {root}")
     def listing(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
         for batch in batches:
-            found = []
-            for folder, deep in zip(batch["folder"], batch["deep"]):
-                system, at = open_fs(anchor + folder)
-                for f in system.get_file_info(fs.FileSelector(at, recursive=bool(deep))):
-                    if f.type == fs.FileType.File and f.size == 0:
-                        found.append((scheme + f.path, pd.Timestamp(f.mtime).tz_localize(None) if f.mtime else None, 0, b""))
-            yield pd.DataFrame(found, columns=["path", "modificationTime", "length", "content"])
+            for folder in batch.column("path").to_pylist():
+                system, at = file_system(folder)
+                try:
+                    found = system.get_file_info(fs.FileSelector(at, recursive=False))
+                except OSError:
+                    continue
+                for first in range(0, len(found), 10_000):
+                    some = [f for f in found[first : first + 10_000] if f.type in (fs.FileType.File, fs.FileType.Directory)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([folder.rstrip("/") + "/" + f.base_name for f in some], pa.string()),
+                        pa.array([_millis(f) for f in some], pa.timestamp("us", "UTC")), pa.array([f.size or 0 for f in some], pa.int64()),
+                        pa.array([f.type == fs.FileType.Directory for f in some], pa.bool_())], ["path", "modificationTime", "length", "folder"])
+
+    folders, files, n = spark.createDataFrame([(f"{anchor}{top}",)], "path string"), None, 1
+    while n:
+        # few folders a task: listing is waiting, not work
+        found = cut_lineage(folders.repartition(min(n, 4096), "path").mapInArrow(listing, LIST_DDL))
+        here = found.where("NOT folder").drop("folder")
+        files = here if files is None else files.unionByName(here)
+        folders = found.where("folder").select("path")
+        n = folders.count()
+    return files
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """Listed files with their ``content``: (path, modificationTime, length, content).
+
+    Tasks open the files; each reads about ``TASK_BYTES``, dealt by path, so a folder of any size
+    is spread. Time and length are those found after reading. A file that is gone is left out.
+    """
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
 
-    todo = spark.createDataFrame(folders, "folder string, deep boolean")
-    return todo.repartition(min(len(folders), 4096)).mapInPandas(listing, SCAN_DDL)
+        names = ["path", "modificationTime", "length", "content"]
+        kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.binary()]
 
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-def evidence_scan(spark: SparkSession, root: str, content: bool = False, include_empty: bool = True) -> DataFrame:
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, at = file_system(path)
+                try:
+                    with system.open_input_stream(at) as f:
+                        content = f.read()
+                    state = system.get_file_info(at)
+                except FileNotFoundError:
+                    continue
+                if state.type != fs.FileType.File:
+                    continue
+                if rows and held + len(content) > BATCH_BYTES:
+                    yield pack(rows)
+                    rows, held = [], 0
+                rows.append((path, _millis(state), len(content), content))
+                held += len(content) + 100
+        if rows:
+            yield pack(rows)
+
+    total = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    tasks = min(total.n, max((total.bytes or 0) // TASK_BYTES, files.sparkSession.sparkContext.defaultParallelism))
+    return files.select("path").repartition(max(int(tasks), 1), "path").mapInArrow(read, SCAN_DDL)
+
+
+def evidence_scan(spark: SparkSession, root: str, content: bool = False, include_empty: bool = True, listing: str = "tasks") -> DataFrame:
     """Supported files below a folder: (path, modificationTime, length[, content]).
 
-    Without ``content`` only the listing is read; files are never opened. Zero-byte
-    files are evidence too and are added from a listing of their own; switch that off
-    where none can occur.
+    Without ``content`` only the listing is read; files are never opened. Zero-byte files are
+    evidence too; ``include_empty`` leaves them out. ``listing`` "tasks" lists and reads in tasks
+    (``list_files``, ``read_files``); "driver" uses Spark's file source, for stores that only Spark
+    reaches: its listing is held by the driver and leaves out zero-byte and hidden files.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if include_empty:
-        df = df.unionByName(empty_files(spark, root))
-    df = df.where(fx.is_supported(F.col("path")))
-    return df if content else df.drop("content")
+    if listing == "driver":
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(fx.is_supported(F.col("path")))
+        return df if content else df.drop("content")
+    df = list_files(spark, root).where(fx.is_supported(F.col("path")))
+    if not include_empty:
+        df = df.where("length > 0")
+    return read_files(df) if content else df
 
 
 def file_facts(df: DataFrame) -> DataFrame:

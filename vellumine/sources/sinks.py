@@ -150,3 +150,26 @@ def write_text_report(lines: DataFrame, path: str, key: str, order: Sequence[str
     """
     ordered = lines.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     ordered.select(F.concat_ws("\t", F.col(key).cast("string"), F.col("text")).alias("value")).write.mode("overwrite").text(path)
+
+
+# --- files -------------------------------------------------------------------
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write ``content`` of each row to the file ``path`` below ``root``; an old file is replaced.
+
+    Every task writes its rows' files through the file system of ``root``, which driver and
+    executors must share. Returns the number of files. A null content is an empty file.
+    """
+    from vellumine.sources.files import file_system
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                system, at = file_system(f"{root.rstrip('/')}/{path}")
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

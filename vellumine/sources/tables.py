@@ -25,6 +25,11 @@ def case_bucket(case_id: Column | str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(case_id), F.lit(buckets)).cast("int")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class EvidenceTables:
     """Reads and writes of the case tables under one root path."""
 
@@ -106,8 +111,7 @@ class EvidenceTables:
             self._clear_then_write(name, buckets, kept.drop("case_bucket"))
 
     def _exists(self, name: str) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
+        return exists(self.spark, self.path(name))
 
     def _clear_then_write(self, name: str, buckets: DataFrame, kept: DataFrame) -> None:
         self._write(name, kept, "overwrite")
