@@ -32,9 +32,10 @@ END = 1  # the id that closes a document
 KNOWN_BYTES = 96 << 20  # of words and their ids that a worker remembers; then it starts anew
 ENTRY_BYTES = 200  # of a remembered word besides its letters and ids
 BLOCK = 1 << 16  # words looked up at once
+JOINED = 256  # words encoded as one text
 WINDOW = 1 << 20  # characters of a text cut at once
 #: a plain word before white space or a mark that ends one; else visible characters; else white space
-SEGMENT = re.compile(r"[ \n\r\t]*[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[ \n\r\t,.;:!?])|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+SEGMENT = re.compile(r" ?[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[ \n\r\t,.;:!?])|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 #: characters besides those four that some library counts as white space
 DOUBTFUL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
@@ -68,6 +69,9 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
+        known = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(known.values()) + 1, np.int64)  # bytes of each id; a character of its name is a byte
+        self.widths[list(known.values())] = list(map(len, known))
         self.forget()
 
     def forget(self) -> None:
@@ -75,16 +79,27 @@ class Encoder:
         self.ids, self.first, self.used, self.bytes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
 
     def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Encode ``words`` and remember their ids.
+
+        Words that begin with white space and end with a visible character do not change each
+        other's ids, so they are encoded many at once; bytes tell whose an id is.
+        """
+        alone = [w for w in words if w[0] not in " \n\r\t" or w[-1].isspace() or DOUBTFUL.match(w[-1])]
+        words = [*alone, *(set(words).difference(alone) if alone else words)]
+        rest = words[len(alone) :]
+        runs = ["".join(rest[i : i + JOINED]) for i in range(0, len(rest), JOINED)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([*alone, *runs], add_special_tokens=False)]
         fresh = np.fromiter(chain.from_iterable(found), np.int32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        upto = np.cumsum(self.widths[fresh])
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        last = np.searchsorted(upto, ends) + 1
         have = len(self.slots)
         while self.used + len(fresh) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while have + len(words) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         self.ids[self.used : self.used + len(fresh)] = fresh
-        self.first[have + 1 : have + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.first[have + 1 : have + 1 + len(words)] = self.used + last
         self.used += len(fresh)
         self.slots.update(zip(words, range(have, have + len(words)), strict=True))
         self.bytes += 4 * len(fresh) + sum(map(len, words)) + ENTRY_BYTES * len(words)
