@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumine.functions import fixed, text as tx
-from vellumine.operators import text_id as ti
+from vellumine.operators import profiles as lp, text_id as ti
 from vellumine.plans import flows
 
 PAGES = {
@@ -108,11 +108,64 @@ def test_languages_present(pages):
 def test_profiles_recognise_their_training_languages(spark):
     rows = [("a", "en", "the house and the garden of the king"), ("b", "fr", "la maison et le jardin du roi de la ville"), ("c", "de", "das haus und der garten des königs")]
     df = spark.createDataFrame(rows, "k string, lang string, text string")
-    out = {r.k: r for r in ti.score_profiles(df, "k", ti.train_profiles(df)).collect()}
+    out = {r.k: r for r in lp.score_profiles(df, "k", lp.train_profiles(df)).collect()}
     assert {k: r.stat_language for k, r in out.items()} == {"a": "en", "b": "fr", "c": "de"}
     assert all(0 < r.stat_probability <= 1 for r in out.values())
 
 
+def plain_scores(profiles, text, n):
+    """{language: score in units} of one page."""
+    grams = Counter(text.lower()[i : i + n] for i in range(len(text) - n + 1))
+    floors = {r.language: r.floor for r in profiles}
+    out = {x: sum(grams.values()) * round(f * lp.UNIT) for x, f in floors.items()}
+    for r in profiles:
+        out[r.language] += grams.get(r.gram, 0) * round(r.gain * lp.UNIT)
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_grams_are_those_of_the_letters(spark, n):
+    texts = [("a", None, "Ab\U0001f600\nABa"), ("a", None, "abab"), (None, 1, "x" * n), ("b", 2, "x" * (n - 1)), ("b", 2, ""), ("b", 3, None), (None, 1, "éÉé̀ x")]
+    df = spark.createDataFrame(texts, "k string, j int, text string")
+    got = {(r.k, r.j, r.gram): r.n for r in lp.gram_counts(df, ["k", "j"], n=n).collect()}
+    want = Counter((k, j, t.lower()[i : i + n]) for k, j, t in texts if t for i in range(len(t) - n + 1))
+    assert got == want
+
+
+def test_300_languages_score_alike_in_any_partitions_and_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzéü "
+    rows = [(f"l{i:03d}", "".join(rng.choices(letters, [rng.random() ** 3 for _ in letters], k=120))) for i in range(300)]
+    profiles = lp.train_profiles(spark.createDataFrame(rows, "lang string, text string")).cache()
+    pages = [(f"p{i}", rows[i * 7][1][:60]) for i in range(40)] + [("short", "ab"), ("none", None), ("strange", "漢字漢字漢"), ("p0", "more of the page p0"), (None, "abcd")]
+    df = spark.createDataFrame(pages, "k string, text string")
+    found = profiles.collect()
+    first = None
+    for parts, block in ((1, 1 << 20), (7, 1 << 20), (3, 9000)):
+        out = {r.k: (r.stat_language, r.stat_probability) for r in lp.score_profiles(df.repartition(parts), "k", profiles, block_grams=block).collect()}
+        assert first is None or out == first
+        first = out
+    assert set(first) == {k for k, t in pages if t and len(t) > 2}
+    for k in ("p3", "p0", "strange", None):
+        sums = Counter()
+        for key, t in pages:
+            if key == k:
+                sums.update(plain_scores(found, t, 3))
+        assert first[k][0] == max(sums, key=lambda x: (sums[x], x))
+        best = max(sums.values())
+        assert first[k][1] == pytest.approx(1 / sum(__import__("math").exp((s - best) / lp.UNIT) for s in sums.values()))
+
+
+def test_scores_without_profiles_or_pages(spark):
+    none = spark.createDataFrame([], "k string, lang string, text string")
+    assert lp.train_profiles(none).count() == 0 and lp.score_profiles(none, "k", lp.train_profiles(none)).count() == 0
+    some = spark.createDataFrame([("a", None, "no language"), ("b", "en", "the house")], "k string, lang string, text string")
+    assert [r.stat_language for r in lp.score_profiles(some, "k", lp.train_profiles(some)).collect()] == ["en", "en"]
+    assert lp.score_profiles(none, "k", lp.train_profiles(some)).count() == 0
+
+
 def test_support_matrix(spark):
     got = {r.language: r for r in ti.support_matrix(spark, ["hin", "ben"], ["Tamil", "Hindi"]).collect()}
     assert len(got) == 22

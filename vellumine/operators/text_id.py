@@ -2,9 +2,9 @@
 
 Everything about one page is computed in its own row with built-in expressions, so
 identification adds no shuffle to the scan. Marker lexicons of a few hundred words
-are constants of the expression; a lexicon or profile of any size is a DataFrame and
-is joined (``marker_scores_joined``, ``score_profiles``), where the optimizer
-broadcasts it only if its measured size allows.
+are constants of the expression; a lexicon of any size is a DataFrame and is joined
+(``marker_scores_joined``), where the optimizer broadcasts it only if its measured size
+allows. Statistical profiles are in ``profiles``.
 """
 
 from __future__ import annotations
@@ -298,67 +298,6 @@ def languages_present(df: DataFrame) -> DataFrame:
     return df.withColumn("languages", F.array_union(primary, others))
 
 
-# --- statistical profiles ----------------------------------------------------
-def char_grams(text: Column, n: int = 3) -> Column:
-    """Overlapping character n-grams of the lower-cased text, in one linear pass."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1))
-
-
-def gram_counts(df: DataFrame, keys: Sequence[str], text: str = "text", n: int = 3) -> DataFrame:
-    return df.select(*keys, F.explode(char_grams(F.col(text), n)).alias("gram")).groupBy(*keys, "gram").agg(
-        F.count(F.lit(1)).alias("n"))
-
-
-def train_profiles(labelled: DataFrame, language: str = "lang", text: str = "text", n: int = 3) -> DataFrame:
-    """Character n-gram profile per language: (language, gram, gain, floor).
-
-    ``gain`` is the log-probability above the language's unseen-gram floor. Counts are
-    combined per partition before the shuffle; the result grows with the alphabet, not
-    with the corpus.
-    """
-    counts = gram_counts(labelled.withColumnRenamed(language, "language"), ["language"], text, n)
-    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
-    floor = F.log(F.lit(0.5) / F.col("total"))
-    return counts.join(totals, "language").select(
-        "language", "gram", (F.log(F.col("n") / F.col("total")) - floor).alias("gain"), floor.alias("floor"))
-
-
-PROFILE_LANGUAGES = 256
-BROADCAST_GRAMS = 1_000_000
-
-
-def score_profiles(df: DataFrame, key: str, profiles: DataFrame, text: str = "text", n: int = 3,
-                   broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """Most likely language per page: (key, stat_language, stat_probability).
-
-    The profiles are a finished table (train, write or checkpoint, then score). They are
-    turned to one row per gram with a column per language. Up to ``broadcast_grams``
-    rows they are broadcast and every page is summed in the task that reads it: only one
-    row per page is shuffled. Larger profiles take a shuffled join of per-page gram
-    counts, whose frequent grams the optimizer splits.
-    """
-    floors = {r["language"]: r["floor"] for r in
-              profiles.groupBy("language").agg(F.first("floor").alias("floor")).limit(PROFILE_LANGUAGES + 1).collect()}
-    if len(floors) > PROFILE_LANGUAGES:
-        raise ValueError(f"more than {PROFILE_LANGUAGES} languages in one set of profiles")
-    languages = sorted(floors)
-    table = profiles.groupBy("gram").pivot("language", languages).agg(F.first("gain")).na.fill(0.0)
-    table = table.select("gram", *[F.col(f"`{x}`").alias(f"_g{i}") for i, x in enumerate(languages)])
-    small = table.limit(broadcast_grams + 1).count() <= broadcast_grams
-    if small:
-        grams = df.select(key, F.explode(char_grams(F.col(text), n)).alias("gram"), F.lit(1).alias("n"))
-        table = F.broadcast(table)
-    else:
-        grams = gram_counts(df, [key], text, n)
-    sums = grams.join(table, "gram", "left").groupBy(key).agg(
-        F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.col(f"_g{i}")).alias(f"_s{i}") for i in range(len(languages))])
-    scores = ", ".join(f"named_struct('score', coalesce(_s{i}, 0D) + _n * ({floors[x]!r}D), 'language', '{x}')" for i, x in enumerate(languages))
-    scored = compute_once(sums, {"_a": f"array({scores})"})
-    return scored.select(
-        key, F.expr("array_max(_a).language").alias("stat_language"),
-        F.expr("1D / aggregate(_a, 0D, (acc, s) -> acc + exp(s.score - array_max(_a).score))").alias("stat_probability"))
-
-
 # --- language capability -----------------------------------------------------
 
 

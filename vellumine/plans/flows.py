@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellumine.functions import fixed
 from vellumine.functions.numbering import hash_chunk, hash_order
-from vellumine.operators import integrity, metadata, raster, records, runs, text_id
+from vellumine.operators import integrity, metadata, profiles as language_profiles, raster, records, runs, text_id
 from vellumine.session import cut_lineage
 
 
@@ -51,7 +51,7 @@ def recognition_examination(page_runs: DataFrame, doc: str, page: str, file_dige
     stat = None
     if profiles is not None:
         keyed = best.withColumn("_page", F.to_json(F.struct(doc, page)))
-        votes = text_id.score_profiles(keyed, "_page", profiles)
+        votes = language_profiles.score_profiles(keyed, "_page", profiles)
         best = keyed.join(votes, "_page", "left").drop("_page")
         stat = ("stat_language", "stat_probability")
     agreed = runs.run_consensus(page_runs, [doc, page]).select(doc, page, "agreement_level", "overlap_score")

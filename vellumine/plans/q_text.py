@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import text as tx
 from vellumine.functions.bands import confidence_level
-from vellumine.operators import text_id as ti
+from vellumine.operators import profiles as lp, text_id as ti
 from vellumine.plans.registry import query, table
 from vellumine.session import cut_lineage
 from vellumine.sources.files import spread
@@ -257,7 +257,7 @@ totals AS (SELECT language, sum(n)::BIGINT AS total FROM counts GROUP BY 1)"""
 
 @query("t15_train_profiles", f"WITH {PROFILE_SQL} SELECT c.language, c.gram, c.n, t.total FROM counts c JOIN totals t USING (language)")
 def t15_train(spark, d):
-    counts = ti.gram_counts(documents(spark, d).withColumnRenamed("lang", "language"), ["language"])
+    counts = lp.gram_counts(documents(spark, d).withColumnRenamed("lang", "language"), ["language"])
     return counts.join(counts.groupBy("language").agg(F.sum("n").alias("total")), "language").select("language", "gram", "n", "total")
 
 
@@ -271,8 +271,8 @@ sc AS (SELECT dg.doc_id, p.language, sum(dg.n * p.gain) + any_value(p.floor) * a
 SELECT doc_id, arg_max(language, (score, language)) AS stat_language FROM sc GROUP BY 1""")
 def t15_score(spark, d):
     docs = documents(spark, d)
-    profiles = cut_lineage(ti.train_profiles(docs))  # a trained model is a finished table
-    return ti.score_profiles(docs, "doc_id", profiles).select("doc_id", "stat_language")
+    profiles = cut_lineage(lp.train_profiles(docs))  # a trained model is a finished table
+    return lp.score_profiles(docs, "doc_id", profiles).select("doc_id", "stat_language")
 
 
 @query("t16_support_matrix", """
