@@ -2,17 +2,21 @@
 
 The working shape is the property row ``(evidence_id, property, value, source)``. File
 facts, signature and digests come from one projection over one binary scan; only the
-XML packet and the container walk need Python, as small Arrow-batched generators that
-turn one file's bytes into rows for Spark to group.
+XML packet, nested JSON and the container walk need Python, as small Arrow-batched
+generators that turn one file's bytes into rows for Spark to group.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vellumine.functions import files as fx, fixed, text as tx, times
@@ -131,32 +135,55 @@ def xmp_rows(packets: DataFrame, key: str = "evidence_id", packet: str = "packet
     return first.select("evidence_id", "property", "value", F.lit("XMP").alias("source"), (F.col("at.n") * 4096 + F.col("at.i")).alias("n"))
 
 
-def json_depth(df: DataFrame, column: str) -> int:
-    """Deepest nesting of brackets in a column of JSON texts, those in strings left out: one aggregate, one number."""
-    step = lambda a, c: F.struct(
-        (a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
-    bare = F.regexp_replace(F.regexp_replace(F.col(f"`{column}`"), r"(?s)\\.", ""), r'"[^"]*+"', "")  # escapes, then strings
-    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
-    deepest = F.aggregate(F.filter(brackets, lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
-    return df.agg(F.max(deepest)).first()[0] or 0
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]+|\\.)*"|[\[\]{}]|[^\s\[\]{}",:]+', re.S)
+
+
+def _json_leaves(text: str) -> Iterator[tuple[str, str]]:
+    """(path, token) of every leaf of a valid JSON text, in order, in one pass of any depth."""
+    open_at: list[list] = []  # [is an object, path, key or index to come]
+    for token in _JSON_TOKEN.finditer(text):
+        t = token.group()
+        if t in "]}":
+            open_at.pop()
+        else:
+            path = ""
+            if open_at:
+                inside = open_at[-1]
+                if inside[0] and inside[2] is None:
+                    inside[2] = json.loads(t).encode("utf-8", "replace").decode()
+                    continue
+                if inside[0]:
+                    path, inside[2] = (f"{inside[1]}:{inside[2]}" if inside[1] else inside[2]), None
+                else:
+                    path, inside[2] = f"{inside[1]}[{inside[2]}]", inside[2] + 1
+            if t in "[{":
+                open_at.append([t == "{", path, None if t == "{" else 0])
+            else:
+                yield path, t
+        if not open_at:
+            return
 
 
-def flatten_json(df: DataFrame, key: str, column: str, source: str = "XMP", depth: int | None = None) -> DataFrame:
+def flatten_json(df: DataFrame, key: str, column: str, source: str = "XMP") -> DataFrame:
     """Nested JSON to property rows named ``a:b[0]``; blank leaves are dropped.
 
-    One generator per level; levels beyond the actual depth pass leaves on. ``depth`` is the
-    number of levels; by default the deepest nesting of the column, read in a pass before.
+    One walk over each text in the row that was read: the plan does not depend on the data and
+    a text nested hundreds of levels deep makes no other row slower. Texts that are no JSON,
+    or that name a key twice in one object, give no rows; neither do nulls, ``{}`` and ``[]``.
+    Only brackets and names are read in the walk; values are decoded by the JSON parser.
     """
-    depth = json_depth(df, column) if depth is None else depth
-    rows = df.select(F.col(key).alias("evidence_id"), F.lit("").alias("p"), F.expr(f"try_parse_json(`{column}`)").alias("v"))
-    for _ in range(depth):
-        rows = rows.selectExpr("evidence_id", """inline(CASE
-            WHEN schema_of_variant(v) LIKE 'OBJECT<%' THEN transform(map_entries(CAST(v AS MAP<STRING, VARIANT>)),
-              e -> named_struct('p', CASE WHEN p = '' THEN e.key ELSE concat(p, ':', e.key) END, 'v', e.value))
-            WHEN schema_of_variant(v) LIKE 'ARRAY<%' THEN transform(CAST(v AS ARRAY<VARIANT>),
-              (e, i) -> named_struct('p', concat(p, '[', i, ']'), 'v', e))
-            ELSE array(named_struct('p', p, 'v', v)) END)""")
-    leaf = rows.select("evidence_id", F.col("p").alias("property"), tx.strip(F.expr("CAST(v AS STRING)")).alias("value"), F.lit(source).alias("source"))
+    ready = df.select(F.col(key).alias("evidence_id"), F.col(f"`{column}`").alias("_json")).where(F.expr("try_parse_json(_json) IS NOT NULL"))
+    schema = T.StructType([ready.schema["evidence_id"], T.StructField("property", T.StringType()), T.StructField("token", T.StringType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = ((i, *leaf) for i, text in enumerate(batch.column(1).to_pylist()) for leaf in _json_leaves(text))
+            while some := list(itertools.islice(found, 10_000)):
+                at, paths, tokens = zip(*some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(paths, pa.string()), pa.array(tokens, pa.string())], schema.names)
+
+    leaf = ready.mapInArrow(walk, schema).select(
+        "evidence_id", "property", tx.strip(F.expr("CAST(try_parse_json(token) AS STRING)")).alias("value"), F.lit(source).alias("source"))
     return leaf.where("value <> ''")
 
 

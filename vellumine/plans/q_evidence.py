@@ -169,7 +169,7 @@ UNION ALL SELECT event_id, 'list[1]:w[0]', 'x' FROM events""")
 def m06(spark, d):
     nested = table(spark, d, "events").selectExpr(
         "event_id", """concat('{"a":', props, ',"list":["', event_type, '",{"v":', user_id, ',"w":["x"]}],"blank":" "}') AS j""")
-    return md.flatten_json(nested, "event_id", "j", depth=4).select("evidence_id", "property", "value")
+    return md.flatten_json(nested, "event_id", "j").select("evidence_id", "property", "value")
 
 
 def png_chunk(kind, body):
@@ -476,6 +476,15 @@ def m06_deep(spark, d):
     return md.flatten_json(docs, "evidence_id", "j")
 
 
+@query("m06_deepest_json", """SELECT doc_id::VARCHAR AS evidence_id, 'd' || repeat(':x[0]', 150) || ':t' AS property, trim(source) AS value, 'XMP' AS source FROM documents WHERE trim(source) <> ''
+UNION ALL SELECT doc_id::VARCHAR, 'n', n_chars::VARCHAR, 'XMP' FROM documents""")
+def m06_deepest(spark, d):
+    """302 levels in every row; a row of ten levels costs what it did without them."""
+    nested = F.concat(F.lit('{"n":'), F.col("n_chars").cast("string"), F.lit(',"d":'), F.repeat(F.lit('{"x":['), F.lit(150)), F.to_json(F.struct(F.col("source").alias("t"))), F.repeat(F.lit("]}"), F.lit(150)), F.lit("}"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), nested.alias("j"))
+    return md.flatten_json(docs, "evidence_id", "j")
+
+
 @query("m06_bracket_json", """SELECT doc_id::VARCHAR AS evidence_id, 't' AS property, ']]}"]' AS value FROM documents
 UNION ALL SELECT doc_id::VARCHAR, 'x:y:z', lang FROM documents""")
 def m06_bracket(spark, d):
