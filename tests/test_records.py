@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from vellumine.functions import times
-from vellumine.functions.numbering import hash_chunk, hash_order, id_chunk, number_rows
+from vellumine.functions.numbering import hash_order, number_rows, quantile_bounds, _placed
 from vellumine.operators import findings as fi, records as rc, runs as rn, slots
 from vellumine.plans import flows
 from vellumine.sources import sinks
@@ -28,7 +28,7 @@ def test_local_time_names_the_zone(spark):
 def test_ids_continue_after_the_highest(spark):
     old = spark.createDataFrame([("2026", "CASE-2026-000007"), ("2026", "CASE-2026-x"), ("2025", "CASE-2025-000100")], "year string, case_id string")
     new = spark.createDataFrame([(1, "2026"), (2, "2026"), (3, "2027")], "k long, year string")
-    out = rc.assign_ids(new, old, "year", "case_id", ["k"], id_chunk("k"), "CASE-%s-%06d", [F.col("year")])
+    out = rc.assign_ids(new, old, "year", "case_id", ["k"], "CASE-%s-%06d", [F.col("year")])
     assert {r.k: r.case_id for r in out.collect()} == {1: "CASE-2026-000008", 2: "CASE-2026-000009", 3: "CASE-2027-000001"}
 
 
@@ -36,11 +36,34 @@ def test_numbering_of_a_hot_group(spark):
     # one group holds two thirds of the rows
     df = spark.range(20_000).withColumn("g", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 7))
     want = df.withColumn("want", F.row_number().over(W.partitionBy("g").orderBy("id")))
-    got = number_rows(df, ["g"], ["id"], id_chunk("id", 100)).withColumnRenamed("id", "i")
-    both = want.join(got, want.id == got.i)
-    assert both.count() == 20_000 and both.where("want <> seq").count() == 0
-    by_hash = number_rows(df.withColumn("p", F.col("id").cast("string")), ["g"], [hash_order("p"), F.col("p")], hash_chunk("p", bits=8))
-    assert by_hash.groupBy("g").agg((F.max("seq") == F.count("*")).alias("a"), (F.countDistinct("seq") == F.count("*")).alias("b")).where("NOT a OR NOT b").count() == 0
+    for rows in (1 << 20, 2000, 64, 7):
+        got = number_rows(df, ["g"], ["id"], chunk_rows=rows).withColumnRenamed("id", "i")
+        both = want.join(got, want.id == got.i)
+        assert got.columns == ["i", "g", "seq"] and both.count() == 20_000 and both.where("want <> seq").count() == 0
+    hashed = number_rows(df.withColumn("p", F.col("id").cast("string")), ["g"], [hash_order("p"), F.col("p")], chunk_rows=500)
+    assert hashed.groupBy("g").agg((F.max("seq") == F.count("*")).alias("a"), (F.countDistinct("seq") == F.count("*")).alias("b")).where("NOT a OR NOT b").count() == 0
+
+
+def test_only_hot_groups_are_cut_into_even_parts(spark):
+    df = spark.range(60_000).withColumn("g", F.when(F.col("id") % 3 < 2, F.lit(None)).otherwise(F.col("id") % 997))
+    placed = _placed(df.withColumn("same", F.lit(1)), ["g"], ["same"])  # ties all along
+    bounds = quantile_bounds(placed, 4096).collect()
+    assert len(bounds) == 1 and bounds[0]._g.g0 is None and 5 <= len(bounds[0]._bounds) <= 15
+    parts = placed.where("g IS NULL").groupBy(F.size(F.filter(F.lit([b.row for b in bounds[0]._bounds]), lambda b: b <= F.col("_o.row")))).count().collect()
+    assert max(r["count"] for r in parts) < 3 * 4096
+    assert number_rows(df, ["g"], ["id"], within=["id"]).where("seq <> 1").count() == 0
+    assert number_rows(df.limit(0), ["g"], ["id"]).count() == 0
+
+
+def test_a_registration_joins_once(spark):
+    scan = spark.range(3000).selectExpr("IF(id % 3 < 2, 'hot', 'c' || id % 5) AS case_id", "'f' || id AS file_path", "sha2(CAST(id AS STRING), 256) AS sha256")
+    registry = scan.where("file_path LIKE '%7%'").selectExpr("*", "format_string('EVD-%06d', row_number() OVER (PARTITION BY case_id ORDER BY file_path)) AS evidence_id")
+    out = rc.register_or_reuse(scan, registry, ["file_path"])
+    assert out.count() == 3000 and out.select("case_id", "evidence_id").distinct().count() == 3000
+    known = registry.join(out.withColumnRenamed("evidence_id", "e"), ["case_id", "file_path"])
+    assert known.count() == registry.count() == known.where("known AND e = evidence_id AND status = 'INTEGRITY VERIFIED'").count()
+    numbers = out.groupBy("case_id").agg((F.max("evidence_id") == F.format_string("EVD-%06d", F.count("*"))).alias("dense")).collect()
+    assert all(r.dense for r in numbers)
 
 
 def test_patch_ignores_other_columns(spark):

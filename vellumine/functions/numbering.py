@@ -2,46 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import re
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-def id_chunk(key: str | Column, width: int = 4096) -> Column:
-    """Chunk of a numeric unique key: at most ``width`` rows each, ascending with the key."""
-    c = F.col(key) if isinstance(key, str) else key
-    return F.floor(c / F.lit(width)).cast("long")
+CHUNK_ROWS = 1 << 20  # rows of a group from which it is split, and of a part of it
+DRAWN = 64  # rows that the sample has of that many
+MOST_BOUNDS = 1024  # parts of one group
 
 
 def hash_order(*cols: str) -> Column:
-    """A well-spread sort key for text keys; ``hash_chunk`` ascends with it."""
+    """A well-spread sort key for text keys."""
     return F.xxhash64(*cols)
 
 
-def hash_chunk(*cols: str, bits: int = 16) -> Column:
-    return F.shiftright(F.xxhash64(*cols), 64 - bits)
+def _placed(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """``df`` with its group and order as one value each; equal orders are told apart by the row."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    return df.withColumns({
+        "_g": F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group)]),
+        "_o": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)], F.xxhash64(*plain).alias("row"))})
+
+
+def quantile_bounds(placed: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(_g, _bounds): for each group of about ``chunk_rows`` rows or more, the orders that cut it in
+    parts of about that size.
+
+    They are quantiles of a sample by hash, 64 rows of every ``chunk_rows``. Only the group and
+    order columns are read. Numbers do not depend on the bounds.
+    """
+    drawn = placed.where(F.pmod(F.xxhash64("_g", "_o"), F.lit(max(1, chunk_rows // DRAWN))) == 0).select("_g", "_o")
+    ranked = drawn.select("_g", "_o", F.row_number().over(W.partitionBy("_g").orderBy("_o")).alias("_k"), F.count(F.lit(1)).over(W.partitionBy("_g")).alias("_m"))
+    step = F.greatest(F.lit(DRAWN if chunk_rows >= DRAWN else 1), F.ceil(F.col("_m") / F.lit(MOST_BOUNDS)))
+    return ranked.where(F.col("_k") % step == 0).groupBy("_g").agg(F.array_sort(F.collect_list("_o")).alias("_bounds"))
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[Column | str], chunk: Column,
-                out: str = "seq") -> DataFrame:
-    """``row_number`` over (group, order) without ever sorting a whole group in one task.
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "seq", within: Sequence[str] = (),
+                measured: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``row_number`` over (group, order) that never sorts a hot group in one task.
 
-    ``chunk`` must not decrease along ``order`` inside a group. Rows are numbered
-    inside (group, chunk); the chunk sizes, a table smaller by the chunk width, are
-    summed up to offsets and joined back on the key the rows are already partitioned
-    by. A group holding a third of all rows is spread over as many tasks as it has
-    chunks. Rows with a null group are numbered as a group of their own, rows with a null
-    chunk come first: the key is a struct, and structs with nulls in equal places are equal.
+    Measured quantiles cut groups of ``chunk_rows`` rows or more; all others take one window.
+    Parts are numbered where they are and moved on by the sizes of the parts before them, a
+    table of one row per part. Where no group is hot the plan is the window alone. Rows with a
+    null group are a group of their own; of rows equal in ``order`` the row's hash decides.
+
+    ``within`` are further columns of few values: every combination is numbered by itself.
+    ``measured`` is a table with the group and order columns to measure instead of ``df``,
+    where ``df`` is expensive, such as the scan that ``df`` joins.
     """
-    marked = df.withColumn("_key", F.struct(F.struct(*group).alias("g"), chunk.alias("c")))
-    local = marked.withColumn(
-        "_local", F.row_number().over(W.partitionBy("_key").orderBy(*order)).cast("long"))
-    before = W.partitionBy("_key.g").orderBy("_key.c").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    return (
-        local.join(offsets, "_key")
-        .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_local", "_offset", "_key")
-    )
+    from vellumine.session import stored
+
+    placed = _placed(df, group, order)
+    bounds = stored(quantile_bounds(placed if measured is None else _placed(measured, group, order), chunk_rows), "bounds")
+    parts = ["_g", *within]
+    if bounds.isEmpty():
+        number = F.row_number().over(W.partitionBy(*parts).orderBy("_o")).cast("long")
+        return placed.withColumn(out, number).drop("_g", "_o")
+    # a few rows per hot group: the optimizer broadcasts the file by its size
+    cut = placed.join(bounds, "_g", "left").withColumn("_c", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_o"))), F.lit(0)))
+    local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*parts, "_c").orderBy("_o")).cast("long"))
+    before = W.partitionBy(*parts).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    sizes = local.where("_bounds IS NOT NULL").groupBy(*parts, "_c").agg(F.max("_local").alias("_n"))
+    offsets = sizes.withColumn("_offset", F.sum("_n").over(before)).drop("_n")
+    return (local.join(offsets, [*parts, "_c"], "left")
+            .withColumn(out, F.col("_local") + F.coalesce("_offset", F.lit(0)))
+            .select(*[F.col(f"`{c}`") for c in df.columns if c != out], out))

@@ -442,10 +442,7 @@ def observed_timeline(props: DataFrame) -> DataFrame:
             .when((s == "XMP") & F.lower(p).rlike("date|time"), 3))
     shown = F.when(rank == 1, F.concat(F.col("value"), F.lit(" (Timezone: Not encoded / Unknown)"))).otherwise(F.col("value"))
     marks = props.select("evidence_id", s.alias("source"), p.alias("event"), shown.alias("timestamp_str"), rank.alias("_rank")).where("_rank IS NOT NULL")
-    # a chunk is one event name and one month: it ascends with the order, and a
-    # file that holds a large share of all rows is numbered by many tasks
-    chunk = F.struct("_rank", "event", F.substring("timestamp_str", 1, 7))
-    return number_rows(marks, ["evidence_id"], ["_rank", "event", "timestamp_str"], chunk, "seq").drop("_rank")
+    return number_rows(marks, ["evidence_id"], ["_rank", "event", "timestamp_str"]).drop("_rank")
 
 
 def examination_summary(props: DataFrame) -> DataFrame:

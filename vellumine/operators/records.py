@@ -219,14 +219,15 @@ def highest_suffix(existing: DataFrame, group: str, identifier: str) -> DataFram
 
 
 def assign_ids(new: DataFrame, existing: DataFrame, group: str, identifier: str, order: Sequence[str | Column],
-               chunk: Column, shape: str, shape_args: Sequence[Column] = ()) -> DataFrame:
+               shape: str, shape_args: Sequence[Column] = (), within: Sequence[str] = (), measured: DataFrame | None = None) -> DataFrame:
     """Number a batch of new rows after the highest existing id of their group.
 
     ``shape`` is a format string ending in the number, e.g. ``EVD-%06d`` or
-    ``CASE-%s-%06d`` with the year as argument.
+    ``CASE-%s-%06d`` with the year as argument. ``within`` and ``measured`` are those of
+    ``number_rows``.
     """
     top = highest_suffix(existing, group, identifier)
-    numbered = number_rows(new, [group], list(order), chunk, "_seq").join(top, group, "left")
+    numbered = number_rows(new, [group], list(order), "_seq", within, measured).join(top, group, "left")
     number = (F.coalesce(F.col("_top"), F.lit(0)) + F.col("_seq")).cast("bigint")
     return numbered.withColumn(identifier, F.format_string(shape, *shape_args, number)).drop("_top", "_seq")
 
@@ -247,31 +248,27 @@ def auto_case_events(df: DataFrame, at: Column | None = None, case_col: str = "c
                       F.lit("Auto-created case for imported evidence"), at)
 
 
-def register_or_reuse(scan: DataFrame, registry: DataFrame, order: Sequence[str | Column], chunk: Column,
+def register_or_reuse(scan: DataFrame, registry: DataFrame, order: Sequence[str | Column],
                       keys: tuple[str, str] = ("case_id", "file_path")) -> DataFrame:
     """Give scanned files their evidence id: the known one, or the next new one.
 
-    Adds ``evidence_id``, ``known``, the re-import ``status`` and ``recorded_sha256``.
-    A known item counts as changed only when a digest is on record and differs.
+    Adds ``evidence_id``, ``known``, the re-import ``status`` and ``recorded_sha256``. A known
+    item counts as changed only when a digest is on record and differs. Scan and registry are
+    joined once; unknown rows are numbered inside that relation, apart from the known ones of
+    their case. The highest number of each case comes from the registry's two id columns.
     """
     case, path = keys
     recorded = registry.select(case, path, F.col("evidence_id").alias("_id"),
                                F.nullif(F.col("sha256"), F.lit("")).alias("recorded_sha256"))
-    matched = scan.join(recorded, [case, path], "left")
-    known = (
-        matched.where(F.col("_id").isNotNull())
-        .withColumn("evidence_id", F.col("_id"))
-        .withColumn("known", F.lit(True))
-    )
-    fresh = assign_ids(matched.where(F.col("_id").isNull()), registry, case, "evidence_id",
-                       order, chunk, "EVD-%06d").withColumn("known", F.lit(False))
+    matched = scan.join(recorded, [case, path], "left").withColumn("known", F.col("_id").isNotNull())
+    numbered = assign_ids(matched, registry, case, "evidence_id", order, "EVD-%06d", within=["known"], measured=scan)
     differs = F.col("recorded_sha256").isNotNull() & (F.col("recorded_sha256") != F.col("sha256"))
     status = (
         F.when(F.col("known") & F.coalesce(differs, F.lit(False)), fixed.INTEGRITY_CHANGED)
         .when(~F.col("known") & F.col("sha256").isNull(), "Pending")
         .otherwise(fixed.INTEGRITY_VERIFIED)
     )
-    return known.unionByName(fresh).drop("_id").withColumn("status", status)
+    return numbered.withColumns({"evidence_id": F.coalesce("_id", "evidence_id"), "status": status}).drop("_id")
 
 
 def import_history(registered: DataFrame, at: Column | None = None) -> DataFrame:

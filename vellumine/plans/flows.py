@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellumine.functions import fixed
-from vellumine.functions.numbering import hash_chunk, hash_order
+from vellumine.functions.numbering import hash_order
 from vellumine.operators import integrity, metadata, profiles as language_profiles, raster, records, runs, text_id
 from vellumine.session import cut_lineage
 
@@ -18,7 +18,7 @@ def import_documents(files: DataFrame, registry: DataFrame, case_id: Column, gen
     """
     seen = integrity.digests(metadata.signature(files)).drop("content")
     placed = records.default_case(seen.withColumn("case_id", case_id), generated_case).withColumnRenamed("path", "file_path")
-    return records.register_or_reuse(placed, registry, [hash_order("file_path"), F.col("file_path")], hash_chunk("file_path"))
+    return records.register_or_reuse(placed, registry, [hash_order("file_path"), F.col("file_path")])
 
 
 def identify_pages(pages: DataFrame, text: str = "text", stat: tuple[str, str] | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumine.functions import files, fixed, text as tx, times
-from vellumine.functions.numbering import id_chunk
 from vellumine.operators import integrity as ig, records as rc
 from vellumine.plans.registry import query, table
 
@@ -152,8 +151,7 @@ SELECT user_id, event_id, event_type, ts,
 def r09(spark, d):
     from vellumine.functions.numbering import number_rows
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
-    day = F.date_trunc("DAY", "ts").cast("timestamp_ntz")
-    return rc.timeline(number_rows(e, ["user_id"], ["ts", "event_id"], day), case_col="user_id", at="ts",
+    return rc.timeline(number_rows(e, ["user_id"], ["ts", "event_id"]), case_col="user_id", at="ts",
                        tie=["event_id"])
 
 
@@ -176,7 +174,7 @@ FROM fresh f LEFT JOIN top t ON t.year = f.year""")
 def r11(spark, d):
     fresh = table(spark, d, "customer").select(
         "c_custkey", (F.lit(1995) + F.col("c_nationkey") % 5).cast("bigint").alias("year"))
-    out = rc.assign_ids(fresh, cases(spark, d), "year", "case_id", ["c_custkey"], id_chunk("c_custkey"),
+    out = rc.assign_ids(fresh, cases(spark, d), "year", "case_id", ["c_custkey"],
                         "CASE-%d-%06d", [F.col("year")])
     return out.select("c_custkey", "case_id")
 
@@ -261,7 +259,7 @@ SELECT d.source AS case_id, d.doc_id, r.doc_id IS NOT NULL AS known,
 FROM documents d LEFT JOIN reg r ON r.doc_id = d.doc_id LEFT JOIN top t ON t.case_id = d.source""")
 def r18(spark, d):
     scan, registry = scan_and_registry(spark, d)
-    out = rc.register_or_reuse(scan, registry.drop("doc_id"), ["doc_id"], id_chunk("doc_id"))
+    out = rc.register_or_reuse(scan, registry.drop("doc_id"), ["doc_id"])
     return out.select("case_id", "doc_id", "known", "evidence_id")
 
 
@@ -365,7 +363,7 @@ SELECT d.doc_id, CASE WHEN r.doc_id IS NOT NULL AND sha256(d.text) <> r.sha256 T
   ELSE 'INTEGRITY VERIFIED' END AS status FROM documents d LEFT JOIN reg r ON r.doc_id = d.doc_id""")
 def i04(spark, d):
     scan, registry = scan_and_registry(spark, d)
-    out = rc.register_or_reuse(scan, registry.drop("doc_id"), ["doc_id"], id_chunk("doc_id"))
+    out = rc.register_or_reuse(scan, registry.drop("doc_id"), ["doc_id"])
     return out.select("doc_id", "status")
 
 
@@ -403,8 +401,8 @@ def r03_odd_keys(spark, d):
 WITH e AS (SELECT event_id, CASE WHEN user_id % 7 > 0 THEN user_id % 7 END AS g, CASE WHEN event_id % 11 > 0 THEN event_id END AS o FROM events)
 SELECT event_id, g, row_number() OVER (PARTITION BY g ORDER BY o NULLS FIRST, event_id) AS seq FROM e""")
 def r11_null_groups(spark, d):
-    from vellumine.functions.numbering import id_chunk, number_rows
+    from vellumine.functions.numbering import number_rows
 
     e = table(spark, d, "events").select(
         "event_id", F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 7).alias("g"), F.when(F.col("event_id") % 11 > 0, F.col("event_id")).alias("o"))
-    return number_rows(e, ["g"], ["o", "event_id"], id_chunk("o", 512)).select("event_id", "g", "seq")
+    return number_rows(e, ["g"], ["o", "event_id"], chunk_rows=64).select("event_id", "g", "seq")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vellumine.functions.numbering import hash_chunk, hash_order
+from vellumine.functions.numbering import hash_order
 from vellumine.operators import integrity, metadata, records
 from vellumine.sources.files import evidence_scan, read_files
 from vellumine.sources.tables import EvidenceTables, exists
@@ -45,7 +45,7 @@ def register_files(scan: DataFrame, tables: EvidenceTables, case_of: Callable[[D
     """
     scan = scan.withColumn("case_id", case_of(scan)).withColumnRenamed("path", "file_path").dropDuplicates(["case_id", "file_path"])
     registry = tables.read_buckets("evidence_items", scan).select("case_id", "file_path", "evidence_id", "sha256")
-    return records.register_or_reuse(scan, registry, [hash_order("file_path"), F.col("file_path")], hash_chunk("file_path"))
+    return records.register_or_reuse(scan, registry, [hash_order("file_path"), F.col("file_path")])
 
 
 def write_registered(done: DataFrame, tables: EvidenceTables, check: bool) -> None:
