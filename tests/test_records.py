@@ -1,6 +1,7 @@
 """Records, numbering, durable tables, runs, findings and slots."""
 
 import datetime as dt
+import pathlib
 
 import pytest
 from pyspark.sql import Window as W, functions as F
@@ -101,6 +102,72 @@ def test_delete_that_empties_a_folder(spark, tmp_path):
     assert spark.read.parquet(t.path("cases")).count() == 0 if any((tmp_path / "cases").glob("case_bucket=*")) else True
 
 
+ITEM = "case_id string, evidence_id string, file_path string"
+
+
+def items(spark, case, first, last, note="/f/"):
+    return spark.range(first, last).selectExpr(f"'{case}' AS case_id", "format_string('EVD-%06d', id) AS evidence_id", f"'{note}' || id AS file_path")
+
+
+def files_of(t, name="evidence_items"):
+    return {p.relative_to(t.path(name)).as_posix(): p.stat().st_mtime_ns for p in pathlib.Path(t.path(name)).rglob("part-*.parquet")}
+
+
+def test_a_large_case_fills_many_folders(spark, tmp_path):
+    t = EvidenceTables(spark, str(tmp_path), buckets=4, folder_rows=100)
+    t.append("evidence_items", items(spark, "hot", 0, 150).unionByName(items(spark, "cold", 0, 5)))
+    first = {f.split("/")[0] for f in files_of(t)}
+    t.append("evidence_items", items(spark, "hot", 150, 3000))
+    folders = {f.split("/")[0] for f in files_of(t)}
+    assert len(first) <= 3 and 30 <= len(folders) <= 40
+    assert t.read_case("evidence_items", "hot").count() == 3000 and t.read_case("evidence_items", "cold").count() == 5
+    for i in (0, 149, 150, 2999):  # of any age, out of one folder per size that the bucket had
+        one = t.read_case("evidence_items", "hot", f"EVD-{i:06d}")
+        assert [r.file_path for r in one.collect()] == [f"/f/{i}"] and len(one.inputFiles()) <= len(files_of(t))
+        scan = next(x for x in one._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+        assert "case_bucket" in scan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    per = t.read("evidence_items").where("case_id = 'hot'").groupBy(F.input_file_name()).count()
+    assert per.agg(F.max("count")).first()[0] < 400
+
+
+def test_a_replacement_rewrites_its_files_only(spark, tmp_path):
+    t = EvidenceTables(spark, str(tmp_path), buckets=2, folder_rows=50)
+    for i in range(12):
+        t.append("evidence_items", items(spark, f"C{i}", 0, 20))
+    before = files_of(t)
+    new = items(spark, "C3", 5, 7, "/new/").unionByName(items(spark, "C99", 1, 2, "/new/"))
+    old = t.touched_files("evidence_items", new, ["case_id", "evidence_id"])
+    t.replace("evidence_items", new, ["case_id", "evidence_id"])
+    after = files_of(t)
+    assert 1 <= len(old) <= 2 and set(before) - set(after) == set(old) and all(after[f] == before[f] for f in set(before) & set(after))
+    rows = {(r.case_id, r.evidence_id): r.file_path for r in t.read("evidence_items").collect()}
+    assert len(rows) == t.read("evidence_items").count() == 241
+    assert rows["C3", "EVD-000005"] == "/new/5" and rows["C3", "EVD-000007"] == "/f/7" and rows["C99", "EVD-000001"] == "/new/1"
+    assert t._counts("evidence_items").agg(F.sum("n")).first()[0] == 243  # rows that only moved are not counted again
+
+
+@pytest.mark.parametrize("step", ["deleted", "half moved"])
+def test_a_broken_rewrite_is_ended_by_the_next_reader(spark, tmp_path, monkeypatch, step):
+    t = EvidenceTables(spark, str(tmp_path), buckets=8)
+    t.append("evidence_items", items(spark, "A", 0, 10).unionByName(items(spark, "B", 0, 10)))
+    finish = EvidenceTables._finish
+    monkeypatch.setattr(EvidenceTables, "_finish", lambda self, name, label: None)  # the driver is lost after the journal
+    t.replace("evidence_items", items(spark, "A", 3, 4, "/new/").unionByName(items(spark, "B", 3, 4, "/new/")), ["case_id", "evidence_id"])
+    monkeypatch.setattr(EvidenceTables, "_finish", finish)
+    journal = next((tmp_path / "_journal" / "evidence_items").iterdir())
+    for r in spark.read.parquet(str(journal)).collect():
+        (tmp_path / "evidence_items" / r.file).unlink()
+    if step == "half moved":
+        done = next((tmp_path / "_aside" / "evidence_items").rglob("part-*.parquet"))
+        target = tmp_path / "evidence_items" / done.parent.name / done.name
+        target.parent.mkdir(exist_ok=True)
+        done.rename(target)
+    again = EvidenceTables(spark, str(tmp_path), buckets=8)
+    rows = {(r.case_id, r.evidence_id): r.file_path for r in again.read("evidence_items").collect()}
+    assert len(rows) == 20 and again.read("evidence_items").count() == 20 and rows["A", "EVD-000003"] == "/new/3"
+    assert not list((tmp_path / "_journal" / "evidence_items").iterdir())
+
+
 def test_older_files_get_defaults(spark, tmp_path):
     t = EvidenceTables(spark, str(tmp_path))
     old = spark.createDataFrame([("C1", "Legacy", 0)], "case_id string, title string, case_bucket int")

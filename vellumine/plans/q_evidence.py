@@ -69,6 +69,30 @@ def s05(spark, d):
     return shaped.select("case_id", "evidence_id", "file_size", "status", "page_count")
 
 
+@query("s05_rewritten_table", """SELECT 'CASE-' || source AS case_id, printf('EVD-%06d', doc_id) AS evidence_id, n_chars + (doc_id % 10 = 0)::INT AS file_size,
+  CASE WHEN doc_id % 10 = 0 THEN 'REVIEWED' ELSE 'Pending' END AS status FROM documents WHERE lang IS DISTINCT FROM 'fr' OR doc_id % 10 = 0
+UNION ALL SELECT 'CASE-new', printf('EVD-%06d', doc_id), NULL, 'Pending' FROM documents WHERE lang = 'fr' AND doc_id % 10 <> 0""")
+def s05_rewritten(spark, d):
+    """Appended in two batches to folders that split as they grow; a tenth of the items is
+    replaced by key, a case is deleted and its other items registered anew."""
+    import uuid
+
+    from vellumine.session import ensure_checkpoint_dir
+    from vellumine.sources.tables import EvidenceTables
+
+    docs = table(spark, d, "documents").select(
+        F.concat(F.lit("CASE-"), F.when((F.col("lang") == "fr") & (F.col("doc_id") % 10 != 0), "gone").otherwise(F.col("source"))).alias("case_id"),
+        F.format_string("EVD-%06d", "doc_id").alias("evidence_id"), F.col("n_chars").alias("file_size"), "doc_id")
+    t = EvidenceTables(spark, f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}", buckets=8, folder_rows=64)
+    t.append("evidence_items", docs.where("doc_id % 2 = 0"))
+    t.append("evidence_items", docs.where("doc_id % 2 = 1"))
+    t.replace("evidence_items", docs.where("doc_id % 10 = 0").withColumns({"file_size": F.col("file_size") + 1, "status": F.lit("REVIEWED")}), ["case_id", "evidence_id"])
+    gone = t.read_case("evidence_items", "CASE-gone").select("evidence_id").withColumn("case_id", F.lit("CASE-new"))
+    t.append("evidence_items", gone)
+    t.delete_cases(spark.createDataFrame([("CASE-gone",)], "case_id string"), ["evidence_items"])
+    return t.read("evidence_items").select("case_id", "evidence_id", "file_size", "status")
+
+
 @query("s07_histogram_csv", f"""WITH {ALL_COLOUR}
 SELECT image_id, v AS "Intensity", count(*) FILTER (ch = 'R') AS "Red_Count", count(*) FILTER (ch = 'G') AS "Green_Count",
   count(*) FILTER (ch = 'B') AS "Blue_Count", count(*) FILTER (ch = 'GRAY') AS "Grayscale_Count" FROM allpx GROUP BY 1, 2""")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from vellumine.operators.records import replace_rows
 from vellumine.schemas import DEFAULTS, TABLES
 from vellumine.session import cut_lineage
 
 BUCKETS = 256
+FOLDER_ROWS = 1 << 22  # rows of a bucket from which it has more than one part
+MOST_SPLITS = 20  # a bucket has at most 2^20 parts
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -20,33 +22,56 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 
 def case_bucket(case_id: Column | str, buckets: int = BUCKETS) -> Column:
-    """Partition folder of a case: a hash bucket, so the folder count stays fixed
-    however many cases there are, and a keyed read opens one folder."""
+    """Hash bucket of a case: a keyed read opens the folders of one bucket."""
     return F.pmod(F.xxhash64(case_id), F.lit(buckets)).cast("int")
 
 
+def _spread(key: Column | str) -> Column:
+    """A number below 2^20 by which the rows of a bucket are dealt to its parts."""
+    return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(1 << MOST_SPLITS)).cast("int")
+
+
+def parts_of(spread: Column) -> Column:
+    """Every part that a row may be in, one for each number of parts its bucket ever had.
+
+    Parts are numbered like a binary heap: a bucket of 2^k parts has numbers 2^k to 2^(k+1) - 1,
+    and a row goes to 2^k + (spread mod 2^k). A bucket that grows is cut finer for new rows
+    only, and a number tells how fine the cut was.
+    """
+    return F.transform(F.lit([1 << k for k in range(MOST_SPLITS + 1)]), lambda size: size + F.pmod(spread, size))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 class EvidenceTables:
-    """Reads and writes of the case tables under one root path."""
+    """Reads and writes of the case tables under one root path.
+
+    Folders are ``case_bucket=B + (P - 1) * buckets``, part P of bucket B. A bucket of up to ``folder_rows`` rows has one part;
+    beyond, new rows are dealt to 2, 4, 8 ... parts by their evidence, so a case that holds a
+    large share of all rows fills many folders, a case is still read from one bucket, and an
+    evidence item from one folder for each size the bucket has had. The rows of each bucket are
+    counted where they are written, in ``_rows``; the counts steer new rows only.
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    Rewrites touch the files that hold a key and no others. The new files are finished aside, a
+    journal names the old ones, and only then are the old files deleted and the new moved in.
+    Whoever opens the table next ends a rewrite that was broken off.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, folder_rows: int = FOLDER_ROWS):
+        self.spark, self.root, self.buckets, self.folder_rows = spark, root.rstrip("/"), buckets, folder_rows
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _layout(self, name: str, df: DataFrame) -> DataFrame:
-        if "case_id" in TABLES[name].fieldNames():
-            return df.withColumn("case_bucket", case_bucket("case_id", self.buckets))
-        return df
-
     def _partitioning(self, name: str) -> list[str]:
         return ["case_bucket"] if "case_id" in TABLES[name].fieldNames() else []
 
+    def _spread_key(self, name: str) -> str:
+        return "evidence_id" if "evidence_id" in TABLES[name].fieldNames() else "case_id"
+
     def _shape(self, name: str, df: DataFrame) -> DataFrame:
         """The table's columns in order and type, defaults filled in."""
         schema = TABLES[name]
@@ -54,69 +79,147 @@ class EvidenceTables:
         full = with_defaults(full, DEFAULTS.get(name, {}))
         return full.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
-    def _write(self, name: str, df: DataFrame, mode: str) -> None:
-        shaped = self._layout(name, self._shape(name, df))
+    # -- layout
+
+    def _counts(self, name: str) -> DataFrame:
+        ddl = "case_bucket int, n long"
+        at = f"{self.root}/_rows/{name}"
+        rows = self.spark.read.schema(ddl).parquet(at) if exists(self.spark, at) else self.spark.createDataFrame([], ddl)
+        return rows.groupBy("case_bucket").agg(F.sum("n").alias("n"))
+
+    def _laid_out(self, name: str, rows: DataFrame, counted: bool) -> DataFrame:
+        """Finished rows with their folders. ``counted`` adds them to the counts; rows that only
+        move are in them already."""
+        placed = rows.withColumn("case_bucket", case_bucket("case_id", self.buckets))
+        fresh = placed.groupBy("case_bucket").agg(F.count(F.lit(1)).alias("n"))
+        if counted:
+            fresh.coalesce(1).write.mode("append").parquet(f"{self.root}/_rows/{name}")  # at most ``buckets`` rows
+        folders = F.greatest(F.lit(1.0), F.coalesce("n", F.lit(1)) / F.lit(self.folder_rows))
+        cut = F.least(F.ceil(F.log2(folders)), F.lit(MOST_SPLITS)).cast("int")
+        cuts = F.broadcast(self._counts(name).select("case_bucket", cut.alias("_cut")))  # at most ``buckets`` rows
+        part = F.get(parts_of(_spread(self._spread_key(name))), F.coalesce("_cut", F.lit(0)))
+        folder = F.col("case_bucket") + (part - 1) * self.buckets
+        return placed.join(cuts, "case_bucket", "left").withColumn("case_bucket", folder.cast("int")).drop("_cut")
+
+    def _write(self, name: str, rows: DataFrame, path: str, mode: str, counted: bool = True) -> None:
         parts = self._partitioning(name)
         if parts:
             # gather each folder's rows into few files; a hot folder is split by AQE
-            shaped = shaped.hint("rebalance", *parts)
-        writer = shaped.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy(*parts) if parts else writer).parquet(self.path(name))
+            rows = self._laid_out(name, rows, counted).hint("rebalance", *parts)
+        writer = rows.write.mode(mode)
+        (writer.partitionBy(*parts) if parts else writer).parquet(path)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self._write(name, df, "append")
+        self.recover(name)
+        shaped = self._shape(name, df)
+        # counted, then written: evaluated once
+        self._write(name, cut_lineage(shaped) if self._partitioning(name) else shaped, self.path(name), "append")
+
+    # -- reads
 
     def read(self, name: str) -> DataFrame:
         """The table under its current schema: columns older files lack get defaults."""
-        schema = TABLES[name]
-        bucket = [T.StructField(c, T.IntegerType()) for c in self._partitioning(name)]
-        full = T.StructType([*schema.fields, *bucket])
-        df = self.spark.read.schema(full).parquet(self.path(name))
-        return with_defaults(df, DEFAULTS.get(name, {}))
+        self.recover(name)
+        return with_defaults(self._files(name, self.path(name)), DEFAULTS.get(name, {}))
+
+    def _files(self, name: str, *paths: str) -> DataFrame:
+        folder = [T.StructField(c, T.IntegerType()) for c in self._partitioning(name)]
+        return self.spark.read.schema(T.StructType([*TABLES[name].fields, *folder])).option("basePath", self.path(name)).parquet(*paths)
 
     def read_buckets(self, name: str, cases: DataFrame) -> DataFrame:
-        """Rows in the folders the given cases fall into; other folders are pruned at run time."""
-        few = cases.select(case_bucket("case_id", self.buckets).alias("case_bucket")).distinct()
+        """Rows in the buckets the given cases fall into; other folders are pruned at run time."""
+        few = cases.select(case_bucket("case_id", self.buckets).alias("_bucket")).distinct()
         # at most ``buckets`` rows of one integer: safe to broadcast whatever the data
-        return self.read(name).join(F.broadcast(few), "case_bucket", "left_semi")
+        return self.read(name).join(F.broadcast(few), self._bucket() == F.col("_bucket"), "left_semi")
 
-    def read_case(self, name: str, case_id: str) -> DataFrame:
-        """Rows of one case; only its folder is opened."""
-        bucket = self.spark.range(1).select(case_bucket(F.lit(case_id), self.buckets)).first()[0]
-        return self.read(name).where((F.col("case_bucket") == bucket) & (F.col("case_id") == case_id))
+    def _bucket(self) -> Column:
+        return F.pmod("case_bucket", F.lit(self.buckets))
 
-    def replace(self, name: str, rows: DataFrame, key: Sequence[str]) -> None:
-        """Replace the rows of every key in ``rows``.
+    def read_case(self, name: str, case_id: str, evidence_id: str | None = None) -> DataFrame:
+        """Rows of one case, or of one evidence item of it; only its folders are opened."""
+        at = self.spark.range(1).select(case_bucket(F.lit(case_id), self.buckets), parts_of(_spread(F.lit(evidence_id)))).first()
+        rows = self.read(name).where((self._bucket() == at[0]) & (F.col("case_id") == case_id))
+        if evidence_id is None:
+            return rows
+        return rows.where(F.col("case_bucket").isin([at[0] + (p - 1) * self.buckets for p in at[1]]) & (F.col("evidence_id") == evidence_id))
+
+    # -- rewrites
 
-        Only the folders those keys fall into are rewritten. The new content is
-        checkpointed first, because Spark cannot overwrite files it is reading.
-        """
+    def replace(self, name: str, rows: DataFrame, key: Sequence[str]) -> None:
+        """Replace the rows of every key in ``rows``; only files that hold one are rewritten."""
         rows = cut_lineage(self._shape(name, rows))
-        current = self.read(name)
-        if self._partitioning(name):
-            current = self.read_buckets(name, rows).drop("case_bucket")
-        merged = cut_lineage(replace_rows(current.select(rows.columns), rows, key))
-        self._write(name, merged, "overwrite")
+        self._rewrite(name, rows.select(*key).distinct(), key, rows)
 
     def delete_cases(self, doomed: DataFrame, names: Sequence[str] = tuple(TABLES)) -> None:
         """Delete cases everywhere; pass ``names`` without the history to keep it."""
         keys = cut_lineage(doomed.select("case_id").distinct())
-        buckets = keys.select(case_bucket("case_id", self.buckets).alias("case_bucket")).distinct()
         for name in names:
-            if not self._partitioning(name) or not self._exists(name):
-                continue
-            current = self.read_buckets(name, keys)
-            kept = cut_lineage(current.join(keys, "case_id", "left_anti"))
-            # an emptied folder would survive a dynamic overwrite: mark it with no rows
-            self._clear_then_write(name, buckets, kept.drop("case_bucket"))
+            if self._partitioning(name) and self._exists(name):
+                self._rewrite(name, keys, ["case_id"], None)
+
+    def touched_files(self, name: str, keys: DataFrame, key: Sequence[str]) -> list[str]:
+        """Files, relative to the table, with a row of one of the keys."""
+        current = self.read_buckets(name, keys) if "case_id" in key and self._partitioning(name) else self.read(name)
+        found = current.select(*key, F.col("_metadata.file_path").alias("_file")).join(keys, list(key), "left_semi").select("_file").distinct()
+        depth = len(self._partitioning(name)) + 1
+        return sorted("/".join(r[0].split("/")[-depth:]) for r in found.collect())  # paths of this table's files only
+
+    def _rewrite(self, name: str, keys: DataFrame, key: Sequence[str], added: DataFrame | None) -> None:
+        old = self.touched_files(name, keys, key)
+        label = uuid.uuid4().hex
+        aside, journal = f"{self.root}/_aside/{name}/{label}", f"{self.root}/_journal/{name}/{label}"
+        if old:
+            held = self._files(name, *[f"{self.path(name)}/{f}" for f in old])
+            kept = self._shape(name, held.join(keys, list(key), "left_anti"))
+            if self._partitioning(name):
+                kept = cut_lineage(kept)
+            self._write(name, kept, aside, "append", counted=False)
+        if added is not None:
+            self._write(name, added, aside, "append")
+        self.spark.createDataFrame([(f,) for f in old], "file string").coalesce(1).write.parquet(journal)
+        self._finish(name, label)
 
     def _exists(self, name: str) -> bool:
         return exists(self.spark, self.path(name))
 
-    def _clear_then_write(self, name: str, buckets: DataFrame, kept: DataFrame) -> None:
-        self._write(name, kept, "overwrite")
-        filled = kept.select(case_bucket("case_id", self.buckets).alias("case_bucket")).distinct()
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.path(name)).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for row in buckets.join(filled, "case_bucket", "left_anti").collect():  # at most ``buckets`` rows
-            fs.delete(fs_path(f"{self.path(name)}/case_bucket={row[0]}"), True)
+    def recover(self, name: str) -> None:
+        """End rewrites that a lost driver has left between journal and move."""
+        at = f"{self.root}/_journal/{name}"
+        if not exists(self.spark, at):
+            return
+        fs, path = self._fs(at)
+        for status in fs.listStatus(path):
+            label = status.getPath().getName()
+            if exists(self.spark, f"{at}/{label}/_SUCCESS"):
+                self._finish(name, label)
+
+    def _finish(self, name: str, label: str) -> None:
+        """Delete the files of a journal, move the new ones in, drop the journal; may be repeated."""
+        aside, journal = f"{self.root}/_aside/{name}/{label}", f"{self.root}/_journal/{name}/{label}"
+        left = set()
+        for row in self.spark.read.schema("file string").parquet(journal).collect():
+            fs, path = self._fs(f"{self.path(name)}/{row[0]}")
+            fs.delete(path, False)
+            left.add(row[0].rpartition("/")[0])
+        fs, top = self._fs(aside)
+        if fs.exists(top):
+            found = fs.listFiles(top, True)
+            while found.hasNext():
+                file = found.next().getPath()
+                if file.getName().startswith("part-"):
+                    below = "/".join(file.toString().split("/")[-len(self._partitioning(name)) - 1 :])
+                    _, target = self._fs(f"{self.path(name)}/{below}")
+                    fs.mkdirs(target.getParent())
+                    fs.rename(file, target)
+            fs.delete(top, True)
+        for folder in left - {""}:
+            fs, path = self._fs(f"{self.path(name)}/{folder}")
+            if fs.exists(path) and not fs.listStatus(path):
+                fs.delete(path, False)
+        fs.delete(self._fs(journal)[1], True)
+        # Spark may hold an older listing of the table
+        self.spark.catalog.refreshByPath(self.path(name))
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
