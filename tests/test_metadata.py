@@ -61,7 +61,7 @@ def test_segments_comments_quality(scan):
     quality = {r.evidence_id: r.estimated_quality for r in md.jpeg_quality(segments).collect()}
     assert abs(quality["photo.jpg"] - 85) <= 2 and quality["deep.jpg"] == round(5000 / (sum(25600 / q for q in fixed.LUMINANCE_QUANTISER) / 64))
     props = {(r.evidence_id, r.property): r.value for r in md.segment_rows(segments).collect()}
-    assert props["photo.jpg", "JPEG Comment"] == "Questioned document"
+    assert props["photo.jpg", "JPEG Comment #1"] == "Questioned document"
     assert props["photo.jpg", "Encoding Characteristic"] == "JFIF Version 1.02"
     assert props["text.png", "Author"] == "A. Examiner" and props["text.png", "Description"] == "Sample"
     assert props["text.png", "Dimensions"] == "200 × 150 px" and props["text.png", "Color Type"] == "RGB"
@@ -74,6 +74,44 @@ def test_quality_estimate_tracks_the_encoder(spark, quality):
     assert abs(md.jpeg_quality(md.container_segments(files)).first().estimated_quality - quality) <= 2
 
 
+def segments_of(spark, data):
+    return md.container_segments(spark.createDataFrame([("a", bytearray(data))], "evidence_id string, content binary")).orderBy("segment_no")
+
+
+def test_segments_are_read_by_their_lengths(spark):
+    comment = b"\xff\xfe\x00\x06\xff\xd9\xff\xe0"  # markers inside a payload are payload
+    frame = b"\xff\xc2" + bytes([0, 11, 8, 1, 0x2C, 2, 0x58, 1, 1, 0x11, 0])
+    scan = b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
+    rows = segments_of(spark, b"\xff\xd8" + comment + b"\xff\xff\xff" + frame[1:] + b"\xff\xd0stray\xff\x00" + b"\xff\xe5\x00\x02" + scan + b"\xff\xc0\x00\x0b" + b"\xff\xd9").collect()
+    assert [(r.kind, r.length) for r in rows] == [("SOI", 0), ("COM", 6), ("SOF2", 11), ("0xFFD0", 0), ("APP5", 2), ("SOS", 8)]
+    assert bytes(rows[1].payload) == b"\xff\xd9\xff\xe0"
+    assert [(r.decoded_width, r.decoded_height) for r in md.frame_sizes(segments_of(spark, b"\xff\xd8" + frame)).collect()] == [(600, 300)]
+    for cut, kinds in ((b"\xff\xd8\xff\xfe\x00\x09ab", ["SOI", "COM"]), (b"\xff\xd8\xff\xdb\x00", ["SOI"]), (b"\xff\xd8\xff\xff\xff", ["SOI"]), (b"\xff\xd8\xff\xfe\x00\x00\xff\xd9", ["SOI", "COM", "EOI"])):
+        assert [r.kind for r in segments_of(spark, cut).collect()] == kinds
+
+
+def test_tables_of_a_segment_are_split_by_their_precision(spark):
+    one = bytes([0]) + bytes(range(1, 65))
+    two = bytes([0x11]) + b"".join(v.to_bytes(2, "big") for v in range(1000, 1064))
+    for body, want in ((one, [(0, 8, 1, 64)]), (two + one, [(1, 16, 1000, 1063), (0, 8, 1, 64)]), (one + two + one, [(0, 8, 1, 64), (1, 16, 1000, 1063), (0, 8, 1, 64)]),
+                       (two + one[:40], [(1, 16, 1000, 1063)]), (one + b"\x13", [(0, 8, 1, 64)]), (one[:64], []), (b"", [])):
+        data = b"\xff\xd8\xff\xdb" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xd9"
+        got = md.quantiser_tables(segments_of(spark, data)).orderBy("segment_no", "table_no").collect()
+        assert [(r.table_id, r.bits, r.entries[0], r.entries[-1]) for r in got] == want and all(len(r.entries) == 64 for r in got)
+
+
+def test_container_rows_of_a_jpeg(spark):
+    data = jpeg_head([(0, zigzagged(quantiser(85, fixed.LUMINANCE_QUANTISER)), 8)], "one")
+    rows = {(r.property, r.source): r.value for r in md.segment_rows(segments_of(spark, data)).collect()}
+    assert rows["Container Type", "JPEG Container"] == "JPEG (ISO/IEC 10918-1)" and rows["Marker Count", "JPEG Container"] == "4"
+    assert rows["Marker Sequence", "JPEG Container"] == "APP0 → COM → DQT → EOI" and rows["Quantization Tables Count", "JPEG Container"] == "1"
+    assert rows["Quantization Table #0", "JPEG DQT"] == "Precision: 8-bit, Entries: 64" and rows["JPEG Comment #1", "JPEG COM"] == "one"
+    assert rows["Estimated Quality", "JPEG DQT (Estimation)"].startswith("85% (Estimated")
+    bare = {(r.property, r.source): r.value for r in md.segment_rows(segments_of(spark, b"\xff\xd8\xff\xd9")).collect()}
+    assert bare["JPEG Comment", "JPEG COM"] == "Not Available" and bare["Quantization Tables Count", "JPEG Container"] == "0"
+    assert bare["Estimated Quality", "JPEG DQT"] == "Not Available (Standard luminance table not matched)"
+
+
 def test_zigzag_starts_along_the_first_diagonals():
     assert md.zigzag_order()[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(md.zigzag_order()) == list(range(64))
 
@@ -150,3 +188,39 @@ def test_unexamined_item_report(spark):
     text = [r.text for r in sinks.case_report(df).orderBy("line_no").collect()]
     assert "No OCR or Examination Data available for this evidence." in text and "No detailed analysis performed." in text
     assert not any(t.startswith("Script Detection") for t in text)
+
+
+def plain_indicators(rows):
+    """Indicators of one file: (rank, property, value, label) rows in order."""
+    out = []
+    for rank, _, value, label in sorted(rows):
+        if rank < 3 or not any(value in x for x in out):
+            out.append(label)
+    return out
+
+
+def test_software_of_a_file_with_many_properties(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [("f", "Software", "GIMP 2.1", "EXIF"), ("f", "Creator", "Word", "PDF Info"), ("f", "Producer", "Word", "PDF Info"), ("f", "Title", "no", "XMP"), ("g", "HistoryAgent", "x", "XMP"), ("g", "CreatorTool", "Not Available", "XMP")]
+    rows += [("f", f"History{i}", "".join(rng.choices("ab 1é", k=rng.randint(1, 9))), "XMP") for i in range(700)]
+    props = spark.createDataFrame(rows + rows[:50], "evidence_id string, property string, value string, source string").repartition(5)
+    got = {}
+    for r in md.software_indicator_rows(props).collect():
+        got.setdefault(r.evidence_id, {})[r.indicator_no] = r.indicator
+    unique = {}
+    for e, p, v, s in rows:
+        rank = {"Software": 0, "Creator": 1, "Producer": 2}.get(p) if s != "XMP" else 3 if p[:3] in ("His", "Cre") else None
+        if e == "f" and rank is not None:
+            label = [f"EXIF: {v}", f"PDF Creator: {v}", f"PDF Producer: {v}", f"XMP {p}: {v}"][rank]
+            unique[v, rank if rank < 3 else None] = min((rank, p, v, label), unique.get((v, rank if rank < 3 else None), (9,)))
+    assert [got["f"][i] for i in sorted(got["f"])] == plain_indicators(unique.values()) and sorted(got["f"]) == list(range(len(got["f"])))
+    assert got["g"] == {0: "XMP HistoryAgent: x"}
+    both = {r.evidence_id: r.software_indicators for r in md.software_indicators(props).collect()}
+    assert both == {e: [x[i] for i in sorted(x)] for e, x in got.items()}
+
+
+def test_100_000_properties_of_one_file_are_folded_as_they_come(spark):
+    props = spark.range(100_000).selectExpr("'f' AS evidence_id", "'History' || id AS property", "'agent ' || sha2(CAST(id % 99000 AS STRING), 256) AS value", "'XMP' AS source")
+    assert md.software_indicator_rows(props).count() == 99_000

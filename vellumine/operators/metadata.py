@@ -13,11 +13,12 @@ import json
 import re
 import struct
 import xml.etree.ElementTree as ET
+from array import array
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from vellumine.functions import files as fx, fixed, text as tx, times
 from vellumine.functions.numbering import number_rows
@@ -188,39 +189,41 @@ def flatten_json(df: DataFrame, key: str, column: str, source: str = "XMP") -> D
 
 
 # --- container segments ------------------------------------------------------
-def _jpeg_segments(data: bytes) -> Iterator[tuple[str, int, bytes]]:
-    at = 2
-    yield "SOI", 0, b""
-    while True:
-        at = data.find(b"\xff", at)
-        if at < 0:
-            return
-        while at < len(data) and data[at] == 0xFF:
-            at += 1
-        if at >= len(data):
-            return
-        marker = data[at]
-        at += 1
-        name = fixed.JPEG_MARKERS.get(marker) or (f"APP{marker - 0xE0}" if 0xE0 <= marker <= 0xEF else f"0xFF{marker:02X}")
-        if marker in (0x00, 0xD8, 0xD9) or 0xD0 <= marker <= 0xD7:
-            yield name, 0, b""
-            continue
-        if at + 2 > len(data):
-            return
-        (size,) = struct.unpack_from(">H", data, at)
-        payload = data[at + 2:at + size]
-        yield name, size, payload
-        if name == "DQT":
-            offset = 0
-            while offset < len(payload):  # one row per quantiser table
-                end = offset + 1 + (128 if payload[offset] >> 4 else 64)
-                if end > len(payload):
-                    break
-                yield "DQT.table", end - offset, payload[offset:end]
-                offset = end
-        if name == "SOS":
-            return
-        at += max(size, 2)
+_MARKER = re.compile(rb"\xff+([\x01-\xfe])")  # fill bytes may stand before the code
+
+
+class _JpegReader:
+    """Marker segments of a JPEG stream by their declared lengths (ITU-T T.81, annex B).
+
+    All markers but a few are followed by a segment whose first two bytes are its length. What
+    follows a start of scan is entropy-coded and left unread. Bytes that are no marker where
+    one is due are passed over, as decoders do. Reading ends with the image or at a segment
+    cut off by the end of the file, of which the part that is there is returned.
+    """
+
+    BARE = {0x01, *range(0xD0, 0xDA)}  # TEM, restarts, start and end of image have no segment
+    LAST = {0xD9, 0xDA}
+
+    def __init__(self, stream: bytes) -> None:
+        self.stream = stream
+
+    def __iter__(self) -> Iterator[tuple[str, int, bytes]]:
+        behind = 0
+        while marker := _MARKER.search(self.stream, behind):
+            code, body = marker[1][0], marker.end()
+            declared = 0 if code in self.BARE else int.from_bytes(self.stream[body : body + 2], "big")
+            behind = body + declared
+            if code not in self.BARE and body + 2 > len(self.stream):
+                return
+            yield _marker_name(code), declared, self.stream[body + 2 : behind]
+            if code in self.LAST:
+                return
+
+
+def _marker_name(code: int) -> str:
+    if code in fixed.JPEG_MARKERS:
+        return fixed.JPEG_MARKERS[code]
+    return f"APP{code & 0x0F}" if code >> 4 == 0xE else f"0xFF{code:02X}"
 
 
 def _png_segments(data: bytes) -> Iterator[tuple[str, int, bytes]]:
@@ -235,13 +238,9 @@ def _png_segments(data: bytes) -> Iterator[tuple[str, int, bytes]]:
 
 
 def _numbered_segments(data: bytes) -> list[dict]:
-    """Segments of one JPEG or PNG file; a table row keeps its segment's number."""
-    jpeg = data.startswith(b"\xff\xd8")
-    out, n = [], -1
-    for kind, size, payload in _jpeg_segments(data) if jpeg else _png_segments(data):
-        n += kind != "DQT.table"
-        out.append({"container": "JPEG" if jpeg else "PNG", "segment_no": n, "kind": kind, "length": size, "payload": payload})
-    return out
+    """Segments of one JPEG or PNG file."""
+    container, found = ("JPEG", _JpegReader(data)) if data.startswith(b"\xff\xd8") else ("PNG", _png_segments(data))
+    return [{"container": container, "segment_no": n, "kind": kind, "length": size, "payload": payload} for n, (kind, size, payload) in enumerate(found)]
 
 
 _SEGMENTS = T.ArrayType(T.StructType([
@@ -270,18 +269,16 @@ def segment_relation(df: DataFrame, segments: str = "segments", key: str = "evid
 def container_segments(files: DataFrame, key: str = "evidence_id", content: str = "content") -> DataFrame:
     """JPEG markers and PNG chunks of scanned files, one row each.
 
-    Each file is walked once where it was read. Rows ``DQT.table`` repeat the quantiser
-    tables of a DQT segment one by one.
+    Each file is walked once where it was read.
     """
     return segment_relation(files.select(F.col(key), segment_array(F.col(content)).alias("segments")), "segments", key)
 
 
 def marker_summary(segments: DataFrame, shown: int = 12) -> DataFrame:
     """Marker count and the sequence of the first ``shown`` JPEG markers per file."""
-    real = segments.where((F.col("container") == "JPEG") & (F.col("kind") != "DQT.table"))
     # number 0 is the opening marker, implied by the container and not counted
     early = F.when(F.col("segment_no").between(1, shown), F.struct("segment_no", "kind"))
-    counts = real.groupBy("evidence_id").agg(
+    counts = segments.where(F.col("container") == "JPEG").groupBy("evidence_id").agg(
         (F.count(F.lit(1)) - 1).alias("marker_count"), F.count_if(F.col("kind") == "DQT").alias("dqt_segments"),
         F.array_sort(F.collect_list(early)).alias("_s"))  # at most ``shown`` entries
     return counts.select(
@@ -289,16 +286,87 @@ def marker_summary(segments: DataFrame, shown: int = 12) -> DataFrame:
         F.array_join(F.transform("_s", lambda s: s["kind"]), " → ").alias("marker_sequence"))
 
 
+def quantiser_tables(segments: DataFrame) -> DataFrame:
+    """Quantiser tables of the DQT segments: (evidence_id, segment_no, table_no, table_id, bits, entries).
+
+    A DQT payload is a run of tables, each a byte of precision and id and 64 numbers of one or
+    two bytes: the first byte tells where the next table begins. A table that is cut off, and
+    what follows it, is left out.
+    """
+    byte = lambda at, n: F.conv(F.hex(F.substring("payload", at, n)), 16, 10).cast("int")
+    wide = lambda at: byte(at + 1, F.lit(1)) >= 16
+    behind = lambda at: at + F.when(wide(at), 129).otherwise(65)
+    size = F.octet_length("payload")
+    # the shortest tables bound how many there can be
+    starts = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 65).cast("int"))), F.array(F.lit(0)),
+                         lambda found, _: F.when((F.element_at(found, -1) < size) & (behind(F.element_at(found, -1)) < size), F.array_append(found, behind(F.element_at(found, -1)))).otherwise(found))
+    tables = segments.where(F.col("kind") == "DQT").select("evidence_id", "segment_no", "payload", F.posexplode(starts).alias("table_no", "at")).where(
+        (F.col("at") < size) & (behind(F.col("at")) <= size))
+    head, width = byte(F.col("at") + 1, F.lit(1)), F.when(wide(F.col("at")), 2).otherwise(1)
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: byte(F.col("at") + 2 + i * width, width))
+    return tables.select("evidence_id", "segment_no", "table_no", F.pmod(head, F.lit(16)).alias("table_id"), (width * 8).alias("bits"), numbers.alias("entries"))
+
+
 def _split_zero(payload: Column, part: int, charset: str) -> Column:
     """Text before (1) or after (2) the first zero byte."""
     return F.regexp_extract(F.decode(payload, charset), r"(?s)^([^\x00]*)\x00(.*)$", part)
 
 
 def segment_rows(segments: DataFrame) -> DataFrame:
-    """Comments, text entries and header facts of the segments as property rows.
+    """Container facts, comments, text entries and header facts as property rows.
 
-    One pass: each segment row yields the properties its kind has.
+    Segments are read several times here: finish them first.
+    """
+    return chunk_rows(segments).unionByName(comment_rows(segments)).unionByName(container_rows(segments))
+
+
+def comment_rows(segments: DataFrame) -> DataFrame:
+    """The comments of each JPEG file, numbered in order."""
+    number = F.row_number().over(W.partitionBy("evidence_id").orderBy("segment_no"))
+    text = tx.strip(F.make_valid_utf8(F.col("payload").cast("string")))
+    found = segments.where((F.col("container") == "JPEG") & (F.col("kind") == "COM"))
+    return found.select("evidence_id", F.concat(F.lit("JPEG Comment #"), number).alias("property"), text.alias("value"), F.lit("JPEG COM").alias("source"))
+
+
+def container_rows(segments: DataFrame) -> DataFrame:
+    """Type, markers, quantiser tables and estimated quality of each JPEG file."""
+    tables = quantiser_tables(segments)
+    each = tables.select(
+        "evidence_id", F.concat(F.lit("Quantization Table #"), "table_id").alias("property"),
+        F.format_string("Precision: %d-bit, Entries: 64", "bits").alias("value"), F.lit("JPEG DQT").alias("source"))
+    n_tables = tables.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n_tables"))
+    comments = segments.where(F.col("kind") == "COM").groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n_comments"))
+    files = marker_summary(segments).join(n_tables, "evidence_id", "left").join(comments, "evidence_id", "left").join(jpeg_quality(segments), "evidence_id", "left")
+    known = F.col("estimated_quality").isNotNull()
+    rows = [
+        ("Container Type", F.lit("JPEG (ISO/IEC 10918-1)"), F.lit("JPEG Container")),
+        ("Marker Count", F.col("marker_count").cast("string"), F.lit("JPEG Container")),
+        ("Marker Sequence", F.col("marker_sequence"), F.lit("JPEG Container")),
+        ("Quantization Tables Count", F.coalesce("n_tables", F.lit(0)).cast("string"), F.lit("JPEG Container")),
+        ("Estimated Quality", F.when(known, F.concat(F.col("estimated_quality").cast("string"), F.lit("% (Estimated Property: Independent JPEG Group standard table comparison)")))
+         .otherwise("Not Available (Standard luminance table not matched)"), F.when(known, "JPEG DQT (Estimation)").otherwise("JPEG DQT")),
+        ("JPEG Comment", F.when(F.col("n_comments").isNull(), fixed.NOT_AVAILABLE), F.lit("JPEG COM"))]
+    items = F.array(*[F.struct(F.lit(p).alias("property"), v.alias("value"), source.alias("source")) for p, v, source in rows])
+    return files.select("evidence_id", F.inline(items)).where("value IS NOT NULL").unionByName(each)
+
+
+def frame_sizes(segments: DataFrame) -> DataFrame:
+    """Decoded size of JPEG and PNG files: (evidence_id, decoded_width, decoded_height).
+
+    From the first frame header of a JPEG (SOF0 to SOF15 without the tables DHT, JPG and DAC)
+    or the header chunk of a PNG. A JPEG whose height follows in the scan has none here.
     """
+    number = lambda at, n: F.conv(F.hex(F.substring("payload", at, n)), 16, 10).cast("int")
+    frames = [fixed.JPEG_MARKERS.get(c, f"0xFF{c:02X}") for c in range(0xC0, 0xD0) if c not in (0xC4, 0xC8, 0xCC)]
+    jpeg = (F.col("container") == "JPEG") & F.col("kind").isin(frames) & (F.octet_length("payload") >= 5)
+    png = (F.col("container") == "PNG") & (F.col("kind") == "IHDR") & (F.octet_length("payload") >= 8)
+    size = F.when(jpeg, F.struct(number(4, 2).alias("w"), number(2, 2).alias("h"))).when(png, F.struct(number(1, 4).alias("w"), number(5, 4).alias("h")))
+    first = segments.select("evidence_id", "segment_no", size.alias("size")).where("size IS NOT NULL").groupBy("evidence_id").agg(F.min_by("size", "segment_no").alias("size"))
+    return first.select("evidence_id", F.nullif("size.w", F.lit(0)).alias("decoded_width"), F.nullif("size.h", F.lit(0)).alias("decoded_height"))
+
+
+def chunk_rows(segments: DataFrame) -> DataFrame:
+    """Text entries and header facts of single segments; each row yields what its kind has."""
     kind, body, size = F.col("kind"), F.col("payload"), F.col("length")
     number = lambda at, n: F.conv(F.hex(F.substring(body, at, n)), 16, 10)
     colour = F.create_map(*[x for k, v in fixed.PNG_COLOUR_TYPES.items() for x in (F.lit(k), F.lit(v))])
@@ -313,7 +381,6 @@ def segment_rows(segments: DataFrame) -> DataFrame:
         return F.struct(text(prop).alias("property"), F.when(when, value).alias("value"), text(source).alias("source"))
 
     items = F.array(
-        row("JPEG Comment", kind == "COM", tx.strip(F.make_valid_utf8(body.cast("string"))), "JPEG COM"),
         row(F.when(zero_split, _split_zero(body, 1, "ISO-8859-1")), zero_split,
             F.when(kind == "tEXt", _split_zero(body, 2, "ISO-8859-1"))
             .otherwise(F.make_valid_utf8(F.encode(international, "ISO-8859-1").cast("string"))), F.concat(F.lit("PNG "), kind)),
@@ -343,22 +410,49 @@ def jpeg_quality(segments: DataFrame, reference: Sequence[int] = tuple(fixed.LUM
     into the same order; the mean scale is inverted by the standard rule. 16-bit tables
     are read as 16-bit numbers.
     """
-    tables = segments.where((F.col("kind") == "DQT.table") & F.expr("conv(hex(substring(payload, 1, 1)), 16, 10) % 16 = 0"))
-    first = tables.groupBy("evidence_id").agg(F.min_by("payload", F.struct("segment_no", "length")).alias("t"))
+    first = quantiser_tables(segments.where(F.col("container") == "JPEG")).where("table_id = 0").groupBy("evidence_id").agg(F.min_by("entries", F.struct("segment_no", "table_no")).alias("t"))
     ordered = ", ".join(str(reference[i]) for i in zigzag_order())
-    ratio = "CAST(conv(hex(CASE WHEN length(t) > 65 THEN substring(t, 2 + 2 * i, 2) ELSE substring(t, 2 + i, 1) END), 16, 10) AS INT) * 100D / get(ref, i)"
-    scaled = compute_once(first.withColumn("ref", F.expr(f"array({ordered})")),
-                          {"scale": f"aggregate(sequence(0, 63), 0D, (acc, i) -> acc + {ratio}) / 64D"})
+    scaled = first.selectExpr("evidence_id", f"aggregate(zip_with(t, array({ordered}), (e, r) -> e * 100D / r), 0D, (acc, x) -> acc + x) / 64D AS scale")
     return scaled.selectExpr("evidence_id", "CAST(greatest(1D, least(100D, rint(CASE WHEN scale <= 100D THEN (200D - scale) / 2D ELSE 5000D / scale END))) AS INT) AS estimated_quality")
 
 
 # --- consistency -------------------------------------------------------------
-def software_indicators(props: DataFrame) -> DataFrame:
-    """Software named in a file: (evidence_id, software_indicators).
+class _Held:
+    """Whether a text is part of one kept so far, by an index of the runs of ``RUN`` characters.
 
-    The EXIF software, the PDF creator and producer, then XMP properties whose name
-    mentions creator, software or history and whose value is not already part of an
-    earlier indicator. Only these few rows of a file are gathered.
+    A text can only be part of one that has all its runs; the runs with the fewest holders
+    name the candidates, which are compared in full. Texts shorter than a run have runs of
+    their own length.
+    """
+
+    RUN = 4
+
+    def __init__(self) -> None:
+        self.texts: list[str] = []
+        self.holders: dict[str, array] = {}
+
+    def keep(self, text: str) -> None:
+        for size in range(1, self.RUN + 1):
+            for run in {text[i : i + size] for i in range(len(text) - size + 1)}:
+                held = self.holders.setdefault(run, array("q"))
+                if size == self.RUN or not held:  # one holder answers for a short text
+                    held.append(len(self.texts))
+        self.texts.append(text)
+
+    def __contains__(self, text: str) -> bool:
+        size = min(len(text), self.RUN)
+        runs = {text[i : i + size] for i in range(len(text) - size + 1)} or {""}
+        rarest = min((self.holders.get(run, ()) for run in runs), key=len)
+        return any(text in self.texts[i] for i in rarest)
+
+
+def software_indicator_rows(props: DataFrame) -> DataFrame:
+    """Software named in a file, a row each: (evidence_id, indicator_no, indicator).
+
+    The EXIF software, the PDF creator and producer, then XMP properties whose name mentions
+    creator, software or history and whose value is not already part of an earlier indicator.
+    Equal values of a file are combined before the shuffle. A task reads its files' rows in
+    order and folds them as they come; of a file it keeps only the indicators found.
     """
     p, s, v = F.col("property"), F.col("source"), F.col("value")
     rank = (F.when((s == "EXIF") & (p == "Software"), 0).when((s == "PDF Info") & (F.lower(p) == "creator"), 1)
@@ -368,10 +462,31 @@ def software_indicators(props: DataFrame) -> DataFrame:
              .when(rank == 2, F.concat(F.lit("PDF Producer: "), v)).otherwise(F.concat(F.lit("XMP "), p, F.lit(": "), v)))
     named = props.where(rank.isNotNull() & (v != fixed.NOT_AVAILABLE)).select("evidence_id", rank.alias("rank"), p.alias("p"), v.alias("v"), label.alias("label"))
     unique = named.groupBy("evidence_id", "v", F.when(F.col("rank") < 3, F.col("rank")).alias("_own")).agg(
-        F.min_by(F.struct("rank", "p", "v", "label"), F.struct("rank", "p")).alias("r"))
-    gathered = unique.groupBy("evidence_id").agg(F.array_sort(F.collect_list("r")).alias("_all"))
-    return gathered.selectExpr("evidence_id", """aggregate(_all, CAST(array() AS ARRAY<STRING>), (acc, r) ->
-        CASE WHEN r.rank = 3 AND contains(array_join(acc, chr(10)), r.v) THEN acc ELSE array_append(acc, r.label) END) AS software_indicators""")
+        F.min_by(F.struct("rank", "p", "label"), F.struct("rank", "p")).alias("r"))
+    ordered = unique.select("evidence_id", "r.rank", "r.p", "v", "r.label").repartition("evidence_id").sortWithinPartitions("evidence_id", "rank", "p", "v")
+    schema = T.StructType([props.schema["evidence_id"], T.StructField("indicator_no", T.IntegerType()), T.StructField("indicator", T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = object(), _Held()
+        for batch in batches:
+            out = []
+            for at, (key, rank, value, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("evidence_id", "rank", "v", "label")))):
+                if key != file:
+                    file, held = key, _Held()
+                if rank < 3 or value not in held:
+                    out.append((at, len(held.texts), label))
+                    held.keep(label)
+            at, numbers, labels = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("evidence_id").take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(labels, pa.string())], schema.names)
+
+    return ordered.mapInArrow(fold, schema)
+
+
+def software_indicators(props: DataFrame) -> DataFrame:
+    """The indicators of each file in order: (evidence_id, software_indicators)."""
+    rows = software_indicator_rows(props)
+    gathered = rows.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("indicator_no", "indicator"))).alias("_all"))
+    return gathered.select("evidence_id", F.col("_all.indicator").alias("software_indicators"))
 
 
 def consistency(facts: DataFrame) -> DataFrame:
@@ -379,10 +494,12 @@ def consistency(facts: DataFrame) -> DataFrame:
 
     ``facts`` has one row per file: signature columns, ``exif_width``, ``exif_height``,
     ``decoded_width``, ``decoded_height``, ``exif_present``, ``gps_present``,
-    ``has_thumbnail``, ``xmp_present``, ``is_pdf``, ``security_flags`` and
-    ``software_indicators`` (the last two arrays).
+    ``has_thumbnail``, ``xmp_present``, ``is_pdf``, ``security_flags`` (an array) and
+    ``software_indicators``, an array or the number of them.
     """
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    listed = isinstance(facts.schema["software_indicators"].dataType, T.ArrayType)
+    software = F.size("software_indicators") if listed else F.col("software_indicators")
     size_differs = F.coalesce((F.col("exif_width") > 0) & (F.col("decoded_width") > 0) & (
         (F.col("exif_width") != F.col("decoded_width")) | (F.col("exif_height") != F.col("decoded_height"))), F.lit(False))
     mismatch = ~F.coalesce(F.col("is_consistent"), F.lit(True))
@@ -390,7 +507,7 @@ def consistency(facts: DataFrame) -> DataFrame:
     some = yes("exif_present") | yes("xmp_present") | yes("is_pdf")
     flags = F.array(
         flag(mismatch, "FORMAT MISMATCH"), flag(size_differs, "DIMENSION DISCREPANCY"),
-        flag(F.coalesce(F.size("software_indicators"), F.lit(0)) > 1, "MULTIPLE SOFTWARE INDICATORS"),
+        flag(F.coalesce(software, F.lit(0)) > 1, "MULTIPLE SOFTWARE INDICATORS"),
         flag(yes("exif_present"), "EXIF PRESENT"), flag(yes("gps_present"), "GPS PRESENT"),
         flag(yes("has_thumbnail"), "EMBEDDED THUMBNAIL PRESENT"), flag(yes("xmp_present"), "XMP PRESENT"),
         F.when(some, "METADATA PRESENT").otherwise("NO METADATA"))

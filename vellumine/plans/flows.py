@@ -83,7 +83,8 @@ def metadata_examination(files: DataFrame, supplied: DataFrame | None = None) ->
     ``supplied`` are property rows (evidence_id, property, value, source) of decoders that
     are not part of the library: EXIF, EXIF GPS, IPTC / IIM, PDF Info. Their evidence_id is
     the file's path. Returned: ``properties`` with their category, ``facts`` with flags and
-    inconsistencies, ``timeline``, ``summary``, ``anomalies`` and ``quality``.
+    inconsistencies (and the number of software indicators), ``timeline``, ``summary``, ``anomalies``,
+    ``quality`` and ``software``, the indicators.
 
     The content is read once: digests, signature, packet, active content and container
     segments are kept in a checkpoint without it, and everything else comes from there.
@@ -103,20 +104,20 @@ def metadata_examination(files: DataFrame, supplied: DataFrame | None = None) ->
     props = cut_lineage(metadata.route_rows(props))
     p, s, v = F.col("property"), F.col("source"), F.col("value")
     any_of = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
-    side = lambda n: F.max(F.when((p == "Dimensions") & (s == "PNG IHDR"), F.regexp_extract(v, r"^(\d+) × (\d+)", n).try_cast("int")))
     marks = props.groupBy("evidence_id").agg(
         any_of((s == "EXIF") & ~p.endswith("Status")).alias("exif_present"), any_of((s == "EXIF GPS") & (p == "GPS Present") & (v == "YES")).alias("gps_present"),
         any_of(p.contains("Thumbnail") & ~F.upper(v).isin("NO", "NONE", F.upper(F.lit(fixed.NOT_AVAILABLE)))).alias("has_thumbnail"),
-        side(1).alias("decoded_width"), side(2).alias("decoded_height"),
         F.min(F.when((s == "PDF Info") & (F.lower(p) == "creator"), v)).alias("creator"), F.min(F.when((s == "PDF Info") & (F.lower(p) == "producer"), v)).alias("producer"))
     wide = metadata.file_facts(props)
-    facts = seen.drop("segments").join(metadata.software_indicators(props), "evidence_id", "left").join(marks, "evidence_id", "left").join(wide, "evidence_id", "left")
+    software = cut_lineage(metadata.software_indicator_rows(props))
+    n_software = software.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("software_indicators"))
+    facts = seen.drop("segments").join(n_software, "evidence_id", "left").join(marks, "evidence_id", "left").join(metadata.frame_sizes(segments), "evidence_id", "left").join(wide, "evidence_id", "left")
     facts = metadata.consistency(facts.withColumns({
         "exif_width": F.col("exif_width").try_cast("int"), "exif_height": F.col("exif_height").try_cast("int"), "xmp_present": F.col("packet").isNotNull()}))
     found = facts.select("evidence_id", F.coalesce("software", F.lit("")).alias("software"), F.coalesce("creator", F.lit("")).alias("creator"),
                          F.coalesce("producer", F.lit("")).alias("producer"), F.col("detected_format").alias("file_type"), "inconsistencies")
     return {"properties": props.select(*metadata.ROW), "routed": props, "facts": facts, "timeline": metadata.observed_timeline(props),
-            "summary": metadata.examination_summary(props), "anomalies": metadata.anomalies(found), "quality": metadata.jpeg_quality(segments)}
+            "summary": metadata.examination_summary(props), "anomalies": metadata.anomalies(found), "quality": metadata.jpeg_quality(segments), "software": software}
 
 
 def histogram_examination(images: DataFrame) -> dict[str, DataFrame]:

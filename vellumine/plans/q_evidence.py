@@ -13,6 +13,7 @@ from vellumine.functions.once import compute_once
 from vellumine.operators import findings as fi, metadata as md, raster as ra, runs as rn, slots
 from vellumine.plans.q_raster import ALL_COLOUR, TILES_SQL, colour_counts, tiles
 from vellumine.plans.registry import query, table
+from vellumine.session import cut_lineage
 from vellumine.sources import files as sf, sinks
 from vellumine.streaming.jobs import audit_rate
 
@@ -71,7 +72,7 @@ def s05(spark, d):
 
 @query("s05_rewritten_table", """SELECT 'CASE-' || source AS case_id, printf('EVD-%06d', doc_id) AS evidence_id, n_chars + (doc_id % 10 = 0)::INT AS file_size,
   CASE WHEN doc_id % 10 = 0 THEN 'REVIEWED' ELSE 'Pending' END AS status FROM documents WHERE lang IS DISTINCT FROM 'fr' OR doc_id % 10 = 0
-UNION ALL SELECT 'CASE-new', printf('EVD-%06d', doc_id), NULL, 'Pending' FROM documents WHERE lang = 'fr' AND doc_id % 10 <> 0""")
+UNION ALL SELECT 'CASE-new', printf('EVD-%06d', doc_id), 0, 'Pending' FROM documents WHERE lang = 'fr' AND doc_id % 10 <> 0""")
 def s05_rewritten(spark, d):
     """Appended in two batches to folders that split as they grow; a tenth of the items is
     replaced by key, a case is deleted and its other items registered anew."""
@@ -244,6 +245,49 @@ def m07_jpeg(spark, d):
     return md.marker_summary(md.container_segments(jpegs(spark, d)))
 
 
+# A whole JPEG head per document: two tables of which one may have 16 bits, a frame whose size is
+# not that of the EXIF rows for every fourth document, comments and a scan.
+def framed_jpegs(spark, d):
+    docs = sf.spread(table(spark, d, "documents"))
+    hex2 = lambda e, n=2: f"lpad(hex({e}), {n}, '0')"
+    deep = "doc_id % 3 = 0"
+    return compute_once(docs, {"path": "concat(doc_id, '.jpg')", "length": "CAST(n_chars AS BIGINT)", "modificationTime": "timestamp_seconds(1700000000 + doc_id)", "content": f"""concat(
+      unhex('FFD8FFE000104A46494600010100000100010000FFEE000E41646F626500640000000000'), unhex(concat('FFFE', {hex2("octet_length(lang) + 2", 4)})), CAST(lang AS BINARY),
+      unhex(concat('FFFFFFFE', {hex2("octet_length(source) + 2", 4)})), CAST(source AS BINARY),
+      unhex(concat('FFDB', IF({deep}, '00C4', '0084'), '00', repeat({hex2("1 + doc_id % 200")}, 64), IF({deep}, concat('11', repeat('0102', 64)), concat('01', repeat('03', 64))))),
+      unhex(concat('FFC2000B08', {hex2("1 + doc_id % 500", 4)}, {hex2("7 + doc_id % 2", 4)}, '01011100', 'FFDA0008010100003F00')), CAST(text AS BINARY), unhex('FFD9'))"""})
+
+
+@query("m07_jpeg_container", """
+WITH d AS (SELECT *, doc_id::VARCHAR AS evidence_id, 3 * (doc_id % 3 = 0)::INT AS deep, 1 + doc_id % 200 AS q FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+s AS (SELECT d.*, avg_of.per * q AS scale FROM d, (SELECT avg(100.0::DOUBLE / v) AS per FROM (SELECT unnest(QUANTISER) AS v)) avg_of)
+SELECT evidence_id, 'Container Type' AS property, 'JPEG (ISO/IEC 10918-1)' AS value, 'JPEG Container' AS source FROM d UNION ALL SELECT evidence_id, 'Marker Count', '7', 'JPEG Container' FROM d
+UNION ALL SELECT evidence_id, 'Marker Sequence', 'APP0 → APP14 → COM → COM → DQT → SOF2 → SOS', 'JPEG Container' FROM d UNION ALL SELECT evidence_id, 'Quantization Tables Count', '2', 'JPEG Container' FROM d
+UNION ALL SELECT evidence_id, 'Quantization Table #0', 'Precision: 8-bit, Entries: 64', 'JPEG DQT' FROM d
+UNION ALL SELECT evidence_id, 'Quantization Table #1', CASE deep WHEN 0 THEN 'Precision: 8-bit, Entries: 64' ELSE 'Precision: 16-bit, Entries: 64' END, 'JPEG DQT' FROM d
+UNION ALL SELECT evidence_id, 'Estimated Quality', greatest(1, least(100, round_even(CASE WHEN scale <= 100 THEN (200 - scale) / 2 ELSE 5000 / scale END, 0)))::INT
+  || '% (Estimated Property: Independent JPEG Group standard table comparison)', 'JPEG DQT (Estimation)' FROM s
+UNION ALL SELECT evidence_id, 'JPEG Comment #1', trim(lang), 'JPEG COM' FROM d UNION ALL SELECT evidence_id, 'JPEG Comment #2', trim(source), 'JPEG COM' FROM d
+UNION ALL SELECT evidence_id, 'Encoding Characteristic', 'JFIF Version 1.01', 'JPEG APP Marker' FROM d UNION ALL SELECT evidence_id, 'Encoding Characteristic', 'Adobe APP14 Marker Present', 'JPEG APP Marker' FROM d
+""".replace("QUANTISER", str(fixed.LUMINANCE_QUANTISER)))
+def m07_container(spark, d):
+    files = framed_jpegs(spark, d).where("lang IS NOT NULL AND source IS NOT NULL").withColumn("evidence_id", F.col("doc_id").cast("string"))
+    return md.segment_rows(cut_lineage(md.container_segments(files)))
+
+
+@query("m09_jpeg_dimensions", """
+SELECT doc_id::VARCHAR || '.jpg' AS path, 7 + doc_id % 2 AS decoded_width, 1 + doc_id % 500 AS decoded_height, doc_id % 4 = 1 AND NOT (doc_id % 2 = 0 AND doc_id % 500 = 15) AS differs
+FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def m09_jpeg(spark, d):
+    files = framed_jpegs(spark, d).where("lang IS NOT NULL AND source IS NOT NULL")
+    exif = files.where("doc_id % 4 = 1").select(F.col("path").alias("evidence_id"), F.inline(F.array(*[
+        F.struct(F.lit(p).alias("property"), F.lit(v).alias("value"), F.lit("EXIF").alias("source")) for p, v in (("PixelXDimension", "8"), ("PixelYDimension", "16"))])))
+    from vellumine.plans import flows
+
+    facts = flows.metadata_examination(files.select("path", "content", "length", "modificationTime"), exif)["facts"]
+    return facts.select("path", "decoded_width", "decoded_height", F.array_contains("flags", "DIMENSION DISCREPANCY").alias("differs"))
+
+
 @query("m08_jpeg_quality", f"""
 WITH ref AS (SELECT unnest({fixed.LUMINANCE_QUANTISER}) AS q), scales AS (SELECT DISTINCT label FROM embeddings),
 s AS (SELECT label, avg(least(255, greatest(1, (q * (10 + label * 15) + 50) // 100)) * 100.0::DOUBLE / q) AS s FROM ref, scales GROUP BY 1)
