@@ -3,18 +3,22 @@
 A word that may be disguised (signs or digits among letters, signs alone, repeats, letters
 or pairs of them set apart) is decoded: its signs span a lattice of letters they may stand for, repeated and
 separating signs may vanish, and Viterbi finds the likeliest letters under a character
-4-gram model. The model's counts cover the whole corpus: each task counts its texts, Spark
+4-gram model. A run of fragments is a lattice too, in which every space may vanish or part
+two words. Work is linear in the signs: at each one the ``BEAM`` likeliest of the states (the
+last three letters) go on, so a reading can only be missed whose beginning has that many
+likelier ones. What a task remembers is bounded in bytes. The model's counts cover the whole corpus: each task counts its texts, Spark
 adds the counts. They are a table of 28^4 numbers, whatever the corpus.
 
 Scores see the restored words only. Which words and beginnings of words speak for a toxic
 text is learned from labelled rows: presence per text is counted by Spark on at most about
 ``fit_rows`` of them, features whose count differs by chance hardly ever (likelihood ratio)
-are kept with their log odds, and a logistic curve over a text's hits is fitted. At most
-``MOST_FEATURES`` are kept, the strongest, so what goes to the tasks is bounded.
+are kept with their log odds, and a logistic curve over a text's hits is fitted. They come
+from the bounded sample, which bounds what goes to the tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import unicodedata
@@ -24,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumine.llm import words as W
 from vellumine.llm.common import stored
@@ -31,11 +36,10 @@ from vellumine.llm.common import stored
 FIT_ROWS = 8_192
 THRESHOLD = 0.7
 SURE = 16.0  # likelihood ratio (G squared) a feature must reach
-MOST_FEATURES = 50_000
-WORD_SIGNS = 24  # signs without a letter that may be a word
 SHORT = 4  # signs of a short word: too few to decide how many letters they stand for
-PIECE, LONGEST = 2, 24  # characters of a fragment; fragments of a word written in fragments
-KNOWN_WORDS = 100_000  # words whose restored form or weight a task remembers
+PIECE = 2  # characters of a fragment
+BEAM = 64  # states that go on from one sign to the next
+REMEMBERED = 8 << 20  # bytes of finished work that each memory of a task holds
 PREFIXES = (4, 5, 6, 7)
 
 #: What a sign may stand for (fixed values).
@@ -87,12 +91,18 @@ def language_model(texts: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+#: A word of letters none of which is followed by itself: never a disguise.
+PLAIN = re.compile(r"(?:([a-zß-öø-ÿ])(?!\1))+")
+
+
 def disguised(word: str) -> bool:
     """Whether a word without its edge signs may be a disguise: signs among letters, or signs alone.
 
     Letters alone are one when repeated, from four on; digits alone are a number.
     """
-    letters = sum(ch.isalpha() for ch in word)
+    if PLAIN.fullmatch(word):
+        return False
+    letters = sum(map(str.isalpha, word))
     if len(word) < 2 or ("@" in word and "." in word.rpartition("@")[2]):
         return False
     if not letters:
@@ -102,28 +112,44 @@ def disguised(word: str) -> bool:
     return len(word) > 3 and (any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False)) or sum(a == b for a, b in zip(word, word[1:], strict=False)) * 2 >= len(word) - 1)
 
 
+class Memory(dict):
+    """Finished work by key; forgotten as a whole when it holds more than ``REMEMBERED`` bytes."""
+
+    held = 0
+
+    def keep(self, key, value, size: int) -> None:
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size + 250
+
+
 class Decoder:
-    """Viterbi over the lattice of a disguised word; the state is the last three letters."""
+    """Viterbi over lattices of signs; the state is the last three letters."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.p = model
-        self.seen: dict[str, str] = {}
-        self.near: dict[str, tuple[float, list[str]]] = {}
-        self.joined: dict[tuple[str, ...], list[tuple[int, int, list[str]]]] = {}
+        self.p = model.ravel().tolist()  # by state * SIGNS + next sign
+        self.seen = Memory()
+        self.near = Memory()
 
     @staticmethod
     def code(ch: str) -> int:
         return ord(ch) - 96 if "a" <= ch <= "z" else 27
 
     def __call__(self, word: str) -> str:
-        if word not in self.seen:
-            if len(self.seen) > KNOWN_WORDS:  # only a memory of finished work
-                self.seen.clear()
-            self.seen[word] = self.decode(word)
-        return self.seen[word]
-
-    def options(self, word: str, i: int) -> list[tuple[str, float]]:
-        """(what the sign stands for, log probability); empty for nothing."""
+        found = self.seen.get(word)
+        if found is None:
+            found = self.decode(word)
+            self.seen.keep(word, found, 2 * len(word))
+        return found
+
+    @staticmethod
+    def options(word: str, i: int, run: int) -> list[tuple[str, float]]:
+        """(what the sign stands for, log probability); empty for nothing.
+
+        ``run`` is the number of equal signs up to this one.
+        """
         ch, out = word[i], []
         if ch.isalpha() and ch not in MEANS:
             out.append((ch, -0.05))
@@ -134,78 +160,113 @@ class Decoder:
             out.append((to, -0.7))
         if ch in COVER and 0 < i < len(word) - 1:
             out.extend((to, -4.5) for to in LETTERS)
-        if i and ch == word[i - 1]:  # a repeat: once or twice
-            run = i - next((j for j in range(i, -1, -1) if word[j] != ch), -1)
+        if run > 1:  # a repeat: once or twice
             out = [("", -0.3 if run > 2 else -1.5)] + ([(t, w - 1.0) for t, w in out] if run == 2 else [])
         elif not ch.isalnum() or not out:
             out.append(("", -0.5 if ch in BETWEEN else -1.5))
         return out or [("", -3.0)]
 
-    def nearest(self, word: str) -> tuple[float, list[str]]:
-        """(log probability, forms): of a disguised word the likeliest of each length."""
-        if word not in self.near:
-            if len(self.near) > KNOWN_WORDS:  # only a memory of finished work
-                self.near.clear()
-            ranked = sorted(self.paths(word) if disguised(word) else [(self.plain(word), word)], reverse=True)
-            told = {}
-            for _, text in ranked:
-                told.setdefault(len(text), text)
-            self.near[word] = ranked[0][0], list(told.values())
-        return self.near[word]
-
-    def plain(self, word: str) -> float:
-        """Log probability of a word as it is written."""
-        a = b = c = 0
-        total = 0.0
-        for ch in word:
-            d = self.code(ch)
-            total, a, b, c = total + float(self.p[a, b, c, d]), b, c, d
-        return total + float(self.p[a, b, c, 0])
-
-    def joins(self, run: tuple[str, ...]) -> list[tuple[int, int, list[str]]]:
-        """(first fragment, end, forms) of the words that the likeliest reading of ``run`` joins.
+    def columns(self, word: str) -> Iterator[list[tuple[str, float]]]:
+        run = 0
+        for i, ch in enumerate(word):
+            run = run + 1 if i and ch == word[i - 1] else 1
+            yield self.options(word, i, run)
 
-        Each cut of the fragments into words has the probability of its words; one of at
-        most ``LONGEST`` fragments is tried from every place.
+    def through(self, columns: Iterator[list[tuple[str, float]]], beam: int) -> list[tuple[float, tuple | None]]:
+        """(log probability, letters) of the best path to each last state.
+
+        A column has what its sign may stand for, a letter or nothing. Letters are a chain from
+        the last to the first.
         """
-        if run not in self.joined:
-            if len(self.joined) > KNOWN_WORDS:  # only a memory of finished work
-                self.joined.clear()
-            best: list[tuple[float, int]] = [(0.0, 0)]
-            for j in range(1, len(run) + 1):
-                best.append(max((best[i][0] + self.nearest("".join(run[i:j]))[0], i) for i in range(max(0, j - LONGEST), j)))
-            out, j = [], len(run)
-            while j:
-                i = best[j][1]
-                if j - i > 1:
-                    word = "".join(run[i:j])
-                    out.append((i, j, self.nearest(word)[1] if len(word) <= SHORT else [self.nearest(word)[1][0]]))
-                j = i
-            self.joined[run] = out[::-1]
-        return self.joined[run]
+        p, top = self.p, SIGNS**3
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for column in columns:
+            coded = [(to, w, self.code(to) if to else 0) for to, w in column]
+            nxt: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, chain) in states.items():
+                for to, w, d in coded:
+                    if to == "":
+                        key, value, made = state, score + w, chain
+                    else:
+                        key = state * SIGNS + d
+                        key, value, made = key % top, score + w + p[key], (chain, to)
+                    old = nxt.get(key)
+                    if old is None or value > old[0]:
+                        nxt[key] = (value, made)
+            states = nxt if len(nxt) <= beam else dict(heapq.nlargest(beam, nxt.items(), key=lambda x: x[1][0]))
+        return [(score + p[state * SIGNS], chain) for state, (score, chain) in states.items()]
 
-    def decode(self, word: str) -> str:
-        return max(self.paths(word))[1]
+    @staticmethod
+    def letters(chain: tuple | None) -> str:
+        out = []
+        while chain is not None:
+            chain, ch = chain
+            out.append(ch)
+        return "".join(reversed(out))
 
     def paths(self, word: str) -> list[tuple[float, str]]:
-        """(log probability, letters) of the best path to each last state, none without letters if any has some."""
-        p = self.p
-        states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-        for i in range(len(word)):
-            nxt: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for (a, b, c), (score, text) in states.items():
-                for to, w in self.options(word, i):
-                    if to:
-                        d = self.code(to)
-                        key, value, made = (b, c, d), score + w + float(p[a, b, c, d]), text + to
-                    else:
-                        key, value, made = (a, b, c), score + w, text
-                    if key not in nxt or value > nxt[key][0]:
-                        nxt[key] = (value, made)
-            states = nxt
-        ends = [(score + float(p[a, b, c, 0]), text) for (a, b, c), (score, text) in states.items()]
+        """(log probability, letters) of the best path to each last state, none without letters if any has some.
+
+        All states go on: for short words.
+        """
+        ends = [(score, self.letters(chain)) for score, chain in self.through(self.columns(word), SIGNS**3)]
         return [x for x in ends if x[1]] or ends
 
+    def decode(self, word: str) -> str:
+        ends = self.through(self.columns(word), BEAM)
+        some = [x for x in ends if x[1] is not None] or ends
+        best = max(score for score, _ in some)
+        return max(self.letters(chain) for score, chain in some if score == best)
+
+    def nearest(self, word: str) -> list[str]:
+        """Of a short word the likeliest form of each length, the likeliest first; else the likeliest."""
+        if len(word) > SHORT:
+            return [self(word)] if disguised(word) else [word]
+        found = self.near.get(word)
+        if found is None:
+            told: dict[int, str] = {}
+            for _, text in sorted(self.paths(word), reverse=True) if disguised(word) else [(0.0, word)]:
+                told.setdefault(len(text), text)
+            found = list(told.values())
+            self.near.keep(word, found, 300)
+        return found
+
+    def joins(self, run: list[str]) -> list[tuple[int, int, list[str]]]:
+        """(first fragment, end, forms) of the words that the likeliest reading of ``run`` joins.
+
+        A reading's probability is that of its words.
+        """
+        text, p, top = "".join(run), self.p, SIGNS**3
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # the chain has the fragments that begin words
+        at = same = 0
+        for k, fragment in enumerate(run):
+            if k:
+                score, chain = max(((score + p[state * SIGNS], chain) for state, (score, chain) in states.items()), key=lambda x: x[0])
+                if score > states.get(0, (-np.inf,))[0]:
+                    states[0] = score, (chain, k)
+            for ch in fragment:
+                same = same + 1 if at and ch == text[at - 1] else 1
+                options = [(ch, 0.0)] if ch.isalpha() and ch not in MEANS else self.options(text, at, same)
+                at += 1
+                nxt: dict[int, tuple[float, tuple | None]] = {}
+                for to, w in options:
+                    d = self.code(to) if to else -1
+                    for state, (score, chain) in states.items():
+                        key = state if d < 0 else (state * SIGNS + d) % top
+                        value = score + w + (0.0 if d < 0 else p[state * SIGNS + d])
+                        old = nxt.get(key)
+                        if old is None or value > old[0]:
+                            nxt[key] = (value, chain)
+                states = nxt if len(nxt) <= BEAM else dict(heapq.nlargest(BEAM, nxt.items(), key=lambda x: x[1][0]))
+        _, chain = max(((score + p[state * SIGNS], chain) for state, (score, chain) in states.items()), key=lambda x: x[0])
+        cuts = [len(run)]
+        while chain is not None:
+            chain, k = chain
+            cuts.append(k)
+        cuts.append(0)
+        cuts.reverse()
+        return [(i, j, self.nearest("".join(run[i:j]))) for i, j in zip(cuts, cuts[1:], strict=False) if j - i > 1]
+
 
 def features(word: str) -> list[str]:
     """The word itself and its beginnings."""
@@ -223,69 +284,77 @@ class Reader:
         bare = word.strip(EDGES)
         out = [bare] if bare else []
         if disguised(bare):
-            out.extend(self.forms(bare))
-        core = word.strip(".,;:")
-        if bare != core and len(core) <= max(len(bare) + 2, 0 if bare else WORD_SIGNS) and disguised(core):
-            out.extend(self.forms(core))  # a sign at the edge may be a letter
-        return [w for w in dict.fromkeys(out) if len(w) > 1]
-
-    def forms(self, word: str) -> list[str]:
-        return self.decoder.nearest(word)[1] if len(word) <= SHORT else [self.decoder(word)]
-
-    def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[list[str]], list[list[str]]]]:
+            out.extend(self.decoder.nearest(bare))
+        if len(word) != len(bare):
+            core = word.strip(".,;:")
+            if bare != core and (not bare or len(core) <= len(bare) + 2) and disguised(core):
+                out.extend(self.decoder.nearest(core))  # a sign at the edge may be a letter
+        return [w for w in dict.fromkeys(out) if len(w) > 1] if len(out) > 1 else out if len(bare) > 1 else []
+
+    def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[list[str]], list[tuple[list[str], str]]]]:
         """(row, numbers of its words, restored forms by number, restored spaced-out words)."""
         numbers: dict[int, int] = {}
         forms: list[list[str]] = []
+        held = 0
         for row, h, (part, starts, ends) in W.documents(column):
-            if len(forms) > KNOWN_WORDS:  # only a memory of finished work
-                numbers, forms = {}, []
+            if held > 4 * REMEMBERED:  # only a memory of finished work
+                numbers, forms, held = {}, [], 0
             u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             own = np.empty(len(u), dtype=np.int64)
             for k, key in enumerate(u.tolist()):
                 at = numbers.get(key)
                 if at is None:
                     at = numbers[key] = len(forms)
-                    forms.append(self.restored(part[starts[first[k]] : ends[first[k]]].tobytes()))
+                    made = self.restored(part[starts[first[k]] : ends[first[k]]].tobytes())
+                    forms.append(made)
+                    held += 250 + sum(map(len, made))
                 own[k] = at
             yield row, own[inverse], forms, self.spaced(part, starts, ends)
 
-    def spaced(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[str]]:
+    def spaced(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[list[str], str]]:
         """Words written in fragments of one or two characters with spaces between.
 
         The likeliest cut of a run of fragments into words says which are joined. Three or
-        more single characters in a row are joined in any case, with every later beginning.
+        more single characters in a row are joined in any case. (forms, run): of a joined run
+        of single characters every later beginning counts as well.
         """
         if len(starts) < 2:
             return []
         low = int(starts[0])
-        count = np.zeros(int(ends[-1]) - low + 1, dtype=np.int64)  # code points before each byte
-        np.cumsum((part[low : int(ends[-1])] & 0xC0) != 0x80, out=count[1:])
-        short = np.flatnonzero(count[ends - low] - count[starts - low] <= PIECE)
+        size = ends - starts
+        if (part[low : int(ends[-1])] & 0x80).any():  # code points, not bytes
+            count = np.zeros(int(ends[-1]) - low + 1, dtype=np.int64)
+            np.cumsum((part[low : int(ends[-1])] & 0xC0) != 0x80, out=count[1:])
+            size = count[ends - low] - count[starts - low]
+        short = np.flatnonzero(size <= PIECE)
+        if not len(short):
+            return []
+        cut = np.flatnonzero(np.diff(short) > 1) + 1
+        first, last = short[np.r_[0, cut]], short[np.r_[cut - 1, len(short) - 1]]
         out = []
-        for run in np.split(short, np.flatnonzero(np.diff(short) > 1) + 1):
-            if len(run) > 1:
-                text = part[starts[run[0]] : ends[run[-1]]].tobytes().decode("utf-8", "replace").lower()
-                out.extend(self.joined(tuple(BLANKS.split(text))))
+        for a, b in zip(first[last > first].tolist(), last[last > first].tolist(), strict=True):
+            out.extend(self.joined(BLANKS.split(part[starts[a] : ends[b]].tobytes().decode("utf-8", "replace").lower())))
         return out
 
-    def joined(self, run: tuple[str, ...]) -> list[list[str]]:
-        out = [(i, j, list(forms)) for i, j, forms in self.decoder.joins(run) if sum(map(len, run[i:j])) > 2]
-        at = 0
+    def joined(self, run: list[str]) -> list[tuple[list[str], str]]:
+        out = [[i, j, list(forms), ""] for i, j, forms in self.decoder.joins(run) if sum(map(len, run[i:j])) > 2]
+        at = near = 0
         for single, group in itertools.groupby(run, lambda x: len(x) == 1):
             n = len(list(group))
             if single and n >= 3:
                 word = "".join(run[at : at + n])
                 made = self.decoder(word) if disguised(word) else word
-                more = [made, *[made[i:] for i in range(1, len(made) - 3)]]
-                over = next(((i, j, forms) for i, j, forms in out if i < at + n and at < j), None)
+                while near < len(out) and out[near][1] <= at:
+                    near += 1
+                over = out[near] if near < len(out) and out[near][0] < at + n else None
                 if over is None:
-                    out.append((at, at + n, more))
-                elif n >= over[1] - over[0]:
-                    over[2][:0] = more
+                    out.insert(near, [at, at + n, [made], made])
                 else:
-                    over[2].extend(more)
+                    over[2][:0] = [made] if n >= over[1] - over[0] else []
+                    over[2].extend([made] if n < over[1] - over[0] else [])
+                    over[3] = max(over[3], made, key=len)
             at += n
-        return [forms for _, _, forms in out]
+        return [(forms, tail) for _, _, forms, tail in out]
 
 
 def presence(sent):
@@ -297,7 +366,7 @@ def presence(sent):
             toxic = batch.column(0).to_pylist()
             for row, own, forms, spaced in reader.read(batch.column(1)):
                 present = {f for k in np.unique(own).tolist() for w in forms[k] for f in features(w)}
-                present.update(f for group in spaced for f in features(group[0]))
+                present.update(f for group, _ in spaced for f in features(group[0]))
                 present.add("")  # counts the texts
                 for f in present:
                     count[f, toxic[row]] = count.get((f, toxic[row]), 0) + 1
@@ -313,14 +382,22 @@ def hits(sent, weights, at: int | None = None):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weight = Reader(sent.value), weights.value
-        strength: dict[str, float] = {}
+        starts = {f[: PREFIXES[0]] for f in weight if f[0] != "="}
+        longest = max(map(len, weight), default=0)
 
         def of(word: str) -> float:
-            if word not in strength:
-                if len(strength) > KNOWN_WORDS:  # only a memory of finished work
-                    strength.clear()
-                strength[word] = max((weight.get(f, 0.0) for f in features(word)), default=0.0)
-            return strength[word]
+            best = weight.get(f"={word}", 0.0)
+            if word[: PREFIXES[0]] in starts:
+                best = max(best, *(weight.get(word[:n], 0.0) for n in PREFIXES if n <= len(word)))
+            return best
+
+        def within(run: str) -> float:
+            """The best of the words that begin inside ``run`` and go to its end."""
+            best = 0.0
+            for i in range(1, len(run) - 3):
+                if run[i : i + PREFIXES[0]] in starts or len(run) - i < longest:
+                    best = max(best, of(run[i:]))
+            return best
 
         for batch in batches:
             out = np.zeros((batch.num_rows, 3))
@@ -331,7 +408,7 @@ def hits(sent, weights, at: int | None = None):
                     known, last = [], forms
                 known.extend(max((of(w) for w in ws), default=0.0) for ws in forms[len(known) :])
                 w = np.array([known[k] for k in own.tolist()]) if len(own) else np.zeros(0)
-                more = np.array([max(map(of, group)) for group in spaced]) if spaced else np.zeros(0)
+                more = np.array([max(*map(of, group), within(tail)) for group, tail in spaced]) if spaced else np.zeros(0)
                 strong = w > 0
                 out[row] = w.sum() + more.sum(), len(np.unique(own[strong])) + int((more > 0).sum()), (strong.sum() + (more > 0).sum()) / max(1, len(own))
             kept = batch.num_columns - (at is None)
@@ -400,7 +477,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", toxic_col:
         g2 = 2 * (t * F.log(t / ((t + c) * share_t)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share_t)))).otherwise(0.0))
         odds = F.log((t + 0.5) / (t_all + 1.0)) - F.log((c + 0.5) / (c_all + 1.0))
         kept = counts.where("feature <> ''").select("feature", g2.alias("g2"), odds.alias("w")).where((F.col("g2") >= SURE) & (F.col("w") > 2))
-        weights = {r["feature"]: float(r["w"]) for r in kept.orderBy(F.desc("g2"), "feature").limit(MOST_FEATURES).collect()}
+        weights = {r["feature"]: float(r["w"]) for r in kept.collect()}  # features of the sample
     sent = spark.sparkContext.broadcast(weights)
     seen = some.select("toxic", "text").mapInArrow(hits(grams, sent), "toxic int, x1 double, x2 double, x3 double").toArrow()
     x = np.column_stack([seen[c].to_numpy() for c in ("x1", "x2", "x3")]) if seen.num_rows else np.zeros((0, 3))
@@ -426,6 +503,6 @@ def chance(curve: np.ndarray):
 def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with their columns."""
     body = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    scored = body.mapInArrow(hits(scorer.grams, scorer.weights, docs.columns.index(text_col)), f"{fields}, x1 double, x2 double, x3 double")
+    fields = T.StructType([*body.schema.fields, *[T.StructField(x, T.DoubleType()) for x in ("x1", "x2", "x3")]])
+    scored = body.mapInArrow(hits(scorer.grams, scorer.weights, docs.columns.index(text_col)), fields)
     return scored.where(chance(scorer.curve) < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
