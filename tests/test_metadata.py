@@ -182,6 +182,22 @@ def test_reports(spark, scan, tmp_path):
     assert spark.read.text(str(tmp_path / "txt")).count() == props.count()
 
 
+def test_a_whole_metadata_report(spark, scan):
+    found = flows.metadata_examination(scan.drop("evidence_id"))
+    lines = sinks.examination_report(found["properties"], found["facts"], found["summary"], F.to_timestamp(F.lit("2026-01-02 03:04:05")))
+    text = {}
+    for r in lines.orderBy("evidence_id", "section", "part", "property", "line_no").collect():
+        text.setdefault(r.evidence_id.rsplit("/", 1)[1], []).append(r.text)
+    photo, wrong = text["photo.jpg"], text["wrong.jpg"]
+    assert len(text) == 9 and photo[:2] == ["=" * 80, "QUESTIONED DOCUMENT FORENSIC METADATA REPORT"] and photo[-2] == "END OF FORENSIC METADATA REPORT"
+    assert "Case ID:        Unassigned" in photo and "File Name:      photo.jpg" in photo and "Examination At: 2026-01-02 03:04:05" in photo and "Detected Type:  JPEG" in photo
+    assert "Forensic Flags: NO METADATA" in photo and "JPEG CONTAINER & QUANTIZATION" in photo and "EXIF METADATA" not in photo
+    at = photo.index("JPEG CONTAINER & QUANTIZATION")
+    assert photo[at + 2].startswith("PROPERTY") and any(x.startswith("JPEG Comment #1 ") and "Questioned document" in x for x in photo[at:])
+    at = wrong.index("METADATA INCONSISTENCIES OBSERVED")
+    assert wrong[at + 2] == "• Field: File Format" and wrong[at + 3] == "  Observed:   PNG" and wrong[at + 4] == "  Comparison: .JPG" and "METADATA INCONSISTENCIES OBSERVED" not in photo
+
+
 def test_unexamined_item_report(spark):
     cols = ["evidence_id", "case_id", "case_name", "case_status", "examiner", "name", "file_path", "sha256", "evidence_type", "overall_script", "overall_language"]
     df = spark.createDataFrame([tuple("x" for _ in cols) + (None, None)], ", ".join(f"{c} string" for c in cols) + ", overall_confidence double, total_words int")

@@ -165,16 +165,23 @@ def gray(raster: DataFrame, rounded: bool = True) -> DataFrame:
 
 def gray_samples(raster: DataFrame, rounded: bool = False) -> DataFrame:
     """Gray values as a pixel relation, computed in generated code (histogram path)."""
+    both = gray_pairs(raster).withColumnRenamed("rounded" if rounded else "truncated", "v")
+    return both.select("image_id", "y", "x", F.lit("GRAY").alias("ch"), "v")
+
+
+def gray_pairs(raster: DataFrame) -> DataFrame:
+    """Both gray values of each pixel, rounded and truncated, in one projection: (image_id, y, x,
+    rounded, truncated). A gray raster passes unchanged; alpha is left out."""
     r, g, b = GRAY_WEIGHTS
     at = lambda c: f"CAST(get(px, i * nc + array_position(channels, '{c}') - 1) AS DOUBLE)"
     mix = f"{r}D * {at('R')} + {g}D * {at('G')} + {b}D * {at('B')}"
-    value = f"floor({mix} + 0.5D)" if rounded else f"floor({mix})"
     base = with_band(raster).withColumn("nc", F.size("channels"))
     spots = base.select("image_id", "width", "channels", "nc", "px", "y_first", "own_from", "own_to",
                         F.explode(F.expr("sequence(0, size(px) DIV nc - 1)")).alias("i"))
+    value = lambda v: f"CAST(CASE WHEN array_contains(channels, 'R') THEN {v} ELSE get(px, i * nc) END AS INT)"
     return spots.selectExpr(
-        "image_id", "CAST(y_first + i DIV width AS INT) AS y", "CAST(i % width AS INT) AS x", "'GRAY' AS ch",
-        f"CAST(CASE WHEN array_contains(channels, 'R') THEN {value} ELSE get(px, i * nc) END AS INT) AS v",
+        "image_id", "CAST(y_first + i DIV width AS INT) AS y", "CAST(i % width AS INT) AS x",
+        f"{value(f'floor({mix} + 0.5D)')} AS rounded", f"{value(f'floor({mix})')} AS truncated",
         "own_from", "own_to").where("y BETWEEN own_from AND own_to").drop("own_from", "own_to")
 
 

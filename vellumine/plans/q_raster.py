@@ -56,9 +56,7 @@ def p01(spark, d):
 @query("p02_gray", f"""WITH {COLOUR_SQL} SELECT image_id, y, x, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)::INT AS rounded,
   floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::INT AS truncated FROM rgb""")
 def p02(spark, d):
-    r = colour_tiles(spark, d)
-    rounded = ra.pixels(ra.gray(r)).select("image_id", "y", "x", F.col("v").alias("rounded"))
-    return rounded.join(ra.gray_samples(r).select("image_id", "y", "x", F.col("v").alias("truncated")), ["image_id", "y", "x"])
+    return ra.gray_pairs(colour_tiles(spark, d))
 
 
 @query("p03_histogram", f"""WITH {ALL_COLOUR}, c AS (SELECT image_id, ch, v AS bin, count(*) AS n FROM allpx GROUP BY 1, 2, 3)

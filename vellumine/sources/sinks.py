@@ -70,35 +70,54 @@ def labelled(label: str, value: Column | str, width: int = 16) -> Column:
     return F.concat(F.lit(f"{label}:".ljust(width)), F.coalesce(v.cast("string"), F.lit(fixed.NOT_AVAILABLE)))
 
 
-def case_report(df: DataFrame, key: str = "evidence_id") -> DataFrame:
+def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def case_report(df: DataFrame, key: str = "evidence_id", generated_at: Column | None = None) -> DataFrame:
     """Case report lines of each evidence item.
 
     Needs the case and evidence columns and, for examined items, ``overall_script``,
-    ``overall_language``, ``overall_confidence`` and ``total_words`` (null otherwise).
+    ``overall_language``, ``overall_confidence`` and ``total_words`` (null otherwise). Read where
+    they are there: ``organization``, ``date``, ``created_at``, ``reference_number``,
+    ``integrity_status`` (what the digest check found; without one the hash counts as not
+    verified) and ``manual_review`` ("Required" where runs disagree; unknown counts as such).
     """
+    from vellumine.functions.times import shown_local
     from vellumine.operators.runs import reliability_conclusion
 
     done = F.col("overall_confidence").isNotNull()
-    row = lambda a, s, r: F.when(done, F.concat(F.lit(f"{a:<20} | {s:<10} | "), r.cast("string")))
+    checked, review, created = _optional(df, "integrity_status"), _optional(df, "manual_review"), _optional(df, "created_at", "timestamp")
+    good, bad = checked == fixed.INTEGRITY_VERIFIED, checked == fixed.INTEGRITY_CHANGED
+    agreed = F.coalesce(review != "Required", F.lit(False))
+
+    def row(name: str, status: str | Column, result: Column) -> Column:
+        state = F.rpad(F.lit(status) if isinstance(status, str) else status, 10, " ")
+        return F.when(done, F.concat(F.lit(f"{name:<20} | "), state, F.lit(" | "), result.cast("string")))
+
     return report_lines(df, key, [
         RULE, " " * 20 + "FORENSIC REPORT", RULE, "",
         "1. CASE DETAILS", THIN, labelled("Case ID", "case_id"), labelled("Case Name", "case_name"),
-        labelled("Status", "case_status"), labelled("Examiner", "examiner"), "",
+        labelled("Status", "case_status"), labelled("Examiner", "examiner"), labelled("Organization", _optional(df, "organization")), labelled("Date", _optional(df, "date")),
+        F.when(created.isNotNull(), labelled("Created (IST)", shown_local(created, naive=False))), labelled("Ref Number", _optional(df, "reference_number")), "",
         "2. EVIDENCE DETAILS", THIN, labelled("Evidence ID", key), labelled("Name", "name"),
         labelled("File Path", "file_path"), labelled("SHA-256 Hash", "sha256"), labelled("Type", "evidence_type"), "",
         "3. ANALYSIS COVERAGE", THIN,
         labelled("OCR", F.when(done, "Completed").otherwise("Not Performed")),
         labelled("Image Quality", F.when(done, "Checked").otherwise("Not Performed")),
-        labelled("Hash", F.lit("Verified")), "",
+        labelled("Hash", F.when(good, "Verified").when(bad, "Changed").otherwise("Not Verified")), "",
         "4. FORENSIC EXAMINATION MATRIX", THIN,
         F.when(~done, "No OCR or Examination Data available for this evidence."),
-        row("Evidence Integrity", "CONFIRMED", F.lit("SHA-256 verified")),
+        row("Analysis", "Status", F.lit("Result")), F.when(done, "-" * 65),
+        row("Evidence Integrity", F.when(good, "CONFIRMED").when(bad, "FAILED").otherwise("UNCERTAIN"),
+            F.when(good, "SHA-256 verified").when(bad, "SHA-256 differs from the record").otherwise("Not verified")),
         row("Script Detection", "LIKELY", F.col("overall_script")),
         row("Language ID", "LIKELY", F.col("overall_language")),
         row("Primary OCR", "COMPLETED", F.format_string("%.1f%%", F.col("overall_confidence"))),
-        row("Engine Disagreement", "UNCERTAIN", F.lit("Review Required")),
+        row("Engine Disagreement", F.when(agreed, "CONFIRMED").otherwise("UNCERTAIN"), F.when(agreed, "Runs agree").otherwise("Review Required")),
         row("OCR Regions", "COMPLETED", F.concat(F.col("total_words").cast("string"), F.lit(" words"))), "",
         "5. CONCLUSION", THIN, reliability_conclusion(F.col("overall_confidence")), "", RULE,
+        F.concat(F.lit("Report Generated At: "), F.date_format(F.current_timestamp() if generated_at is None else generated_at, "yyyy-MM-dd HH:mm:ss")), RULE,
     ])
 
 
@@ -118,17 +137,67 @@ def histogram_report(stats: DataFrame, clip: DataFrame, tonal: DataFrame) -> Dat
     ])
 
 
+SECTIONS = ["FILESYSTEM ATTRIBUTES", "EXIF METADATA", "XMP METADATA", "IPTC / IIM METADATA", "PDF METADATA & STRUCTURE", "JPEG CONTAINER & QUANTIZATION", "OTHER PROPERTIES"]
+BROAD = "=" * 80
+BREAK = "-" * 80
+
+
+def _section(source: Column) -> Column:
+    """Number of a property row's section, from 1."""
+    return (F.when(source == "Filesystem", 1).when(source.startswith("EXIF"), 2).when(source == "XMP", 3).when(source.startswith("IPTC"), 4)
+            .when(source.startswith("PDF"), 5).when(source.startswith("JPEG"), 6).otherwise(7))
+
+
+def _property_line(name: Column | str, value: Column | str, source: Column | str) -> Column:
+    def cell(of: Column | str, width: int):  # widths pad, they never cut
+        flat = F.regexp_replace(of, "\n", " ")
+        return F.when(F.length(flat) < width, F.rpad(flat, width, " ")).otherwise(flat)
+
+    return F.concat_ws(" | ", cell(name, 35), cell(value, 32), F.lit(source) if isinstance(source, str) else source)
+
+
 def metadata_report(props: DataFrame) -> DataFrame:
     """Property table lines: one line per property row, sections in a fixed order."""
-    s = F.col("source")
-    section = (F.when(s == "Filesystem", 1).when(s.startswith("EXIF"), 2).when(s == "XMP", 3).when(s.startswith("IPTC"), 4)
-               .when(s.startswith("PDF"), 5).otherwise(6))
-    def cell(name: str, width: int):  # widths pad, they never cut
-        flat = F.regexp_replace(name, "\n", " ")
-        return F.when(F.length(flat) < width, F.rpad(flat, width, " ")).otherwise(flat)
+    return props.select("evidence_id", _section(F.col("source")).alias("section"), "property", _property_line("property", "value", F.col("source")).alias("text"))
+
 
-    line = F.concat_ws(" | ", cell("property", 35), cell("value", 32), s)
-    return props.select("evidence_id", section.alias("section"), "property", line.alias("text"))
+def examination_report(props: DataFrame, facts: DataFrame, summary: DataFrame, examined_at: Column | None = None) -> DataFrame:
+    """Whole metadata report of each file: (evidence_id, section, part, property, line_no, text).
+
+    Sorted by these columns it has the header, the summary with its flags, a table for every
+    section that has properties, the inconsistencies and the end. ``facts`` and ``summary`` are
+    those of ``flows.metadata_examination``; ``case_id`` of the facts is read where it is there.
+    """
+    at = F.current_timestamp() if examined_at is None else examined_at
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    told = [c for c in summary.columns if c != "evidence_id"]
+    both = facts.select("evidence_id", "path", "detected_format", "flags", "inconsistencies", F.coalesce(_optional(facts, "case_id"), F.lit("Unassigned")).alias("case_id")).join(summary, "evidence_id", "left")
+    field = lambda label, value: F.concat(F.lit(f"{label:<28}: "), F.coalesce(value.cast("string"), F.lit(fixed.NOT_AVAILABLE)))
+    head = [
+        BROAD, "QUESTIONED DOCUMENT FORENSIC METADATA REPORT", BROAD, "", labelled("Case ID", "case_id"), labelled("Evidence ID", "evidence_id"), labelled("File Name", name),
+        labelled("File Path", "path"), labelled("Detected Type", "detected_format"), labelled("Examination At", F.date_format(at, "yyyy-MM-dd HH:mm:ss")), "",
+        BREAK, "FORENSIC EXAMINATION SUMMARY", BREAK, *[field(c.replace("_", " ").title(), F.col(c)) for c in told], "",
+        F.concat(F.lit("Forensic Flags: "), F.when(F.size("flags") > 0, F.array_join("flags", ", ")).otherwise("None")), ""]
+
+    def lines(df: DataFrame, section: Column, part: int, items: list[Column | str], order: Column) -> DataFrame:
+        texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in items])
+        return df.select("evidence_id", section.alias("section"), F.lit(part).alias("part"), order.alias("property"), F.posexplode(texts).alias("line_no", "text"))
+
+    nothing = F.lit("")
+    titles = F.lit(SECTIONS)
+    tables = props.select("evidence_id", _section(F.col("source")).alias("section")).distinct()
+    heading = lines(tables, F.col("section"), 0, [BREAK, F.get(titles, F.col("section") - 1), BREAK, _property_line(F.lit("PROPERTY"), F.lit("VALUE"), "SOURCE"), BREAK], nothing)
+    rows = metadata_report(props).select("evidence_id", "section", F.lit(1).alias("part"), "property", F.lit(0).alias("line_no"), "text")
+    after = lines(tables, F.col("section"), 2, [""], nothing)
+    issues = both.select("evidence_id", F.posexplode("inconsistencies").alias("at", "i"))
+    first = lines(both.where(F.size("inconsistencies") > 0), F.lit(8), 0, [BREAK, "METADATA INCONSISTENCIES OBSERVED", BREAK], nothing)
+    each = lines(issues, F.lit(8), 1, [
+        F.concat(F.lit("• Field: "), F.col("i.field")), *[F.concat(F.lit(f"  {label:<12}"), F.coalesce(F.col(f"i.{c}"), F.lit(fixed.NOT_AVAILABLE))) for label, c in (
+            ("Observed:", "observed_value"), ("Comparison:", "comparison_value"), ("Source:", "source"), ("Reason:", "reason"))], ""], F.lpad(F.col("at").cast("string"), 6, "0"))
+    out = lines(both, F.lit(0), 0, head, nothing)
+    for part in (heading, rows, after, first, each, lines(both, F.lit(9), 0, [BROAD, "END OF FORENSIC METADATA REPORT", BROAD], nothing)):
+        out = out.unionByName(part)
+    return out
 
 
 def ocr_report(docs: DataFrame, key: str) -> DataFrame:
