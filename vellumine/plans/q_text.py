@@ -153,14 +153,16 @@ def identified(spark, d):
 
 
 @query("t07_empty_token_default", """
-SELECT doc_id, 'Hindi' AS language, 30.0::DOUBLE AS language_confidence, 'Low' AS language_level FROM documents""")
+SELECT doc_id, 'Hindi' AS language, CASE WHEN numbers THEN 0.0::DOUBLE ELSE 30.0::DOUBLE END AS language_confidence, CASE WHEN numbers THEN 'Inconclusive' ELSE 'Low' END AS language_level,
+  CASE WHEN numbers THEN 'Word marker analysis + statistical' ELSE 'Default (insufficient text)' END AS language_method
+FROM (SELECT doc_id, coalesce(regexp_matches(text, '[0-9]'), false) AS numbers FROM documents)""")
 def t07(spark, d):
-    # a page of separators only: every token is blank, the script was settled before
+    """Digits and separators of each text: without a digit every token is blank, and the script
+    was settled before."""
     marks = documents(spark, d).withColumns({
-        "text": F.translate("text", LETTERS, "."), "script": F.lit("Devanagari"), "script_confidence": F.lit(100.0),
+        "text": F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[^0-9 .,;:!?-]", ""), F.lit("।")), "script": F.lit("Devanagari"), "script_confidence": F.lit(100.0),
         "script_alternatives": F.array().cast("array<struct<script:string,confidence:double>>")})
-    marks = marks.withColumn("text", F.concat(F.regexp_replace("text", r"[^.]", ""), F.lit("।")))
-    return ti.identify_language(marks).select("doc_id", "language", "language_confidence", "language_level")
+    return ti.identify_language(marks).select("doc_id", "language", "language_confidence", "language_level", "language_method")
 
 
 @query("t08_mixed_language", f"""WITH {CENSUS_SQL}
