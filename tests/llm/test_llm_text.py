@@ -197,6 +197,35 @@ def test_copied_values_are_examples_and_owned_ones_live(spark):
     assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
 
 
+def test_values_in_many_repositories_of_one_owner_are_examples(spark):
+    inside, rare = "Qb3dEf6hIj9lMn2pQr5tUv8q", "Rb3dEf6hIj9lMn2pQr5tUv8r"
+    rows = [(i, f"use {inside} here", "hot") for i in range(12)] + [(i, f"is {rare} it", "hot") for i in range(20, 25)] + [(30, f"password={inside}", None)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs(spark, rows)).collect()}
+    assert all((got[i].spans, got[i].n_live, got[i].most_owners, got[i].most_repos) == ("", 0, 2, 12) for i in range(12))
+    assert all((got[i].spans, got[i].n_live, got[i].most_owners, got[i].most_repos) == ("token:3:27", 1, 1, 5) for i in range(20, 25))
+    assert (got[30].spans, got[30].n_example) == ("assign:0:33", 1)
+    strict = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs(spark, rows), example_repos=5).collect()}
+    assert strict[20] == ""
+
+
+def test_live_tokens_are_those_of_a_plain_count(spark, sf_dir):
+    import random
+
+    rng = random.Random(9)
+    values = ["".join(rng.choices("abcdefXYZ0123456789", k=22)) + "aB3" for _ in range(40)]
+    rows = [(i, " x ".join(rng.choices(values, [1 + j ** 2 for j in range(40)], k=3)), rng.choice(["a", "b", "c", "d", None])) for i in range(120)]
+    held = {}
+    for i, t, s in rows:
+        for v in t.split(" x "):
+            held.setdefault(v, {}).setdefault(s, set()).add(i)
+    live = {v for v, o in held.items() if len(o) < 3 and max(map(len, o.values())) < 10 and len(set(v)) >= 6}
+    for r in secret_scan.scan_secrets(docs(spark, rows)).collect():
+        parts = rows[r.doc_id][1].split(" x ")
+        want = [f"token:{i * 28}:{i * 28 + 25}" for i, v in enumerate(parts) if v in live]
+        assert [x for x in r.spans.split(",") if x.startswith("token")] == want
+        assert r.most_owners == max(len(held[v]) for v in parts) and r.most_repos == max(len(s) for v in parts for s in held[v].values())
+
+
 def test_personal_spans(spark, sf_dir):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(10**6 + i, t, None) for i, t in enumerate(PERSONAL)]
     texts = {i: t for i, t, _ in rows}
@@ -216,6 +245,56 @@ def test_patterns_of_seeds_find_other_identifiers(spark):
     assert got[20] == ("id:20:27", 1) and got[21] == ("", 0) and got[0] == ("email:19:30", 0)
 
 
+def test_patterns_are_whole_words_however_long_and_behind_other_matches(spark):
+    far = "w" * 300
+    rows = [(i, f"see {far} contact{chr(97 + i)} ref2 {far}: user{i}@x.org", "s") for i in range(12)]
+    rows += [(50, f"and room7 ref2 {far}: ZX12345 end", "s"), (51, f"and {far}: ZX99999 end", "s"), (52, f"{far}x: ZX12345", "s")]
+    got = {r.doc_id: r.spans for r in personal_data.scan_personal(docs(spark, rows)).collect()}
+    assert got[50] == "id:317:324" and got[51] == "id:306:313" and got[52] == ""
+
+
+def test_found_identifiers_are_those_of_a_plain_bootstrap(spark):
+    import random
+
+    rng = random.Random(12)
+    words = ["call", "mail", "ref", "no2", "room", "see:"]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts += rng.choices(words, k=rng.randint(1, 3))
+            seed = rng.random() < (0.95 if parts[-1] in ("mail", "no2") else 0.1)
+            parts.append(f"u{rng.randrange(40)}@x.org" if seed else rng.choice([f"ZX{1000 + rng.randrange(30)}", "plain"]))
+        rows.append((i, " ".join(parts), "s"))
+    edges, seeds, places = {}, set(), {}
+    for i, t, _ in rows:
+        at, before = 0, []
+        for w in t.split(" "):
+            seed, loose = "@" in w, sum(c.isdigit() for c in w) >= 4 and "@" not in w
+            if seed or loose:
+                seeds.update([w] if seed else [])
+                for p in ([" ".join(before[-1:])] if before else []) + ([" ".join(before[-2:])] if len(before) > 1 else []):
+                    edges.setdefault(p.lower(), set()).add(w)
+                    if loose:
+                        places.setdefault((i, at, at + len(w)), set()).add(p.lower())
+            before.append(w)
+            at += len(w) + 1
+    scores = {w: 1.0 for w in seeds}
+    for _ in range(personal_data.ROUNDS):
+        trust = {p: sum(scores.get(v, 0.0) for v in vs) / (len(vs) + personal_data.DOUBT) for p, vs in edges.items()}
+        trust = {p: x for p, x in trust.items() if x >= personal_data.TRUST}
+        scores = {w: 1.0 for w in seeds}
+        for p, x in trust.items():
+            for v in edges[p]:
+                scores[v] = max(scores.get(v, 0.0), x)
+    want = {}
+    for (i, a, b), ps in places.items():
+        if ps & set(trust):
+            want.setdefault(i, []).append((a, b))
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("id:")] for r in personal_data.scan_personal(docs(spark, rows)).collect()}
+    assert any(want.values()) and got == {i: sorted(want.get(i, [])) for i, _, _ in rows}
+
+
 # -- toxicity
 
 def test_held_out_accuracy(spark, sf_dir):

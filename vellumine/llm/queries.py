@@ -32,19 +32,21 @@ k AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT
 w AS (SELECT *, [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS w, 3.0::DOUBLE * total AS lim FROM k),
 l AS (SELECT *, (sum(total) OVER () - coalesce(sum(lim) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER (ORDER BY lim / w, source NULLS FIRST) AS place
   FROM w WINDOW b AS (ORDER BY lim / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, total, coalesce(least(lim, w * arg_min(level, place) FILTER (lim >= level * w) OVER ()), 0)::DOUBLE AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.total, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.okey, d.size
+t AS (SELECT source, total, w, [7.0, 2.0, 0.5][kind + 1]::DOUBLE AS a, [3.0, 2.0, 1.5][kind + 1]::DOUBLE AS b,
+  coalesce(least(lim, w * arg_min(level, place) FILTER (lim >= level * w) OVER ()), 0)::DOUBLE AS target FROM l),
+p AS (SELECT d.doc_id, d.size, t.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.okey, d.size
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, total AS source_size, target, (size * ((before + size / 2 < target AND size > 0)::INT
-  + (total + before + size / 2 < target AND size > 0)::INT + (2 * total + before + size / 2 < target AND size > 0)::INT))::BIGINT AS taken FROM p
+  + (total + before + size / 2 < target AND size > 0)::INT + (2 * total + before + size / 2 < target AND size > 0)::INT))::BIGINT AS taken,
+  list_transform(list_filter([before::DOUBLE + size::DOUBLE / 2, (total + before)::DOUBLE + size::DOUBLE / 2, (2 * total + before)::DOUBLE + size::DOUBLE / 2], lambda m: m < target AND size > 0),
+    lambda m: greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2.0::DOUBLE * ((m / target) * w) / (a + sqrt(greatest(a * a + 2.0::DOUBLE * (b - a) * ((m / target) * w), 0.0::DOUBLE)))))) AS positions FROM p
 """)
 def op2_mix_sources(spark, sf_dir):
     from vellumine.llm.mixing import in_order, mix
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix(docs, carry=["doc_id"]).withColumn("first", F.get("positions", F.lit(0)))
-    # rows in the order of first reading: the SQL has no positions, they are in op2_training_order
-    return in_order(mixed, "first", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    return in_order(mixed, "first", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 @query("op2_training_order", r"""
@@ -159,7 +161,7 @@ def op4_secret_scan(spark, sf_dir):
     from vellumine.llm.secret_scan import scan_secrets
 
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", "most_owners", "most_repos")
 
 
 @query("op5_personal_data")

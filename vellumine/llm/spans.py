@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.common import stored
 
-CONTEXT = 48  # characters before a match that a lexical pattern may be read from
+BEFORE = 4  # pieces between white space that a gap's end is read by: a part of a word, two words, a part
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,11 @@ class Kind:
 def described(rank: int, context: bool):
     """A match as a struct, from its gap, its whole and its value."""
     def one(x: Column, at: Column) -> Column:
-        before = F.right(x["gap"], F.lit(CONTEXT)) if context else F.lit("")
+        pieces = F.split(x["gap"], r"[\x20\x09-\x0D]+")
+        before = F.array_join(F.slice(pieces, F.greatest(F.lit(1), F.size(pieces) - BEFORE + 1), BEFORE), " ") if context else F.lit("")
+        whole = (F.size(pieces) >= BEFORE) if context else F.lit(True)
         return F.struct(F.lit(rank).alias("rank"), at.alias("ordinal"), F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("size"),
-                        x["whole"].alias("whole"), x["value"].alias("value"), before.alias("context"))
+                        x["whole"].alias("whole"), x["value"].alias("value"), before.alias("context"), whole.alias("told"))
     return one
 
 
@@ -42,7 +44,8 @@ def scanned(docs: DataFrame, text_col: str, kinds: Sequence[Kind], keep: dict[st
     """A stored table: rid (unique per row), the columns ``keep``, and found.
 
     found holds a struct per match, in the order of each kind: rank (place of the kind),
-    ordinal, gap, size (code points before and of the match), whole, value and context.
+    ordinal, gap, size (code points before and of the match), whole, value, context (the last
+    words of the gap before the match) and told (the gap has two whole words).
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), *[c.alias(f"k_{n}") for n, c in keep.items()], text.alias("text"))
@@ -55,16 +58,24 @@ def scanned(docs: DataFrame, text_col: str, kinds: Sequence[Kind], keep: dict[st
 
         zipped = F.arrays_zip(gaps.alias("gap"), m.alias("whole"), values.alias("value"))
         found.append(F.when(F.size(m) > 0, F.transform(zipped, described(i, context))))
-    empty = F.array().cast("array<struct<rank:int,ordinal:int,gap:int,size:int,whole:string,value:string,context:string>>")
+    empty = F.array().cast("array<struct<rank:int,ordinal:int,gap:int,size:int,whole:string,value:string,context:string,told:boolean>>")
     parts = [F.coalesce(f, empty) for f in found]
     return stored(rows.select("rid", *[F.col(f"k_{n}").alias(n) for n in keep], F.concat(*parts).alias("found")), "scan")
 
 
 def placed(scan: DataFrame, *carry: str) -> DataFrame:
-    """One row per match: rid, ``carry``, rank, start, end, whole, value, context."""
+    """One row per match: rid, ``carry``, rank, start, end, whole, value, context.
+
+    Where the gap before a match has less than two whole words, the context goes back over the
+    two matches before it and the ends of their gaps.
+    """
     m = scan.select("rid", *carry, F.explode("found").alias("f")).select("rid", *carry, "f.*")
     before = Window.partitionBy("rid", "rank").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("gap") + F.col("size")).over(before), F.lit(0)) + F.col("gap")
+    along = Window.partitionBy("rid", "rank").orderBy("ordinal")
+    back = lambda c, n: F.coalesce(F.lag(c, n).over(along), F.lit(""))
+    longer = F.concat(back("context", 2), back("whole", 2), back("context", 1), back("whole", 1), F.col("context"))
+    m = m.withColumn("context", F.when(F.col("told"), F.col("context")).otherwise(longer))
     return m.withColumn("start", start).withColumn("end", F.col("start") + F.col("size")).select("rid", *carry, "rank", "start", "end", "whole", "value", "context")
 
 
