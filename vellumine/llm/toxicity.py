@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumine.llm import words as W
-from vellumine.llm.common import stored
+from vellumine.llm.common import stored, tidy
 
 FIT_ROWS = 8_192
 THRESHOLD = 0.7
@@ -80,7 +80,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def language_model(texts: DataFrame) -> np.ndarray:
     """Log probabilities [context of three][next sign], backing off to shorter contexts."""
-    rows = stored(texts.mapInArrow(gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams").toArrow()
+    rows = stored(texts.mapInArrow(tidy(gram_counts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams").toArrow()
     c = np.zeros(SIGNS**ORDER)
     c[rows["gram"].to_numpy()] = rows["n"].to_numpy()
     c = c.reshape((SIGNS,) * ORDER)
@@ -277,10 +277,12 @@ class Reader:
     """Distinct words of a batch, restored, with the place of each word of each text."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.decoder = Decoder(model)
+        self.decoder, self.runs = Decoder(model), Memory()
 
     def restored(self, raw: bytes) -> list[str]:
         word = raw.decode("utf-8", "replace").lower()
+        if PLAIN.fullmatch(word):
+            return [word] if len(word) > 1 else []
         bare = word.strip(EDGES)
         out = [bare] if bare else []
         if disguised(bare):
@@ -300,15 +302,17 @@ class Reader:
             if held > 4 * REMEMBERED:  # only a memory of finished work
                 numbers, forms, held = {}, [], 0
             u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            own = np.empty(len(u), dtype=np.int64)
-            for k, key in enumerate(u.tolist()):
-                at = numbers.get(key)
-                if at is None:
-                    at = numbers[key] = len(forms)
-                    made = self.restored(part[starts[first[k]] : ends[first[k]]].tobytes())
-                    forms.append(made)
-                    held += 250 + sum(map(len, made))
-                own[k] = at
+            own = np.fromiter(map(numbers.get, u.tolist(), itertools.repeat(-1)), np.int64, len(u))
+            fresh = np.flatnonzero(own < 0).tolist()
+            if fresh:
+                low = int(starts[0])
+                text = part[low : int(ends[-1])].tobytes()
+                begins, upto = starts - low, ends - low
+                for k in fresh:
+                    own[k] = numbers[int(u[k])] = len(forms)
+                    raw = text[begins[first[k]] : upto[first[k]]]
+                    forms.append(self.restored(raw))
+                    held += 250 + 2 * len(raw)
             yield row, own[inverse], forms, self.spaced(part, starts, ends)
 
     def spaced(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[list[str], str]]:
@@ -337,6 +341,16 @@ class Reader:
         return out
 
     def joined(self, run: list[str]) -> list[tuple[list[str], str]]:
+        if len(run) > SHORT:
+            return self.read_run(run)
+        key = " ".join(run)
+        found = self.runs.get(key)
+        if found is None:
+            found = self.read_run(run)
+            self.runs.keep(key, found, 300)
+        return found
+
+    def read_run(self, run: list[str]) -> list[tuple[list[str], str]]:
         out = [[i, j, list(forms), ""] for i, j, forms in self.decoder.joins(run) if sum(map(len, run[i:j])) > 2]
         at = near = 0
         for single, group in itertools.groupby(run, lambda x: len(x) == 1):
@@ -465,7 +479,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", toxic_col:
     some = known.select((F.col(f"`{toxic_col}`") > 0).cast("int").alias("toxic"), text(known))
     some = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int(share * (1 << 24)) + 1).distinct()
     some = stored(some, "labelled").repartition(8, F.xxhash64("text"))
-    counts = some.mapInArrow(presence(grams), "feature string, toxic int, n long").groupBy("feature").agg(
+    counts = some.mapInArrow(tidy(presence(grams)), "feature string, toxic int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     counts = stored(counts.where("t > 0 OR feature = ''"), "features")
     total = counts.where("feature = ''").first()
@@ -479,7 +493,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", toxic_col:
         kept = counts.where("feature <> ''").select("feature", g2.alias("g2"), odds.alias("w")).where((F.col("g2") >= SURE) & (F.col("w") > 2))
         weights = {r["feature"]: float(r["w"]) for r in kept.collect()}  # features of the sample
     sent = spark.sparkContext.broadcast(weights)
-    seen = some.select("toxic", "text").mapInArrow(hits(grams, sent), "toxic int, x1 double, x2 double, x3 double").toArrow()
+    seen = some.select("toxic", "text").mapInArrow(tidy(hits(grams, sent)), "toxic int, x1 double, x2 double, x3 double").toArrow()
     x = np.column_stack([seen[c].to_numpy() for c in ("x1", "x2", "x3")]) if seen.num_rows else np.zeros((0, 3))
     return Scorer(grams, sent, logistic(x, seen["toxic"].to_numpy().astype(float)))
 
@@ -492,7 +506,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(hits(scorer.grams, scorer.weights), f"id {kind}, x1 double, x2 double, x3 double").select(F.col("id").alias(id_col), chance(scorer.curve).alias("score"))
+    return rows.mapInArrow(tidy(hits(scorer.grams, scorer.weights)), f"id {kind}, x1 double, x2 double, x3 double").select(F.col("id").alias(id_col), chance(scorer.curve).alias("score"))
 
 
 def chance(curve: np.ndarray):
@@ -504,5 +518,5 @@ def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, te
     """The rows of ``docs`` that score under ``threshold``, with their columns."""
     body = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     fields = T.StructType([*body.schema.fields, *[T.StructField(x, T.DoubleType()) for x in ("x1", "x2", "x3")]])
-    scored = body.mapInArrow(hits(scorer.grams, scorer.weights, docs.columns.index(text_col)), fields)
+    scored = body.mapInArrow(tidy(hits(scorer.grams, scorer.weights, docs.columns.index(text_col))), fields)
     return scored.where(chance(scorer.curve) < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
