@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import components, stored
+from vellumine.llm.common import components, stored, tidy
 
 #: Similarity as a ratio of whole numbers: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
@@ -110,7 +110,7 @@ def frequent_ngrams(texts: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarra
     At most 2^22 n-grams can each be over 1 in 2^22 of all, so what comes to the driver and
     goes out with the tasks is under 64 MB at any scale.
     """
-    counts = stored(texts.mapInArrow(frequent_candidates(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    counts = stored(texts.mapInArrow(tidy(frequent_candidates(n)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     total = counts.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("h").isNotNull() & (F.col("n") >= max(2, total >> FREQUENT_BITS))).toArrow()
     h, c = rows["h"].to_numpy().astype(np.int64).view(W.U64), rows["n"].to_numpy()
@@ -288,8 +288,8 @@ def similar(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, n: int) ->
         of = lambda c: right.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]).hint("merge")
         return left.join(of("a"), "a").join(of("b"), "b").select("a", "b", *[f"{x}_{c}" for x in columns for c in "ab"])
 
-    near = stored(beside(pairs, sketches, "size", "sketch").mapInArrow(close_enough, "a long, b long"), "near").distinct()
-    return stored(beside(near, bodies, "body").mapInArrow(compared(n), "u long, v long"), "links")
+    near = stored(beside(pairs, sketches, "size", "sketch").mapInArrow(tidy(close_enough), "a long, b long"), "near").distinct()
+    return stored(beside(near, bodies, "body").mapInArrow(tidy(compared(n)), "u long, v long"), "links")
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -304,7 +304,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    light = stored(texts.mapInArrow(described(n), "id long, size long, digest binary, sketch array<long>"), "sets")
+    light = stored(texts.mapInArrow(tidy(described(n)), "id long, size long, digest binary, sketch array<long>"), "sets")
     heavy, ranks, length = frequent_ngrams(texts.select("text"), n)
     histogram = {r["size"]: r["k"] for r in light.where("size > 0").groupBy(F.least("size", F.lit(4 * LARGEST_BOUNDARY)).alias("size")).agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(histogram, length)
@@ -318,9 +318,9 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = stored(own.join(classes, ["digest", "salt"]).select("id", "size", "node"), "classes")
 
     # keys that two different sets share, then the lists of those keys
-    marks = texts.mapInArrow(listed(n, boundary, frequent, True), "key long, node long")
+    marks = texts.mapInArrow(tidy(listed(n, boundary, frequent, True)), "key long, node long")
     shared = stored(marks.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "keys")
-    entries = texts.mapInArrow(listed(n, boundary, frequent, False), "key long, node long, place long").select("key", F.col("node").alias("id"), "place")
+    entries = texts.mapInArrow(tidy(listed(n, boundary, frequent, False)), "key long, node long, place long").select("key", F.col("node").alias("id"), "place")
     lists = stored(entries.join(shared.hint("merge"), "key").join(named, "id").select("key", "node", "size", "place").distinct(), "lists")
 
     # a set whose list keys are mostly shared is the middle of its copies: it is a pivot first
@@ -328,7 +328,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = stored(lists.join(stored(degree, "degree").hint("merge"), "node"), "lists")
 
     wanted = lists.select(F.col("node").alias("id")).distinct()
-    bodies = stored(texts.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(packed, "id long, body binary").join(wanted.hint("merge"), "id").distinct(), "bodies")
+    bodies = stored(texts.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(tidy(packed), "id long, body binary").join(wanted.hint("merge"), "id").distinct(), "bodies")
     sketches = stored(light.where("digest IS NOT NULL").select("id", "size", "sketch").join(wanted.hint("merge"), "id").distinct(), "sketches")
     # similar sets have this many elements from their first common key on
     need = F.ceil((F.col("size_a") + F.col("size_b")) * NUM / (NUM + DEN))
@@ -338,11 +338,14 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for turn, pivots in enumerate(PIVOTS):
         rank = lambda p: (-F.col("shared") if turn == p == 0 else F.lit(0.0)).alias("first")  # noqa: B023, E731
         hub = lambda p: F.struct(rank(p), F.xxhash64("node", F.lit(100 * turn + p)).alias("hash"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("component").alias("c"))
-        hubs = open_lists.groupBy("key").agg(*[F.min(hub(p)).alias(f"p{p}") for p in range(pivots)])
-        hubs = hubs.select("key", F.explode(F.array(*[F.struct(*[F.col(f"p{p}.{x}").alias(x) for x in ("b", "size_b", "place_b", "c")]) for p in range(pivots)])).alias("p")).select("key", "p.*").distinct()
-        hubs = stored(hubs, "hubs")
-        pairs = open_lists.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), "component").join(hubs.hint("merge"), "key")
-        pairs = pairs.where((F.col("component") != F.col("c")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ends = open_lists.groupBy("key").agg(*[F.min(hub(p)).alias(f"p{p}") for p in range(pivots)], F.max(hub(0)).alias("last"), F.count(F.lit(1)).alias("k"))
+        ends = stored(ends, "hubs")
+        # a list of two is a pair; longer ones are compared with their pivots
+        sides = [F.col(f"p0.{x}").alias(y) for x, y in (("b", "a"), ("size_b", "size_a"), ("place_b", "place_a"), ("c", "component"))]
+        couples = ends.where("k = 2").select(*sides, *[F.col(f"last.{x}").alias(x) for x in ("b", "size_b", "place_b", "c")])
+        hubs = ends.where("k > 2").select("key", F.explode(F.array(*[F.struct(*[F.col(f"p{p}.{x}").alias(x) for x in ("b", "size_b", "place_b", "c")]) for p in range(pivots)])).alias("p")).select("key", "p.*").distinct()
+        met = open_lists.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), "component").join(hubs.hint("merge"), "key").drop("key")
+        pairs = met.unionByName(couples).where((F.col("component") != F.col("c")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionByName(similar(stored(pairs, "pairs"), sketches, bodies, n))
         groups = components(links).select("node", "component")
         joined = lists.join(groups.hint("merge"), "node", "left").select("key", "node", "size", "place", "shared", F.coalesce("component", "node").alias("component"))

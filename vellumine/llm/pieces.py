@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumine.llm import words as W
+from vellumine.llm.common import tidy
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -338,7 +339,7 @@ def with_column(df: DataFrame, source: str, name: str, kind: T.DataType, of) ->
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], make(part.column(at))], [*[batch.schema.names[i] for i in kept], name])
             pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(name, kind)]))
+    return df.mapInArrow(tidy(run), T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(name, kind)]))
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str | Vocabulary = MODEL) -> DataFrame:
