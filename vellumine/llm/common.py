@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,14 +57,20 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         for out in run(batches):
             yield out
             del out
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system; also after tables came to the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has (compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import components, stored, tidy
+from vellumine.llm.common import components, give_back, stored, tidy
 
 #: Similarity as a ratio of whole numbers: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
@@ -118,7 +118,10 @@ def frequent_ngrams(texts: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarra
     rank = np.empty(len(h), dtype=np.int64)
     rank[order] = np.arange(1, len(h) + 1)
     by_hash = np.argsort(h)
-    return h[by_hash], rank[by_hash], 1 + float((c.astype(float) ** 2).sum()) / max(1, total)
+    found = h[by_hash], rank[by_hash], 1 + float((c.astype(float) ** 2).sum()) / max(1, total)
+    del rows, h, c, order, rank, by_hash
+    give_back()
+    return found
 
 
 def choose_boundary(histogram: dict[int, int], list_length: float) -> int:
@@ -309,6 +312,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     histogram = {r["size"]: r["k"] for r in light.where("size > 0").groupBy(F.least("size", F.lit(4 * LARGEST_BOUNDARY)).alias("size")).agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(histogram, length)
     frequent = spark.sparkContext.broadcast((heavy, ranks))
+    del heavy, ranks
+    give_back()
 
     # classes of equal sets: the smallest id stands for the others; salted both ways
     own = light.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "size", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumine.llm import words as W
-from vellumine.llm.common import stored, tidy
+from vellumine.llm.common import give_back, stored, tidy
 
 FIT_ROWS = 8_192
 THRESHOLD = 0.7
@@ -495,7 +495,10 @@ def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", toxic_col:
     sent = spark.sparkContext.broadcast(weights)
     seen = some.select("toxic", "text").mapInArrow(tidy(hits(grams, sent)), "toxic int, x1 double, x2 double, x3 double").toArrow()
     x = np.column_stack([seen[c].to_numpy() for c in ("x1", "x2", "x3")]) if seen.num_rows else np.zeros((0, 3))
-    return Scorer(grams, sent, logistic(x, seen["toxic"].to_numpy().astype(float)))
+    curve = logistic(x, seen["toxic"].to_numpy().astype(float))
+    del seen, x, weights
+    give_back()
+    return Scorer(grams, sent, curve)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
