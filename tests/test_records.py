@@ -56,6 +56,20 @@ def test_only_hot_groups_are_cut_into_even_parts(spark):
     assert number_rows(df.limit(0), ["g"], ["id"]).count() == 0
 
 
+def test_numbering_carries_no_bounds_and_measures_few_rows(spark, monkeypatch):
+    from vellumine.functions import numbering
+
+    monkeypatch.setattr(numbering, "MOST_BOUNDS", 40)
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS g", "id")
+    bounds = quantile_bounds(_placed(df, ["g"], ["id"]), 64).collect()
+    assert len(bounds) == 3 and all(25 <= len(r._bounds) <= 60 for r in bounds)
+    out = number_rows(df, ["g"], ["id"], chunk_rows=64)
+    assert {(r.id, r.seq) for r in out.collect()} == {(i, i // 3 + 1) for i in range(20_000)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # rows are numbered once; parts are counted, so no row takes its group's bounds through a shuffle
+    assert plan.count("row_number()") == 1
+
+
 def test_a_registration_joins_once(spark):
     scan = spark.range(3000).selectExpr("IF(id % 3 < 2, 'hot', 'c' || id % 5) AS case_id", "'f' || id AS file_path", "sha2(CAST(id AS STRING), 256) AS sha256")
     registry = scan.where("file_path LIKE '%7%'").selectExpr("*", "format_string('EVD-%06d', row_number() OVER (PARTITION BY case_id ORDER BY file_path)) AS evidence_id")
