@@ -187,3 +187,15 @@ def test_code_requests(spark):
 def test_normal_form(spark):
     df = spark.createDataFrame([("é",), ("plain é",), (None,), ("য়",)], "t string")
     assert [r[0] for r in df.select(tx.nfc(F.col("t"))).collect()] == ["é", "plain é", None, "য়"]
+
+
+def test_normal_form_sends_only_runs_to_python(spark):
+    texts = ["plain", "", None, "a\u0301", "\u0301a\u0301\n\u0301", "xe\u0301y o\u0302\u0323z", "\u1100\u1161\u11a8 \u0915\u093c", "\U0001d15e — “q” \u212b", "e\u0323\u0301\x00", "한글 각"]
+    texts += ["long " * 40_000 + "e\u0301 " * 3, "e\u0301" * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = {r.i: r.n for r in df.select("i", tx.nfc(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    # no text crosses whole: what the function gets is an array of runs
+    plan = df.select(tx.nfc(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    python = plan.split("ArrowEvalPython")[1].split("\n")[0]
+    assert "_nfc_runs" in python and "regexp_extract_all(t" in plan

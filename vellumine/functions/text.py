@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from vellumine.functions import fixed
@@ -58,19 +61,38 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(rf"[^{SPACE}]")
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFC")
+# Every code point below U+0300 is in normal form and takes nothing from what stands before it.
+# What may change is a run of higher ones with the character before the run.
+UNSETTLED = r"[^\x{00}-\x{2FF}]+"
+NFC_RUNS = 1 << 16  # runs normalised at once
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfc_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The runs of each text in normal form; null where every run of a text is already."""
+    for runs in batches:
+        sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes)
+        first = 0
+        while first < len(runs):  # a bounded number of runs at once, one text at least
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + NFC_RUNS, side="right")))
+            some = runs.slice(first, last - first).to_pylist()
+            done = [x if x is None else [unicodedata.normalize("NFC", r) for r in x] for x in some]
+            yield pa.array([None if x == y else y for x, y in zip(some, done)], pa.list_(pa.string()))
+            first = last
 
 
 def nfc(text: Column) -> Column:
     """Unicode NFC.
 
-    Every code point below U+0300 is already in normal form, so only rows that
-    hold a higher one cross to Python; the rest are sent as nulls.
+    Only runs of code points from U+0300 on, each with the character before it, cross to Python,
+    and only runs of texts that change come back; the rest of a text stays where it is.
     """
-    candidate = F.when(text.rlike(r"[^\x{00}-\x{2FF}]"), text)
-    return F.coalesce(_nfc(candidate), text)
+    gaps = F.split(text, UNSETTLED, -1)
+    runs = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(UNSETTLED), F.lit(0)), lambda gap, run: F.concat(F.right(gap, F.lit(1)), run))
+    changed = _nfc_runs(F.when(text.rlike(UNSETTLED), F.array_compact(runs)))
+    whole = F.zip_with(gaps, changed, lambda gap, run: F.when(run.isNull(), gap).otherwise(F.concat(F.left(gap, F.char_length(gap) - 1), run)))
+    return F.when(changed.isNull(), text).otherwise(F.array_join(whole, ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
