@@ -199,3 +199,21 @@ def test_normal_form_sends_only_runs_to_python(spark):
     plan = df.select(tx.nfc(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     python = plan.split("ArrowEvalPython")[1].split("\n")[0]
     assert "_nfc_runs" in python and "regexp_extract_all(t" in plan
+
+
+def test_grams_are_cut_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array([None, *["abcdé" * 2000] * 900, ""])
+    tracemalloc.start()
+    firsts, size, grams = [], 0, 0
+    for first, part in lp._slices(column):
+        firsts.append(first)
+        size += len(part)
+        grams += len(lp.gram_codes(part, 3)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == len(column) and grams == 900 * 9998 and firsts[0] == 0 and len(firsts) > 10
+    assert peak < 100 << 20

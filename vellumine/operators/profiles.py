@@ -14,12 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 UNIT = 1 << 20  # of a log-probability
 BLOCK_GRAMS = 1 << 20  # profile rows that one block is meant to hold (16 bytes each)
 CELLS = 1 << 21  # sums (pages x languages) held at once
-KEYED_CHARS = 1 << 22  # characters cut into grams at once, one text at least
+KEYED_CHARS = 1 << 19  # characters cut into grams at once (about 110 bytes each), one text at least
 
 
 def gram_codes(texts: Sequence[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +44,18 @@ def gram_codes(texts: Sequence[str | None], n: int) -> tuple[np.ndarray, np.ndar
     return codes.view(np.int64), owner[starts]
 
 
-def _slices(texts: Sequence[str | None], most: int = KEYED_CHARS, rows: int | None = None) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` characters and ``rows`` rows, one row at least."""
+def _slices(column: pa.Array, most: int | None = None, rows: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column by runs of rows of at most ``most`` characters (``KEYED_CHARS``) and
+    ``rows`` rows, one row at least: number of the first row, and the texts. Only these are unpacked."""
+    most = most or KEYED_CHARS
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        size = len(t) if t else 0
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).tolist()):
         if i > first and (held + size > most or (rows and i - first >= rows)):
-            yield first, i
+            yield first, column.slice(first, i - first).to_pylist()
             first, held = i, 0
         held += size
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(column):
+        yield first, column.slice(first).to_pylist()
 
 
 def gram_counts(df: DataFrame, keys: Sequence[str], text: str = "text", n: int = 3) -> DataFrame:
@@ -67,14 +69,12 @@ def gram_counts(df: DataFrame, keys: Sequence[str], text: str = "text", n: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
             group, firsts = _groups(batch, len(keys))
-            for a, b in _slices(texts):
-                part = texts[a:b]
+            for a, part in _slices(batch.column(len(keys))):
                 codes, owner = gram_codes(part, n)
                 if not len(codes):
                     continue
-                of = group[a:b][owner]
+                of = group[a + owner]
                 order = np.lexsort((codes, of))
                 codes, of = codes[order], of[order]
                 at = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])])
@@ -167,9 +167,8 @@ def score_profiles(df: DataFrame, key: str, profiles: DataFrame, text: str = "te
     def scorer(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in _slices(texts, rows=max(1, CELLS // width)):
-                    sums, numbers = block.value.sums(texts[a:b], n, width)
+                for a, texts in _slices(batch.column(1), rows=max(1, CELLS // width)):
+                    sums, numbers = block.value.sums(texts, n, width)
                     some = np.flatnonzero(numbers)
                     offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * width)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + a)), pa.array(numbers[some]),
