@@ -217,3 +217,12 @@ def test_grams_are_cut_in_bounded_memory():
     tracemalloc.stop()
     assert size == len(column) and grams == 900 * 9998 and firsts[0] == 0 and len(firsts) > 10
     assert peak < 100 << 20
+
+
+def test_census_counts_the_leading_script_first(spark, pages):
+    texts = [*PAGES.values(), "", None, "— “क” ಕನ್ನಡ क क", "।।ಕ", "漢字 한글 কথা", "\U0001d15e ಕ\ufb50", "a" * 50 + "ᱚ ꯃ ﷲ ଓ తె മ ગ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: {s.script: s.n for s in r.scripts} for r in ti.script_census(df).collect()}
+    assert got == {i: dict(census(t or "")) for i, t in enumerate(texts)}
+    flags = ti.mixed_language(ti.detect_script(pages)).select("page", "is_mixed_language").collect()
+    assert sorted(flags) == sorted(flows.identify_pages(pages).select("page", "is_mixed_language").collect())

@@ -32,19 +32,24 @@ def script_census(df: DataFrame, text: str = "text") -> DataFrame:
     (script, n, first_at) ordered by count, then by first appearance.
 
     Two passes over the text (Latin run lengths, everything else kept); the remaining
-    counts see only the non-Latin characters, none at all for Latin pages.
+    counts see only the non-Latin characters, none at all for Latin pages. The script of
+    the first of them is counted first, the others see what it leaves.
     """
     others = [s for s in SCRIPTS if s != "Latin"]
     df = compute_once(df, {
         "_latin": f"char_length(`{text}`) - char_length(regexp_replace(`{text}`, r'{tx.counted_class('Latin')}+', ''))",
-        # every other block lies above U+0600; what no block claims is ignored below
-        "_other": f"regexp_replace(`{text}`, r'[\\x{{0}}-\\x{{5FF}}]+', '')",
+        # no other block has a character below U+0600 or from U+1C80 to U+AADF; what no block claims is ignored below
+        "_other": f"regexp_replace(`{text}`, r'[\\x{{0}}-\\x{{5FF}}\\x{{1C80}}-\\x{{AADF}}]+', '')",
     })
+    leads = " ".join(f"WHEN ascii(_other) BETWEEN {low} AND {high} THEN '{s}'" for s in others for low, high in fixed.SCRIPT_BLOCKS[s])
+    df = compute_once(df, {"_lead": f"CASE {leads} END"})
+    without = {s: f"regexp_replace(%s, r'{tx.counted_class(s)}+', '')" for s in others}
+    df = compute_once(df, {"_rest": "CASE _lead " + " ".join(f"WHEN '{s}' THEN {without[s] % '_other'}" for s in others) + " ELSE _other END"})
     counts = {"_n_Latin": "coalesce(_latin, 0)"}
     for s in others:
-        left = f"char_length(regexp_replace(_other, r'{tx.counted_class(s)}+', ''))"
-        counts[f"_n_{s}"] = f"CASE WHEN _other <> '' THEN char_length(_other) - {left} ELSE 0 END"
-    df = compute_once(df, counts, drop=("_latin", "_other"))
+        counts[f"_n_{s}"] = (f"CASE WHEN _lead = '{s}' THEN char_length(_other) - char_length(_rest) "
+                             f"WHEN _rest <> '' THEN char_length(_rest) - char_length({without[s] % '_rest'}) ELSE 0 END")
+    df = compute_once(df, counts, drop=("_latin", "_other", "_lead", "_rest"))
     items = ", ".join(
         f"CASE WHEN `_n_{s}` > 0 THEN named_struct('neg', -`_n_{s}`, 'first_at', "
         f"regexp_instr(`{text}`, r'{tx.counted_class(s)}'), 'script', '{s}') END" for s in SCRIPTS)
@@ -212,6 +217,16 @@ def _detector_between_two(df: DataFrame, column: str, second: str, first: str, l
         f"'alternatives', {column}.alternatives)")})
 
 
+def _mixed(blank: str) -> str:
+    latin = "exists(script_alternatives, a -> a.script = 'Latin' AND a.confidence > 10)"
+    return f"coalesce(script = 'Devanagari' AND NOT {blank} AND {latin}, false)"
+
+
+def mixed_language(df: DataFrame, text: str = "text") -> DataFrame:
+    """``is_mixed_language`` of ``identify_language`` alone, which needs no words, only the detected script."""
+    return compute_once(df, {"is_mixed_language": _mixed(f"(`{text}` IS NULL OR NOT `{text}` RLIKE r'[^{tx.SPACE}]')")})
+
+
 def identify_language(df: DataFrame, text: str = "text", stat: tuple[str, str] | None = None) -> DataFrame:
     """Language of each page whose script is already detected.
 
@@ -262,14 +277,13 @@ def identify_language(df: DataFrame, text: str = "text", stat: tuple[str, str] |
         f"WHEN script = 'Devanagari' THEN {result('_deva.language', '_deva.confidence', '_deva.raw', _MARKERS, '_deva.alternatives')} "
         f"WHEN script = 'Bengali' THEN {result('_beng.language', '_beng.confidence', '_beng.confidence', _LETTERS_FIRST, '_beng.alternatives')} "
         f"ELSE {result('_pers.language', '_pers.confidence', '_pers.confidence', _LETTERS_TOO, '_pers.alternatives')} END")})
-    latin = "exists(script_alternatives, a -> a.script = 'Latin' AND a.confidence > 10)"
     return compute_once(df, {
         "language": "_r.language",
         "language_confidence": "_r.confidence",
         "language_level": "_r.level",
         "language_method": "_r.method",
         "language_alternatives": "_r.alternatives",
-        "is_mixed_language": f"coalesce(script = 'Devanagari' AND NOT _blank AND {latin}, false)",
+        "is_mixed_language": _mixed("_blank"),
         "language_quality": f"CASE WHEN _blank OR _single IS NULL THEN '' WHEN {direct} > 80 THEN 'Good' ELSE 'Moderate' END",
     }, drop=("_r", "_deva", "_beng", "_pers", "_td", "_tb", "_tp", "scores", "_blank", "_single", "_unknown"))
 
