@@ -371,3 +371,23 @@ def test_only_failing_pages_fail_and_models_load_once(spark, tmp_path):
     before = len(os.listdir(folder))
     assert slots.recognise(slots.assign_engine(many, [engine]), [engine]).count() == 3000
     assert len(os.listdir(folder)) - before == 1
+
+
+def test_engines_get_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(slots, "BATCH_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"page_key": [str(i) for i in range(40)], "content": [b"x" * 300] * 20 + [None, b"", b"y" * 5000] + [b"z"] * 17})
+    parts = list(slots.bounded(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and all(p.num_rows for p in parts)
+    assert all(p.num_rows == 1 or sum(len(c or b"") for c in p.column("content").to_pylist()) <= 1000 for p in parts)
+
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(text=str(sum(len(c) for c in b["content"])), confidence=1, word_confidences=[[1.0]] * len(b))[["page_key", "text", "confidence", "word_confidences"]]
+
+    most = slots.BATCH_BYTES = 4 << 20
+    engine = slots.Recogniser("sizes", sizes, {"en": "eng"})
+    pages = spark.range(0, 60, 1, 1).selectExpr("CAST(id AS STRING) AS page_key", "'en' AS language", "CAST(repeat('x', 500000) AS BINARY) AS content")
+    got = slots.recognise(slots.assign_engine(pages, [engine]), [engine]).collect()
+    assert len(got) == 60 and max(int(r.text) for r in got) <= most and {r.confidence for r in got} == {1.0}

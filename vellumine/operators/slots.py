@@ -11,12 +11,17 @@ from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellumine.functions import fixed
 
 Batches = Iterator[pd.DataFrame]
+BATCH_BYTES = 4 << 20  # content in one batch that an engine gets; a larger page is a batch of its own
 RECOGNITION_DDL = ("page_key string, text string, confidence double, word_confidences array<double>, "
                    "engine string, lang_code string, error string")
 
@@ -81,21 +86,24 @@ def _whole(out: pd.DataFrame, engine: Recogniser) -> pd.DataFrame:
 
 
 class _Owed:
-    """Pages that an engine has taken and not returned, by key, in the order taken."""
+    """Pages that an engine has taken and not returned, by key, in the order taken.
+
+    A page is its batch and its place there; it is cut out only if the engine leaves it behind.
+    """
 
     def __init__(self) -> None:
-        self.pages: dict[object, deque[pd.DataFrame]] = {}
+        self.pages: dict[object, deque[tuple[pd.DataFrame, int]]] = {}
         self.taken = 0
 
     def take(self, batch: pd.DataFrame) -> None:
         self.taken += len(batch)
-        for at, key in enumerate(batch["page_key"]):
-            self.pages.setdefault(key, deque()).append(batch.iloc[at : at + 1])
+        for at, key in enumerate(batch["page_key"].tolist()):
+            self.pages.setdefault(key, deque()).append((batch, at))
 
     def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
         """The rows that answer an owed page; each page is answered once."""
         answers = []
-        for key in rows["page_key"]:
+        for key in rows["page_key"].tolist():
             waiting = self.pages.get(key)
             answers.append(waiting is not None)
             if waiting is not None:
@@ -105,7 +113,7 @@ class _Owed:
         return rows[answers]
 
     def drain(self) -> list[pd.DataFrame]:
-        left, self.pages = [page for waiting in self.pages.values() for page in waiting], {}
+        left, self.pages = [batch.iloc[at : at + 1] for waiting in self.pages.values() for batch, at in waiting], {}
         return left
 
 
@@ -160,8 +168,9 @@ def recognise(pages: DataFrame, engines: Sequence[Recogniser]) -> DataFrame:
     """Run each page through its assigned engine: exactly one row per page, one scan.
 
     Pages are sorted by engine inside each task, and every engine gets all its pages of the
-    task as one iterator, so a model is loaded once per task. A failing page becomes an error
-    row; pages without any engine get an error instead of text.
+    task as one iterator, so a model is loaded once per task. Its batches hold at most about
+    ``BATCH_BYTES`` of content, one page at least. A failing page becomes an error row; pages
+    without any engine get an error instead of text.
     """
     known = {e.name: e for e in engines if e.available}
 
@@ -177,7 +186,24 @@ def recognise(pages: DataFrame, engines: Sequence[Recogniser]) -> DataFrame:
                     "page_key": part["page_key"], "text": "", "confidence": 0.0, "word_confidences": [[] for _ in range(len(part))],
                     "engine": "None", "lang_code": "", "error": "No OCR engines available."})[FIELDS]
 
-    return pages.select("page_key", "content", "lang_code", "engine").sortWithinPartitions("engine").mapInPandas(run, RECOGNITION_DDL)
+    rows = pages.select("page_key", "content", "lang_code", "engine").sortWithinPartitions("engine")
+    schema = to_arrow_schema(T.StructType.fromDDL(RECOGNITION_DDL))
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(part.to_pandas() for batch in batches for part in bounded(batch)):
+            yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
+
+    return rows.mapInArrow(arrow, RECOGNITION_DDL)
+
+
+def bounded(batch: pa.RecordBatch, column: str = "content") -> Iterator[pa.RecordBatch]:
+    """A batch by runs of rows with at most ``BATCH_BYTES`` in a column, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + BATCH_BYTES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 @dataclass(frozen=True)
