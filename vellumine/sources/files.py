@@ -18,7 +18,7 @@ def spread(df: DataFrame, least: int = 8) -> DataFrame:
 
 LIST_DDL = "path string, modificationTime timestamp, length bigint, folder boolean"
 SCAN_DDL = "path string, modificationTime timestamp, length bigint, content binary"
-BATCH_BYTES = 32 << 20  # content in one Arrow batch; a longer file is a batch of its own
+BATCH_BYTES = 8 << 20  # content in one Arrow batch; a longer file is a batch of its own
 TASK_BYTES = 128 << 20  # listed bytes that one task reads
 
 

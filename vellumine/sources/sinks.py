@@ -234,7 +234,9 @@ def write_files(rows: DataFrame, root: str) -> int:
         import pyarrow as pa
 
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            contents = batch.column("content")
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                content = contents[i].as_buffer()  # the bytes stay in the batch
                 system, at = file_system(f"{root.rstrip('/')}/{path}")
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(at) as f:
