@@ -1,5 +1,6 @@
 """Records, numbering, durable tables, runs, findings and slots."""
 
+import collections
 import datetime as dt
 import pathlib
 
@@ -182,6 +183,25 @@ def test_a_broken_rewrite_is_ended_by_the_next_reader(spark, tmp_path, monkeypat
     assert not list((tmp_path / "_journal" / "evidence_items").iterdir())
 
 
+def test_many_folders_are_written_and_moved_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vellumine.sources.tables.MOVES_A_TASK", 8)
+    t = EvidenceTables(spark, str(tmp_path), buckets=4, folder_rows=20)
+    t.append("evidence_items", items(spark, "hot", 0, 3000).unionByName(items(spark, "cold", 0, 5)))
+    folders = collections.Counter(f.split("/")[0] for f in files_of(t))
+    tasks = {f.split("/part-")[1][:5] for f in files_of(t)}
+    assert len(folders) > 100 and max(folders.values()) == 1 and len(tasks) >= 4
+    t.replace("evidence_items", items(spark, "hot", 0, 300, "/new/"), ["case_id", "evidence_id"])
+    # what stays and what is new of a folder is one file
+    assert max(collections.Counter(f.split("/")[0] for f in files_of(t)).values()) == 1
+    t.delete_cases(case(spark, "cold", ""), ["evidence_items"])
+    rows = {r.evidence_id: r.file_path for r in t.read("evidence_items").collect()}
+    assert len(rows) == t.read("evidence_items").count() == 3000
+    assert rows["EVD-000299"] == "/new/299" and rows["EVD-000300"] == "/f/300"
+    assert not list((tmp_path / "_aside" / "evidence_items").iterdir()) and not list((tmp_path / "_journal" / "evidence_items").iterdir())
+    held = {p.name for p in pathlib.Path(t.path("evidence_items")).rglob("*.parquet")}
+    assert {f".{n}.crc" for n in held} == {p.name for p in pathlib.Path(t.path("evidence_items")).rglob(".part-*.crc")}
+
+
 def test_older_files_get_defaults(spark, tmp_path):
     t = EvidenceTables(spark, str(tmp_path))
     old = spark.createDataFrame([("C1", "Legacy", 0)], "case_id string, title string, case_bucket int")

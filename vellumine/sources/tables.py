@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -13,6 +14,9 @@ from vellumine.session import cut_lineage
 BUCKETS = 256
 FOLDER_ROWS = 1 << 22  # rows of a bucket from which it has more than one part
 MOST_SPLITS = 20  # a bucket has at most 2^20 parts
+SMALL_FOLDER = 1 << 12  # rows a folder below which a write is spread by its folders, not by its bytes
+FOLDERS_A_TASK = 16  # folders that one task writes then
+MOVES_A_TASK = 256  # folders or files that one task moves or deletes
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -46,6 +50,49 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+# --- files of a rewrite, by the file system that tasks open themselves
+def _drop_file(root: str, name: str) -> None:
+    from pyarrow import fs
+
+    from vellumine.sources.files import file_system
+
+    system, at = file_system(f"{root}/{name}")
+    folder, _, last = at.rpartition("/")
+    for path in [at, f"{folder}/.{last}.crc"] if isinstance(system, fs.LocalFileSystem) else [at]:
+        try:
+            system.delete_file(path)
+        except FileNotFoundError:  # an earlier attempt took it
+            pass
+
+
+def _move_folder(root: str, aside: str, name: str) -> None:
+    """Data files of a folder aside to the same folder of the table, checksums with them."""
+    from pyarrow import fs
+
+    from vellumine.sources.files import file_system
+
+    system, source = file_system(f"{aside}/{name}".rstrip("/"))
+    _, target = file_system(f"{root}/{name}".rstrip("/"))
+    found = system.get_file_info(fs.FileSelector(source, recursive=False, allow_not_found=True))
+    system.create_dir(target, recursive=True)
+    # the checksum first: no reader meets a file whose checksum is still aside
+    for file in sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.startswith(("part-", ".part-"))):
+        try:
+            system.move(f"{source}/{file}", f"{target}/{file}")
+        except FileNotFoundError:  # another attempt moved it
+            pass
+
+
+def _drop_empty(root: str, name: str) -> None:
+    from pyarrow import fs
+
+    from vellumine.sources.files import file_system
+
+    system, at = file_system(f"{root}/{name}")
+    if system.get_file_info(at).type == fs.FileType.Directory and not system.get_file_info(fs.FileSelector(at, recursive=False)):
+        system.delete_dir(at)
+
+
 class EvidenceTables:
     """Reads and writes of the case tables under one root path.
 
@@ -56,8 +103,9 @@ class EvidenceTables:
     counted where they are written, in ``_rows``; the counts steer new rows only.
 
     Rewrites touch the files that hold a key and no others. The new files are finished aside, a
-    journal names the old ones, and only then are the old files deleted and the new moved in.
-    Whoever opens the table next ends a rewrite that was broken off.
+    journal names the old ones, and only then are the old files deleted and the new moved in; rows
+    are appended in the same way. Whoever opens the table next ends a rewrite that was broken off.
+    Files are written, listed, deleted and moved by tasks.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, folder_rows: int = FOLDER_ROWS):
@@ -87,33 +135,47 @@ class EvidenceTables:
         rows = self.spark.read.schema(ddl).parquet(at) if exists(self.spark, at) else self.spark.createDataFrame([], ddl)
         return rows.groupBy("case_bucket").agg(F.sum("n").alias("n"))
 
-    def _laid_out(self, name: str, rows: DataFrame, counted: bool) -> DataFrame:
-        """Finished rows with their folders. ``counted`` adds them to the counts; rows that only
-        move are in them already."""
+    def _laid_out(self, name: str, rows: DataFrame, counted: DataFrame | None) -> tuple[DataFrame, int, int]:
+        """Finished rows with their folders, the number of folders they may fill and of the rows.
+
+        The rows of ``counted`` are added to the counts; rows that only move are in them already.
+        """
+        def per_bucket(df: DataFrame) -> list:  # at most ``buckets`` rows
+            return df.groupBy(case_bucket("case_id", self.buckets).alias("case_bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
+
+        fresh = per_bucket(rows)
+        if counted is not None:
+            new = fresh if counted is rows else per_bucket(counted)
+            self.spark.createDataFrame(new, "case_bucket int, n long").coalesce(1).write.mode("append").parquet(f"{self.root}/_rows/{name}")
+        cuts = {r.case_bucket: min(math.ceil(math.log2(max(1.0, r.n / self.folder_rows))), MOST_SPLITS) for r in self._counts(name).collect()}
+        cut = F.coalesce(F.get(F.lit([cuts.get(b, 0) for b in range(self.buckets)]), F.col("case_bucket")), F.lit(0))
         placed = rows.withColumn("case_bucket", case_bucket("case_id", self.buckets))
-        fresh = placed.groupBy("case_bucket").agg(F.count(F.lit(1)).alias("n"))
-        if counted:
-            fresh.coalesce(1).write.mode("append").parquet(f"{self.root}/_rows/{name}")  # at most ``buckets`` rows
-        folders = F.greatest(F.lit(1.0), F.coalesce("n", F.lit(1)) / F.lit(self.folder_rows))
-        cut = F.least(F.ceil(F.log2(folders)), F.lit(MOST_SPLITS)).cast("int")
-        cuts = F.broadcast(self._counts(name).select("case_bucket", cut.alias("_cut")))  # at most ``buckets`` rows
-        part = F.get(parts_of(_spread(self._spread_key(name))), F.coalesce("_cut", F.lit(0)))
-        folder = F.col("case_bucket") + (part - 1) * self.buckets
-        return placed.join(cuts, "case_bucket", "left").withColumn("case_bucket", folder.cast("int")).drop("_cut")
-
-    def _write(self, name: str, rows: DataFrame, path: str, mode: str, counted: bool = True) -> None:
+        folder = F.col("case_bucket") + (F.get(parts_of(_spread(self._spread_key(name))), cut) - 1) * self.buckets
+        return placed.withColumn("case_bucket", folder.cast("int")), sum(1 << cuts.get(r.case_bucket, 0) for r in fresh), sum(r.n for r in fresh)
+
+    def _write_aside(self, name: str, rows: DataFrame, path: str, counted: DataFrame | None) -> None:
+        """Finished rows as files below ``path``, which nobody reads before its journal is there."""
         parts = self._partitioning(name)
-        if parts:
-            # gather each folder's rows into few files; a hot folder is split by AQE
-            rows = self._laid_out(name, rows, counted).hint("rebalance", *parts)
-        writer = rows.write.mode(mode)
-        (writer.partitionBy(*parts) if parts else writer).parquet(path)
+        if not parts:
+            return rows.write.mode("append").parquet(path)
+        # gather each folder's rows into few files
+        rows, folders, n = self._laid_out(name, rows, counted)
+        if n < folders * SMALL_FOLDER:  # few bytes in many files: files take the time
+            rows = rows.repartition(max(1, min(folders, n) // FOLDERS_A_TASK), *parts)
+        else:  # a hot folder is split by AQE
+            rows = rows.hint("rebalance", *parts)
+        # tasks commit their own files; the journal, not the job's commit, makes them part of the table
+        rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*parts).parquet(path)
 
     def append(self, name: str, df: DataFrame) -> None:
         self.recover(name)
         shaped = self._shape(name, df)
+        if not self._partitioning(name):
+            shaped.write.mode("append").parquet(self.path(name))
+            return
         # counted, then written: evaluated once
-        self._write(name, cut_lineage(shaped) if self._partitioning(name) else shaped, self.path(name), "append")
+        rows = cut_lineage(shaped)
+        self._exchange(name, [], rows, rows)
 
     # -- reads
 
@@ -124,7 +186,15 @@ class EvidenceTables:
 
     def _files(self, name: str, *paths: str) -> DataFrame:
         folder = [T.StructField(c, T.IntegerType()) for c in self._partitioning(name)]
-        return self.spark.read.schema(T.StructType([*TABLES[name].fields, *folder])).option("basePath", self.path(name)).parquet(*paths)
+        reader = self.spark.read.schema(T.StructType([*TABLES[name].fields, *folder])).option("basePath", self.path(name))
+        # Spark lists many folders in a task each; a share of them each takes far less
+        setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+        usual = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, str(min(int(usual), 4 * self.spark.sparkContext.defaultParallelism)))
+        try:
+            return reader.parquet(*paths)
+        finally:
+            self.spark.conf.set(setting, usual)
 
     def read_buckets(self, name: str, cases: DataFrame) -> DataFrame:
         """Rows in the buckets the given cases fall into; other folders are pruned at run time."""
@@ -166,17 +236,22 @@ class EvidenceTables:
 
     def _rewrite(self, name: str, keys: DataFrame, key: Sequence[str], added: DataFrame | None) -> None:
         old = self.touched_files(name, keys, key)
-        label = uuid.uuid4().hex
-        aside, journal = f"{self.root}/_aside/{name}/{label}", f"{self.root}/_journal/{name}/{label}"
+        rows = added
         if old:
             held = self._files(name, *[f"{self.path(name)}/{f}" for f in old])
             kept = self._shape(name, held.join(keys, list(key), "left_anti"))
             if self._partitioning(name):
                 kept = cut_lineage(kept)
-            self._write(name, kept, aside, "append", counted=False)
-        if added is not None:
-            self._write(name, added, aside, "append")
-        self.spark.createDataFrame([(f,) for f in old], "file string").coalesce(1).write.parquet(journal)
+            # one file of a folder holds what stays and what is new
+            rows = kept if added is None else kept.unionByName(added)
+        self._exchange(name, old, rows, added)
+
+    def _exchange(self, name: str, old: list[str], rows: DataFrame | None, counted: DataFrame | None) -> None:
+        """Put ``rows`` in the place of the files ``old``."""
+        label = uuid.uuid4().hex
+        if rows is not None:
+            self._write_aside(name, rows, f"{self.root}/_aside/{name}/{label}", counted)
+        self.spark.createDataFrame([(f,) for f in old], "file string").coalesce(1).write.parquet(f"{self.root}/_journal/{name}/{label}")
         self._finish(name, label)
 
     def _exists(self, name: str) -> bool:
@@ -196,11 +271,57 @@ class EvidenceTables:
     def _finish(self, name: str, label: str) -> None:
         """Delete the files of a journal, move the new ones in, drop the journal; may be repeated."""
         aside, journal = f"{self.root}/_aside/{name}/{label}", f"{self.root}/_journal/{name}/{label}"
+        old = [row[0] for row in self.spark.read.schema("file string").parquet(journal).collect()]
+        fs, top = self._fs(aside)
+        fs.mkdirs(self._fs(self.path(name))[1])  # a table without rows is a folder too
+        new = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+        new = [f for f in new if f.startswith("case_bucket=")] if self._partitioning(name) else [""] * bool(new)
+        if self._tasks_reach():
+            root = self.path(name)
+            self._each(old, lambda f: _drop_file(root, f))
+            self._each(new, lambda f: _move_folder(root, aside, f))
+            self._each(sorted({f.rpartition("/")[0] for f in old} - {"", *new}), lambda f: _drop_empty(root, f))
+        else:
+            self._by_driver(name, aside, old)
+        if fs.exists(top):
+            fs.delete(top, True)
+        fs.delete(self._fs(journal)[1], True)
+        # Spark may hold an older listing of the table
+        self.spark.catalog.refreshByPath(self.path(name))
+
+    def _tasks_reach(self) -> bool:
+        """Whether tasks can open the file system of the root themselves."""
+        from vellumine.sources.files import file_system
+
+        try:
+            file_system(self.root)
+        except Exception:  # noqa: BLE001 - a scheme or library that only Spark has
+            return False
+        return True
+
+    def _each(self, names: list[str], do: Callable[[str], None]) -> None:
+        """``do`` for every name, by tasks where there are many; all may be repeated."""
+        if len(names) <= MOVES_A_TASK:
+            for name in names:
+                do(name)
+            return
+
+        def work(batches: Iterator) -> Iterator:
+            for batch in batches:
+                for name in batch.column("name").to_pylist():
+                    do(name)
+            yield from ()
+
+        tasks = -(-len(names) // MOVES_A_TASK)
+        self.spark.createDataFrame([(n,) for n in names], "name string").repartition(tasks, "name").mapInArrow(work, "name string").count()
+
+    def _by_driver(self, name: str, aside: str, old: list[str]) -> None:
+        """The same for stores that only Spark reaches."""
         left = set()
-        for row in self.spark.read.schema("file string").parquet(journal).collect():
-            fs, path = self._fs(f"{self.path(name)}/{row[0]}")
+        for file in old:
+            fs, path = self._fs(f"{self.path(name)}/{file}")
             fs.delete(path, False)
-            left.add(row[0].rpartition("/")[0])
+            left.add(file.rpartition("/")[0])
         fs, top = self._fs(aside)
         if fs.exists(top):
             found = fs.listFiles(top, True)
@@ -211,14 +332,10 @@ class EvidenceTables:
                     _, target = self._fs(f"{self.path(name)}/{below}")
                     fs.mkdirs(target.getParent())
                     fs.rename(file, target)
-            fs.delete(top, True)
         for folder in left - {""}:
             fs, path = self._fs(f"{self.path(name)}/{folder}")
             if fs.exists(path) and not fs.listStatus(path):
                 fs.delete(path, False)
-        fs.delete(self._fs(journal)[1], True)
-        # Spark may hold an older listing of the table
-        self.spark.catalog.refreshByPath(self.path(name))
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
