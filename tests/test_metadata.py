@@ -237,6 +237,19 @@ def test_software_of_a_file_with_many_properties(spark):
     assert both == {e: [x[i] for i in sorted(x)] for e, x in got.items()}
 
 
+def test_equal_software_rows_are_combined_without_gathering(spark, monkeypatch):
+    rows = [("f", p, v, s) for p, v, s in [
+        ("creator", "Word", "PDF Info"), ("Creator", "Word", "PDF Info"), ("CREATOR", "Calc", "PDF Info"), ("Software", "Word", "EXIF"), ("Producer", "Word", "PDF Info"),
+        ("HistoryB", "Krita", "XMP"), ("HistoryA", "Krita", "XMP"), ("HistoryC", "Calc", "XMP")]]
+    props = spark.createDataFrame(rows * 20 + [(None, "Software", "x", "EXIF")] * 3, "evidence_id string, property string, value string, source string").repartition(3)
+    want = ["EXIF: Word", "PDF Creator: Calc", "PDF Creator: Word", "PDF Producer: Word", "XMP HistoryA: Krita"]
+    for seen in (1, md.SEEN):  # forgotten at once, and never
+        monkeypatch.setattr(md, "SEEN", seen)
+        assert {r.evidence_id: r.software_indicators for r in md.software_indicators(props).collect()} == {"f": want, None: ["EXIF: x"]}
+    plan = md.software_indicator_rows(props)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1  # no sort or table of a whole scan
+
+
 def test_100_000_properties_of_one_file_are_folded_as_they_come(spark):
     props = spark.range(100_000).selectExpr("'f' AS evidence_id", "'History' || id AS property", "'agent ' || sha2(CAST(id % 99000 AS STRING), 256) AS value", "'XMP' AS source")
     assert md.software_indicator_rows(props).count() == 99_000

@@ -417,6 +417,9 @@ def jpeg_quality(segments: DataFrame, reference: Sequence[int] = tuple(fixed.LUM
 
 
 # --- consistency -------------------------------------------------------------
+SEEN = 4 << 20  # characters of rows that a task remembers to combine equal ones
+
+
 class _Held:
     """Whether a text is part of one kept so far, by an index of the runs of ``RUN`` characters.
 
@@ -451,8 +454,10 @@ def software_indicator_rows(props: DataFrame) -> DataFrame:
 
     The EXIF software, the PDF creator and producer, then XMP properties whose name mentions
     creator, software or history and whose value is not already part of an earlier indicator.
-    Equal values of a file are combined before the shuffle. A task reads its files' rows in
-    order and folds them as they come; of a file it keeps only the indicators found.
+    Equal rows that stand within ``SEEN`` characters of others are combined before the shuffle, as
+    they come. A task reads its files' rows in order and folds them as they come; of a file it
+    keeps only the indicators found. Nothing is gathered before the one shuffle, whose parts
+    Spark bounds by their bytes.
     """
     p, s, v = F.col("property"), F.col("source"), F.col("value")
     rank = (F.when((s == "EXIF") & (p == "Software"), 0).when((s == "PDF Info") & (F.lower(p) == "creator"), 1)
@@ -461,21 +466,35 @@ def software_indicator_rows(props: DataFrame) -> DataFrame:
     label = (F.when(rank == 0, F.concat(F.lit("EXIF: "), v)).when(rank == 1, F.concat(F.lit("PDF Creator: "), v))
              .when(rank == 2, F.concat(F.lit("PDF Producer: "), v)).otherwise(F.concat(F.lit("XMP "), p, F.lit(": "), v)))
     named = props.where(rank.isNotNull() & (v != fixed.NOT_AVAILABLE)).select("evidence_id", rank.alias("rank"), p.alias("p"), v.alias("v"), label.alias("label"))
-    unique = named.groupBy("evidence_id", "v", F.when(F.col("rank") < 3, F.col("rank")).alias("_own")).agg(
-        F.min_by(F.struct("rank", "p", "label"), F.struct("rank", "p")).alias("r"))
-    ordered = unique.select("evidence_id", "r.rank", "r.p", "v", "r.label").repartition("evidence_id").sortWithinPartitions("evidence_id", "rank", "p", "v")
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = set(), 0
+        for batch in batches:
+            new = []
+            for at, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("evidence_id", "rank", "p", "v")))):
+                if row not in seen:
+                    new.append(at)
+                    seen.add(row)
+                    held += len(row[2]) + len(row[3]) + 100
+                    if held > SEEN:
+                        seen, held = set(), 0
+            yield batch.take(pa.array(new, pa.int64()))
+
+    ordered = named.mapInArrow(combine, named.schema).repartition("evidence_id").sortWithinPartitions("evidence_id", "rank", "p", "v")
     schema = T.StructType([props.schema["evidence_id"], T.StructField("indicator_no", T.IntegerType()), T.StructField("indicator", T.StringType())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, held = object(), _Held()
+        file, held, own = object(), _Held(), set()
         for batch in batches:
             out = []
             for at, (key, rank, value, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("evidence_id", "rank", "v", "label")))):
                 if key != file:
-                    file, held = key, _Held()
-                if rank < 3 or value not in held:
+                    file, held, own = key, _Held(), set()
+                if label not in own if rank < 3 else value not in held:
                     out.append((at, len(held.texts), label))
                     held.keep(label)
+                    if rank < 3:
+                        own.add(label)
             at, numbers, labels = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("evidence_id").take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(labels, pa.string())], schema.names)
 
