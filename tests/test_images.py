@@ -226,3 +226,17 @@ def test_noise_does_not_depend_on_partitions(spark):
     px = ra.pixels(raster)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(ra.add_noise(px, 25, 3)) == key(ra.add_noise(px.repartition(5, "x"), 25, 3)) != key(ra.add_noise(px, 25, 4))
+
+
+def test_histogram_lines_take_one_grouping_of_bounded_tasks(spark, sf_dir):
+    from vellumine.plans.catalogue import QUERIES
+
+    lines = QUERIES["s07_histogram_csv"](spark, sf_dir)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("HashAggregate") == 2
+    counted = spark.createDataFrame([(1, "R", 5, 2), (1, "R", 5, 3), (1, "GRAY", 5, 7), (1, "A", 6, 1), (2, "B", 0, 4)], "image_id long, ch string, bin int, n long")
+    assert sorted(tuple(r) for r in sinks.histogram_table(counted).collect()) == [(1, 5, 5, 0, 0, 7), (1, 6, 0, 0, 0, 0), (2, 0, 0, 0, 4, 0)]
+    small = spark.range(0, 4000, 1, 2).selectExpr("id AS image_id", "8 AS height", "8 AS width", "array('R', 'G') AS channels")
+    large = spark.range(0, 40, 1, 2).selectExpr("id AS image_id", "4000 AS height", "6000 AS width", "array('R', 'G') AS channels")
+    assert ra.spread_bins(small, 1 << 15).rdd.getNumPartitions() == 16  # 128 bins each
+    assert ra.spread_bins(large, 1 << 15).rdd.getNumPartitions() == 2 and ra.spread_bins(small.limit(0)).count() == 0

@@ -186,6 +186,20 @@ def gray_pairs(raster: DataFrame) -> DataFrame:
 
 
 # --- histograms and statistics -----------------------------------------------
+TASK_BINS = 1 << 20  # bins that a task counts
+
+
+def spread_bins(raster: DataFrame, task_bins: int = TASK_BINS) -> DataFrame:
+    """Deal out images so that a task meets about ``task_bins`` bins, whatever the scan's splits.
+
+    Small images have nearly a bin for each sample, so what a task combines grows with its
+    images. Only the geometry is read to count them.
+    """
+    bins = F.least(F.col("height").cast("bigint") * F.col("width"), F.lit(BINS)) * F.size("channels")
+    tasks = math.ceil((raster.agg(F.sum(bins)).first()[0] or 0) / task_bins)
+    return raster.repartition(tasks) if tasks > raster.rdd.getNumPartitions() else raster
+
+
 def bin_counts(px: DataFrame) -> DataFrame:
     """Counts per image, channel and value: (image_id, ch, bin, n)."""
     return px.groupBy("image_id", "ch", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellumine.functions import files as fx, fixed
 from vellumine.functions.once import compute_once
 from vellumine.operators import findings as fi, metadata as md, raster as ra, runs as rn, slots
-from vellumine.plans.q_raster import ALL_COLOUR, TILES_SQL, colour_counts, tiles
+from vellumine.plans.q_raster import ALL_COLOUR, TILES_SQL, colour_samples, tiles
 from vellumine.plans.registry import query, table
 from vellumine.session import cut_lineage
 from vellumine.sources import files as sf, sinks
@@ -98,7 +98,7 @@ def s05_rewritten(spark, d):
 SELECT image_id, v AS "Intensity", count(*) FILTER (ch = 'R') AS "Red_Count", count(*) FILTER (ch = 'G') AS "Green_Count",
   count(*) FILTER (ch = 'B') AS "Blue_Count", count(*) FILTER (ch = 'GRAY') AS "Grayscale_Count" FROM allpx GROUP BY 1, 2""")
 def s07(spark, d):
-    return sinks.histogram_table(colour_counts(spark, d))
+    return sinks.histogram_table(colour_samples(spark, d).selectExpr("image_id", "ch", "v AS bin", "1L AS n"))
 
 
 @query("s08_result_json", """

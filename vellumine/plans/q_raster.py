@@ -42,10 +42,15 @@ gpx AS (SELECT image_id, y, x, 'GRAY' AS ch, floor(0.299::DOUBLE * r + 0.587::DO
 ALL_COLOUR = COLOUR_SQL + ", allpx AS (SELECT * FROM cpx WHERE ch <> 'A' UNION ALL BY NAME SELECT * FROM gpx)"
 
 
+def colour_samples(spark, d):
+    """Samples of R, G, B and truncated gray."""
+    r = ra.spread_bins(colour_tiles(spark, d))
+    return ra.pixels(r).unionByName(ra.gray_samples(r))
+
+
 def colour_counts(spark, d):
     """Counts of R, G, B and truncated gray."""
-    r = colour_tiles(spark, d)
-    return ra.bin_counts(ra.pixels(r).unionByName(ra.gray_samples(r)))
+    return ra.bin_counts(colour_samples(spark, d))
 
 
 @query("p01_pixel_relation", f"WITH {COLOUR_SQL} SELECT image_id, y, x, ch, v FROM cpx WHERE ch <> 'A'")
