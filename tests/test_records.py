@@ -183,8 +183,11 @@ def test_a_broken_rewrite_is_ended_by_the_next_reader(spark, tmp_path, monkeypat
     assert not list((tmp_path / "_journal" / "evidence_items").iterdir())
 
 
-def test_many_folders_are_written_and_moved_by_tasks(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("reached", [True, False])
+def test_many_folders_are_written_and_moved_by_tasks(spark, tmp_path, monkeypatch, reached):
     monkeypatch.setattr("vellumine.sources.tables.MOVES_A_TASK", 8)
+    if not reached:  # a store that only Spark opens
+        monkeypatch.setattr(EvidenceTables, "_tasks_reach", lambda self: False)
     t = EvidenceTables(spark, str(tmp_path), buckets=4, folder_rows=20)
     t.append("evidence_items", items(spark, "hot", 0, 3000).unionByName(items(spark, "cold", 0, 5)))
     folders = collections.Counter(f.split("/")[0] for f in files_of(t))

@@ -290,14 +290,16 @@ class EvidenceTables:
         self.spark.catalog.refreshByPath(self.path(name))
 
     def _tasks_reach(self) -> bool:
-        """Whether tasks can open the file system of the root themselves."""
+        """Whether tasks can open the folder of the tables themselves."""
+        from pyarrow import fs
+
         from vellumine.sources.files import file_system
 
         try:
-            file_system(self.root)
-        except Exception:  # noqa: BLE001 - a scheme or library that only Spark has
+            system, at = file_system(self.root)
+            return system.get_file_info(at).type == fs.FileType.Directory
+        except Exception:  # noqa: BLE001 - a scheme, library or right that only Spark has
             return False
-        return True
 
     def _each(self, names: list[str], do: Callable[[str], None]) -> None:
         """``do`` for every name, by tasks where there are many; all may be repeated."""
